@@ -104,8 +104,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunks: int
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("c"))
-    ranked = prior(counts, [], ["v"], {"s": ("sum", F.col("c"))}, chunks).withColumn("s", F.coalesce("s", F.lit(0)))
-    n = df.agg(F.count(col)).scalar()
+    ranked = prior(counts, [], ["v"], {"s": ("sum", F.col("c"))}, chunks)
+    total = df.agg(F.count(col)).scalar()
+    ranked = ranked.withColumns({"s": F.coalesce("s", F.lit(0)), "n": total})
+    n = F.col("n")
     probs = sorted(float(q) for q in probs)
     cells = F.array(*[
         F.struct(F.lit(q).alias("prob"), F.floor((n - 1) * F.lit(q)).alias("lo"), F.ceil((n - 1) * F.lit(q)).alias("hi"))
@@ -117,7 +119,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunks: int
         first = F.greatest(F.floor((F.col("s") - 1) / F.greatest(n - 1, F.lit(1)) * m), F.lit(0))
         last = F.least(F.ceil((F.col("s") + F.col("c") + 1) / F.greatest(n - 1, F.lit(1)) * m), F.lit(m))
         cells = F.slice(cells, (first + 1).cast("int"), (last - first + 1).cast("int"))
-    hits = ranked.select("v", "s", "c", F.explode(F.filter(cells, lambda x: here(x["lo"]) | here(x["hi"]))).alias("x"))
+    hits = ranked.select("v", "s", "c", "n", F.explode(F.filter(cells, lambda x: here(x["lo"]) | here(x["hi"]))).alias("x"))
     ends = hits.groupBy("x.prob").agg(
         F.max(F.when(here(F.col("x.lo")), F.col("v"))).alias("lo"),
         F.max(F.when(here(F.col("x.hi")), F.col("v"))).alias("hi"),

@@ -35,6 +35,8 @@ class ChunkPlan:
 
     def assign(self, df: DataFrame, value: Column, tie: Column | None) -> DataFrame:
         """Add ``_chunk``; it never decreases along (value, tie)."""
+        if len(self.splits) < 3:
+            return df.withColumn("_chunk", F.lit(0).cast("long"))
         keyed = df.withColumn("_v", F.coalesce(value.cast("double"), F.lit(-INF)))
         out = Bucketizer(splits=self.splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(keyed)
         sub = F.lit(0).cast("long")

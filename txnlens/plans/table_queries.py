@@ -548,7 +548,7 @@ def _(spark, d):
     return graph.capped_edges(nodes, "node", CARD).agg(F.count(F.lit(1)).alias("edges")).withColumn("refused", F.lit(refused))
 
 
-@query("graph_invariants", f"WITH {EV} SELECT unnest(['repeated_nodes', 'edges_before_node', 'one_way_edges', 'self_loops']) AS rule, 0 * count(*) AS violations FROM ev GROUP BY ALL")
+@query("graph_invariants", f"WITH {EV}, n AS (SELECT 0 * count(*) AS violations FROM ev) SELECT unnest(['repeated_nodes', 'edges_before_node', 'one_way_edges', 'self_loops']) AS rule, violations FROM n")
 def _(spark, d):
     nodes, edges = _phased(spark, d)
     return graph.graph_violations(nodes, graph.directed(edges))
