@@ -148,15 +148,20 @@ def _poly(x: Column, coef: Sequence[float]) -> Column:
     return out
 
 
-def inverse_normal(u: Column) -> Column:
-    """Standard normal quantile as a column expression, relative error below 1.2e-9."""
-    q = u - 0.5
-    middle = _poly(q * q, _A) * q / (_poly(q * q, _B) * (q * q) + 1)
-    low_q, high_q = F.sqrt(-2 * F.log(u)), F.sqrt(-2 * F.log(1 - u))
-    tail = lambda x: _poly(x, _C) / (_poly(x, _D) * x + 1)
-    z = F.when(u < _TAIL, tail(low_q)).when(u > 1 - _TAIL, -tail(high_q)).otherwise(middle)
+def with_inverse_normal(df: DataFrame, u: str, out: str) -> DataFrame:
+    """Standard normal quantile of a column in (0, 1), relative error below 1.2e-9, clipped at both ends.
+
+    The steps are columns of their own, so that no expression is repeated in generated code.
+    """
+    df = df.withColumn("_q", F.col(u) - 0.5).withColumns({
+        "_s": F.col("_q") * F.col("_q"),
+        "_r": F.sqrt(-2 * F.log(F.when(F.col("_q") < 0, F.col(u)).otherwise(1 - F.col(u))))})
+    middle = _poly(F.col("_s"), _A) * F.col("_q") / (_poly(F.col("_s"), _B) * F.col("_s") + 1)
+    tail = _poly(F.col("_r"), _C) / (_poly(F.col("_r"), _D) * F.col("_r") + 1)
+    z = F.when(F.col(u) < _TAIL, tail).when(F.col(u) > 1 - _TAIL, -tail).otherwise(middle)
     clipped = F.greatest(F.least(z, F.lit(NORMAL_CLIP)), F.lit(-NORMAL_CLIP))
-    return F.when(u <= 0, -NORMAL_CLIP).when(u >= 1, NORMAL_CLIP).otherwise(clipped)
+    ends = F.when(F.col(u) <= 0, -NORMAL_CLIP).when(F.col(u) >= 1, NORMAL_CLIP)
+    return df.withColumn(out, F.when(F.col(u).isNotNull(), ends.otherwise(clipped))).drop("_q", "_s", "_r")
 
 
 def fit_normal_scores(df: DataFrame, col: str, n: int = 1000, chunks: int | None = None) -> list[float]:
@@ -180,13 +185,16 @@ def apply_normal_scores(df: DataFrame, col: str, quantiles: Sequence[float], out
     binned = Bucketizer(splits=[-INF, *xs[1:-1], INF], inputCol="_x", outputCol="_k", handleInvalid="keep").transform(keyed) \
         if len(xs) > 2 else keyed.withColumn("_k", F.lit(0.0))
     knot_x, knot_u = F.array(*[F.lit(x) for x in xs]), F.array(*[F.lit(u) for u in us])
-    k = F.least(F.col("_k"), F.lit(len(xs) - 2)).cast("int")
-    x0, x1 = F.get(knot_x, k), F.get(knot_x, k + 1)
-    u0, u1 = F.get(knot_u, k), F.get(knot_u, k + 1)
-    u = u0 + (u1 - u0) * (F.col("_x") - x0) / (x1 - x0)
-    u = F.when(F.col("_x") <= xs[0], F.when(F.col("_x") < xs[0], 0.0).otherwise(us[0])).when(
-        F.col("_x") >= xs[-1], F.when(F.col("_x") > xs[-1], 1.0).otherwise(us[-1])).otherwise(u)
-    return binned.withColumn(out, F.when(F.col("_x").isNotNull(), inverse_normal(u))).drop("_x", "_k")
+    k = binned.withColumn("_k", F.least(F.col("_k"), F.lit(len(xs) - 2)).cast("int"))
+    k = k.withColumns({
+        "_x0": F.get(knot_x, F.col("_k")), "_x1": F.get(knot_x, F.col("_k") + 1),
+        "_u0": F.get(knot_u, F.col("_k")), "_u1": F.get(knot_u, F.col("_k") + 1)})
+    inside = F.col("_u0") + (F.col("_u1") - F.col("_u0")) * (F.col("_x") - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
+    u = (
+        F.when(F.col("_x") < xs[0], 0.0).when(F.col("_x") > xs[-1], 1.0)
+        .when(F.col("_x") == xs[0], us[0]).when(F.col("_x") == xs[-1], us[-1]).otherwise(inside))
+    ranked = k.withColumn("_u", F.when(F.col("_x").isNotNull(), u)).drop("_x", "_k", "_x0", "_x1", "_u0", "_u1")
+    return with_inverse_normal(ranked, "_u", out).drop("_u")
 
 
 def fit_pca(train: DataFrame, vector: str, k: int = 30):

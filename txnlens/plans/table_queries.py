@@ -361,7 +361,7 @@ def _normal_sql(u):
             f"WHEN {u} > 0.97575 THEN -({tail(high)}) ELSE {mid} END")
 
 
-@query("quantile_normal", f"""WITH {SPLIT}, qs AS (SELECT i, quantile_cont(value, i / 19) AS x FROM (SELECT * FROM sp WHERE split = 'train'), range(20) r(i) GROUP BY i),
+@query("quantile_normal", f"""WITH {SPLIT}, qs AS (SELECT unnest(range(20)) AS i, unnest(quantile_cont(value, [{", ".join(f"CAST('{i / 19!r}' AS DOUBLE)" for i in range(20))}])) AS x FROM sp WHERE split = 'train'),
 k AS (SELECT x AS x0, lead(x) OVER (ORDER BY i) AS x1, i / 19 AS u0, (i + 1) / 19 AS u1 FROM qs),
 ends AS (SELECT min(x) AS lo, max(x) AS hi FROM qs),
 u AS (SELECT event_id, CASE WHEN value < lo THEN 0 WHEN value > hi THEN 1 WHEN value = hi THEN 1 ELSE u0 + (u1 - u0) * (value - x0) / (x1 - x0) END AS u

@@ -39,29 +39,47 @@ def dedupe_stream(stream: DataFrame, time: str, roles: Roles = Roles(), delay: s
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([roles.id])
 
 
-def _start(writer, spark: SparkSession, name: str, state_partitions: int | None):
-    """Run what is available, with a state partition count that follows the cluster's cores."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _start(writer, spark: SparkSession, offsets: str, state_partitions: int | None = None, store: str | None = None) -> None:
+    """Run what is available. State partitions follow the cluster's cores unless given."""
+    wanted = {"spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism)}
+    if store:
+        wanted["spark.sql.streaming.stateStore.providerClass"] = store
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        query = writer.option("checkpointLocation", scratch_path(spark, f"{name}-offsets")).trigger(availableNow=True).start()
-        query.awaitTermination()
+        writer.option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(key, before)
-    return query
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
+def run_append_to(stream: DataFrame, out: str, offsets: str, **options) -> None:
+    """Append what is available to a parquet folder; the same offsets folder continues an earlier run."""
+    _start(stream.writeStream.format("parquet").option("path", out), stream.sparkSession, offsets, **options)
 
-def run_append(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
-    """Write an append stream to parquet until the source is drained, and read it back."""
-    spark, out = stream.sparkSession, scratch_path(stream.sparkSession, name)
-    _start(stream.writeStream.format("parquet").option("path", out), spark, name, state_partitions)
+
+def run_append(stream: DataFrame, name: str, **options) -> DataFrame:
+    """Drain an append stream into a new parquet folder and read it back."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    run_append_to(stream, out, scratch_path(spark, f"{name}-offsets"), **options)
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_complete(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
+def run_batches(stream: DataFrame, handle, name: str, **options) -> None:
+    """Give every micro-batch to ``handle(batch, batch_id)``, which must be safe to repeat."""
+    spark = stream.sparkSession
+    _start(stream.writeStream.foreachBatch(handle), spark, scratch_path(spark, f"{name}-offsets"), **options)
+
+
+def run_complete(stream: DataFrame, name: str, **options) -> DataFrame:
     """Keep the latest full result of an aggregation; each batch writes its own folder, so a retry is harmless."""
-    spark, out = stream.sparkSession, scratch_path(stream.sparkSession, name)
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
     last: list[str] = []
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -69,5 +87,6 @@ def run_complete(stream: DataFrame, name: str, state_partitions: int | None = No
         batch.write.mode("overwrite").parquet(path)
         last[:] = [path]
 
-    _start(stream.writeStream.outputMode("complete").foreachBatch(keep), spark, name, state_partitions)
+    writer = stream.writeStream.outputMode("complete").foreachBatch(keep)
+    _start(writer, spark, scratch_path(spark, f"{name}-offsets"), **options)
     return spark.read.schema(stream.schema).parquet(last[0])
