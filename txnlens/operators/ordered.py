@@ -15,7 +15,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,23 +209,31 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank", chunks:
     return prior(df, [], order, {out: ("count", F.lit(1))}, chunks)
 
 
-def row_at(df: DataFrame, order: Sequence[str], position: Column, chunks: int | None = None) -> DataFrame:
-    """The one row at a position of the total order, found without ranking the table.
+def rows_at(df: DataFrame, order: Sequence[str], positions: Sequence[int], chunks: int | None = None) -> list[Row]:
+    """The rows at the given positions of the total order, None past the end, found without ranking the table.
 
-    ``position`` is an expression over a column ``n`` holding the row count.
+    Chunk sizes tell which chunks hold the positions; only those are sorted. The driver sees one row per
+    chunk and one per position.
     """
     narrow = df.select(*order)
-    wanted = narrow.agg(F.count(F.lit(1)).alias("n")).select(position.cast("long")).scalar()
     tie = order[1] if len(order) > 1 else None
     plan = plan_chunks(narrow, order[0], tie, chunks)
     if plan is None:
         ranked = narrow.withColumn("_rank", F.row_number().over(Window.orderBy(*order)) - 1)
-        return ranked.where(F.col("_rank") == wanted).select(*order)
+        found = {r["_rank"]: r for r in ranked.where(F.col("_rank").isin(list(positions))).collect()}
+        return [found.get(p) for p in positions]
     cut = plan.assign(narrow, F.col(order[0]), F.col(tie) if tie else None)
-    sizes = cut.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_size"))
-    ends = sizes.withColumn("_end", F.sum("_size").over(Window.orderBy("_chunk")))
-    ends = ends.withColumn("_start", F.col("_end") - F.col("_size"))
-    found = ends.where((F.col("_start") <= wanted) & (wanted < F.col("_end")))
-    inside = cut.where(F.col("_chunk") == found.select("_chunk").scalar())
+    start, starts = 0, {}
+    for r in cut.groupBy("_chunk").count().orderBy("_chunk").collect():
+        for p in positions:
+            if start <= p < start + r["count"]:
+                starts[r["_chunk"]] = start
+        start += r["count"]
+    inside = cut.where(F.col("_chunk").isin(list(starts)))
     ranked = inside.withColumn("_rank", F.row_number().over(Window.partitionBy("_chunk").orderBy(*order)) - 1)
-    return ranked.where(F.col("_rank") == wanted - found.select("_start").scalar()).select(*order)
+    wanted = F.lit(False)
+    for chunk, first in starts.items():
+        here = [p - first for p in positions if p >= first]
+        wanted = wanted | ((F.col("_chunk") == chunk) & F.col("_rank").isin(here))
+    found = {r["_rank"] + starts[r["_chunk"]]: r for r in ranked.where(wanted).collect()} if starts else {}
+    return [found.get(p) for p in positions]

@@ -4,37 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from txnlens.functions.rowwise import unit_hash
-from txnlens.operators.ordered import row_at
+from txnlens.operators.ordered import rows_at
 from txnlens.roles import Roles
 
 
-def _from(df: DataFrame, order: Sequence[str], share: float, chunks: int | None) -> Column:
-    """True for rows at or after position ``int(n * share)``; nobody when that is past the end."""
-    cut = row_at(df, order, F.floor(F.col("n") * F.lit(float(share))), chunks)
-    return F.coalesce(F.struct(*order) >= cut.select(F.struct(*order)).scalar(), F.lit(False))
+def cut_rows(df: DataFrame, order: Sequence[str], shares: Sequence[float], chunks: int | None = None) -> list[Row | None]:
+    """The fitted boundaries: for each share the row at position ``int(n * share)``."""
+    n = df.count()
+    return rows_at(df, order, [int(n * share) for share in shares], chunks)
+
+
+def at_or_after(order: Sequence[str], cut: Row | None) -> Column:
+    """True for rows not before the boundary row; nobody when the boundary is past the end."""
+    if cut is None:
+        return F.lit(False)
+    out = F.lit(True)
+    for c in reversed(order):
+        out = (F.col(c) > F.lit(cut[c])) | ((F.col(c) == F.lit(cut[c])) & out)
+    return out
 
 
 def time_split(df: DataFrame, ratio: float = 0.8, roles: Roles = Roles(), chunks: int | None = None) -> DataFrame:
     """``split`` = train for the first ``int(n * ratio)`` rows by time, else test."""
-    return df.withColumn("split", F.when(_from(df, roles.order, ratio, chunks), "test").otherwise("train"))
+    (cut,) = cut_rows(df, roles.order, [ratio], chunks)
+    return df.withColumn("split", F.when(at_or_after(roles.order, cut), "test").otherwise("train"))
 
 
 def time_split3(
     df: DataFrame, train: float = 0.7, val: float = 0.1, roles: Roles = Roles(), chunks: int | None = None
 ) -> DataFrame:
     """Train, validation and test by time. The second cut is ``int(n * (train + val))`` in floating point."""
-    late = _from(df, roles.order, train + val, chunks)
-    held_out = _from(df, roles.order, train, chunks)
+    first, second = cut_rows(df, roles.order, [train, train + val], chunks)
+    late, held_out = at_or_after(roles.order, second), at_or_after(roles.order, first)
     return df.withColumn("split", F.when(late, "test").when(held_out, "val").otherwise("train"))
 
 
 def tail_fraction(df: DataFrame, share: float = 0.15, roles: Roles = Roles(), chunks: int | None = None) -> DataFrame:
     """Mark the last part by time as internal validation."""
-    return df.withColumn("is_tail", _from(df, roles.order, 1 - share, chunks).cast("int"))
+    (cut,) = cut_rows(df, roles.order, [1 - share], chunks)
+    return df.withColumn("is_tail", at_or_after(roles.order, cut).cast("int"))
 
 
 def split_stats(df: DataFrame, roles: Roles = Roles()) -> DataFrame:

@@ -45,19 +45,17 @@ def features_full(df: DataFrame, roles: Roles, combo: Sequence[str], uid: Callab
     Target encoding is one pass over the whole ordered table, so later splits continue from earlier ones and
     every label respects the lag across split borders.
     """
-    df = rowwise.null_count_features(df, raw_cols)
-    df = time_split3(df, roles=roles, chunks=chunks)
-    df = apply_steps(df, steps)
-    df = uid(df)
-    train = F.col("split") == "train"
-    df = encoders.combo_frequency(df.where(train), df, combo)
-    df = encoders.apply_cohorts(df.where(train), df, "uid", roles.amount, age)
+    base = uid(time_split3(rowwise.null_count_features(df, raw_cols), roles=roles, chunks=chunks))
+    # Every fit reads the raw train rows only, never the growing feature table.
+    train = base.where(F.col("split") == "train")
     in_scope = F.expr(scope)
-    cut = encoders.fit_quantile(df.where(train).where(in_scope), roles.amount, chunks=chunks).scalar()
-    df = rowwise.scoped_gradient(df, roles.amount, in_scope, cut, "dist")
-    rate = df.where(train).agg(F.coalesce(F.avg(roles.label), F.lit(0.035))).scalar()
-    df = windows.target_encode_lagged(df, target_keys, rate, lag_s, roles, fixed.TARGET_PRIOR_WEIGHT, chunks)
-    fitted = {c: encoders.fit_labels(df.where(train), c, chunks) for c in label_cols}
-    for c, state in fitted.items():
-        df = encoders.apply_labels(df, state, c)
-    return encoders.impute(df, skip=[roles.label, "uid", "split"])
+    cut = encoders.fit_quantile(train.where(in_scope), roles.amount, chunks=chunks).first()["cut"]
+    rate = train.agg(F.coalesce(F.avg(roles.label), F.lit(0.035)).alias("rate")).first()["rate"]
+    out = apply_steps(base, steps)
+    out = windows.target_encode_lagged(out, target_keys, F.lit(rate), lag_s, roles, fixed.TARGET_PRIOR_WEIGHT, chunks)
+    out = rowwise.scoped_gradient(out, roles.amount, in_scope, F.lit(cut).cast("double"), "dist")
+    out = encoders.combo_frequency(train, out, combo)
+    out = encoders.apply_cohorts(train, out, "uid", roles.amount, age)
+    for c in label_cols:
+        out = encoders.apply_labels(out, encoders.fit_labels(train, c, chunks), c)
+    return encoders.impute(out, skip=[roles.label, "uid", "split"])

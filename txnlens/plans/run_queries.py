@@ -369,8 +369,10 @@ def _(spark, d):
 def _event_stream(spark, d, **options):
     """The events table as a stream. A trigger's rows are bounded by ``maxFilesPerTrigger``."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    path = os.path.join(d, "events.parquet")
-    raw = sources.stream_transactions(spark, "parquet", path, spark.read.parquet(path).schema, maxFilesPerTrigger="64", **options)
+    schema = read_table(spark, d, "events").schema
+    # As a pattern the path may be one file or a folder of files.
+    path = os.path.join(d, "events.parque[t]")
+    raw = sources.stream_transactions(spark, "parquet", path, schema, maxFilesPerTrigger="64", **options)
     k = F.get_json_object("props", "$.k").cast("int")
     at = F.col("ts").cast("timestamp")
     e = raw.select("event_id", at.alias("at"), F.unix_micros(at).alias("t"), "user_id", "event_type", "value", k.alias("k"))

@@ -92,6 +92,7 @@ _INTS = ["tx_count", "tx_count_10min", "tx_count_1h", "tx_count_24h", "seq_len"]
 def _typed(pdf: pd.DataFrame) -> pd.DataFrame:
     out = pdf.reindex(columns=_COLUMNS)
     out[_INTS] = out[_INTS].astype("Int64")
+    out["seq"] = [v if isinstance(v, list) else None for v in out["seq"]]
     return out
 
 
