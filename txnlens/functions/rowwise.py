@@ -48,36 +48,35 @@ def pair_match_features(df: DataFrame, a: str, b: str, free: Sequence[str] = fix
     })
 
 
-def _present(cols: Sequence[str]) -> Column:
-    cells = F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in cols])
-    return F.filter(cells, lambda x: x.isNotNull())
+def _add(terms: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
 
 
-def _array_sum(cells: Column) -> Column:
-    return F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + x)
+def _largest(cells: Sequence[Column]) -> Column:
+    return F.greatest(*cells) if len(cells) > 1 else cells[0]
 
 
 def row_summary(df: DataFrame, cols: Sequence[str], kind: str, prefix: str) -> DataFrame:
     """``kind='D'``: null count, mean, sample deviation and max of the filled cells, -1 where undefined.
     ``kind='C'``: sum, max and non-zero count with nulls as zero."""
-    cells = _present(cols)
+    cells = [F.col(c).cast("double") for c in cols]
+    zeroed = [F.coalesce(c, F.lit(0.0)) for c in cells]
     if kind == "C":
-        zeroed = F.transform(F.array(*[F.col(c).cast("double") for c in cols]), lambda x: F.coalesce(x, F.lit(0.0)))
         return df.withColumns({
-            f"{prefix}_sum": _array_sum(zeroed),
-            f"{prefix}_max": F.array_max(zeroed),
-            f"{prefix}_nonzero_count": F.size(F.filter(zeroed, lambda x: x != 0)),
+            f"{prefix}_sum": _add(zeroed),
+            f"{prefix}_max": _largest(zeroed),
+            f"{prefix}_nonzero_count": _add([(c != 0).cast("int") for c in zeroed]),
         })
-    n = F.size(cells)
-    mean = _array_sum(cells) / n
-    square = F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
     fill = F.lit(fixed.HISTORY_FILL)
+    df = df.withColumn("_n", _add([c.isNotNull().cast("int") for c in cells]))
+    df = df.withColumn("_mean", F.when(F.col("_n") > 0, _add(zeroed) / F.col("_n")))
+    gaps = [F.coalesce((c - F.col("_mean")) * (c - F.col("_mean")), F.lit(0.0)) for c in cells]
     return df.withColumns({
-        f"{prefix}_null_count": F.lit(len(cols)) - n,
-        f"{prefix}_mean": F.when(n > 0, mean).otherwise(fill),
-        f"{prefix}_std": F.when(n > 1, F.sqrt(square / (n - 1))).otherwise(fill),
-        f"{prefix}_max": F.coalesce(F.array_max(cells), fill),
-    })
+        f"{prefix}_null_count": F.lit(len(cols)) - F.col("_n"),
+        f"{prefix}_mean": F.coalesce("_mean", fill),
+        f"{prefix}_std": F.when(F.col("_n") > 1, F.sqrt(_add(gaps) / (F.col("_n") - 1))).otherwise(fill),
+        f"{prefix}_max": F.coalesce(_largest(cells), fill),
+    }).drop("_n", "_mean")
 
 
 def null_count_features(df: DataFrame, raw_cols: Sequence[str]) -> DataFrame:
@@ -91,7 +90,7 @@ def presence_flags(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     return df.withColumns({out: F.col(c).isNotNull().cast("int") for out, c in cols.items()})
 
 
-def _last_match(text: Column, rules: Sequence[tuple[str, Column]]) -> Column:
+def _last_match(rules: Sequence[tuple[str, Column]]) -> Column:
     """Name of the last rule that holds, else ``other``."""
     out = F.lit("other")
     for name, holds in rules:
@@ -99,25 +98,30 @@ def _last_match(text: Column, rules: Sequence[tuple[str, Column]]) -> Column:
     return out
 
 
+def _any_of(text: str, pattern: str) -> Column:
+    """Whether a text contains any of the plain words of an alternation; cheaper than a regular expression."""
+    return reduce(lambda a, b: a | b, [F.contains(F.col(text), F.lit(word)) for word in pattern.split("|")])
+
+
 def device_features(df: DataFrame, agent: str, device: str, resolution: str) -> DataFrame:
     """Browser family, mobile flag, device brand and screen shape from raw identity strings."""
-    ua = F.coalesce(F.lower(F.col(agent)), F.lit(""))
-    dev = F.coalesce(F.lower(F.col(device)), F.lit(""))
+    df = df.withColumns({
+        "_ua": F.coalesce(F.lower(F.col(agent)), F.lit("")), "_dev": F.coalesce(F.lower(F.col(device)), F.lit("")),
+        "_parts": F.split(F.col(resolution), "x")})
     browser = [
-        (name, ua.rlike(p) & ~ua.rlike(fixed.SAFARI_EXCLUDES) if name == "safari" else ua.rlike(p))
+        (name, _any_of("_ua", p) & ~_any_of("_ua", fixed.SAFARI_EXCLUDES) if name == "safari" else _any_of("_ua", p))
         for name, p in fixed.BROWSER_PATTERNS
     ]
-    brand = [(name, dev.rlike(p)) for name, p in fixed.DEVICE_PATTERNS]
-    parts = F.split(F.col(resolution), "x")
-    is_pair = F.size(parts) == 2
-    side = lambda i: F.coalesce(F.when(is_pair, F.get(parts, F.lit(i)).try_cast("double")), F.lit(0.0))
+    brand = [(name, _any_of("_dev", p)) for name, p in fixed.DEVICE_PATTERNS]
+    is_pair = F.size("_parts") == 2
+    side = lambda i: F.coalesce(F.when(is_pair, F.get("_parts", F.lit(i)).try_cast("double")), F.lit(0.0))
     df = df.withColumns({
-        "browser_family": _last_match(ua, browser),
-        "browser_is_mobile": ua.rlike(fixed.MOBILE_PATTERN).cast("int"),
-        "device_brand": _last_match(dev, brand),
+        "browser_family": _last_match(browser),
+        "browser_is_mobile": _any_of("_ua", fixed.MOBILE_PATTERN).cast("int"),
+        "device_brand": _last_match(brand),
         "screen_width": side(0),
         "screen_height": side(1),
-    })
+    }).drop("_ua", "_dev", "_parts")
     ratio = F.when(F.col("screen_height") > 0, F.col("screen_width") / F.col("screen_height")).otherwise(0.0)
     return df.withColumn("screen_aspect_ratio", ratio)
 

@@ -70,7 +70,10 @@ def _distinct_scores(df: DataFrame, models: Sequence[str], y: str, weight: Colum
 def grid_ap(df: DataFrame, models: Sequence[str], grid: DataFrame, y: str = "y", by: Sequence[str] = (),
             weight: Column | None = None, chunks: int | None = None) -> DataFrame:
     """Average precision at every grid point."""
-    tuples = _distinct_scores(df, models, y, weight, by)
+    spark = df.sparkSession
+    # Spread the tuples before each becomes one row per grid point; an explicit number is not coalesced again.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tuples = _distinct_scores(df, models, y, weight, by).repartition(parts, *by, *models)
     scored = blended_points(tuples, models, grid, [*by, "y", "w"])
     return average_precision(scored, "y", "p", [*by, "point"], F.col("w"), chunks)
 

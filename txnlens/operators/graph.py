@@ -121,6 +121,8 @@ def neighbor_mean(nodes: DataFrame, edges: DataFrame, cols: Sequence[str], node:
     ``edges`` are directed and already limited to one phase. Sums are combined before the shuffle, so a
     node with very many neighbours costs one partial row per task.
     """
+    if hops > 1:
+        edges = cut_lineage(edges.select("src", "dst"))
     current = nodes.select(node, *cols)
     for hop in range(hops):
         gathered = (

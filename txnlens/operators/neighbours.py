@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.operators.ordered import ChunkPlan, plan_chunks
+from txnlens.session import cut_lineage
 
 ROWS_PER_BLOCK = 1_000
 VISITORS_PER_GROUP = 10_000
@@ -59,6 +60,7 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_bl
     first = points.groupBy("_chunk").applyInPandas(within, _PAIRS)
     found = first
     if blocks > 1:
+        first = cut_lineage(first)
         bound = first.groupBy("_id").agg(F.count(F.lit(1)).alias("_have"), F.max("distance").alias("_far"))
         reach = points.join(bound, "_id", "left").withColumn(
             "_reach", F.when(F.col("_have") >= k, F.col("_far")).otherwise(F.lit(float("inf"))))
@@ -71,7 +73,7 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_bl
         salts = max(1, -(-n // VISITORS_PER_GROUP))
         visits = visits.select("_block", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_salt"), "_id", "_x")
         members = points.select(
-            F.col("_chunk").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("_salt"),
+            F.col("_chunk").alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"),
             "_id", "_x")
 
         def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -43,8 +43,8 @@ class ChunkPlan:
         if tie is not None:
             for v, (low, high, parts) in self.ties.items():
                 share = (tie.cast("double") - F.lit(low)) / F.lit(max(high - low, 1.0))
-                part = F.least(F.floor(share * parts), F.lit(parts - 1))
-                sub = F.when(F.col("_v") == F.lit(v), F.coalesce(part, F.lit(0))).otherwise(sub)
+                part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * parts), F.lit(parts - 1))
+                sub = F.when(F.col("_v") == F.lit(v), part).otherwise(sub)
         return out.withColumn("_chunk", F.col("_b").cast("long") * MAX_CHUNKS + sub).drop("_v", "_b")
 
 

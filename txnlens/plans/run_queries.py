@@ -103,7 +103,17 @@ def _(spark, d):
     return out
 
 
-@query("state_save_load", f"""WITH {SPLIT}, f AS (SELECT event_type, count(*) / (SELECT count(*) FROM sp WHERE split = 'train') AS f FROM sp WHERE split = 'train' GROUP BY 1),
+STATE_COLS = "user_id, count(*) AS n, max(value) AS max, max(t) AS last_ts"
+
+
+@query("state_save", f"WITH {SPLIT} SELECT {STATE_COLS} FROM sp WHERE split = 'train' GROUP BY 1")
+def _(spark, d):
+    path = scratch_path(spark, "state")
+    sinks.save_state({"entity": profiles.entity_state(split_events(spark, d).where("split = 'train'"))}, path)
+    return sinks.load_state(spark, path, ["entity"])["entity"].select("user_id", "n", "max", "last_ts")
+
+
+@query("state_load", f"""WITH {SPLIT}, f AS (SELECT event_type, count(*) / (SELECT count(*) FROM sp WHERE split = 'train') AS f FROM sp WHERE split = 'train' GROUP BY 1),
 s AS (SELECT user_id, count(*) AS n FROM sp WHERE split = 'train' GROUP BY 1)
 SELECT event_id, f.f AS event_type_freq, CAST(coalesce(s.n, 0) AS BIGINT) AS n FROM sp LEFT JOIN f USING (event_type) LEFT JOIN s USING (user_id) WHERE split = 'test'""")
 def _(spark, d):

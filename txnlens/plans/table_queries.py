@@ -420,6 +420,25 @@ def _(spark, d):
     return _seq_out(sequences.build_sequences(events(spark, d), ["value", "k"]))
 
 
+@query("sequence_window", f"WITH {EV} SELECT event_id, array_to_string(list(event_id) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ',') AS ids FROM ev")
+def _(spark, d):
+    from txnlens.operators.ordered import history
+    out = history(events(spark, d), ["user_id"], ["t", "event_id"], F.col("event_id").cast("string"), 5, "ids")
+    return out.select("event_id", F.array_join("ids", ",").alias("ids"))
+
+
+@query("resolve_imbalance", f"""WITH {SPLIT}, c AS (SELECT count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM sp WHERE split = 'train')
+SELECT 'oversample' AS sampling, 'weighted_bce' AS loss, 1 AS resampled, 1.0::DOUBLE AS positive_weight FROM c UNION ALL
+SELECT 'none', 'weighted_bce', 0, n / p FROM c UNION ALL SELECT 'none', 'focal_loss', 0, 1.0 FROM c""")
+def _(spark, d):
+    w = resample.class_weights(split_events(spark, d).where("split = 'train'")).first()
+    rows = []
+    for sampling, loss in (("oversample", "weighted_bce"), ("none", "weighted_bce"), ("none", "focal_loss")):
+        resampled, weight = resample.resolve_imbalance(sampling, loss, w["n_pos"], w["n_neg"])
+        rows.append((sampling, loss, int(resampled), float(weight)))
+    return spark.createDataFrame(rows, "sampling string, loss string, resampled int, positive_weight double")
+
+
 @query("sequences_static", f"""WITH {SPLIT}, k AS (SELECT CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS INTEGER) AS c, k FROM ev)
 SELECT 'kind' AS "column", CAST(max(c) + 1 AS INTEGER) AS cardinality FROM k UNION ALL SELECT 'k', CAST(max(k) + 1 AS INTEGER) FROM k""")
 def _(spark, d):
