@@ -70,18 +70,20 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_bl
         near = (F.col("_lo") <= F.col("_p") + F.col("_reach") + slack) & (F.col("_hi") >= F.col("_p") - F.col("_reach") - slack)
         # At most 8192 block rows, so shipping them to every task is bounded.
         visits = reach.join(F.broadcast(spans), near & (F.col("_block") != F.col("_chunk")))
-        salts = max(1, -(-n // VISITORS_PER_GROUP))
-        visits = visits.select("_block", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_salt"), "_id", "_x")
-        members = points.select(
-            F.col("_chunk").alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"),
-            "_id", "_x")
+        # A block is repeated only as often as its own visitors need.
+        busy = visits.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / VISITORS_PER_GROUP).alias("_salts"))
+        busy = F.broadcast(cut_lineage(busy))
+        visits = visits.join(busy, "_block").select("_block", F.pmod(F.xxhash64("_id"), F.col("_salts")).alias("_salt"), "_id", "_x")
+        members = points.withColumnRenamed("_chunk", "_block").join(busy, "_block").select(
+            F.col("_block").alias("_mblock"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt"),
+            F.col("_id").alias("_mid"), F.col("_x").alias("_mx"))
 
         def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame({"_id": [], "neighbour": [], "distance": []})
-            return _closest(left["_id"].to_numpy(), _matrix(left["_x"]), right["_id"].to_numpy(), _matrix(right["_x"]), k)
+            return _closest(left["_id"].to_numpy(), _matrix(left["_x"]), right["_mid"].to_numpy(), _matrix(right["_mx"]), k)
 
-        second = visits.groupBy("_block", "_salt").cogroup(members.groupBy("_block", "_salt")).applyInPandas(across, _PAIRS)
+        second = visits.groupBy("_block", "_salt").cogroup(members.groupBy("_mblock", "_salt")).applyInPandas(across, _PAIRS)
         found = first.unionByName(second)
     closest = Window.partitionBy("_id").orderBy("distance", "neighbour")
     ranked = found.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)
