@@ -80,5 +80,5 @@ def test_one_value_fills_several_chunks(spark):
 
 
 def test_small_tables_stay_lazy(skewed, spark):
-    assert ordered.plan_chunks(spark.range(100), "id") is None
-    assert ordered.plan_chunks(skewed, "t", "event_id") is None
+    assert ordered.plan_chunks(spark.range(100), "id").plain
+    assert ordered.plan_chunks(skewed, "t", "event_id").plain

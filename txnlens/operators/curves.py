@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.functions.rowwise import log_grid_values
-from txnlens.operators.ordered import INF, prior
+from txnlens.operators.ordered import INF, Chunks, prior
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -23,7 +23,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def pr_counts(
     df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), weight: Column | None = None,
-    chunks: int | None = None,
+    chunks: Chunks = None,
 ) -> DataFrame:
     """Per distinct score, descending: own positives and negatives and cumulative ``tp`` and ``fp``."""
     w = F.lit(1).cast("long") if weight is None else weight
@@ -51,7 +51,7 @@ def with_totals(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.withColumns({c: totals.select(c).scalar() for c in ("n_pos", "n_neg")})
 
 
-def pr_curve(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+def pr_curve(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), chunks: Chunks = None) -> DataFrame:
     """Precision and recall at every distinct score."""
     c = with_totals(pr_counts(df, y, p, by, chunks=chunks), by)
     return c.select(
@@ -61,7 +61,7 @@ def pr_curve(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
     )
 
 
-def roc_curve(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+def roc_curve(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), chunks: Chunks = None) -> DataFrame:
     c = with_totals(pr_counts(df, y, p, by, chunks=chunks), by)
     return c.select(
         *by, "threshold", ratio(F.col("fp"), F.col("n_neg")).alias("fpr"), ratio(F.col("tp"), F.col("n_pos")).alias("tpr"))
@@ -74,7 +74,7 @@ def _ap(pos: Column, tp: Column, fp: Column) -> Column:
 
 def area_metrics(
     df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), weight: Column | None = None,
-    chunks: int | None = None,
+    chunks: Chunks = None,
 ) -> DataFrame:
     """``ap`` (step sum), ``auc`` (ties half), rows and positives per group; null where a class is missing."""
     c = pr_counts(df, y, p, by, weight, chunks)
@@ -89,12 +89,12 @@ def area_metrics(
 
 
 def average_precision(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), weight: Column | None = None,
-                      chunks: int | None = None) -> DataFrame:
+                      chunks: Chunks = None) -> DataFrame:
     c = pr_counts(df, y, p, by, weight, chunks)
     return c.groupBy(*by).agg(_ap(F.col("pos"), F.col("tp"), F.col("fp")).alias("ap"))
 
 
-def roc_auc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), chunks: Chunks = None) -> DataFrame:
     return area_metrics(df, y, p, by, chunks=chunks).select(*by, "auc")
 
 
@@ -204,7 +204,7 @@ def best_threshold(sweep: DataFrame, value: Column, by: Sequence[str] = ()) -> D
         F.max_by("threshold", F.struct("value", -F.col("threshold"))).alias("threshold"), F.max("value").alias("value"))
 
 
-def f1_threshold(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+def f1_threshold(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), chunks: Chunks = None) -> DataFrame:
     """The score with the best F1, the lowest on ties; 0.5 when no score has a positive F1."""
     c = pr_curve(df, y, p, by, chunks)
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
@@ -214,7 +214,7 @@ def f1_threshold(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] =
 
 
 def threshold_at_fpr(df: DataFrame, limit: float = 0.05, y: str = "y", p: str = "p", by: Sequence[str] = (),
-                     chunks: int | None = None) -> DataFrame:
+                     chunks: Chunks = None) -> DataFrame:
     """The lowest score whose false-positive rate stays within the limit, with its rates."""
     c = roc_curve(df, y, p, by, chunks).where(F.col("fpr") <= limit)
     point = F.struct("threshold", "fpr", "tpr")
@@ -222,7 +222,7 @@ def threshold_at_fpr(df: DataFrame, limit: float = 0.05, y: str = "y", p: str =
 
 
 def precision_at_recall(df: DataFrame, floors: Sequence[float], y: str = "y", p: str = "p", by: Sequence[str] = (),
-                        chunks: int | None = None) -> DataFrame:
+                        chunks: Chunks = None) -> DataFrame:
     """Per recall floor, the operating point with the largest threshold that still reaches it."""
     if any(not 0.0 <= f <= 1.0 for f in floors):
         raise ValueError("recall floors must lie in [0, 1]")
@@ -240,7 +240,7 @@ def precision_at_recall(df: DataFrame, floors: Sequence[float], y: str = "y", p:
 
 
 def overfit_gap(df: DataFrame, split: str = "split", y: str = "y", p: str = "p", warn: float = 0.10, fail: float = 0.15,
-                chunks: int | None = None) -> DataFrame:
+                chunks: Chunks = None) -> DataFrame:
     """Average precision on train against the other splits, with the two alarm levels."""
     ap = average_precision(df, y, p, [split], chunks=chunks)
     one = lambda s: F.max(F.when(F.col(split) == s, F.col("ap")))
@@ -252,7 +252,7 @@ def overfit_gap(df: DataFrame, split: str = "split", y: str = "y", p: str = "p",
 
 
 def slice_metrics(df: DataFrame, dims: Sequence[str], threshold: float, y: str = "y", p: str = "p", min_size: int = 30,
-                  chunks: int | None = None) -> DataFrame:
+                  chunks: Chunks = None) -> DataFrame:
     """Metrics of every slice of every dimension at one frozen threshold."""
     long = df.select(F.col(y).alias("y"), F.col(p).alias("p"), F.explode(F.array(*[
         F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("slice")) for d in dims])).alias("s"),
@@ -276,7 +276,7 @@ def unpivot_scores(df: DataFrame, keep: Sequence[str], scores: Sequence[str]) ->
         F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("p")) for s in scores])).alias("_s")).select(*keep, "_s.*")
 
 
-def compare_models(df: DataFrame, scores: Sequence[str], y: str = "y", chunks: int | None = None) -> DataFrame:
+def compare_models(df: DataFrame, scores: Sequence[str], y: str = "y", chunks: Chunks = None) -> DataFrame:
     """AP, AUC, best-F1 threshold and the metrics there, one row per model, best by AP marked."""
     long = unpivot_scores(df, [y], scores)
     c = with_totals(pr_counts(long, y, "p", ["model"], chunks=chunks), ["model"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnlens.functions import fixed
-from txnlens.operators.ordered import prior
+from txnlens.operators.ordered import Chunks, prior
 
 
 class EmptyWindowError(ValueError):
@@ -62,7 +62,7 @@ def _value_counts(reference: DataFrame, window: DataFrame, cols: Sequence[str],
 
 
 def numeric_drift(reference: DataFrame, window: DataFrame, cols: Sequence[str], options: DriftOptions = DriftOptions(),
-                  chunks: int | None = None) -> DataFrame:
+                  chunks: Chunks = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and the Wasserstein distance in reference deviations."""
     counts = _value_counts(reference, window, cols, "double")
     totals = counts.groupBy("column").agg(
@@ -120,7 +120,7 @@ def column_kinds(reference: DataFrame, cols: Sequence[str], options: DriftOption
 
 
 def column_drift(reference: DataFrame, window: DataFrame, cols: Sequence[str], options: DriftOptions = DriftOptions(),
-                 chunks: int | None = None) -> DataFrame:
+                 chunks: Chunks = None) -> DataFrame:
     """One row per compared column: test, statistic, cut, secondary statistic, drifted."""
     numeric, categorical = column_kinds(reference, cols, options)
     parts = []
@@ -135,7 +135,7 @@ def column_drift(reference: DataFrame, window: DataFrame, cols: Sequence[str], o
 
 
 def drift_report(reference: DataFrame, window: DataFrame, options: DriftOptions = DriftOptions(),
-                 chunks: int | None = None) -> DataFrame:
+                 chunks: Chunks = None) -> DataFrame:
     """The verdict row: drifted share, missing share, names and reasons."""
     usable = assert_window(reference, window)
     missing = sorted(set(reference.columns) - set(usable))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from txnlens.functions import fixed
 from txnlens.functions.rowwise import combo_hash
 from txnlens.operators.joins import apply_map
-from txnlens.operators.ordered import INF, global_rank, prior
+from txnlens.operators.ordered import INF, Chunks, global_rank, prior
 
 
 def frequency(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def combo_frequency(train: DataFrame, df: DataFrame, cols: Sequence[str], out: s
     return apply_frequency(combo_hash(df, cols, "_combo"), state, "_combo").drop("_combo")
 
 
-def fit_labels(df: DataFrame, col: str, chunks: int | None = None) -> DataFrame:
+def fit_labels(df: DataFrame, col: str, chunks: Chunks = None) -> DataFrame:
     """Codes by position in the sorted distinct values, with MISSING always among them.
 
     The first six bytes give a numeric key in the same order, so large vocabularies rank in chunks.
@@ -97,7 +97,7 @@ def impute(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     return df.withColumns(cols)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunks: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunks: Chunks = None) -> DataFrame:
     """``(prob, value)`` by linear interpolation between order statistics, exact at any size.
 
     Distinct values are counted first; each looks only at the probabilities whose ranks can fall on it.
@@ -127,7 +127,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunks: int
     return ends.select("prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
 
 
-def fit_quantile(df: DataFrame, col: str, q: float = 0.8, chunks: int | None = None) -> DataFrame:
+def fit_quantile(df: DataFrame, col: str, q: float = 0.8, chunks: Chunks = None) -> DataFrame:
     return exact_quantiles(df, col, [q], chunks).select(F.col("value").alias("cut"))
 
 
@@ -164,7 +164,7 @@ def with_inverse_normal(df: DataFrame, u: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col(u).isNotNull(), ends.otherwise(clipped))).drop("_q", "_s", "_r")
 
 
-def fit_normal_scores(df: DataFrame, col: str, n: int = 1000, chunks: int | None = None) -> list[float]:
+def fit_normal_scores(df: DataFrame, col: str, n: int = 1000, chunks: Chunks = None) -> list[float]:
     """The train quantiles of a column, at most ``n`` numbers."""
     rows = exact_quantiles(df, col, [i / (n - 1) for i in range(n)], chunks).orderBy("prob").collect()
     return [r["value"] for r in rows]

@@ -6,12 +6,14 @@ import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnlens.functions import fixed
 from txnlens.operators.business import Costs, optimal_threshold
 from txnlens.operators.curves import average_precision
+from txnlens.operators.ordered import Chunks
+from txnlens.session import ROWS_PER_CHUNK, rows_at_most
 
 Weights = dict[str, float]
 
@@ -68,14 +70,22 @@ def _distinct_scores(df: DataFrame, models: Sequence[str], y: str, weight: Colum
 
 
 def grid_ap(df: DataFrame, models: Sequence[str], grid: DataFrame, y: str = "y", by: Sequence[str] = (),
-            weight: Column | None = None, chunks: int | None = None) -> DataFrame:
+            weight: Column | None = None, chunks: Chunks = None) -> DataFrame:
     """Average precision at every grid point."""
     spark = df.sparkSession
     # Spread the tuples before each becomes one row per grid point; an explicit number is not coalesced again.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     tuples = _distinct_scores(df, models, y, weight, by).repartition(parts, *by, *models)
     scored = blended_points(tuples, models, grid, [*by, "y", "w"])
-    return average_precision(scored, "y", "p", [*by, "point"], F.col("w"), chunks)
+    if chunks is not None or not rows_at_most(df.select(*models), ROWS_PER_CHUNK)[0]:
+        return average_precision(scored, "y", "p", [*by, "point"], F.col("w"), chunks)
+    # Every point sees each tuple once, so small tables need no second grouping: ties share a RANGE frame.
+    hit = F.when(F.col("y") == 1, F.col("w")).otherwise(0)
+    down = Window.partitionBy(*by, "point").orderBy(F.desc("p"))
+    run = scored.select(
+        *by, "point", hit.alias("pos"), F.sum(hit).over(down).alias("tp"), F.sum("w").over(down).alias("flagged"))
+    total = F.sum("pos")
+    return run.groupBy(*by, "point").agg(F.when(total > 0, F.sum(F.col("pos") * F.col("tp") / F.col("flagged")) / total).alias("ap"))
 
 
 def _best_point(ap: DataFrame, grid: DataFrame, models: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -85,14 +95,14 @@ def _best_point(ap: DataFrame, grid: DataFrame, models: Sequence[str], by: Seque
 
 
 def search_coarse(df: DataFrame, models: Sequence[str], step: float = 0.02, y: str = "y",
-                  chunks: int | None = None) -> DataFrame:
+                  chunks: Chunks = None) -> DataFrame:
     """One row: the grid weights with the highest average precision, the first on ties."""
     grid = simplex_grid(df.sparkSession, models, step)
     return _best_point(grid_ap(df, models, grid, y, chunks=chunks), grid, models)
 
 
 def search_weights(df: DataFrame, models: Sequence[str], step: float = 0.02, refine: float = 0.002, y: str = "y",
-                   chunks: int | None = None) -> DataFrame:
+                   chunks: Chunks = None) -> DataFrame:
     """Coarse search, then a finer grid within one step around the winner; the better of the two.
 
     Only the one winning row comes to the driver between the passes.
@@ -126,7 +136,7 @@ def bootstrap_samples(df: DataFrame, models: Sequence[str], key: str, b: int = 5
 
 
 def bootstrap_weights(df: DataFrame, models: Sequence[str], key: str, b: int = 50, step: float = 0.05, y: str = "y",
-                      chunks: int | None = None) -> DataFrame:
+                      chunks: Chunks = None) -> DataFrame:
     """Mean, deviation and 5/95 percentiles of each model's best weight over the resamples."""
     grid = simplex_grid(df.sparkSession, models, step)
     rows = bootstrap_samples(df, models, key, b, y)
@@ -146,7 +156,7 @@ def min_lift_gate(with_third: DataFrame, without: DataFrame, lift: float = fixed
     return one.withColumns({"lift": gain, "keep": (gain >= lift).cast("int")})
 
 
-def weight_curve(df: DataFrame, a: str, b: str, n: int = 101, y: str = "y", chunks: int | None = None) -> DataFrame:
+def weight_curve(df: DataFrame, a: str, b: str, n: int = 101, y: str = "y", chunks: Chunks = None) -> DataFrame:
     """Average precision along the line between two models; ``weight`` is the share of ``a``."""
     grid = points_table(df.sparkSession, [a, b], [(w, 1.0 - w) for w in axis(0.0, 1.0, n - 1)])
     ap = grid_ap(df, [a, b], grid, y, chunks=chunks)
@@ -184,7 +194,7 @@ def score_with_fallback(df: DataFrame, full: Weights, fallback: Weights, t_full:
 
 
 def compare_ensembles(val: DataFrame, test: DataFrame, sets: dict[str, Sequence[str]], step: float = 0.05, y: str = "y",
-                      chunks: int | None = None) -> DataFrame:
+                      chunks: Chunks = None) -> DataFrame:
     """For each model set: weights found on validation, AP there and on test."""
     out = None
     for name, models in sets.items():

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.operators.ordered import history
+from txnlens.operators.ordered import Chunks, history
 from txnlens.session import cut_lineage
 
 MAX_EDGES = 50_000_000
@@ -41,7 +41,7 @@ def _eligible(spec: EdgeSpec) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def capped_edges(df: DataFrame, node: str, spec: EdgeSpec, chunks: int | None = None) -> DataFrame:
+def capped_edges(df: DataFrame, node: str, spec: EdgeSpec, chunks: Chunks = None) -> DataFrame:
     """``(src, dst, spec)`` with ``src < dst``: pairs at rank distance 1 to ``cap`` among rows sharing the key.
 
     For groups of up to ``cap + 1`` rows this is the complete graph; every row emits at most ``cap`` edges.
@@ -52,7 +52,7 @@ def capped_edges(df: DataFrame, node: str, spec: EdgeSpec, chunks: int | None =
     return linked.select(F.explode("_prev").alias("src"), F.col(node).alias("dst"), F.lit(spec.name).alias("spec"))
 
 
-def edges_from_specs(df: DataFrame, node: str, specs: Sequence[EdgeSpec], chunks: int | None = None) -> DataFrame:
+def edges_from_specs(df: DataFrame, node: str, specs: Sequence[EdgeSpec], chunks: Chunks = None) -> DataFrame:
     """Distinct undirected edges over several key sets."""
     parts = [capped_edges(df, node, s, chunks).select("src", "dst") for s in specs]
     return dedupe_pairs(reduce(DataFrame.unionByName, parts))

@@ -27,11 +27,16 @@ _FOLD = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
 class ChunkPlan:
-    """Boundaries that cut an ascending order key into chunks of similar row counts."""
+    """Boundaries that cut an ascending order key into chunks of similar row counts.
 
-    def __init__(self, splits: list[float], ties: dict[float, tuple[float, float, int]]):
+    ``plain`` says that the table is small and one task per group is enough. A plan may be passed on to
+    further calls over the same rows, so that the sizes are looked up once.
+    """
+
+    def __init__(self, splits: list[float], ties: dict[float, tuple[float, float, int]], plain: bool = False):
         self.splits = [-INF, *splits, INF]
         self.ties = ties
+        self.plain = plain
 
     def assign(self, df: DataFrame, value: Column, tie: Column | None) -> DataFrame:
         """Add ``_chunk``; it never decreases along (value, tie)."""
@@ -48,16 +53,21 @@ class ChunkPlan:
         return out.withColumn("_chunk", F.col("_b").cast("long") * MAX_CHUNKS + sub).drop("_v", "_b")
 
 
-def plan_chunks(df: DataFrame, value: str, tie: str | None = None, chunks: int | None = None) -> ChunkPlan | None:
-    """Choose chunk boundaries, or None when the table is small enough for one task per group.
+Chunks = int | ChunkPlan | None
+
+
+def plan_chunks(df: DataFrame, value: str, tie: str | None = None, chunks: Chunks = None) -> ChunkPlan:
+    """Choose chunk boundaries from the size of the table, or for a given number of chunks.
 
     A value that alone fills several chunks is cut further along ``tie`` when that is numeric.
     """
+    if isinstance(chunks, ChunkPlan):
+        return chunks
     narrow = df.select(F.col(value).cast("double").alias("_v"))
     if chunks is None:
         small, n = rows_at_most(narrow, ROWS_PER_CHUNK)
         if small:
-            return None
+            return ChunkPlan([], {}, plain=True)
         chunks = min(MAX_CHUNKS, max(2, -(-(n or 0) // (ROWS_PER_CHUNK // 2))))
     steps = [i / chunks for i in range(1, chunks)]
     quantiles = [q for q in narrow.approxQuantile("_v", steps, 1 / (4 * chunks))]
@@ -92,7 +102,7 @@ def _finish(name: str, kind: str, folded: Column) -> Column:
 
 
 def prior(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Measures, chunks: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Measures, chunks: Chunks = None
 ) -> DataFrame:
     """Aggregates over the strictly earlier rows of the same key.
 
@@ -101,7 +111,7 @@ def prior(
     """
     tie = order[1] if len(order) > 1 else None
     plan = plan_chunks(df, order[0], tie, chunks)
-    if plan is None:
+    if plan.plain:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({
             n: (F.count(F.lit(1)) if k == "count" else _FOLD[k](e)).over(w) for n, (k, e) in measures.items()
@@ -126,7 +136,7 @@ def _carry(base: DataFrame, measures: Measures) -> DataFrame:
 
 def before(
     df: DataFrame, keys: Sequence[str], ts: str, tie: str, measures: Measures, offsets: dict[str, int],
-    chunks: int | None = None,
+    chunks: Chunks = None,
 ) -> DataFrame:
     """Sums over the key's rows with ``ts < row.ts - offset``, one column ``{measure}_{offset}`` each.
 
@@ -135,7 +145,7 @@ def before(
     """
     plan = plan_chunks(df, ts, tie, chunks)
     names = {(m, o): f"{m}_{o}" for m in measures for o in offsets}
-    if plan is None:
+    if plan.plain:
         out = {}
         for (m, o), name in names.items():
             kind, expr = measures[m]
@@ -174,13 +184,13 @@ def before(
 
 def history(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, n: int, out: str,
-    include_current: bool = True, chunks: int | None = None,
+    include_current: bool = True, chunks: Chunks = None,
 ) -> DataFrame:
     """Array of ``item`` over the last ``n`` rows of the key, oldest first (current row included or not)."""
     tie = order[1] if len(order) > 1 else None
     frame = (-(n - 1), 0) if include_current else (-n, -1)
     plan = plan_chunks(df, order[0], tie, chunks)
-    if plan is None:
+    if plan.plain:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
         return df.withColumn(out, F.collect_list(item).over(w))
     base = plan.assign(df.withColumn("_item", item), F.col(order[0]), F.col(tie) if tie else None)
@@ -204,12 +214,12 @@ def history(
     return rows.withColumn(out, F.collect_list("_item").over(w)).where("_kind = 1").select(*df.columns, out)
 
 
-def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank", chunks: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank", chunks: Chunks = None) -> DataFrame:
     """Zero-based position of every row in the total order."""
     return prior(df, [], order, {out: ("count", F.lit(1))}, chunks)
 
 
-def rows_at(df: DataFrame, order: Sequence[str], positions: Sequence[int], chunks: int | None = None) -> list[Row]:
+def rows_at(df: DataFrame, order: Sequence[str], positions: Sequence[int], chunks: Chunks = None) -> list[Row]:
     """The rows at the given positions of the total order, None past the end, found without ranking the table.
 
     Chunk sizes tell which chunks hold the positions; only those are sorted. The driver sees one row per
@@ -218,7 +228,7 @@ def rows_at(df: DataFrame, order: Sequence[str], positions: Sequence[int], chunk
     narrow = df.select(*order)
     tie = order[1] if len(order) > 1 else None
     plan = plan_chunks(narrow, order[0], tie, chunks)
-    if plan is None:
+    if plan.plain:
         ranked = narrow.withColumn("_rank", F.row_number().over(Window.orderBy(*order)) - 1)
         found = {r["_rank"]: r for r in ranked.where(F.col("_rank").isin(list(positions))).collect()}
         return [found.get(p) for p in positions]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.operators.encoders import exact_quantiles
+from txnlens.operators.ordered import Chunks
 from txnlens.roles import MICROS, Roles
 
 
@@ -60,7 +61,7 @@ def missing_by_family(profile: DataFrame) -> DataFrame:
         F.sum((F.col("null_share") > 0.9).cast("int")).cast("long").alias("over_90"))
 
 
-def describe_by(df: DataFrame, group: str, col: str, values: Sequence[object], chunks: int | None = None) -> DataFrame:
+def describe_by(df: DataFrame, group: str, col: str, values: Sequence[object], chunks: Chunks = None) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of a column for each listed group."""
     basic = df.groupBy(group).agg(
         F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.operators.ordered import history
+from txnlens.operators.ordered import Chunks, history
 from txnlens.operators.windows import last_k
 from txnlens.roles import Roles
 
@@ -16,7 +16,7 @@ SEQUENCE_LENGTH = 10
 
 def build_sequences(
     df: DataFrame, features: Sequence[str], roles: Roles = Roles(), n: int = SEQUENCE_LENGTH,
-    max_rows: int | None = None, chunks: int | None = None,
+    max_rows: int | None = None, chunks: Chunks = None,
 ) -> DataFrame:
     """``seq`` (n vectors, zeros first) and ``mask`` (1 = real) from the last n rows including the row itself."""
     if max_rows is not None:
@@ -32,7 +32,7 @@ def build_sequences(
 
 def sequences_across(
     df: DataFrame, features: Sequence[str], split: str, wanted: str, roles: Roles = Roles(), n: int = SEQUENCE_LENGTH,
-    chunks: int | None = None,
+    chunks: Chunks = None,
 ) -> DataFrame:
     """Sequences of one split with history from the earlier ones.
 

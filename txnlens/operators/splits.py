@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from txnlens.functions.rowwise import unit_hash
-from txnlens.operators.ordered import rows_at
+from txnlens.operators.ordered import Chunks, rows_at
 from txnlens.roles import Roles
 
 
-def cut_rows(df: DataFrame, order: Sequence[str], shares: Sequence[float], chunks: int | None = None) -> list[Row | None]:
+def cut_rows(df: DataFrame, order: Sequence[str], shares: Sequence[float], chunks: Chunks = None) -> list[Row | None]:
     """The fitted boundaries: for each share the row at position ``int(n * share)``."""
     n = df.count()
     return rows_at(df, order, [int(n * share) for share in shares], chunks)
@@ -28,14 +28,14 @@ def at_or_after(order: Sequence[str], cut: Row | None) -> Column:
     return out
 
 
-def time_split(df: DataFrame, ratio: float = 0.8, roles: Roles = Roles(), chunks: int | None = None) -> DataFrame:
+def time_split(df: DataFrame, ratio: float = 0.8, roles: Roles = Roles(), chunks: Chunks = None) -> DataFrame:
     """``split`` = train for the first ``int(n * ratio)`` rows by time, else test."""
     (cut,) = cut_rows(df, roles.order, [ratio], chunks)
     return df.withColumn("split", F.when(at_or_after(roles.order, cut), "test").otherwise("train"))
 
 
 def time_split3(
-    df: DataFrame, train: float = 0.7, val: float = 0.1, roles: Roles = Roles(), chunks: int | None = None
+    df: DataFrame, train: float = 0.7, val: float = 0.1, roles: Roles = Roles(), chunks: Chunks = None
 ) -> DataFrame:
     """Train, validation and test by time. The second cut is ``int(n * (train + val))`` in floating point."""
     first, second = cut_rows(df, roles.order, [train, train + val], chunks)
@@ -43,7 +43,7 @@ def time_split3(
     return df.withColumn("split", F.when(late, "test").when(held_out, "val").otherwise("train"))
 
 
-def tail_fraction(df: DataFrame, share: float = 0.15, roles: Roles = Roles(), chunks: int | None = None) -> DataFrame:
+def tail_fraction(df: DataFrame, share: float = 0.15, roles: Roles = Roles(), chunks: Chunks = None) -> DataFrame:
     """Mark the last part by time as internal validation."""
     (cut,) = cut_rows(df, roles.order, [1 - share], chunks)
     return df.withColumn("is_tail", at_or_after(roles.order, cut).cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.functions import fixed
-from txnlens.operators.ordered import before, global_rank, prior
+from txnlens.operators.ordered import Chunks, before, global_rank, plan_chunks, prior
 from txnlens.roles import MICROS, Roles
 
 
@@ -34,7 +34,7 @@ def expanding_columns(roles: Roles, n: Column, total: Column, squares: Column, l
 _STATS = ["_n", "_s", "_q", "_mx", "_last"]
 
 
-def _with_running_stats(df: DataFrame, roles: Roles, carried: DataFrame | None, chunks: int | None) -> DataFrame:
+def _with_running_stats(df: DataFrame, roles: Roles, carried: DataFrame | None, chunks: Chunks) -> DataFrame:
     x = F.col(roles.amount).cast("double")
     out = prior(df, [roles.entity], roles.order, {
         "_n": ("count", F.lit(1)), "_s": ("sum", x), "_q": ("sum", x * x),
@@ -59,7 +59,7 @@ def with_carried(df: DataFrame, state: DataFrame, key: str) -> DataFrame:
 
 
 def entity_expanding(
-    df: DataFrame, roles: Roles = Roles(), carried: DataFrame | None = None, chunks: int | None = None
+    df: DataFrame, roles: Roles = Roles(), carried: DataFrame | None = None, chunks: Chunks = None
 ) -> DataFrame:
     """Count, sum, mean, max, deviation, ratio and z-score against the entity's earlier rows."""
     out = _with_running_stats(df, roles, carried, chunks)
@@ -74,7 +74,7 @@ def gap_columns(ts: Column, last: Column) -> dict[str, Column]:
 
 
 def time_since_last(
-    df: DataFrame, roles: Roles = Roles(), carried: DataFrame | None = None, chunks: int | None = None
+    df: DataFrame, roles: Roles = Roles(), carried: DataFrame | None = None, chunks: Chunks = None
 ) -> DataFrame:
     out = prior(df, [roles.entity], roles.order, {"_last": ("max", F.col(roles.ts))}, chunks)
     last = F.col("_last")
@@ -84,69 +84,83 @@ def time_since_last(
     return out.withColumns(gap_columns(F.col(roles.ts), last)).drop("_last", "c_last_ts")
 
 
-def _trailing(df: DataFrame, roles: Roles, spans_s: dict[str, int], sums: Sequence[str], chunks: int | None) -> DataFrame:
-    """Columns ``_wn_<span>`` and ``_ws_<span>``: rows and amount inside each trailing span."""
-    x = F.col(roles.amount).cast("double")
+def _trailing(df: DataFrame, roles: Roles, spans_s: dict[str, int], with_sum: bool, n: str, total: str,
+              chunks: Chunks) -> DataFrame:
+    """Columns ``_wn_<span>`` and ``_ws_<span>``: rows and amount inside each trailing span.
+
+    The span's content is what the running count and sum had reached before the row, less what they had
+    reached before the span began.
+    """
+    measures = {"_bn": ("count", F.lit(1))} | ({"_bs": ("sum", F.col(roles.amount).cast("double"))} if with_sum else {})
     micros = {name: s * MICROS for name, s in spans_s.items()}
-    keys = [roles.entity]
-    df = prior(df, keys, roles.order, {"_pn": ("count", F.lit(1)), **({"_ps": ("sum", x)} if sums else {})}, chunks)
-    df = before(df, keys, roles.ts, roles.id, {"_bn": ("count", F.lit(1))}, micros, chunks)
-    out = {f"_wn_{s}": F.col("_pn") - F.col(f"_bn_{s}") for s in micros}
-    if sums:
-        df = before(df, keys, roles.ts, roles.id, {"_bs": ("sum", x)}, {s: micros[s] for s in sums}, chunks)
-        out |= {f"_ws_{s}": F.coalesce("_ps", F.lit(0.0)) - F.col(f"_bs_{s}") for s in sums}
-    helpers = ["_pn", "_ps", *[f"_bn_{s}" for s in micros], *[f"_bs_{s}" for s in sums]]
-    return df.withColumns(out).drop(*helpers)
+    df = before(df, [roles.entity], roles.ts, roles.id, measures, micros, chunks)
+    out = {f"_wn_{s}": F.col(n) - F.col(f"_bn_{s}") for s in micros}
+    if with_sum:
+        out |= {f"_ws_{s}": F.coalesce(total, F.lit(0.0)) - F.col(f"_bs_{s}") for s in micros}
+    return df.withColumns(out).drop(*[f"{m}_{s}" for m in measures for s in micros])
+
+
+def _running(df: DataFrame, roles: Roles, with_sum: bool, chunks: Chunks) -> DataFrame:
+    total = {"_ps": ("sum", F.col(roles.amount).cast("double"))} if with_sum else {}
+    return prior(df, [roles.entity], roles.order, {"_pn": ("count", F.lit(1)), **total}, chunks)
 
 
 def trailing_counts(
     df: DataFrame, roles: Roles = Roles(), spans_s: dict[str, int] = fixed.TRAILING_SPANS_S,
-    strict: bool = False, chunks: int | None = None,
+    strict: bool = False, chunks: Chunks = None,
 ) -> DataFrame:
     """Earlier rows of the entity with ``ts >= t - span``; ``strict`` leaves out rows at ``t`` itself."""
-    out = _trailing(df, roles, spans_s, [], chunks)
+    chunks = plan_chunks(df, roles.ts, roles.id, chunks)
+    out = _trailing(_running(df, roles, False, chunks), roles, spans_s, False, "_pn", "_ps", chunks)
     if strict:
-        out = prior(out, [roles.entity, roles.ts], [roles.id], {"_same": ("count", F.lit(1))}, chunks)
+        out = prior(out, [roles.entity, roles.ts], [roles.id], {"_same": ("count", F.lit(1))})
     ties = F.col("_same") if strict else F.lit(0)
     return out.withColumns({f"tx_count_{s}": F.col(f"_wn_{s}") - ties for s in spans_s}).drop(
-        "_same", *[f"_wn_{s}" for s in spans_s])
+        "_same", "_pn", *[f"_wn_{s}" for s in spans_s])
 
 
 def trailing_mean(
-    df: DataFrame, roles: Roles = Roles(), span: str = "24h", span_s: int = 86_400, chunks: int | None = None
+    df: DataFrame, roles: Roles = Roles(), span: str = "24h", span_s: int = 86_400, chunks: Chunks = None
 ) -> DataFrame:
     """Mean amount of the entity's rows inside the trailing span, 0 without any."""
-    out = _trailing(df, roles, {span: span_s}, [span], chunks)
+    chunks = plan_chunks(df, roles.ts, roles.id, chunks)
+    out = _trailing(_running(df, roles, True, chunks), roles, {span: span_s}, True, "_pn", "_ps", chunks)
     mean = F.when(F.col(f"_wn_{span}") > 0, F.col(f"_ws_{span}") / F.col(f"_wn_{span}")).otherwise(0.0)
-    return out.withColumn(f"amt_{span}_mean", mean).drop(f"_wn_{span}", f"_ws_{span}")
+    return out.withColumn(f"amt_{span}_mean", mean).drop("_pn", "_ps", f"_wn_{span}", f"_ws_{span}")
 
 
 def ratio_of_means(short: Column, long: Column) -> Column:
     return F.when((short > 0) & (long > 0), short / long).otherwise(1.0)
 
 
-def short_long_ratio(df: DataFrame, roles: Roles = Roles(), chunks: int | None = None) -> DataFrame:
+def short_long_ratio(df: DataFrame, roles: Roles = Roles(), chunks: Chunks = None) -> DataFrame:
     """Trailing-day mean against the lifetime mean of the entity."""
+    chunks = plan_chunks(df, roles.ts, roles.id, chunks)
     out = entity_expanding(trailing_mean(df, roles, chunks=chunks), roles, chunks=chunks)
     return out.withColumn("amt_24h_vs_mean_ratio", ratio_of_means(F.col("amt_24h_mean"), F.col("mean_amount")))
 
 
 def velocity_features(
-    df: DataFrame, roles: Roles = Roles(), carried: DataFrame | None = None, chunks: int | None = None
+    df: DataFrame, roles: Roles = Roles(), carried: DataFrame | None = None, chunks: Chunks = None
 ) -> DataFrame:
     """All per-entity features in one pass: expanding, gap, trailing counts, trailing mean and ratio."""
-    day = "24h"
+    day, spans = "24h", fixed.TRAILING_SPANS_S
+    chunks = plan_chunks(df, roles.ts, roles.id, chunks)
     out = _with_running_stats(df, roles, carried, chunks)
+    if carried is None:
+        # The running count and sum serve the trailing windows too.
+        out = _trailing(out, roles, spans, True, "_n", "_s", chunks)
+    else:
+        out = _trailing(_running(out, roles, True, chunks), roles, spans, True, "_pn", "_ps", chunks).drop("_pn", "_ps")
     out = out.withColumns({
         **expanding_columns(roles, *[F.col(c) for c in _STATS[:4]]),
         **gap_columns(F.col(roles.ts), F.col("_last")),
     }).drop(*_STATS)
-    out = _trailing(out, roles, fixed.TRAILING_SPANS_S, [day], chunks)
-    out = out.withColumns({f"tx_count_{s}": F.col(f"_wn_{s}") for s in fixed.TRAILING_SPANS_S})
+    out = out.withColumns({f"tx_count_{s}": F.col(f"_wn_{s}") for s in spans})
     mean = F.when(F.col(f"_wn_{day}") > 0, F.col(f"_ws_{day}") / F.col(f"_wn_{day}")).otherwise(0.0)
     out = out.withColumn("amt_24h_mean", mean)
     out = out.withColumn("amt_24h_vs_mean_ratio", ratio_of_means(F.col("amt_24h_mean"), F.col("mean_amount")))
-    return out.drop(f"_ws_{day}", *[f"_wn_{s}" for s in fixed.TRAILING_SPANS_S])
+    return out.drop(*[f"_w{m}_{s}" for m in "ns" for s in spans])
 
 
 def smoothed(hits: Column, n: Column, prior_rate: Column, weight: float) -> Column:
@@ -155,9 +169,10 @@ def smoothed(hits: Column, n: Column, prior_rate: Column, weight: float) -> Colu
 
 def target_encode(
     df: DataFrame, keys: Sequence[str], prior_rate: Column, roles: Roles = Roles(),
-    weight: float = fixed.TARGET_PRIOR_WEIGHT, chunks: int | None = None,
+    weight: float = fixed.TARGET_PRIOR_WEIGHT, chunks: Chunks = None,
 ) -> DataFrame:
     """Smoothed label rate of each key's strictly earlier rows; a null key is a group."""
+    chunks = plan_chunks(df, roles.ts, roles.id, chunks)
     for key in keys:
         df = prior(df, [key], roles.order, {"_n": ("count", F.lit(1)), "_y": ("sum", F.col(roles.label))}, chunks)
         df = df.withColumn(f"{key}_target_enc", smoothed(F.col("_y"), F.col("_n"), prior_rate, weight)).drop("_n", "_y")
@@ -166,9 +181,10 @@ def target_encode(
 
 def target_encode_lagged(
     df: DataFrame, keys: Sequence[str], prior_rate: Column, lag_s: int, roles: Roles = Roles(),
-    weight: float = fixed.TARGET_PRIOR_WEIGHT, chunks: int | None = None,
+    weight: float = fixed.TARGET_PRIOR_WEIGHT, chunks: Chunks = None,
 ) -> DataFrame:
     """As ``target_encode`` but a label counts only once it is ``lag_s`` old."""
+    chunks = plan_chunks(df, roles.ts, roles.id, chunks)
     for key in keys:
         df = before(
             df, [key], roles.ts, roles.id, {"_n": ("count", F.lit(1)), "_y": ("sum", F.col(roles.label))},
@@ -181,7 +197,7 @@ def target_encode_lagged(
 
 def arrival_flags(
     df: DataFrame, arrival: Sequence[str], roles: Roles = Roles(), max_backdate_s: int = fixed.MAX_BACKDATE_S,
-    chunks: int | None = None,
+    chunks: Chunks = None,
 ) -> DataFrame:
     """Flags in arrival order: behind the entity's newest row, and too far behind it to be accepted."""
     out = prior(df, [roles.entity], arrival, {"_seen": ("max", F.col(roles.ts))}, chunks)
@@ -198,7 +214,7 @@ def last_k(df: DataFrame, k: int, roles: Roles = Roles()) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def quantile_bucket(df: DataFrame, col: str, k: int, order: Sequence[str], out: str, chunks: int | None = None) -> DataFrame:
+def quantile_bucket(df: DataFrame, col: str, k: int, order: Sequence[str], out: str, chunks: Chunks = None) -> DataFrame:
     """Equal-count buckets of a column, ties ranked by ``order``."""
     if k < 2:
         raise ValueError("k must be at least 2")

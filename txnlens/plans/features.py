@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions import fixed, rowwise
 from txnlens.operators import encoders, windows
+from txnlens.operators.ordered import Chunks
 from txnlens.operators.splits import time_split3
 from txnlens.roles import Roles
 
@@ -23,7 +24,7 @@ def apply_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
 
 def causal_steps(roles: Roles, domains: tuple[str, str], deltas: Sequence[str], counts: Sequence[str],
-                 presence: dict[str, str], chunks: int | None = None) -> list[Step]:
+                 presence: dict[str, str], chunks: Chunks = None) -> list[Step]:
     """Features without fitted state; all per-entity ones share one shuffle and one sort."""
     return [
         lambda df: rowwise.temporal_features(df, roles.ts),
@@ -39,7 +40,7 @@ def causal_steps(roles: Roles, domains: tuple[str, str], deltas: Sequence[str],
 
 def features_full(df: DataFrame, roles: Roles, combo: Sequence[str], uid: Callable[[DataFrame], DataFrame], age: str,
                   scope: str, target_keys: Sequence[str], label_cols: Sequence[str], raw_cols: Sequence[str],
-                  steps: Sequence[Step], lag_s: int, chunks: int | None = None) -> DataFrame:
+                  steps: Sequence[Step], lag_s: int, chunks: Chunks = None) -> DataFrame:
     """Null counts, split, causal features, then every fitted encoder: fit on train rows, applied to all.
 
     Target encoding is one pass over the whole ordered table, so later splits continue from earlier ones and

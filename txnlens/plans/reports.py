@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from txnlens.operators.business import Costs, optimal_threshold
 from txnlens.operators.curves import pr_counts, ratio, with_totals
 from txnlens.operators.ensemble import Weights, blend
+from txnlens.operators.ordered import Chunks
 
 PRECISION_BAND, RECALL_BAND = 0.30, 0.80
 RECALL_FLOORS = (0.7, 0.8, 0.9)
@@ -18,7 +19,7 @@ def score_export(df: DataFrame, weights: Weights) -> DataFrame:
     return df.where(F.col("split") != "train").withColumn("blended", blend(weights))
 
 
-def eval_battery(val: DataFrame, test: DataFrame, deployed: float, costs: Costs = Costs(), chunks: int | None = None) -> DataFrame:
+def eval_battery(val: DataFrame, test: DataFrame, deployed: float, costs: Costs = Costs(), chunks: Chunks = None) -> DataFrame:
     """One row of everything reported about a score: areas, precision at recall floors, confusion and value at the
     deployed threshold and at the one re-derived on validation, and the target-band verdict.
 
