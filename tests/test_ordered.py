@@ -82,3 +82,18 @@ def test_one_value_fills_several_chunks(spark):
 def test_small_tables_stay_lazy(skewed, spark):
     assert ordered.plan_chunks(spark.range(100), "id").plain
     assert ordered.plan_chunks(skewed, "t", "event_id").plain
+
+
+def test_only_hot_groups_are_cut(skewed, monkeypatch):
+    """With a low size limit the hot entity takes the chunked form and the others the plain one."""
+    from txnlens import session
+    from txnlens.operators import windows
+
+    cols = ["tx_count", "tx_sum", "tx_count_10min", "tx_count_24h", "amt_24h_mean", "since_last", "max_amount"]
+    plain = {r["event_id"]: [r[c] for c in cols] for r in windows.velocity_features(skewed).collect()}
+    monkeypatch.setattr(session, "ROWS_PER_CHUNK", 300)
+    scopes = []
+    ordered.by_heat(skewed, ["user_id"], ["t", "event_id"], lambda d, p: (scopes.append((p.scope, d.count())), d)[1])
+    assert sorted(s for s, _ in scopes) == ["all", "plain"] and sum(n for _, n in scopes) == 1200
+    mixed = {r["event_id"]: [r[c] for c in cols] for r in windows.velocity_features(skewed).collect()}
+    assert mixed == plain

@@ -6,20 +6,23 @@ bounded: the order key is cut into chunks at approximate quantiles of the whole
 (group, chunk) pair never holds more than one chunk of rows, and each chunk is started from a
 carry computed out of per-chunk subtotals (small) or the few rows right before it.
 
-Tables below ``ROWS_PER_CHUNK`` rows take the plain window form; the size is checked first.
+Sizes are checked first. Tables below ``ROWS_PER_CHUNK`` rows take the plain window form, and so do
+the groups below that size in larger tables; only the hot groups are cut.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlens.session import MAX_CHUNKS, ROWS_PER_CHUNK, rows_at_most
+from txnlens import session
+from txnlens.session import MAX_CHUNKS, rows_at_most
 
 INF = float("inf")
 Measures = dict[str, tuple[str, Column]]
@@ -29,14 +32,23 @@ _FOLD = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 class ChunkPlan:
     """Boundaries that cut an ascending order key into chunks of similar row counts.
 
-    ``plain`` says that the table is small and one task per group is enough. A plan may be passed on to
-    further calls over the same rows, so that the sizes are looked up once.
+    ``scope`` says which groups are cut: none (``plain``), those above the size limit (``hot``), or ``all``.
+    A plan may be passed on to further calls over the same rows, so that the sizes are looked up once.
     """
 
-    def __init__(self, splits: list[float], ties: dict[float, tuple[float, float, int]], plain: bool = False):
+    def __init__(self, splits: list[float], ties: dict[float, tuple[float, float, int]], scope: str = "all"):
         self.splits = [-INF, *splits, INF]
         self.ties = ties
-        self.plain = plain
+        self.scope = scope
+
+    @property
+    def plain(self) -> bool:
+        return self.scope == "plain"
+
+    def for_all(self) -> ChunkPlan:
+        out = ChunkPlan([], self.ties)
+        out.splits = self.splits
+        return out
 
     def assign(self, df: DataFrame, value: Column, tie: Column | None) -> DataFrame:
         """Add ``_chunk``; it never decreases along (value, tie)."""
@@ -64,11 +76,12 @@ def plan_chunks(df: DataFrame, value: str, tie: str | None = None, chunks: Chunk
     if isinstance(chunks, ChunkPlan):
         return chunks
     narrow = df.select(F.col(value).cast("double").alias("_v"))
+    scope = "all" if chunks else "hot"
     if chunks is None:
-        small, n = rows_at_most(narrow, ROWS_PER_CHUNK)
+        small, n = rows_at_most(narrow, session.ROWS_PER_CHUNK)
         if small:
-            return ChunkPlan([], {}, plain=True)
-        chunks = min(MAX_CHUNKS, max(2, -(-(n or 0) // (ROWS_PER_CHUNK // 2))))
+            return ChunkPlan([], {}, "plain")
+        chunks = min(MAX_CHUNKS, max(2, -(-(n or 0) // (session.ROWS_PER_CHUNK // 2))))
     steps = [i / chunks for i in range(1, chunks)]
     quantiles = [q for q in narrow.approxQuantile("_v", steps, 1 / (4 * chunks))]
     ties: dict[float, tuple[float, float, int]] = {}
@@ -85,7 +98,37 @@ def plan_chunks(df: DataFrame, value: str, tie: str | None = None, chunks: Chunk
             ties = {r["_v"]: (r["lo"], r["hi"], hot[r["_v"]]) for r in spans.collect()}
     # A split right after a tied value keeps larger values out of its parts.
     after = {math.nextafter(v, INF) for v in ties}
-    return ChunkPlan(sorted({*quantiles, *after}), ties)
+    return ChunkPlan(sorted({*quantiles, *after}), ties, scope)
+
+
+# Hot groups that are named in a filter; with more of them all groups are cut.
+MAX_HOT = 200
+
+
+def by_heat(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], run: Callable[[DataFrame, ChunkPlan], DataFrame],
+    chunks: Chunks = None,
+) -> DataFrame:
+    """Apply ``run`` with the plain form to ordinary groups and with the chunked form to hot ones.
+
+    One count per key finds the groups above ``ROWS_PER_CHUNK`` rows; at most ``MAX_HOT`` + 1 of them reach
+    the driver.
+    """
+    plan = plan_chunks(df, order[0], order[1] if len(order) > 1 else None, chunks)
+    if plan.scope != "hot":
+        return run(df, plan)
+    if not keys:
+        return run(df, plan.for_all())
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > session.ROWS_PER_CHUNK)
+    hot = sizes.select(*keys).limit(MAX_HOT + 1).collect()
+    if not hot:
+        return run(df, ChunkPlan([], {}, "plain"))
+    if len(hot) > MAX_HOT:
+        return run(df, plan.for_all())
+    types = {f.name: f.dataType for f in df.schema.fields}
+    named = [reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(row[k]).cast(types[k])) for k in keys]) for row in hot]
+    is_hot = reduce(Column.__or__, named)
+    return run(df.where(~is_hot), ChunkPlan([], {}, "plain")).unionByName(run(df.where(is_hot), plan.for_all()))
 
 
 def _key(keys: Sequence[str]) -> Column:
@@ -109,8 +152,11 @@ def prior(
     ``order`` is ascending and total; its first column is numeric. ``measures`` maps an output name to
     ``(sum|count|max|min, expression)``.
     """
+    return by_heat(df, keys, order, lambda d, plan: _prior(d, keys, order, measures, plan), chunks)
+
+
+def _prior(df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Measures, plan: ChunkPlan) -> DataFrame:
     tie = order[1] if len(order) > 1 else None
-    plan = plan_chunks(df, order[0], tie, chunks)
     if plan.plain:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({
@@ -143,7 +189,12 @@ def before(
     In the chunked form each row sends a probe to the chunk that holds ``ts - offset``; probes are
     answered there by the running sum and brought back by ``tie``, which must be unique.
     """
-    plan = plan_chunks(df, ts, tie, chunks)
+    return by_heat(df, keys, [ts, tie], lambda d, plan: _before(d, keys, ts, tie, measures, offsets, plan), chunks)
+
+
+def _before(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, measures: Measures, offsets: dict[str, int], plan: ChunkPlan,
+) -> DataFrame:
     names = {(m, o): f"{m}_{o}" for m in measures for o in offsets}
     if plan.plain:
         out = {}
@@ -187,9 +238,15 @@ def history(
     include_current: bool = True, chunks: Chunks = None,
 ) -> DataFrame:
     """Array of ``item`` over the last ``n`` rows of the key, oldest first (current row included or not)."""
-    tie = order[1] if len(order) > 1 else None
     frame = (-(n - 1), 0) if include_current else (-n, -1)
-    plan = plan_chunks(df, order[0], tie, chunks)
+    return by_heat(df, keys, order, lambda d, plan: _history(d, keys, order, item, n, out, frame, plan), chunks)
+
+
+def _history(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, n: int, out: str, frame: tuple[int, int],
+    plan: ChunkPlan,
+) -> DataFrame:
+    tie = order[1] if len(order) > 1 else None
     if plan.plain:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
         return df.withColumn(out, F.collect_list(item).over(w))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.functions import fixed
-from txnlens.operators.ordered import Chunks, before, global_rank, plan_chunks, prior
+from txnlens.operators.ordered import Chunks, before, by_heat, global_rank, plan_chunks, prior
 from txnlens.roles import MICROS, Roles
 
 
@@ -110,23 +110,28 @@ def trailing_counts(
     strict: bool = False, chunks: Chunks = None,
 ) -> DataFrame:
     """Earlier rows of the entity with ``ts >= t - span``; ``strict`` leaves out rows at ``t`` itself."""
-    chunks = plan_chunks(df, roles.ts, roles.id, chunks)
-    out = _trailing(_running(df, roles, False, chunks), roles, spans_s, False, "_pn", "_ps", chunks)
-    if strict:
-        out = prior(out, [roles.entity, roles.ts], [roles.id], {"_same": ("count", F.lit(1))})
-    ties = F.col("_same") if strict else F.lit(0)
-    return out.withColumns({f"tx_count_{s}": F.col(f"_wn_{s}") - ties for s in spans_s}).drop(
-        "_same", "_pn", *[f"_wn_{s}" for s in spans_s])
+    def run(d: DataFrame, plan: Chunks) -> DataFrame:
+        out = _trailing(_running(d, roles, False, plan), roles, spans_s, False, "_pn", "_ps", plan)
+        return out.withColumns({f"tx_count_{s}": F.col(f"_wn_{s}") for s in spans_s}).drop(
+            "_pn", *[f"_wn_{s}" for s in spans_s])
+
+    out = by_heat(df, [roles.entity], roles.order, run, chunks)
+    if not strict:
+        return out
+    same = prior(out, [roles.entity, roles.ts], [roles.id], {"_same": ("count", F.lit(1))})
+    return same.withColumns({f"tx_count_{s}": F.col(f"tx_count_{s}") - F.col("_same") for s in spans_s}).drop("_same")
 
 
 def trailing_mean(
     df: DataFrame, roles: Roles = Roles(), span: str = "24h", span_s: int = 86_400, chunks: Chunks = None
 ) -> DataFrame:
     """Mean amount of the entity's rows inside the trailing span, 0 without any."""
-    chunks = plan_chunks(df, roles.ts, roles.id, chunks)
-    out = _trailing(_running(df, roles, True, chunks), roles, {span: span_s}, True, "_pn", "_ps", chunks)
-    mean = F.when(F.col(f"_wn_{span}") > 0, F.col(f"_ws_{span}") / F.col(f"_wn_{span}")).otherwise(0.0)
-    return out.withColumn(f"amt_{span}_mean", mean).drop("_pn", "_ps", f"_wn_{span}", f"_ws_{span}")
+    def run(d: DataFrame, plan: Chunks) -> DataFrame:
+        out = _trailing(_running(d, roles, True, plan), roles, {span: span_s}, True, "_pn", "_ps", plan)
+        mean = F.when(F.col(f"_wn_{span}") > 0, F.col(f"_ws_{span}") / F.col(f"_wn_{span}")).otherwise(0.0)
+        return out.withColumn(f"amt_{span}_mean", mean).drop("_pn", "_ps", f"_wn_{span}", f"_ws_{span}")
+
+    return by_heat(df, [roles.entity], roles.order, run, chunks)
 
 
 def ratio_of_means(short: Column, long: Column) -> Column:
@@ -135,8 +140,8 @@ def ratio_of_means(short: Column, long: Column) -> Column:
 
 def short_long_ratio(df: DataFrame, roles: Roles = Roles(), chunks: Chunks = None) -> DataFrame:
     """Trailing-day mean against the lifetime mean of the entity."""
-    chunks = plan_chunks(df, roles.ts, roles.id, chunks)
-    out = entity_expanding(trailing_mean(df, roles, chunks=chunks), roles, chunks=chunks)
+    out = by_heat(df, [roles.entity], roles.order, lambda d, plan: entity_expanding(
+        trailing_mean(d, roles, chunks=plan), roles, chunks=plan), chunks)
     return out.withColumn("amt_24h_vs_mean_ratio", ratio_of_means(F.col("amt_24h_mean"), F.col("mean_amount")))
 
 
@@ -144,8 +149,11 @@ def velocity_features(
     df: DataFrame, roles: Roles = Roles(), carried: DataFrame | None = None, chunks: Chunks = None
 ) -> DataFrame:
     """All per-entity features in one pass: expanding, gap, trailing counts, trailing mean and ratio."""
+    return by_heat(df, [roles.entity], roles.order, lambda d, plan: _velocity(d, roles, carried, plan), chunks)
+
+
+def _velocity(df: DataFrame, roles: Roles, carried: DataFrame | None, chunks: Chunks) -> DataFrame:
     day, spans = "24h", fixed.TRAILING_SPANS_S
-    chunks = plan_chunks(df, roles.ts, roles.id, chunks)
     out = _with_running_stats(df, roles, carried, chunks)
     if carried is None:
         # The running count and sum serve the trailing windows too.
