@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,19 @@ def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])).alias("x")).select("x.*")
 
 
+def corr_block(df: DataFrame, vector: str) -> DataFrame:
+    """Pearson correlation of every column pair of a wide numeric block, nulls as zero.
+
+    One distributed pass builds the d x d matrix (339 columns: 115 thousand numbers), whose size does not
+    depend on the rows.
+    """
+    block = df.select(array_to_vector(F.transform(F.col(vector), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))).alias("v"))
+    matrix = Correlation.corr(block, "v").first()[0].toArray()
+    d = matrix.shape[0]
+    rows = [(i, j, float(matrix[i, j])) for i in range(d) for j in range(i + 1, d)]
+    return df.sparkSession.createDataFrame(rows, "a int, b int, corr double")
+
+
 def redundant_share(pairs: DataFrame, cut: float = 0.8) -> DataFrame:
     high = (F.abs("corr") > cut).cast("int")
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.sum(high).cast("long").alias("redundant"), F.avg(high).alias("share"))

@@ -129,12 +129,12 @@ def _(spark, d):
     return rounded(profiles.corr_pairs(events(spark, d), COLS), corr=8)
 
 
-@query("corr_pairs_embedding", "WITH u AS (" + " UNION ALL ".join(
-    f"SELECT {a} AS a, {b} AS b, abs(corr(embedding[{a}], embedding[{b}])) AS r FROM embeddings" for a in range(1, 17) for b in range(a + 1, 17))
-    + f") SELECT count(*) AS pairs, count(*) FILTER (r > 0.1) AS redundant, {sq('avg(CAST(r > 0.1 AS INTEGER))', 8)} AS share FROM u")
+@query("corr_pairs_embedding", f"""WITH l AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+u AS (SELECT a.i, b.i AS j, abs(corr(a.v, b.v)) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2)
+SELECT count(*) AS pairs, count(*) FILTER (r > 0.1) AS redundant, {sq("avg(CAST(r > 0.1 AS INTEGER))", 8)} AS share FROM u""")
 def _(spark, d):
-    v = read_table(spark, d, "embeddings").select(*[F.get("embedding", F.lit(i)).alias(f"v{i}") for i in range(16)])
-    return rounded(profiles.redundant_share(profiles.corr_pairs(v, [f"v{i}" for i in range(16)]), 0.1), share=8)
+    pairs = profiles.corr_block(read_table(spark, d, "embeddings"), "embedding")
+    return rounded(profiles.redundant_share(pairs, 0.1), share=8)
 
 
 @query("op_counters", f"""WITH {EV}, a AS (SELECT *, t + k * 3600000000 AS arrival, row_number() OVER (PARTITION BY user_id, event_type, value ORDER BY t, event_id) AS rep,
