@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.functions import array_to_vector
@@ -27,6 +28,13 @@ def entity_state(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
         F.max(roles.ts).alias("last_ts"))
 
 
+def merged_state(parts: Sequence[DataFrame], roles: Roles = Roles()) -> DataFrame:
+    """One state table from those of consecutive tables."""
+    return reduce(DataFrame.unionByName, parts).groupBy(roles.entity).agg(
+        F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.sum("sum_sq").alias("sum_sq"), F.max("max").alias("max"),
+        F.max("last_ts").alias("last_ts"))
+
+
 def entity_recent(df: DataFrame, span_s: int = 86_400, roles: Roles = Roles()) -> DataFrame:
     """Rows within the span of their entity's newest row, in long form so that no entity becomes one cell."""
     newest = df.groupBy(roles.entity).agg(F.max(roles.ts).alias("_newest"))

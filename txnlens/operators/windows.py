@@ -146,20 +146,30 @@ def short_long_ratio(df: DataFrame, roles: Roles = Roles(), chunks: Chunks = Non
 
 
 def velocity_features(
-    df: DataFrame, roles: Roles = Roles(), carried: DataFrame | None = None, chunks: Chunks = None
+    df: DataFrame, roles: Roles = Roles(), carried: DataFrame | None = None, recent: DataFrame | None = None,
+    chunks: Chunks = None,
 ) -> DataFrame:
-    """All per-entity features in one pass: expanding, gap, trailing counts, trailing mean and ratio."""
-    return by_heat(df, [roles.entity], roles.order, lambda d, plan: _velocity(d, roles, carried, plan), chunks)
+    """All per-entity features in one pass: expanding, gap, trailing counts, trailing mean and ratio.
+
+    To continue an earlier table, ``carried`` holds its ``entity_state`` and ``recent`` its rows of the last day.
+    """
+    rows = df
+    if recent is not None:
+        rows = df.withColumn("_new", F.lit(True)).unionByName(
+            recent.select(roles.entity, roles.ts, roles.id, roles.amount).withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    return by_heat(rows, [roles.entity], roles.order, lambda d, plan: _velocity(d, roles, carried, plan), chunks)
 
 
 def _velocity(df: DataFrame, roles: Roles, carried: DataFrame | None, chunks: Chunks) -> DataFrame:
     day, spans = "24h", fixed.TRAILING_SPANS_S
-    out = _with_running_stats(df, roles, carried, chunks)
-    if carried is None:
+    if carried is None and "_new" not in df.columns:
         # The running count and sum serve the trailing windows too.
-        out = _trailing(out, roles, spans, True, "_n", "_s", chunks)
+        out = _trailing(_with_running_stats(df, roles, None, chunks), roles, spans, True, "_n", "_s", chunks)
     else:
-        out = _trailing(_running(out, roles, True, chunks), roles, spans, True, "_pn", "_ps", chunks).drop("_pn", "_ps")
+        out = _trailing(_running(df, roles, True, chunks), roles, spans, True, "_pn", "_ps", chunks).drop("_pn", "_ps")
+        if "_new" in df.columns:
+            out = out.where("_new").drop("_new")
+        out = _with_running_stats(out, roles, carried, chunks)
     out = out.withColumns({
         **expanding_columns(roles, *[F.col(c) for c in _STATS[:4]]),
         **gap_columns(F.col(roles.ts), F.col("_last")),

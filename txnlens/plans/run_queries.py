@@ -19,6 +19,7 @@ from txnlens.session import cut_lineage, scratch_path
 from txnlens.sources import sinks, tables
 from txnlens.sources.tables import read_table
 from txnlens.streaming import rates, sources, state
+from txnlens.streaming.batches import FeatureBatches
 
 # ---------------------------------------------------------------- sources and sinks
 
@@ -270,7 +271,7 @@ def _(spark, d):
     return resample.ablation(e, {"none": None, "x7": 7.25, "x29": 29.0}, arm)
 
 
-@query("linear_model_additivity")
+@query("linear_model_additivity", f"WITH {EV} SELECT 0 * count(*) AS violations FROM ev")
 def _(spark, d):
     train = cut_lineage(split_events(spark, d).where("split = 'train'").select("event_id", "y", *X))
     model = models.train_linear(train, X)
@@ -296,19 +297,31 @@ def _drift_sides(spark, d):
     return ref, cur
 
 
-DR = f"""{SPLIT}, r AS (SELECT value, k::DOUBLE AS k, p2, event_type, CAST(((t // 3600000000) % 24) // 6 AS INTEGER) AS hour_bin FROM sp WHERE split = 'train'),
-c AS (SELECT value * 1.5::DOUBLE AS value, k::DOUBLE AS k, p2, CASE WHEN event_type = 'view' THEN 'click' ELSE event_type END AS event_type, CAST(((t // 3600000000) % 24) // 6 AS INTEGER) AS hour_bin FROM sp WHERE split = 'test'),
-nl AS (""" + " UNION ALL ".join(f"SELECT '{x}' AS col, {x} AS v, 1 AS a, 0 AS b FROM r UNION ALL SELECT '{x}', {x}, 0, 1 FROM c" for x in ("value", "k", "p2")) + """),
+def drift_sql(numeric, categorical):
+    """Drift of table c against table r as CTEs ending in ``dr``."""
+    def long(cols, cast):
+        return " UNION ALL ".join(
+            f"SELECT '{x}' AS col, {cast.format(x)} AS v, 1 AS a, 0 AS b FROM r WHERE {x} IS NOT NULL UNION ALL "
+            f"SELECT '{x}', {cast.format(x)}, 0, 1 FROM c WHERE {x} IS NOT NULL" for x in cols)
+
+    out = f"""nl AS ({long(numeric, "{}::DOUBLE")}),
 ng AS (SELECT col, v, sum(a) AS a, sum(b) AS b FROM nl GROUP BY 1, 2),
 nt AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER t AS n, sum(b) OVER t AS m, v - lag(v) OVER w AS width FROM ng WINDOW w AS (PARTITION BY col ORDER BY v), t AS (PARTITION BY col)),
 ks AS (SELECT col, max(abs(ca / n - cb / m)) AS stat, max(n) AS n, max(m) AS m, sum(abs((ca - a) / n - (cb - b) / m) * coalesce(width, 0)) AS w1,
   sqrt(sum(v * v * a) / max(n) - (sum(v * a) / max(n)) ** 2) AS sd FROM nt GROUP BY 1),
-cl AS (""" + " UNION ALL ".join(f"SELECT '{x}' AS col, CAST({x} AS VARCHAR) AS v, 1 AS a, 0 AS b FROM r UNION ALL SELECT '{x}', CAST({x} AS VARCHAR), 0, 1 FROM c" for x in ("event_type", "hour_bin")) + """),
+kd AS (SELECT col AS "column", 'ks' AS test, stat AS statistic, 1.358::DOUBLE * sqrt((n + m) / (n * m)) AS cut, w1 / sd AS secondary, CAST(stat > 1.358 * sqrt((n + m) / (n * m)) AS INTEGER) AS drifted FROM ks)"""
+    if not categorical:
+        return out + ", dr AS (SELECT * FROM kd)"
+    return out + f""", cl AS ({long(categorical, "CAST({} AS VARCHAR)")}),
 cg AS (SELECT col, v, sum(a) AS a, sum(b) AS b, sum(sum(a)) OVER (PARTITION BY col) AS n, sum(sum(b)) OVER (PARTITION BY col) AS m FROM cl GROUP BY 1, 2),
 cp AS (SELECT *, a / n AS p, b / m AS q, (a / n + b / m) / 2 AS z, (a + b) * n / (n + m) AS ea, (a + b) * m / (n + m) AS eb FROM cg),
 js AS (SELECT col, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / z) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / z) ELSE 0 END) / 2, 0)) AS stat, sum((a - ea) ** 2 / ea + (b - eb) ** 2 / eb) AS chi FROM cp GROUP BY 1),
-dr AS (SELECT col AS "column", 'ks' AS test, stat AS statistic, 1.358::DOUBLE * sqrt((n + m) / (n * m)) AS cut, w1 / sd AS secondary, CAST(stat > 1.358 * sqrt((n + m) / (n * m)) AS INTEGER) AS drifted FROM ks
-  UNION ALL SELECT col, 'js', stat, 0.1::DOUBLE, chi, CAST(stat >= 0.1 AS INTEGER) FROM js)"""
+dr AS (SELECT * FROM kd UNION ALL SELECT col, 'js', stat, 0.1::DOUBLE, chi, CAST(stat >= 0.1 AS INTEGER) FROM js)"""
+
+
+DR = f"""{SPLIT}, r AS (SELECT value, k, p2, event_type, CAST(((t // 3600000000) % 24) // 6 AS INTEGER) AS hour_bin FROM sp WHERE split = 'train'),
+c AS (SELECT value * 1.5::DOUBLE AS value, k, p2, CASE WHEN event_type = 'view' THEN 'click' ELSE event_type END AS event_type, CAST(((t // 3600000000) % 24) // 6 AS INTEGER) AS hour_bin FROM sp WHERE split = 'test'),
+{drift_sql(["value", "k", "p2"], ["event_type", "hour_bin"])}"""
 
 
 @query("column_drift", f"""WITH {DR} SELECT "column", test, {sq("statistic", 6)} AS statistic, {sq("cut", 6)} AS cut, {sq("secondary", 4)} AS secondary, drifted FROM dr""")
@@ -364,13 +377,16 @@ def _(spark, d):
     return sinks.read_alert(spark, _alert_path(spark, d)).agg(F.count(F.lit(1)).alias("alerts"))
 
 
-@query("monitor")
+@query("monitor", f"""WITH {SPLIT}, r AS (SELECT value, k, p2 FROM sp WHERE split = 'train'),
+c AS (SELECT value, CASE WHEN k <> 9 THEN k END AS k, p2 FROM sp WHERE k <> 7 ORDER BY t DESC, CAST(event_id AS VARCHAR) DESC LIMIT 5000), {drift_sql(["value", "k", "p2"], [])}
+SELECT count(*) AS compared, CAST(sum(drifted) AS BIGINT) AS drifted, CAST(sum(drifted) / count(*) > 0.3 AS INTEGER) AS drift_detected,
+  (SELECT count(*) FROM r) AS reference_rows, (SELECT count(*) FROM c) AS current_rows FROM dr""")
 def _(spark, d):
     """Newest log window, dtypes restored, compared with the train reference."""
     window = tables.prediction_window(_damaged_log(spark, d), WINDOW_SCHEMA)
     reference = split_events(spark, d).where("split = 'train'").select("value", F.col("k").cast("int").alias("k"), "p2")
     restored = validate.cast_like(window, reference.schema)
-    return drift.drift_report(reference, restored)
+    return drift.drift_report(reference, restored).select("compared", "drifted", "drift_detected", "reference_rows", "current_rows")
 
 
 # ---------------------------------------------------------------- streaming
@@ -454,6 +470,16 @@ def _(spark, d):
     return _stream_out(spark, d).select("id", F.array_join(cents, ",").alias("seq"))
 
 
+@query("entity_state_batches", f"""WITH {EV}, {DAY_MEAN}, {EXPANDED.replace("FROM ev", "FROM dm")}
+SELECT event_id, n AS tx_count, {sq("mean")} AS mean_amount, {sq("std")} AS std_amount, wn AS tx_count_24h, {sq("day_mean")} AS amt_24h_mean, 0 AS stale FROM m""")
+def _(spark, d):
+    base = scratch_path(spark, "batches")
+    out = os.path.join(base, "out")
+    sources.run_batches(_event_stream(spark, d), FeatureBatches(out, os.path.join(base, "state")), "batches")
+    cols = spark.read.parquet(out).select("event_id", "tx_count", "mean_amount", "std_amount", "tx_count_24h", "amt_24h_mean", "stale")
+    return rounded(cols, mean_amount=4, std_amount=4, amt_24h_mean=4)
+
+
 @query("train_serve_parity", f"WITH {EV} SELECT count(*) AS n, 0::BIGINT AS differing FROM ev")
 def _(spark, d):
     """Every streamed row against the batch features: counts exactly, floats to 1e-9 relative."""

@@ -373,23 +373,49 @@ def _(spark, d):
     return rounded(encoders.apply_normal_scores(e, "value", knots, "value_normal").select("event_id", "value_normal"), value_normal=6)
 
 
-@query("isotonic")
+ISO = """v AS (SELECT row_number() OVER (ORDER BY p) AS i, p, sum(y) AS s, count(*) AS c FROM sp WHERE split = 'val' GROUP BY p),
+cs AS (SELECT i, p, sum(s) OVER (ORDER BY i) AS cs, sum(c) OVER (ORDER BY i) AS cc, s, c FROM v),
+pr AS (SELECT a.i AS lo, b.i AS hi, (b.cs - a.cs + a.s) / (b.cc - a.cc + a.c) AS m FROM cs a JOIN cs b ON b.i >= a.i),
+sm AS (SELECT lo, hi AS i, min(m) OVER (PARTITION BY lo ORDER BY hi DESC) AS m FROM pr),
+fit AS (SELECT v.p, max(m) AS g FROM sm JOIN v USING (i) GROUP BY 1),
+kn AS (SELECT p AS x0, g AS g0, lead(p) OVER (ORDER BY p) AS x1, lead(g) OVER (ORDER BY p) AS g1 FROM fit),
+en AS (SELECT min(p) AS lo, max(p) AS hi, min(g) AS glo, max(g) AS ghi FROM fit)"""
+
+
+@query("isotonic", f"""WITH {SPLIT}, {ISO}
+SELECT event_id, split, y, sp.p, {sq("CASE WHEN sp.p <= lo THEN glo WHEN sp.p >= hi THEN ghi ELSE g0 + (g1 - g0) * (sp.p - x0) / (x1 - x0) END", 6)} AS calibrated
+FROM sp CROSS JOIN en LEFT JOIN kn ON sp.p >= x0 AND sp.p < x1 WHERE split <> 'train'""")
 def _(spark, d):
     e = split_events(spark, d)
     model = encoders.fit_isotonic(e.where("split = 'val'"))
-    return encoders.apply_isotonic(e.where("split <> 'train'"), model).select("event_id", "split", "y", "p", "calibrated")
+    out = encoders.apply_isotonic(e.where("split <> 'train'"), model).select("event_id", "split", "y", "p", "calibrated")
+    return rounded(out, calibrated=6)
+
+
+KNN = """m AS (SELECT vec_id, embedding AS e FROM embeddings WHERE label = 0),
+pd AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.e[i]::DOUBLE - b.e[i]::DOUBLE) ** 2))) AS dist FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+nn AS (SELECT vec_id, neighbour, dist, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour) AS INTEGER) AS rank FROM pd
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour) <= 5)"""
+
+
+def _u_sql(*parts):
+    return "(CAST('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
-@query("smote")
+@query("smote", f"""WITH {KNN}, z AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS mm FROM embeddings),
+cp AS (SELECT vec_id, floor((n - 2 * mm) / mm) + CAST({_u_sql("vec_id", "'42'")} < ((n - 2 * mm) % mm) / mm AS INTEGER) AS copies FROM m, z),
+dw AS (SELECT vec_id, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS copy FROM cp),
+pk AS (SELECT vec_id, copy, CAST(floor({_u_sql("vec_id", "copy", "'42'")} * least(5, (SELECT mm - 1 FROM z))) + 1 AS INTEGER) AS rank, {_u_sql("copy", "vec_id", "'43'")} AS share FROM dw)
+SELECT pk.vec_id AS base, neighbour, CAST(copy AS INTEGER) AS copy, share, {sq("a.e[1] + (b.e[1] - a.e[1]) * share", 4)} AS x1, {sq("a.e[64] + (b.e[64] - a.e[64]) * share", 4)} AS x64
+FROM pk JOIN nn USING (vec_id, rank) JOIN m a ON a.vec_id = pk.vec_id JOIN m b ON b.vec_id = neighbour""")
 def _(spark, d):
     e = _embeddings(spark, d).withColumn("y", (F.col("label") == 0).cast("int"))
-    return resample.smote(e, "vec_id", "embedding")
+    out = resample.smote(e, "vec_id", "embedding").select(
+        "base", "neighbour", "copy", "share", F.get("embedding", F.lit(0)).cast("double").alias("x1"), F.get("embedding", F.lit(63)).cast("double").alias("x64"))
+    return rounded(out, x1=4, x64=4)
 
 
-@query("smote_neighbours", f"""WITH m AS (SELECT vec_id, embedding AS e FROM embeddings WHERE label = 0),
-p AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.e[i]::DOUBLE - b.e[i]::DOUBLE) ** 2))) AS dist FROM m a JOIN m b ON a.vec_id <> b.vec_id)
-SELECT vec_id, neighbour, {sq("dist", 6)} AS distance, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour) AS INTEGER) AS rank FROM p
-QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour) <= 5""")
+@query("smote_neighbours", f"WITH {KNN} SELECT vec_id, neighbour, {sq('dist', 6)} AS distance, rank FROM nn")
 def _(spark, d):
     from txnlens.operators.neighbours import nearest_neighbours
     e = _embeddings(spark, d).where("label = 0")
