@@ -37,8 +37,8 @@ def merged_state(parts: Sequence[DataFrame], roles: Roles = Roles()) -> DataFram
 
 def entity_recent(df: DataFrame, span_s: int = 86_400, roles: Roles = Roles()) -> DataFrame:
     """Rows within the span of their entity's newest row, in long form so that no entity becomes one cell."""
-    newest = df.groupBy(roles.entity).agg(F.max(roles.ts).alias("_newest"))
-    joined = df.join(newest, roles.entity)
+    newest = df.groupBy(F.col(roles.entity).alias("_entity")).agg(F.max(roles.ts).alias("_newest"))
+    joined = df.join(newest, F.col(roles.entity).eqNullSafe(F.col("_entity")))
     return joined.where(F.col(roles.ts) >= F.col("_newest") - span_s * MICROS).select(
         roles.entity, roles.ts, roles.id, roles.amount)
 
