@@ -12,6 +12,7 @@ the groups below that size in larger tables; only the hot groups are cut.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -45,6 +46,26 @@ class ChunkPlan:
     def plain(self) -> bool:
         return self.scope == "plain"
 
+    def parts(self, bucket: Column) -> Column:
+        """The part numbers of a bucket: 0, or several for a tied value."""
+        out = F.array(F.lit(0).cast("long"))
+        for v, (_, _, n) in self.ties.items():
+            at = bisect.bisect_right(self.splits, v) - 1
+            out = F.when(bucket == at, F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).otherwise(out)
+        return out
+
+    def copies(self, reach: int) -> float:
+        """How often a row is repeated when every chunk also gets the rows up to ``reach`` before its start."""
+        inner = self.splits[1:-1]
+        weight = {bisect.bisect_right(self.splits, v) - 1: n for v, (_, _, n) in self.ties.items()}
+        load = [0.0]
+        for b in range(1, len(self.splits) - 1):
+            load.append(load[-1] + weight.get(b, 1))
+        total = 0.0
+        for b in range(len(inner)):
+            total += load[bisect.bisect_right(inner, inner[b] + reach)] - load[b]
+        return total / max(len(inner), 1)
+
     def for_all(self) -> ChunkPlan:
         out = ChunkPlan([], self.ties)
         out.splits = self.splits
@@ -186,8 +207,9 @@ def before(
 ) -> DataFrame:
     """Sums over the key's rows with ``ts < row.ts - offset``, one column ``{measure}_{offset}`` each.
 
-    In the chunked form each row sends a probe to the chunk that holds ``ts - offset``; probes are
-    answered there by the running sum and brought back by ``tie``, which must be unique.
+    In the chunked form a chunk either receives the rows within reach before its start (few when chunks are
+    longer than the largest offset), or, when that would copy rows more often than there are offsets, each
+    row sends a probe to the chunk that holds ``ts - offset``. ``tie`` must be unique.
     """
     return by_heat(df, keys, [ts, tie], lambda d, plan: _before(d, keys, ts, tie, measures, offsets, plan), chunks)
 
@@ -203,6 +225,55 @@ def _before(
             w = Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, -offsets[o] - 1)
             out[name] = F.count(F.lit(1)).over(w) if kind == "count" else F.coalesce(_FOLD[kind](expr).over(w), F.lit(0))
         return df.withColumns(out)
+    additive = all(kind in ("sum", "count") for kind, _ in measures.values())
+    if additive and plan.copies(max(offsets.values()) + 1) <= len(offsets):
+        return _before_by_halo(df, keys, ts, tie, measures, offsets, plan)
+    return _before_by_probe(df, keys, ts, tie, measures, offsets, plan)
+
+
+_LONG_AGO = -(1 << 62)
+
+
+def _before_by_halo(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, measures: Measures, offsets: dict[str, int], plan: ChunkPlan,
+) -> DataFrame:
+    """One shuffle: a chunk's rows, copies of the rows within reach before it, and totals of all older rows.
+
+    The totals are those of the earlier buckets less the copied rows, put at a time before everything.
+    """
+    reach = max(offsets.values()) + 1
+    folded = [f"_m_{m}" for m in measures]
+    own = plan.assign(_measured(df, measures).withColumn("_key", _key(keys)), F.col(ts), F.col(tie))
+    own = own.withColumns({"_bucket": F.floor(F.col("_chunk") / MAX_CHUNKS), "_at": F.col(ts), "_kind": F.lit(1)})
+    narrow = own.select("_key", "_at", "_bucket", *folded)
+    ahead = plan.assign(narrow, F.col("_at") + reach, None).withColumn("_last", F.floor(F.col("_chunk") / MAX_CHUNKS))
+    ahead = ahead.where("_last > _bucket").withColumn("_bucket", F.explode(F.sequence(F.col("_bucket") + 1, F.col("_last"))))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        part = rows.withColumn("_part", F.explode(plan.parts(F.col("_bucket"))))
+        return part.withColumn("_chunk", F.col("_bucket") * MAX_CHUNKS + F.col("_part")).withColumn("_kind", F.lit(0))
+
+    halo = placed(ahead.select("_key", "_at", "_bucket", *folded))
+    earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = narrow.groupBy("_key", "_bucket").agg(*[F.sum(m).alias(m) for m in folded])
+    carry = placed(totals.select("_key", "_bucket", *[F.sum(m).over(earlier).alias(m) for m in folded]))
+    copied = halo.groupBy("_key", "_chunk").agg(*[(-F.sum(m)).alias(m) for m in folded]).withColumn("_kind", F.lit(0))
+    rows = own
+    for extra in (halo, *(x.withColumn("_at", F.lit(_LONG_AGO)) for x in (carry, copied))):
+        rows = rows.unionByName(extra.select("_key", "_chunk", "_at", "_kind", *folded), allowMissingColumns=True)
+    out = {}
+    for m in measures:
+        for o, micros in offsets.items():
+            w = Window.partitionBy("_key", "_chunk").orderBy("_at").rangeBetween(Window.unboundedPreceding, -micros - 1)
+            out[f"{m}_{o}"] = F.coalesce(F.sum(f"_m_{m}").over(w), F.lit(0))
+    return rows.withColumns(out).where("_kind = 1").select(*df.columns, *out)
+
+
+def _before_by_probe(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, measures: Measures, offsets: dict[str, int], plan: ChunkPlan,
+) -> DataFrame:
+    """Probes join the rows of the chunk they ask; the answers are brought back by ``tie``."""
+    names = {(m, o): f"{m}_{o}" for m in measures for o in offsets}
     narrow = (
         _measured(df, measures)
         .withColumn("_key", _key(keys))
