@@ -77,6 +77,16 @@ def test_weight_search_prefers_the_signal(spark):
     assert spread["informative"] > spread["noise"]
 
 
+def test_chunked_weight_search_is_the_same(spark):
+    rng = random.Random(8)
+    rows = [(int(rng.random() < 0.2), round(rng.random(), 1), rng.random()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "y int, a double, b double")
+    grid = ensemble.simplex_grid(spark, ["a", "b"], 0.25)
+    plain = {r["point"]: r["ap"] for r in ensemble.grid_ap(df, ["a", "b"], grid).collect()}
+    cut = {r["point"]: r["ap"] for r in ensemble.grid_ap(df, ["a", "b"], grid, chunks=4).collect()}
+    assert plain == pytest.approx(cut)
+
+
 def test_blend_needs_the_same_models(hand):
     with pytest.raises(ValueError):
         ensemble.checked_blend(hand, {"a": 1.0}, ["b"])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.functions.rowwise import log_grid_values
-from txnlens.operators.ordered import INF, Chunks, prior
+from txnlens.operators.ordered import INF, Chunks, by_heat, prior
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -27,17 +27,21 @@ def pr_counts(
 ) -> DataFrame:
     """Per distinct score, descending: own positives and negatives and cumulative ``tp`` and ``fp``."""
     w = F.lit(1).cast("long") if weight is None else weight
-    counts = df.groupBy(*by, F.col(p).alias("threshold")).agg(
-        F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("neg"),
-    )
-    counts = counts.withColumn("_desc", -F.col("threshold"))
-    out = prior(counts, by, ["_desc"], {"_tp": ("sum", F.col("pos")), "_fp": ("sum", F.col("neg"))}, chunks)
-    return out.select(
-        *by, "threshold", "pos", "neg",
-        (F.coalesce("_tp", F.lit(0)) + F.col("pos")).alias("tp"),
-        (F.coalesce("_fp", F.lit(0)) + F.col("neg")).alias("fp"),
-    )
+
+    def run(rows: DataFrame, plan: Chunks) -> DataFrame:
+        counts = rows.groupBy(*by, "_desc").agg(
+            F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("pos"),
+            F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("neg"),
+        )
+        out = prior(counts, by, ["_desc"], {"_tp": ("sum", F.col("pos")), "_fp": ("sum", F.col("neg"))}, plan)
+        return out.select(
+            *by, (-F.col("_desc")).alias("threshold"), "pos", "neg",
+            (F.coalesce("_tp", F.lit(0)) + F.col("pos")).alias("tp"),
+            (F.coalesce("_fp", F.lit(0)) + F.col("neg")).alias("fp"),
+        )
+
+    # Sizes and boundaries come from the rows, so the grouped counts are computed once.
+    return by_heat(df.withColumn("_desc", -F.col(p)), by, ["_desc"], run, chunks)
 
 
 def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnlens.functions import fixed
-from txnlens.operators.ordered import Chunks, prior
+from txnlens.operators.ordered import Chunks, plan_chunks, prior
 
 
 class EmptyWindowError(ValueError):
@@ -50,26 +50,33 @@ def assert_window(reference: DataFrame, window: DataFrame) -> list[str]:
     return usable
 
 
-def _value_counts(reference: DataFrame, window: DataFrame, cols: Sequence[str], kind: str) -> DataFrame:
-    """Rows per (column, value) on both sides, one shuffle for all columns."""
+def _values(reference: DataFrame, window: DataFrame, cols: Sequence[str], kind: str) -> DataFrame:
+    """Every filled cell of the columns in long form with its side."""
     def long(df: DataFrame, side: str) -> DataFrame:
         cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in cols])
         other = "cur" if side == "ref" else "ref"
         return df.select(F.explode(cells).alias("x")).select(
             "x.*", F.lit(1).cast("long").alias(side), F.lit(0).cast("long").alias(other)).where("value is not null")
-    both = long(reference, "ref").unionByName(long(window, "cur"))
-    return both.groupBy("column", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    return long(reference, "ref").unionByName(long(window, "cur"))
+
+
+def _value_counts(values: DataFrame) -> DataFrame:
+    """Rows per (column, value) on both sides, one shuffle for all columns."""
+    return values.groupBy("column", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
 
 
 def numeric_drift(reference: DataFrame, window: DataFrame, cols: Sequence[str], options: DriftOptions = DriftOptions(),
                   chunks: Chunks = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and the Wasserstein distance in reference deviations."""
-    counts = _value_counts(reference, window, cols, "double")
+    values = _values(reference, window, cols, "double")
+    plan = plan_chunks(values, "value", None, chunks)
+    counts = _value_counts(values)
     totals = counts.groupBy("column").agg(
         F.sum("ref").alias("n"), F.sum("cur").alias("m"), F.count(F.lit(1)).alias("distinct"),
         F.sum(F.col("value") * F.col("ref")).alias("_s"), F.sum(F.col("value") * F.col("value") * F.col("ref")).alias("_q"))
     run = prior(counts, ["column"], ["value"], {
-        "_r": ("sum", F.col("ref")), "_c": ("sum", F.col("cur")), "_before": ("max", F.col("value"))}, chunks)
+        "_r": ("sum", F.col("ref")), "_c": ("sum", F.col("cur")), "_before": ("max", F.col("value"))},
+        plan if plan.plain else plan.for_all())
     run = run.join(F.broadcast(totals), "column")
     r0, c0 = F.coalesce("_r", F.lit(0)), F.coalesce("_c", F.lit(0))
     gap_after = F.abs((r0 + F.col("ref")) / F.col("n") - (c0 + F.col("cur")) / F.col("m"))
@@ -88,7 +95,7 @@ def numeric_drift(reference: DataFrame, window: DataFrame, cols: Sequence[str],
 def categorical_drift(reference: DataFrame, window: DataFrame, cols: Sequence[str],
                       options: DriftOptions = DriftOptions()) -> DataFrame:
     """Jensen-Shannon distance (base 2) and the chi-square statistic of the two count rows."""
-    counts = _value_counts(reference, window, cols, "string")
+    counts = _value_counts(_values(reference, window, cols, "string"))
     totals = counts.groupBy("column").agg(F.sum("ref").alias("n"), F.sum("cur").alias("m"))
     x = counts.join(F.broadcast(totals), "column")
     a, b = F.col("ref") / F.col("n"), F.col("cur") / F.col("m")

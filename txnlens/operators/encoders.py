@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from txnlens.functions import fixed
 from txnlens.functions.rowwise import combo_hash
 from txnlens.operators.joins import apply_map
-from txnlens.operators.ordered import INF, Chunks, global_rank, prior
+from txnlens.operators.ordered import INF, Chunks, global_rank, plan_chunks, prior
 
 
 def frequency(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -102,9 +102,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunks: Chu
 
     Distinct values are counted first; each looks only at the probabilities whose ranks can fall on it.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("c"))
-    ranked = prior(counts, [], ["v"], {"s": ("sum", F.col("c"))}, chunks)
+    values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
+    plan = plan_chunks(values, "v", None, chunks)
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = prior(counts, [], ["v"], {"s": ("sum", F.col("c"))}, plan)
     total = df.agg(F.count(col)).scalar()
     ranked = ranked.withColumns({"s": F.coalesce("s", F.lit(0)), "n": total})
     n = F.col("n")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from txnlens.functions import fixed
 from txnlens.operators.business import Costs, optimal_threshold
 from txnlens.operators.curves import average_precision
-from txnlens.operators.ordered import Chunks
+from txnlens.operators.ordered import Chunks, plan_chunks
 from txnlens.session import ROWS_PER_CHUNK, rows_at_most
 
 Weights = dict[str, float]
@@ -78,7 +78,10 @@ def grid_ap(df: DataFrame, models: Sequence[str], grid: DataFrame, y: str = "y",
     tuples = _distinct_scores(df, models, y, weight, by).repartition(parts, *by, *models)
     scored = blended_points(tuples, models, grid, [*by, "y", "w"])
     if chunks is not None or not rows_at_most(df.select(*models), ROWS_PER_CHUNK)[0]:
-        return average_precision(scored, "y", "p", [*by, "point"], F.col("w"), chunks)
+        # Boundaries from the pooled model scores; the blends lie in the same range.
+        pooled = df.select(F.explode(F.array(*[-F.col(m).cast("double") for m in models])).alias("_desc"))
+        plan = plan_chunks(pooled, "_desc", None, chunks).for_all()
+        return average_precision(scored, "y", "p", [*by, "point"], F.col("w"), plan)
     # Every point sees each tuple once, so small tables need no second grouping: ties share a RANGE frame.
     hit = F.when(F.col("y") == 1, F.col("w")).otherwise(0)
     down = Window.partitionBy(*by, "point").orderBy(F.desc("p"))
