@@ -1,4 +1,7 @@
-"""Run registered queries against DuckDB: ``python tests/check_queries.py <sf dir> [name ...]``."""
+"""Run registered queries against DuckDB: ``python tests/check_queries.py <sf dir> [name ...]``.
+
+``--rows-per-chunk=N`` lowers the size limit of ordered groups, so that small tables take the chunked forms.
+"""
 
 from __future__ import annotations
 
@@ -59,9 +62,13 @@ def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> str:
 
 def main() -> int:
     from __spark_entry__ import oracle_sql, queries
+    from txnlens import session
     from txnlens.session import build_session
 
-    folder, names = sys.argv[1], sys.argv[2:]
+    folder, names = sys.argv[1], [a for a in sys.argv[2:] if not a.startswith("--")]
+    for option in sys.argv[2:]:
+        if option.startswith("--rows-per-chunk="):
+            session.ROWS_PER_CHUNK = int(option.split("=")[1])
     spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
                           spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")

@@ -9,11 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from txnlens import session
 from txnlens.functions import fixed
 from txnlens.operators.business import Costs, optimal_threshold
 from txnlens.operators.curves import average_precision
 from txnlens.operators.ordered import Chunks, plan_chunks
-from txnlens.session import ROWS_PER_CHUNK, rows_at_most
+from txnlens.session import rows_at_most
 
 Weights = dict[str, float]
 
@@ -77,7 +78,7 @@ def grid_ap(df: DataFrame, models: Sequence[str], grid: DataFrame, y: str = "y",
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     tuples = _distinct_scores(df, models, y, weight, by).repartition(parts, *by, *models)
     scored = blended_points(tuples, models, grid, [*by, "y", "w"])
-    if chunks is not None or not rows_at_most(df.select(*models), ROWS_PER_CHUNK)[0]:
+    if chunks is not None or not rows_at_most(df.select(*models), session.ROWS_PER_CHUNK)[0]:
         # Boundaries from the pooled model scores; the blends lie in the same range.
         pooled = df.select(F.explode(F.array(*[-F.col(m).cast("double") for m in models])).alias("_desc"))
         plan = plan_chunks(pooled, "_desc", None, chunks).for_all()
