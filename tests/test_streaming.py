@@ -73,6 +73,20 @@ def test_late_rows(spark, tmp_path):
     assert got[5] == (0, 0, 3, 0.0)
 
 
+def test_idle_entities_are_forgotten(spark, tmp_path):
+    schema = T.StructType().add("event_id", "long").add("user_id", "long").add("t", "long").add("value", "double")
+    src, out, offsets = str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "c")
+    day = 86_400 * MICROS
+    for rows in ([(1, 7, 1 * day, 5.0), (2, 8, 1 * day, 5.0)], [(3, 8, 100 * day, 6.0)], [(4, 9, 200 * day, 6.0)],
+                 [(5, 7, 201 * day, 1.0), (6, 8, 201 * day, 1.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = sources.stream_transactions(spark, "parquet", src, schema)
+        stream = stream.withColumn("at", F.timestamp_micros("t")).withWatermark("at", "1 day")
+        sources.run_append_to(state.stream_features(stream, time="at"), out, offsets)
+    got = {r["id"]: r["tx_count"] for r in spark.read.parquet(out).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 2}
+
+
 def test_poison_messages_are_set_aside(spark, tmp_path):
     src = tmp_path / "m"
     src.mkdir()

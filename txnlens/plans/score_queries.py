@@ -333,6 +333,14 @@ def _(spark, d):
     return ensemble.bootstrap_samples(val, SCORES, "event_id", 10).select("event_id", "b", "w")
 
 
+@query("bootstrap_ap", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {BOOT.format(cuts=CUTS_SQL)}, bw AS (SELECT * FROM bs WHERE w > 0),
+{_search_sql(10, "bw", "w", "b")} SELECT CAST(b AS INTEGER) AS b, {sq("max(ap)", 8)} AS best_ap FROM aps GROUP BY 1""")
+def _(spark, d):
+    rows = ensemble.bootstrap_samples(split_events(spark, d).where("split = 'val'"), SCORES, "event_id", 10)
+    ap = ensemble.grid_ap(rows, SCORES, ensemble.simplex_grid(spark, SCORES, 0.1), by=["b"], weight=F.col("w"))
+    return rounded(ap.groupBy("b").agg(F.max("ap").alias("best_ap")), best_ap=8)
+
+
 @query("bootstrap_weights")
 def _(spark, d):
     return ensemble.bootstrap_weights(split_events(spark, d).where("split = 'val'"), SCORES, "event_id", 10, 0.1)
