@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.rowwise import unit_hash
 from txnlens.operators.neighbours import nearest_neighbours
+from txnlens.operators.ordered import global_rank
 from txnlens.session import cut_lineage
 
 
@@ -56,10 +57,11 @@ def smote(df: DataFrame, key: str, vector: str, label: str = "y", k: int = 5, se
     need = counts.select(F.col("n") - 2 * F.col("pos")).scalar()
     m = counts.select("pos").scalar()
     neighbours = cut_lineage(nearest_neighbours(minority, "_id", "_x", k))
-    # Every minority row makes floor(need / m) copies, a hash-drawn rest makes one more.
-    extra = (unit_hash("_id", F.lit(seed)) < (need % m) / m).cast("int")
+    # Every minority row makes floor(need / m) copies; the first need % m rows in hash order make one more.
+    placed = global_rank(minority.withColumn("_u", unit_hash("_id", F.lit(seed))), ["_u", "_id"], "_place")
+    extra = (F.col("_place") < need % m).cast("int")
     draws = (
-        minority.withColumn("_copies", (F.floor(need / m) + extra).cast("int")).where("_copies > 0")
+        placed.withColumn("_copies", (F.floor(need / m) + extra).cast("int")).where("_copies > 0")
         .select("_id", "_x", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
     )
     sizes = neighbours.groupBy("_id").agg(F.max("rank").alias("_k"))

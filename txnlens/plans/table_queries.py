@@ -11,6 +11,7 @@ from txnlens.functions import rowwise
 from txnlens.operators import encoders, graph, joins, profiles, resample, sequences, splits, validate, windows
 from txnlens.plans.catalog import EV, ORD, SPLIT, W, events, orders, query, rounded, split_events, sq
 from txnlens.plans.row_queries import COMBO_SQL, UID_SQL, with_uid
+from txnlens.session import cut_lineage
 from txnlens.sources.tables import read_table
 
 
@@ -403,7 +404,7 @@ def _u_sql(*parts):
 
 
 @query("smote", f"""WITH {KNN}, z AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS mm FROM embeddings),
-cp AS (SELECT vec_id, floor((n - 2 * mm) / mm) + CAST({_u_sql("vec_id", "'42'")} < ((n - 2 * mm) % mm) / mm AS INTEGER) AS copies FROM m, z),
+cp AS (SELECT vec_id, floor((n - 2 * mm) / mm) + CAST(row_number() OVER (ORDER BY {_u_sql("vec_id", "'42'")}, vec_id) - 1 < (n - 2 * mm) % mm AS INTEGER) AS copies FROM m, z),
 dw AS (SELECT vec_id, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS copy FROM cp),
 pk AS (SELECT vec_id, copy, CAST(floor({_u_sql("vec_id", "copy", "'42'")} * least(5, (SELECT mm - 1 FROM z))) + 1 AS INTEGER) AS rank, {_u_sql("copy", "vec_id", "'43'")} AS share FROM dw)
 SELECT pk.vec_id AS base, neighbour, CAST(copy AS INTEGER) AS copy, share, {sq("a.e[1] + (b.e[1] - a.e[1]) * share", 4)} AS x1, {sq("a.e[64] + (b.e[64] - a.e[64]) * share", 4)} AS x64
@@ -537,7 +538,8 @@ ph AS (SELECT src, dst, CASE WHEN dst < a THEN 'train' WHEN dst < b THEN 'val' E
 
 
 def _phased(spark, d):
-    nodes = _nodes(spark, d)
+    # The numbered node table is read by every edge set and every hop, so it is written once.
+    nodes = cut_lineage(_nodes(spark, d).select("node", "split", "user_id", "event_type", "k", "value"))
     counts = nodes.agg(
         F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("split") != "test", 1).otherwise(0)).alias("b"))
     edges = graph.edges_from_specs(nodes, "node", SPECS)
