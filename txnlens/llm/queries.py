@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from txnlens.llm import exact_stream, guess_cost, harmonic_pack, quality_trees, simhash_blocks
+from txnlens.llm import exact_stream, guess_cost, harmonic_pack, quality_trees, simhash_blocks, stream_bpe
 
 QUERIES = {
     "op2_quality_classifier": quality_trees.op2,
     "op3_exact_dedup": exact_stream.op3,
     "op4_secret_scan": guess_cost.op4,
+    "op5_bpe": stream_bpe.op5,
     "op7_packing": harmonic_pack.op7,
     "op9_simhash_near_dedup": simhash_blocks.op9,
 }
