@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from txnlens.llm import exact_stream, guess_cost, harmonic_pack, quality_trees, simhash_blocks, stream_bpe
+from txnlens.llm import exact_stream, guess_cost, harmonic_pack, license_bands, quality_trees, simhash_blocks, stream_bpe
 
 QUERIES = {
+    "op1_license_scan": license_bands.op1,
     "op2_quality_classifier": quality_trees.op2,
     "op3_exact_dedup": exact_stream.op3,
     "op4_secret_scan": guess_cost.op4,
@@ -13,5 +14,6 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash_blocks.op9,
 }
 ORACLE = {
+    "op1_license_scan": license_bands.oracle(),
     "op3_exact_dedup": exact_stream.ORACLE,
 }
