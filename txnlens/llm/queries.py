@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from txnlens.llm import exact_stream, guess_cost, harmonic_pack, license_bands, quality_trees, simhash_blocks, stream_bpe
+from txnlens.llm import exact_stream, guess_cost, harmonic_pack, imatch, license_bands, quality_trees, simhash_blocks, stream_bpe
 
 QUERIES = {
     "op1_license_scan": license_bands.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_stream.op3,
     "op4_secret_scan": guess_cost.op4,
     "op5_bpe": stream_bpe.op5,
+    "op6_fingerprints": imatch.op6,
     "op7_packing": harmonic_pack.op7,
     "op9_simhash_near_dedup": simhash_blocks.op9,
 }
