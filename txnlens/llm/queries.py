@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from txnlens.llm import exact_stream, guess_cost, harmonic_pack, imatch, license_bands, line_join, quality_trees, simhash_blocks, stream_bpe
+from txnlens.llm import exact_stream, guess_cost, harmonic_pack, imatch, license_bands, line_join, quality_trees, simhash_blocks, stream_bpe, suffix_merge
 
 QUERIES = {
     "op1_license_scan": license_bands.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_bpe": stream_bpe.op5,
     "op6_fingerprints": imatch.op6,
     "op7_packing": harmonic_pack.op7,
+    "op8_suffix_dedup": suffix_merge.op8,
     "op9_simhash_near_dedup": simhash_blocks.op9,
 }
 ORACLE = {
