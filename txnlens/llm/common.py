@@ -24,6 +24,17 @@ def fold_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_table(spark: SparkSession, *paths: str) -> None:
     """Delete tables of the shared folder that nothing reads any more."""
     jvm = spark._jvm

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import clean_docs, drop_table, fold_ascii, kept_table, read_documents, scratch_path
+from txnlens.llm.common import clean_docs, drop_table, fold_ascii, kept_table, read_documents, scratch_path, unused
 
 #: Digests in so few groups of copies that they may be sent to every task: eight bytes each.
 SMALL_HITS = 1_000_000
@@ -118,14 +118,14 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat doc_id and text, one stays."""
     decided, _ = kept_table(copies(docs).select("doc_id", "digest", "kept"), "dedup-decided")
     # Digests are enough here: ``copies`` compared the bytes, and colliding texts differ in doc_id.
-    gone = decided.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    key = sha256_digest(fold_ascii(F.coalesce(F.col("text"), F.lit(""))))
-    left = docs.withColumn("_key", key)
-    left = left.join(gone, left["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (left["_key"] == gone["_digest"]), "left_anti")
+    key, other_id, other_key = unused(docs, "_key", "_id", "_digest")
+    gone = decided.where("NOT kept").select(F.col("doc_id").alias(other_id), F.col("digest").alias(other_key)).distinct()
+    left = docs.withColumn(key, sha256_digest(fold_ascii(F.coalesce(F.col("text"), F.lit("")))))
+    left = left.join(gone, left["doc_id"].cast("long").eqNullSafe(gone[other_id]) & (left[key] == gone[other_key]), "left_anti")
     twice = decided.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
     if twice.head(1):
-        left = left.dropDuplicates(["doc_id", "_key"])
-    return left.drop("_key")
+        left = left.dropDuplicates(["doc_id", key])
+    return left.select(docs.columns)
 
 
 def op3(spark: SparkSession, folder: str) -> DataFrame:

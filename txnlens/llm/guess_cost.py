@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from math import log10
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import clean_docs, read_documents
+from txnlens.llm.common import clean_docs, read_documents, unused
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses (as a power of ten) from which a value in a credential context counts as a secret.
@@ -173,13 +173,13 @@ def masked(docs: DataFrame, vocabulary: str, text: str = "text", length: str = "
         words = _cached_words(vocabulary)
         return texts.map(lambda t: None if t is None else mask_spans(t, find_spans(t, words)))
 
-    clean: Column = mask(F.col(text))
-    out = docs.withColumn("_clean", clean)
+    (clean,) = unused(docs, "_clean")
+    out = docs.withColumn(clean, mask(F.col(text)))
     if length in docs.columns:
         kept = F.col(length)
-        changed = F.char_length("_clean").cast(docs.schema[length].dataType)
-        out = out.withColumn(length, F.when(F.col("_clean") == F.col(text), kept).otherwise(F.coalesce(changed, kept)))
-    return out.withColumn(text, F.col("_clean")).select(docs.columns)
+        changed = F.char_length(clean).cast(docs.schema[length].dataType)
+        out = out.withColumn(length, F.when(F.col(clean) == F.col(text), kept).otherwise(F.coalesce(changed, kept)))
+    return out.withColumn(text, F.col(clean)).select(docs.columns)
 
 
 _WORDS: dict[str, dict[str, float]] = {}

@@ -19,7 +19,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import clean_docs, drop_table, kept_table, read_documents
+from txnlens.llm.common import clean_docs, drop_table, kept_table, read_documents, unused
 
 SIMILAR = 0.8
 CELL_BITS = 16
@@ -134,10 +134,11 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def without_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with all rows and columns, its texts without the removed lines."""
-    cut = decisions(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    joined = docs.join(cut, docs["doc_id"].cast("long").eqNullSafe(cut["_id"]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+    other, removed = unused(docs, "_id", "_removed")
+    cut = decisions(docs).where("n_removed > 0").select(F.col("doc_id").alias(other), F.col("removed").alias(removed)).distinct()
+    joined = docs.join(cut, docs["doc_id"].cast("long").eqNullSafe(cut[other]), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(removed, i)), "\n")
+    return joined.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(left)).select(docs.columns)
 
 
 def op10(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import clean_docs, components, drop_table, kept_table, read_documents
+from txnlens.llm.common import clean_docs, components, drop_table, kept_table, read_documents, unused
 
 SEED = 42
 #: Shingles whose bits are unpacked at once.
@@ -119,9 +119,10 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
 
 def drop_near(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its group, with all their columns; rows without doc_id stay."""
+    (other,) = unused(docs, "_gone")
     gone, _ = kept_table(
-        near_groups(docs, words, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+        near_groups(docs, words, bits).where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct(), "simhash-gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[other], "left_anti")
 
 
 def op9(spark: SparkSession, folder: str) -> DataFrame:
