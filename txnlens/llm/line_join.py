@@ -72,7 +72,8 @@ def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     classes = rarity(docs)
     n = F.size("tokens")
-    lines = line_rows(docs).withColumn("tokens", ordered_tokens(F.col("line"), classes)).where(n > 0).select(
+    # Lines without words are left out by the line itself: a filter on its tokens would be moved below them and make them twice.
+    lines = line_rows(docs).where(F.col("line").rlike(r"[\p{L}\p{N}]")).withColumn("tokens", ordered_tokens(F.col("line"), classes)).select(
         "doc_id", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64("tokens", F.lit(1)).alias("b"), n.alias("n"),
         F.slice("tokens", 1, n - least_overlap(n) + 1).alias("prefix"))
     lines, _ = kept_table(lines, "line-rows")
