@@ -21,6 +21,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
+def scored(df: DataFrame, p: str) -> DataFrame:
+    """Rows that have a score; null and NaN rank nowhere, so no count or curve takes them in."""
+    return df.where(F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")))
+
+
 def pr_counts(
     df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), weight: Column | None = None,
     chunks: Chunks = None,
@@ -41,7 +46,7 @@ def pr_counts(
         )
 
     # Sizes and boundaries come from the rows, so the grouped counts are computed once.
-    return by_heat(df.withColumn("_desc", -F.col(p)), by, ["_desc"], run, chunks)
+    return by_heat(scored(df, p).withColumn("_desc", -F.col(p)), by, ["_desc"], run, chunks)
 
 
 def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -105,7 +110,7 @@ def roc_auc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), c
 def confusion_counts(df: DataFrame, threshold: Column | float, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     hit = F.col(p) >= threshold
     cell = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    return df.groupBy(*by).agg(
+    return scored(df, p).groupBy(*by).agg(
         cell(hit & (F.col(y) == 1)).alias("tp"), cell(~hit & (F.col(y) == 0)).alias("tn"),
         cell(hit & (F.col(y) == 0)).alias("fp"), cell(~hit & (F.col(y) == 1)).alias("fn"),
     )
@@ -178,7 +183,7 @@ def sweep_counts(
     grid = sorted(grid or log_grid_values())
     splits = [-INF, *grid, INF]
     binned = Bucketizer(splits=splits, inputCol="_p", outputCol="_g", handleInvalid="keep").transform(
-        df.withColumn("_p", F.col(p).cast("double")))
+        scored(df, p).withColumn("_p", F.col(p).cast("double")))
     flag = lambda v: F.sum(F.when(F.col(y) == v, 1).otherwise(0))
     filled = binned.groupBy(*by, F.col("_g").cast("int").alias("_g")).agg(flag(1).alias("pos"), flag(0).alias("neg"))
     groups = filled.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))

@@ -27,14 +27,18 @@ class DriftOptions:
 
 
 def usable_columns(reference: DataFrame, window: DataFrame) -> DataFrame:
-    """Reference columns with their presence in the window and non-null window rows."""
+    """Reference columns with their presence in the window and non-null rows; usable ones have such rows on both sides."""
     shared = [c for c in reference.columns if c in window.columns]
     absent = [c for c in reference.columns if c not in window.columns]
     counts = window.agg(*[F.count(c).alias(c) for c in shared], F.count(F.lit(1)).alias("_rows"))
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(1).alias("present"), F.col(c).alias("filled")) for c in shared]
-    cells += [F.struct(F.lit(c).alias("column"), F.lit(0).alias("present"), F.lit(0).cast("long").alias("filled")) for c in absent]
+    known = reference.agg(*[F.count(c).alias(c) for c in reference.columns]).first().asDict()
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(1).alias("present"), F.col(c).alias("filled"),
+                      F.lit(int(known[c] > 0)).alias("known")) for c in shared]
+    cells += [F.struct(F.lit(c).alias("column"), F.lit(0).alias("present"), F.lit(0).cast("long").alias("filled"),
+                       F.lit(0).alias("known")) for c in absent]
     return counts.select(F.explode(F.array(*cells)).alias("x")).select(
-        "x.*", ((F.col("x.present") == 1) & (F.col("x.filled") > 0)).cast("int").alias("usable"))
+        "x.column", "x.present", "x.filled",
+        ((F.col("x.present") == 1) & (F.col("x.filled") > 0) & (F.col("x.known") == 1)).cast("int").alias("usable"))
 
 
 def assert_window(reference: DataFrame, window: DataFrame) -> list[str]:
@@ -46,7 +50,7 @@ def assert_window(reference: DataFrame, window: DataFrame) -> list[str]:
         raise EmptyWindowError("the window shares no column with the reference")
     usable = [r["column"] for r in rows if r["usable"]]
     if not usable:
-        raise EmptyWindowError("every shared column of the window is null")
+        raise EmptyWindowError("every shared column is null on one side")
     return usable
 
 

@@ -8,14 +8,15 @@ from collections.abc import Sequence
 from pyspark.ml.feature import PCA, Bucketizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnlens.functions import fixed
 from txnlens.functions.rowwise import combo_hash
 from txnlens.operators.joins import apply_map
-from txnlens.operators.ordered import INF, Chunks, global_rank, plan_chunks, prior
+from txnlens.operators.ordered import INF, Chunks, plan_chunks, prior
+from txnlens.session import cut_lineage
 
 
 def frequency(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -39,14 +40,21 @@ def combo_frequency(train: DataFrame, df: DataFrame, cols: Sequence[str], out: s
 def fit_labels(df: DataFrame, col: str, chunks: Chunks = None) -> DataFrame:
     """Codes by position in the sorted distinct values, with MISSING always among them.
 
-    The first six bytes give a numeric key in the same order, so large vocabularies rank in chunks.
+    The values are dealt out by ranges and sorted in them; a value's code is its place there after the sizes of the ranges
+    before. ``chunks`` is the number of ranges, if not that of the session.
     """
     values = df.select(F.coalesce(F.col(col).cast("string"), F.lit(fixed.MISSING)).alias(col))
     spark = df.sparkSession
     distinct = values.unionByName(spark.range(1).select(F.lit(fixed.MISSING).alias(col))).distinct()
-    prefix = F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(col), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("long")
-    ranked = global_rank(distinct.withColumn("_prefix", prefix), ["_prefix", col], "_code", chunks)
-    return ranked.select(col, F.col("_code").cast("int").alias(f"{col}_code"))
+    ranges = distinct.repartitionByRange(chunks, col) if isinstance(chunks, int) else distinct.repartitionByRange(col)
+    table = cut_lineage(ranges.withColumn("_range", F.spark_partition_id()))
+    sizes = table.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # A row a range.
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(col)) - 1
+    return table.withColumn("_place", place).join(before, "_range").select(
+        col, (F.col("_before") + F.col("_place")).cast("int").alias(f"{col}_code"))
 
 
 def apply_labels(df: DataFrame, state: DataFrame, col: str) -> DataFrame:
@@ -128,6 +136,24 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunks: Chu
     return ends.select("prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
 
 
+def grouped_quantiles(df: DataFrame, by: str, col: str, probs: Sequence[float], chunks: Chunks = None) -> DataFrame:
+    """``(by, prob, value)`` as in ``exact_quantiles``, for every group of ``by``; null is a group of its own."""
+    values = df.where(F.col(col).isNotNull()).select(F.struct(by).alias("_g"), F.col(col).cast("double").alias("v"))
+    plan = plan_chunks(values, "v", None, chunks)
+    counts = values.groupBy("_g", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = prior(counts, ["_g"], ["v"], {"s": ("sum", F.col("c"))}, plan if plan.plain else plan.for_all())
+    n = F.col("n")
+    at = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("prob"), ((n - 1) * F.lit(float(q))).alias("at")) for q in probs]))
+    here = lambda r: (F.col("s") <= r) & (r < F.col("s") + F.col("c"))
+    lo, hi = F.floor("x.at"), F.ceil("x.at")
+    hits = ranked.withColumn("s", F.coalesce("s", F.lit(0))).join(
+        counts.groupBy("_g").agg(F.sum("c").alias("n")), "_g").withColumn("x", at).where(here(lo) | here(hi))
+    ends = hits.groupBy("_g", "x.prob").agg(
+        F.max(F.when(here(lo), F.col("v"))).alias("lo"), F.max(F.when(here(hi), F.col("v"))).alias("hi"),
+        F.max(F.col("x.at") - lo).alias("part"))
+    return ends.select(F.col(f"_g.{by}").alias(by), "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
+
+
 def fit_quantile(df: DataFrame, col: str, q: float = 0.8, chunks: Chunks = None) -> DataFrame:
     return exact_quantiles(df, col, [q], chunks).select(F.col("value").alias("cut"))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections import Counter
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -23,13 +24,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnlens import session
-from txnlens.session import MAX_CHUNKS, rows_at_most
+from txnlens.session import cut_lineage, rows_at_most
 
 INF = float("inf")
+# Places for the parts of one range in a chunk number.
+PART_SPACE = 1 << 20
+# Quantiles that are looked up at once; with more chunks than that, ranges between them are cut evenly.
+QUANTILES = 8192
+# Sampled rows for each part of a tied value, when its ties aren't numbers.
+TIE_SAMPLE = 50
 Measures = dict[str, tuple[str, Column]]
 _FOLD = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
+# By tied value: lowest and highest numeric tie, or the bounds of its parts, and the number of parts.
+Ties = dict[float, tuple[float, float, int] | tuple[None, list, int]]
+
+
 class ChunkPlan:
     """Boundaries that cut an ascending order key into chunks of similar row counts.
 
@@ -37,7 +48,7 @@ class ChunkPlan:
     A plan may be passed on to further calls over the same rows, so that the sizes are looked up once.
     """
 
-    def __init__(self, splits: list[float], ties: dict[float, tuple[float, float, int]], scope: str = "all"):
+    def __init__(self, splits: list[float], ties: Ties, scope: str = "all"):
         self.splits = [-INF, *splits, INF]
         self.ties = ties
         self.scope = scope
@@ -80,10 +91,13 @@ class ChunkPlan:
         sub = F.lit(0).cast("long")
         if tie is not None:
             for v, (low, high, parts) in self.ties.items():
-                share = (tie.cast("double") - F.lit(low)) / F.lit(max(high - low, 1.0))
-                part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * parts), F.lit(parts - 1))
+                if low is None:
+                    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, high)), lambda b: b <= tie)), F.lit(0)).cast("long")
+                else:
+                    share = (tie.cast("double") - F.lit(low)) / F.lit(max(high - low, 1.0))
+                    part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * parts), F.lit(parts - 1))
                 sub = F.when(F.col("_v") == F.lit(v), part).otherwise(sub)
-        return out.withColumn("_chunk", F.col("_b").cast("long") * MAX_CHUNKS + sub).drop("_v", "_b")
+        return out.withColumn("_chunk", F.col("_b").cast("long") * PART_SPACE + sub).drop("_v", "_b")
 
 
 Chunks = int | ChunkPlan | None
@@ -92,7 +106,7 @@ Chunks = int | ChunkPlan | None
 def plan_chunks(df: DataFrame, value: str, tie: str | None = None, chunks: Chunks = None) -> ChunkPlan:
     """Choose chunk boundaries from the size of the table, or for a given number of chunks.
 
-    A value that alone fills several chunks is cut further along ``tie`` when that is numeric.
+    A value that alone fills several chunks is cut further along ``tie``: evenly if that is numeric, else at bounds from a sample.
     """
     if isinstance(chunks, ChunkPlan):
         return chunks
@@ -102,28 +116,44 @@ def plan_chunks(df: DataFrame, value: str, tie: str | None = None, chunks: Chunk
         small, n = rows_at_most(narrow, session.ROWS_PER_CHUNK)
         if small:
             return ChunkPlan([], {}, "plain")
-        chunks = min(MAX_CHUNKS, max(2, -(-(n or 0) // (session.ROWS_PER_CHUNK // 2))))
-    steps = [i / chunks for i in range(1, chunks)]
-    quantiles = [q for q in narrow.approxQuantile("_v", steps, 1 / (4 * chunks))]
-    ties: dict[float, tuple[float, float, int]] = {}
-    numeric_tie = tie is not None and isinstance(df.schema[tie].dataType, T.NumericType)
-    if numeric_tie:
-        least = max(2, chunks // 64)
-        hot = {v: quantiles.count(v) + 1 for v in set(quantiles) if quantiles.count(v) >= least}
-        if hot:
+        chunks = max(2, -(-n // (session.ROWS_PER_CHUNK // 2)))
+    coarse = min(chunks, QUANTILES)
+    quantiles = narrow.approxQuantile("_v", [i / coarse for i in range(1, coarse)], 1 / (4 * coarse))
+    within = -(-chunks // coarse)
+    ties: Ties = {}
+    if tie is not None:
+        least = max(2, coarse // 64)
+        counted = Counter(quantiles)
+        hot = {v: (c + 1) * within for v, c in counted.items() if c >= least}
+        if hot and isinstance(df.schema[tie].dataType, T.NumericType):
             spans = (
                 df.where(F.col(value).cast("double").isin(list(hot)))
                 .groupBy(F.col(value).cast("double").alias("_v"))
                 .agg(F.min(F.col(tie).cast("double")).alias("lo"), F.max(F.col(tie).cast("double")).alias("hi"))
             )
             ties = {r["_v"]: (r["lo"], r["hi"], hot[r["_v"]]) for r in spans.collect()}
+        elif hot:
+            ties = _sampled_ties(df.select(F.col(value).cast("double").alias("_v"), F.col(tie).alias("_tie")), hot)
+    # Ranges between neighbouring quantiles are cut evenly when there are more chunks than quantiles.
+    inner = [a + (b - a) * k / within for a, b in zip(quantiles, quantiles[1:]) if a < b for k in range(1, within)]
     # A split right after a tied value keeps larger values out of its parts.
     after = {math.nextafter(v, INF) for v in ties}
-    return ChunkPlan(sorted({*quantiles, *after}), ties, scope)
+    return ChunkPlan(sorted({*quantiles, *inner, *after}), ties, scope)
 
 
-# Hot groups that are named in a filter; with more of them all groups are cut.
-MAX_HOT = 200
+def _sampled_ties(rows: DataFrame, hot: dict[float, int]) -> Ties:
+    """Bounds of the parts of each tied value ``_v`` along ``_tie``; the sample is a fixed number of rows a part."""
+    tied = rows.where(F.col("_v").isin(list(hot)) & F.col("_tie").isNotNull())
+    share = min(1.0, TIE_SAMPLE * sum(hot.values()) / max(tied.count(), 1))
+    seen: dict[float, list] = {v: [] for v in hot}
+    for r in tied.sample(share, seed=11).collect():
+        seen[r["_v"]].append(r["_tie"])
+    out: Ties = {}
+    for v, parts in hot.items():
+        own = sorted(seen[v])
+        bounds = sorted({own[len(own) * i // parts] for i in range(1, parts)}) if own else []
+        out[v] = (None, bounds, len(bounds) + 1)
+    return {v: t for v, t in out.items() if t[2] > 1}
 
 
 def by_heat(
@@ -132,8 +162,8 @@ def by_heat(
 ) -> DataFrame:
     """Apply ``run`` with the plain form to ordinary groups and with the chunked form to hot ones.
 
-    One count per key finds the groups above ``ROWS_PER_CHUNK`` rows; at most ``MAX_HOT`` + 1 of them reach
-    the driver.
+    One count per key finds the groups above ``ROWS_PER_CHUNK`` rows; rows are told apart by a join with them.
+    Both forms read the rows from one table, so that several keys in a row don't multiply the plan.
     """
     plan = plan_chunks(df, order[0], order[1] if len(order) > 1 else None, chunks)
     if plan.scope != "hot":
@@ -141,15 +171,13 @@ def by_heat(
     if not keys:
         return run(df, plan.for_all())
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > session.ROWS_PER_CHUNK)
-    hot = sizes.select(*keys).limit(MAX_HOT + 1).collect()
-    if not hot:
+    if not sizes.head(1):
         return run(df, ChunkPlan([], {}, "plain"))
-    if len(hot) > MAX_HOT:
-        return run(df, plan.for_all())
-    types = {f.name: f.dataType for f in df.schema.fields}
-    named = [reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(row[k]).cast(types[k])) for k in keys]) for row in hot]
-    is_hot = reduce(Column.__or__, named)
-    return run(df.where(~is_hot), ChunkPlan([], {}, "plain")).unionByName(run(df.where(is_hot), plan.for_all()))
+    rows = cut_lineage(df)
+    hot = cut_lineage(sizes.select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)]))
+    same = reduce(Column.__and__, [rows[k].eqNullSafe(hot[f"_hot{i}"]) for i, k in enumerate(keys)])
+    cold, warm = (rows.join(hot, same, kind).select(*df.columns) for kind in ("left_anti", "left_semi"))
+    return run(cold, ChunkPlan([], {}, "plain")).unionByName(run(warm, plan.for_all()))
 
 
 def _key(keys: Sequence[str]) -> Column:
@@ -244,14 +272,14 @@ def _before_by_halo(
     reach = max(offsets.values()) + 1
     folded = [f"_m_{m}" for m in measures]
     own = plan.assign(_measured(df, measures).withColumn("_key", _key(keys)), F.col(ts), F.col(tie))
-    own = own.withColumns({"_bucket": F.floor(F.col("_chunk") / MAX_CHUNKS), "_at": F.col(ts), "_kind": F.lit(1)})
+    own = own.withColumns({"_bucket": F.floor(F.col("_chunk") / PART_SPACE), "_at": F.col(ts), "_kind": F.lit(1)})
     narrow = own.select("_key", "_at", "_bucket", *folded)
-    ahead = plan.assign(narrow, F.col("_at") + reach, None).withColumn("_last", F.floor(F.col("_chunk") / MAX_CHUNKS))
+    ahead = plan.assign(narrow, F.col("_at") + reach, None).withColumn("_last", F.floor(F.col("_chunk") / PART_SPACE))
     ahead = ahead.where("_last > _bucket").withColumn("_bucket", F.explode(F.sequence(F.col("_bucket") + 1, F.col("_last"))))
 
     def placed(rows: DataFrame) -> DataFrame:
         part = rows.withColumn("_part", F.explode(plan.parts(F.col("_bucket"))))
-        return part.withColumn("_chunk", F.col("_bucket") * MAX_CHUNKS + F.col("_part")).withColumn("_kind", F.lit(0))
+        return part.withColumn("_chunk", F.col("_bucket") * PART_SPACE + F.col("_part")).withColumn("_kind", F.lit(0))
 
     halo = placed(ahead.select("_key", "_at", "_bucket", *folded))
     earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

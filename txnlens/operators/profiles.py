@@ -11,7 +11,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.operators.encoders import exact_quantiles
+from txnlens.operators.encoders import grouped_quantiles
 from txnlens.operators.ordered import Chunks
 from txnlens.roles import MICROS, Roles
 
@@ -71,18 +71,14 @@ def missing_by_family(profile: DataFrame) -> DataFrame:
         F.sum((F.col("null_share") > 0.9).cast("int")).cast("long").alias("over_90"))
 
 
-def describe_by(df: DataFrame, group: str, col: str, values: Sequence[object], chunks: Chunks = None) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of a column for each listed group."""
+def describe_by(df: DataFrame, group: str, col: str, chunks: Chunks = None) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles of a column for every group, null among them."""
     basic = df.groupBy(group).agg(
         F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"))
-    quartiles = None
-    for v in values:
-        q = exact_quantiles(df.where(F.col(group) == v), col, [0.25, 0.5, 0.75], chunks)
-        one = q.agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
-                      for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]).withColumn(group, F.lit(v))
-        quartiles = one if quartiles is None else quartiles.unionByName(one)
-    return basic.join(F.broadcast(quartiles), group)
+    at = grouped_quantiles(df, group, col, [0.25, 0.5, 0.75], chunks).groupBy(F.col(group).alias("_group")).agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    return basic.join(at, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def rate_by(df: DataFrame, keys: Sequence[str], roles: Roles = Roles()) -> DataFrame:
@@ -154,7 +150,8 @@ def redundant_share(pairs: DataFrame, cut: float = 0.8) -> DataFrame:
 
 def label_distribution(df: DataFrame, label: str = "y") -> DataFrame:
     pos, neg = F.sum(F.when(F.col(label) == 1, 1).otherwise(0)), F.sum(F.when(F.col(label) == 0, 1).otherwise(0))
-    return df.agg(neg.alias("n_neg"), pos.alias("n_pos"), F.avg(label).alias("fraud_rate"), (neg / pos).alias("imbalance_ratio"))
+    return df.agg(neg.alias("n_neg"), pos.alias("n_pos"), F.avg(label).alias("fraud_rate"),
+                  F.when(pos > 0, neg / pos).alias("imbalance_ratio"))
 
 
 def stream_counters(scored: DataFrame) -> DataFrame:

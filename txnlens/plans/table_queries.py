@@ -75,7 +75,7 @@ def _(spark, d):
 @query("describe_by", f"""WITH {EV} SELECT y, count(value) AS n, {sq("avg(value)")} AS mean, {sq("stddev_samp(value)")} AS std, min(value) AS min, max(value) AS max,
   {sq("quantile_cont(value, 0.25)", 6)} AS q25, {sq("quantile_cont(value, 0.5)", 6)} AS q50, {sq("quantile_cont(value, 0.75)", 6)} AS q75 FROM ev GROUP BY 1""")
 def _(spark, d):
-    return rounded(profiles.describe_by(events(spark, d), "y", "value", [0, 1]), mean=4, std=4, q25=6, q50=6, q75=6)
+    return rounded(profiles.describe_by(events(spark, d), "y", "value"), mean=4, std=4, q25=6, q50=6, q75=6)
 
 
 def _rate_sql(keys, src="ev"):

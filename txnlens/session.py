@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Rows one task may hold in one ordered group before the group is cut into chunks.
 ROWS_PER_CHUNK = 2_000_000
-MAX_CHUNKS = 8192
-# Average bytes of a narrow row, used to turn plan sizes into row counts.
-_UNKNOWN_SIZE = 1 << 60
 
 
 def build_session(app: str = "txnlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,17 +53,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def rows_at_most(df: DataFrame, limit: int) -> tuple[bool, int]:
+    """Whether ``df`` has at most ``limit`` rows, and its row count.
 
-
-def rows_at_most(df: DataFrame, limit: int) -> tuple[bool, int | None]:
-    """Whether ``df`` surely has at most ``limit`` rows, and its row count when it was counted.
-
-    Trusts the optimizer's estimate when that is small enough; counts otherwise.
+    The rows are counted: estimates of a plan come from compressed sizes, which say nothing about repetitive or exploded rows.
     """
-    if plan_bytes(df) <= limit * 8:
-        return True, None
     n = df.count()
     return n <= limit, n

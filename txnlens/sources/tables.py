@@ -44,7 +44,7 @@ def read_identity(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    return nan_to_null(df.select(*columns) if columns else df)
 
 
 _LOG = T.StructType([

@@ -2,7 +2,7 @@
 
 Each trigger hands a key's new rows to one function, which sorts them by (time, id), answers every row from
 the stored state plus the rows before it, and stores the new state. The work is vectorised; state holds the
-running sums, the entries of the last 24 hours and the last feature vectors. Bound the rows per trigger at the source.
+running sums, the entries that a row may still ask for (24 hours before the latest row taken in) and the last feature vectors. Bound the rows per trigger at the source.
 """
 
 from __future__ import annotations
@@ -72,17 +72,18 @@ def _answer(pdf: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
     ends = len(ring) + np.arange(m) + 1
     seqs = [run[max(0, e - RING):e].tolist() for e in ends]
     out = pd.DataFrame({
-        "id": kept["id"].to_numpy(), "tx_count": count, "tx_sum": total, "mean_amount": mean,
+        "tx_count": count, "tx_sum": total, "mean_amount": mean,
         "max_amount": np.where(count > 0, top, 0.0), "std_amount": std,
         "amount_zscore": np.where(std > 0, (x - mean) / (std + 1e-6), 0.0),
         "since_last": np.where(gap >= 0, gap, -1.0),
         **{f"tx_count_{k}": at - v for k, v in spans.items()},
-        "amt_24h_mean": day_mean, "seq": seqs, "seq_len": [len(z) for z in seqs]})
+        "amt_24h_mean": day_mean, "seq": seqs, "seq_len": [len(z) for z in seqs]}, index=kept.index)
     newest_t = int(newest[-1])
-    keep = seen_t >= newest_t - _DAY
+    # A late row that is still taken in looks back a day from its own time.
+    keep = seen_t >= newest_t - _DAY - fixed.MAX_BACKDATE_S * MICROS
     after = (int(n + m), float(s + x.sum()), float(q + (x * x).sum()), float(max(mx, x.max())), newest_t,
              seen_t[keep].tolist(), seen_x[keep].tolist(), run[-RING:].tolist())
-    return refused.merge(out, on="id", how="left"), after
+    return refused.join(out), after  # by position, as ids may repeat
 
 
 _COLUMNS = [part.strip().split(" ")[0] for part in OUTPUT.split(",")]
