@@ -135,7 +135,11 @@ def plan_chunks(df: DataFrame, value: str, tie: str | None = None, chunks: Chunk
         elif hot:
             ties = _sampled_ties(df.select(F.col(value).cast("double").alias("_v"), F.col(tie).alias("_tie")), hot)
     # Ranges between neighbouring quantiles are cut evenly when there are more chunks than quantiles.
-    inner = [a + (b - a) * k / within for a, b in zip(quantiles, quantiles[1:]) if a < b for k in range(1, within)]
+    inner = []
+    if within > 1:
+        ends = narrow.agg(F.min("_v"), F.max("_v")).first()
+        points = sorted({*quantiles, *(e for e in ends if e is not None and math.isfinite(e))})
+        inner = [a + (b - a) * k / within for a, b in zip(points, points[1:]) for k in range(1, within)]
     # A split right after a tied value keeps larger values out of its parts.
     after = {math.nextafter(v, INF) for v in ties}
     return ChunkPlan(sorted({*quantiles, *inner, *after}), ties, scope)
