@@ -76,17 +76,21 @@ def run_batches(stream: DataFrame, handle, name: str, **options) -> None:
     _start(stream.writeStream.foreachBatch(handle), spark, scratch_path(spark, f"{name}-offsets"), **options)
 
 
-def run_complete(stream: DataFrame, name: str, **options) -> DataFrame:
-    """Keep the latest full result of an aggregation; each batch writes its own folder, so a retry is harmless."""
+def run_updates(stream: DataFrame, key: str, name: str, **options) -> DataFrame:
+    """The latest row of each ``key`` of a watermarked aggregation.
+
+    Only changed rows are written, a folder a batch, so a retry is harmless; the watermark drops the state of keys that can't
+    change any more. Rows behind the watermark are not counted.
+    """
     spark = stream.sparkSession
     out = scratch_path(spark, name)
-    last: list[str] = []
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        path = os.path.join(out, str(batch_id))
-        batch.write.mode("overwrite").parquet(path)
-        last[:] = [path]
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"_batch={batch_id}"))
 
-    writer = stream.writeStream.outputMode("complete").foreachBatch(keep)
+    writer = stream.writeStream.outputMode("update").foreachBatch(keep)
     _start(writer, spark, scratch_path(spark, f"{name}-offsets"), **options)
-    return spark.read.schema(stream.schema).parquet(last[0])
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    rows = spark.read.schema(schema).option("basePath", out).parquet(out)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("_row"))
+    return last.select("_row.*")
