@@ -24,9 +24,14 @@ def apply_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
 
 def causal_steps(roles: Roles, domains: tuple[str, str], deltas: Sequence[str], counts: Sequence[str],
-                 presence: dict[str, str], chunks: Chunks = None) -> list[Step]:
-    """Features without fitted state; all per-entity ones share one shuffle and one sort."""
+                 presence: dict[str, str], chunks: Chunks = None, device: tuple[str, str, str] | None = None) -> list[Step]:
+    """Features without fitted state; all per-entity ones share one shuffle and one sort.
+
+    ``device`` names the agent, device and resolution columns, where the table has them.
+    """
+    first = [lambda df: rowwise.device_features(df, *device)] if device else []
     return [
+        *first,
         lambda df: rowwise.temporal_features(df, roles.ts),
         lambda df: rowwise.amount_features(df, roles.amount),
         lambda df: rowwise.pair_match_features(df, *domains),
@@ -40,9 +45,12 @@ def causal_steps(roles: Roles, domains: tuple[str, str], deltas: Sequence[str],
 
 def features_full(df: DataFrame, roles: Roles, combo: Sequence[str], uid: Callable[[DataFrame], DataFrame], age: str,
                   scope: str, target_keys: Sequence[str], label_cols: Sequence[str], raw_cols: Sequence[str],
-                  steps: Sequence[Step], lag_s: int, chunks: Chunks = None) -> DataFrame:
+                  steps: Sequence[Step], lag_s: int, chunks: Chunks = None, freq_cols: Sequence[str] = (),
+                  block: Sequence[str] = (), components: int = 30) -> DataFrame:
     """Null counts, split, causal features, then every fitted encoder: fit on train rows, applied to all.
 
+    The columns of ``block`` are replaced by at most ``components`` components fitted on the train rows.
+
     Target encoding is one pass over the whole ordered table, so later splits continue from earlier ones and
     every label respects the lag across split borders.
     """
@@ -55,8 +63,14 @@ def features_full(df: DataFrame, roles: Roles, combo: Sequence[str], uid: Callab
     out = apply_steps(base, steps)
     out = windows.target_encode_lagged(out, target_keys, F.lit(rate), lag_s, roles, fixed.TARGET_PRIOR_WEIGHT, chunks)
     out = rowwise.scoped_gradient(out, roles.amount, in_scope, F.lit(cut).cast("double"), "dist")
+    for c in freq_cols:
+        out = encoders.apply_frequency(out, encoders.frequency(train, c), c)
     out = encoders.combo_frequency(train, out, combo)
     out = encoders.apply_cohorts(train, out, "uid", roles.amount, age)
     for c in label_cols:
         out = encoders.apply_labels(out, encoders.fit_labels(train, c, chunks), c)
+    if block:
+        cells = F.array(*[F.col(c).cast("double") for c in block])
+        stages = encoders.fit_pca(train.select(cells.alias("_block")), "_block", components)
+        out = encoders.apply_pca(out.withColumn("_block", cells).drop(*block), stages, "_block")
     return encoders.impute(out, skip=[roles.label, "uid", "split"])

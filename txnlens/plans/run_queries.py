@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from txnlens.functions import fixed, rowwise
 from txnlens.operators import business, curves, drift, encoders, ensemble, explain, graph, models, profiles, resample, validate, windows
 from txnlens.plans.catalog import EV, PRIOR, SPLIT, W, _SHIFT, events, query, rounded, split_events, sq
 from txnlens.plans.features import apply_steps, causal_steps, features_full
-from txnlens.plans.row_queries import DAY_MEAN, DOMAIN, DOMAIN_B, EXPANDED, RATE, UID_SQL, _trailing_sql, with_uid
+from txnlens.plans.row_queries import _DEV, _UA, DAY_MEAN, DOMAIN, DOMAIN_B, EXPANDED, PLACE, RATE, UID_SQL, _rules_sql, _trailing_sql, with_uid
 from txnlens.plans.score_queries import FULL, SCORES
 from txnlens.plans.table_queries import CARD, _nodes
 from txnlens.roles import MICROS, Roles
@@ -163,13 +164,26 @@ def _(spark, d):
 DELTAS = ["nullif(k, 0)", "CASE WHEN k % 4 <> 0 THEN k / 2 END", "CASE WHEN k > 50 THEN value END"]
 
 
+AGENT = "CASE k % 5 WHEN 0 THEN 'Chrome 90 for Android Mobile' WHEN 1 THEN 'mobile Safari 11' WHEN 2 THEN 'Firefox 60' WHEN 3 THEN 'Edge 17' END"
+DEVICE = "CASE k % 4 WHEN 0 THEN 'SAMSUNG SM-G930' WHEN 1 THEN 'iOS Device' WHEN 2 THEN 'Windows' END"
+SCREEN = "CASE WHEN k % 3 = 0 THEN '1920x1080' WHEN k % 3 = 1 THEN '12x' END"
+TARGET_KEYS = ["user_id", "event_type", "dom_a", "dom_b", "k", "place"]
+
+
 def _wide(spark, d):
     return events(spark, d).withColumns({
-        "dom_a": F.expr(DOMAIN), "dom_b": F.expr(DOMAIN_B), **{f"d{i}": F.expr(c).cast("double") for i, c in enumerate(DELTAS)}})
+        "dom_a": F.expr(DOMAIN), "dom_b": F.expr(DOMAIN_B), "agent": F.expr(AGENT), "device": F.expr(DEVICE), "screen": F.expr(SCREEN),
+        "v0": F.col("p2"), "v1": F.when(F.col("k") > 10, F.col("p3")), "v2": F.col("k") / 100.0, **{f"d{i}": F.expr(c).cast("double") for i, c in enumerate(DELTAS)}})
 
 
 def _steps():
-    return causal_steps(Roles(), ("dom_a", "dom_b"), ["d0", "d1", "d2"], ["d0", "d1"], {"addr_present": "d0", "dist_present": "d2"})
+    return causal_steps(Roles(), ("dom_a", "dom_b"), ["d0", "d1", "d2"], ["d0", "d1"], {"addr_present": "d0", "dist_present": "d2"},
+                        device=("agent", "device", "screen"))
+
+
+DEVICE_COLUMNS = f"""{_rules_sql("ua", _UA)} AS browser_family, CAST(regexp_matches(ua, '{fixed.MOBILE_PATTERN}') AS INTEGER) AS browser_is_mobile,
+  {_rules_sql("dev", _DEV)} AS device_brand, CASE WHEN k % 3 = 0 THEN 1920.0::DOUBLE WHEN k % 3 = 1 THEN 12.0::DOUBLE ELSE 0.0::DOUBLE END AS screen_width""".replace(
+    "(ua,", f"(coalesce(lower({AGENT}), ''),").replace("(dev,", f"(coalesce(lower({DEVICE}), ''),")
 
 
 CAUSAL = f"""{DAY_MEAN}, {EXPANDED.replace("FROM ev", "FROM dm")}, g AS (SELECT *, (t - lag(t) OVER ({W})) / 1e6 AS g, (t // 3600000000) % 24 AS h FROM m)"""
@@ -179,15 +193,23 @@ CAUSAL = f"""{DAY_MEAN}, {EXPANDED.replace("FROM ev", "FROM dm")}, g AS (SELECT
 SELECT event_id, CAST(h AS INTEGER) AS hour_of_day, {sq("ln(1 + value)", 6)} AS amount_log, CAST({DOMAIN} IS NOT DISTINCT FROM {DOMAIN_B} AS INTEGER) AS email_match,
   CAST(({DELTAS[0]} IS NULL)::INTEGER + ({DELTAS[1]} IS NULL)::INTEGER + (({DELTAS[2]}) IS NULL)::INTEGER AS INTEGER) AS d_null_count,
   n AS tx_count, {sq("mean")} AS mean_amount, {sq("std")} AS std_amount, {sq("coalesce(g, -1)")} AS since_last, wn AS tx_count_24h, {sq("day_mean")} AS amt_24h_mean,
-  CAST(k <> 0 AS INTEGER) AS addr_present, {sq("h * ln(1 + value)")} AS hour_x_amount_log FROM g""")
+  CAST(k <> 0 AS INTEGER) AS addr_present, {sq("h * ln(1 + value)")} AS hour_x_amount_log, {DEVICE_COLUMNS} FROM g""")
 def _(spark, d):
     out = apply_steps(_wide(spark, d), _steps()).select(
         "event_id", "hour_of_day", "amount_log", "email_match", "d_null_count", "tx_count", "mean_amount", "std_amount",
-        "since_last", "tx_count_24h", "amt_24h_mean", "addr_present", "hour_x_amount_log")
+        "since_last", "tx_count_24h", "amt_24h_mean", "addr_present", "hour_x_amount_log", "browser_family", "browser_is_mobile",
+        "device_brand", "screen_width")
     return rounded(out, amount_log=6, mean_amount=4, std_amount=4, since_last=4, amt_24h_mean=4, hour_x_amount_log=4)
 
 
 LAG_S = 432_000
+_KEY_SQL = {"user_id": "user_id", "event_type": "event_type", "dom_a": DOMAIN, "dom_b": DOMAIN_B, "k": "k", "place": PLACE}
+_TARGETS = ", ".join(sq(f"(coalesce(sum(y) OVER (PARTITION BY {e} {{o}}), 0) + 10 * {RATE}) / (count(*) OVER (PARTITION BY {e} {{o}}) + 10)", 8)
+                     + f" AS {k}_target_enc" for k, e in _KEY_SQL.items()).replace(
+    "{o}", f"ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {LAG_S * MICROS} PRECEDING")
+# All components together keep the length of the centred block, whatever their signs and order.
+_BLOCK = [("p2", "p2"), ("v1", "CASE WHEN k > 10 THEN p3 ELSE 0 END"), ("v2", "k / 100.0::DOUBLE")]
+_CENTRED = " + ".join(f"pow({e} - (SELECT avg({e}) FROM sp WHERE split = 'train'), 2)" for _, e in _BLOCK)
 
 
 @query("features_full", f"""WITH {SPLIT}, {UID_SQL.format(src="sp")},
@@ -195,17 +217,21 @@ cf AS (SELECT user_id, dm, count(*) / (SELECT count(*) FROM sp WHERE split = 'tr
 un AS (SELECT uid, count(*) AS n FROM uid WHERE split = 'train' GROUP BY 1),
 ct AS (SELECT quantile_cont(value, 0.8) AS cut FROM sp WHERE split = 'train' AND event_type = 'purchase'),
 lb AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT coalesce({DOMAIN}, 'MISSING') AS v FROM sp WHERE split = 'train' UNION SELECT 'MISSING')),
-te AS (SELECT event_id, (coalesce(sum(y) OVER w, 0) + 10 * {RATE}) / (count(*) OVER w + 10) AS te, row_number() OVER ({W}) - 1 AS n FROM sp
-  WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {LAG_S * MICROS} PRECEDING))
+fr AS (SELECT user_id, count(*) / (SELECT count(*) FROM sp WHERE split = 'train') AS f FROM sp WHERE split = 'train' GROUP BY 1),
+te AS (SELECT event_id, {_TARGETS}, row_number() OVER ({W}) - 1 AS n, {sq(_CENTRED, 6)} AS block_length, {DEVICE_COLUMNS} FROM sp)
 SELECT sp.event_id, sp.split, coalesce(cf.f, 0) AS combo_freq, coalesce(un.n, 0) AS uid_count, CAST(sp.event_type = 'purchase' AND sp.value >= cut AS INTEGER) AS dist_high,
-  {sq("te.te", 8)} AS user_id_target_enc, lb.code AS dom_a_code, te.n AS tx_count, coalesce({", ".join(["CASE WHEN sp.k > 50 THEN sp.value END", "-999"])}) AS d2
+  te.* EXCLUDE (event_id, n), coalesce(fr.f, 0) AS user_id_freq, lb.code AS dom_a_code, te.n AS tx_count, coalesce({", ".join(["CASE WHEN sp.k > 50 THEN sp.value END", "-999"])}) AS d2
 FROM sp JOIN uid USING (event_id) LEFT JOIN cf ON cf.user_id = sp.user_id AND cf.dm = coalesce({DOMAIN.replace("event_type", "sp.event_type")}, '-999')
-LEFT JOIN un ON un.uid = uid.uid JOIN te ON te.event_id = sp.event_id JOIN lb ON lb.v = coalesce({DOMAIN.replace("event_type", "sp.event_type")}, 'MISSING'), ct""")
+LEFT JOIN fr ON fr.user_id = sp.user_id LEFT JOIN un ON un.uid = uid.uid JOIN te ON te.event_id = sp.event_id JOIN lb ON lb.v = coalesce({DOMAIN.replace("event_type", "sp.event_type")}, 'MISSING'), ct""")
 def _(spark, d):
     df = _wide(spark, d)
-    out = features_full(df, Roles(), ["user_id", "dom_a"], with_uid, "age", "event_type = 'purchase'", ["user_id"], ["dom_a"],
-                        ["value", "dom_a", "dom_b", "d0", "d1", "d2"], _steps(), LAG_S)
-    return rounded(out.select("event_id", "split", "combo_freq", "uid_count", "dist_high", "user_id_target_enc", "dom_a_code", "tx_count", "d2"), user_id_target_enc=8)
+    out = features_full(df, Roles(), ["user_id", "dom_a"], with_uid, "age", "event_type = 'purchase'", TARGET_KEYS, ["dom_a"],
+                        ["value", "dom_a", "dom_b", "d0", "d1", "d2"], _steps(), LAG_S, freq_cols=["user_id"], block=["v0", "v1", "v2"])
+    length = reduce(lambda a, b: a + b, [F.col(f"pca_v_{i}") * F.col(f"pca_v_{i}") for i in range(3)])
+    encoded = [f"{k}_target_enc" for k in TARGET_KEYS]
+    return rounded(out.withColumn("block_length", length).select(
+        "event_id", "split", "combo_freq", "uid_count", "dist_high", *encoded, "dom_a_code", "tx_count", "d2", "user_id_freq", "block_length",
+        "browser_family", "browser_is_mobile", "device_brand", "screen_width"), block_length=6, **{c: 8 for c in encoded})
 
 
 @query("ensemble_eval")
