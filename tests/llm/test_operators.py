@@ -348,6 +348,33 @@ def test_repeats_with_shared_passages(spark, monkeypatch, seed):
     assert rows_of(suffix_merge.removed(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == slow_removed(rows)
 
 
+def test_pairs_and_windows_agree(monkeypatch):
+    rng = random.Random(12)
+    for _ in range(200):
+        base = bytes(rng.choice(b"ab") for _ in range(suffix_merge.WIDTH))
+        keys = set()
+        for _ in range(rng.randrange(2, 9)):
+            key = bytearray(base)
+            for at in rng.sample(range(suffix_merge.GRAM, suffix_merge.WIDTH), rng.randrange(3)):
+                key[at] = 99
+            after, before = rng.randrange(30, 51), rng.randrange(20, 35)
+            key[after:50] = b"\xff" * (50 - after)
+            key[50 + before:] = b"\xff" * (34 - before)
+            keys.add(bytes(key))
+        entries = []
+        for n, key in enumerate(sorted(keys)):
+            refs = np.zeros(1, suffix_merge.REF)
+            refs["doc"], refs["place"] = rng.randrange(4), 100 * (n + 1)
+            entries.append((key, suffix_merge.GRAM, refs))
+        got = []
+        for few in (100, 1):
+            monkeypatch.setattr(suffix_merge, "FEW", few)
+            covers = suffix_merge.Covers()
+            covers.take(iter(entries))
+            got.append(sorted(map(tuple, covers.rows().to_numpy().tolist())))
+        assert got[0] == got[1]
+
+
 def test_merge_of_runs_never_loses_order():
     rng = random.Random(9)
     runs, every = [], []
