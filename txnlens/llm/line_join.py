@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from txnlens.llm.common import clean_docs, drop_table, kept_table, read_documents, unused
 
 SIMILAR = 0.8
-CELL_BITS = 16
+CELL_BITS = 20
+#: Classes are packed into longs, so many to one.
+CLASS_BITS, PER_LONG = 5, 12
 #: Bits of a token's hash below its class of frequency.
 HASH_BITS = 58
 #: Document ids that are sent to every task, at most; more are joined by a shuffle.
@@ -37,18 +39,26 @@ def rarity(docs: DataFrame) -> Column:
     """Class of frequency, the logarithm of the count, for each cell of hashed words; a constant array of fixed size."""
     words = clean_docs(docs).select(F.explode(words_of(F.col("text"))).alias("w"))
     counts = words.select(F.xxhash64("w").bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int").alias("c")).groupBy("c").count()
-    classes = [0] * (1 << CELL_BITS)
-    for row in counts.select("c", F.least(F.floor(F.log2("count")) + 1, F.lit(31)).cast("int").alias("k")).collect():
-        classes[row["c"]] = row["k"]  # at most a row a cell
+    kind = F.least(F.floor(F.log2("count")) + 1, F.lit((1 << CLASS_BITS) - 1)).cast("long")
+    packed = counts.select((F.col("c") / PER_LONG).cast("int").alias("w"), F.call_function(
+        "shiftleft", kind, (F.col("c") % PER_LONG * CLASS_BITS).cast("int")).alias("k")).groupBy("w").agg(F.sum("k").alias("k"))
+    classes = [0] * ((1 << CELL_BITS) // PER_LONG + 1)
+    for row in packed.collect():  # at most as many rows as there are longs
+        classes[row["w"]] = row["k"]
     return F.from_json(F.lit(json.dumps(classes, separators=(",", ":"))), "array<bigint>")
 
 
+def rarity_class(classes: Column, h: Column) -> Column:
+    cell = h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")
+    word = F.get(classes, (cell / PER_LONG).cast("int"))
+    return F.call_function("shiftright", word, cell % PER_LONG * CLASS_BITS).bitwiseAND(F.lit((1 << CLASS_BITS) - 1))
+
+
 def ordered_tokens(line: Column, classes: Column) -> Column:
     """Distinct tokens, rarest first."""
     hashes = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.call_function(
-        "shiftleft", F.get(classes, h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")), F.lit(HASH_BITS)).bitwiseOR(
-        F.call_function("shiftrightunsigned", h, F.lit(64 - HASH_BITS)))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rarity_class(classes, h), HASH_BITS).bitwiseOR(
+        F.shiftrightunsigned(h, 64 - HASH_BITS))))
 
 
 def least_overlap(n: Column) -> Column:
