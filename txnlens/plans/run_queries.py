@@ -239,8 +239,8 @@ def _(spark, d):
     """Search, lift gate and threshold on validation, metrics on test at the frozen choice."""
     e = split_events(spark, d)
     val, test = cut_lineage(e.where("split = 'val'").select("y", *SCORES)), e.where("split = 'test'")
-    three = ensemble.search_weights(val, SCORES, 0.1, 0.05).first()
-    two = ensemble.search_weights(val, ["p1", "p3"], 0.1, 0.05).first()
+    three = ensemble.search_weights(val, SCORES).first()
+    two = ensemble.search_weights(val, ["p1", "p3"]).first()
     names = SCORES if three["ap"] - two["ap"] >= fixed.MIN_LIFT else ["p1", "p3"]
     won = three if names is SCORES else two
     blended = ensemble.blend({m: won[f"w_{m}"] for m in names})

@@ -319,31 +319,31 @@ def _(spark, d):
 @query("weight_search_refined")
 def _(spark, d):
     val = split_events(spark, d).where("split = 'val'")
-    return ensemble.search_weights(val, SCORES, 0.05, 0.01)
+    return ensemble.search_weights(val, SCORES)
 
 
 BOOT = """bs AS (SELECT v.*, b, list_sum([CAST(u >= c AS BIGINT) FOR c IN {cuts}]) AS w FROM (
-  SELECT v.*, b.b, CAST('0x' || substr(md5(event_id || ':' || b.b), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM v, range(10) b(b)) v)"""
+  SELECT v.*, b.b, CAST('0x' || substr(md5(event_id || ':' || b.b), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM v, range(50) b(b)) v)"""
 CUTS_SQL = "[" + ", ".join(f"CAST('{c!r}' AS DOUBLE)" for c in ensemble.POISSON_CUTS) + "]"
 
 
 @query("bootstrap_samples", f"WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {BOOT.format(cuts=CUTS_SQL)} SELECT event_id, CAST(b AS INTEGER) AS b, CAST(w AS BIGINT) AS w FROM bs WHERE w > 0")
 def _(spark, d):
     val = split_events(spark, d).where("split = 'val'")
-    return ensemble.bootstrap_samples(val, SCORES, "event_id", 10).select("event_id", "b", "w")
+    return ensemble.bootstrap_samples(val, SCORES, "event_id").select("event_id", "b", "w")
 
 
 @query("bootstrap_ap", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {BOOT.format(cuts=CUTS_SQL)}, bw AS (SELECT * FROM bs WHERE w > 0),
 {_search_sql(10, "bw", "w", "b")} SELECT CAST(b AS INTEGER) AS b, {sq("max(ap)", 8)} AS best_ap FROM aps GROUP BY 1""")
 def _(spark, d):
-    rows = ensemble.bootstrap_samples(split_events(spark, d).where("split = 'val'"), SCORES, "event_id", 10)
+    rows = ensemble.bootstrap_samples(split_events(spark, d).where("split = 'val'"), SCORES, "event_id")
     ap = ensemble.grid_ap(rows, SCORES, ensemble.simplex_grid(spark, SCORES, 0.1), by=["b"], weight=F.col("w"))
     return rounded(ap.groupBy("b").agg(F.max("ap").alias("best_ap")), best_ap=8)
 
 
 @query("bootstrap_weights")
 def _(spark, d):
-    return ensemble.bootstrap_weights(split_events(spark, d).where("split = 'val'"), SCORES, "event_id", 10, 0.1)
+    return ensemble.bootstrap_weights(split_events(spark, d).where("split = 'val'"), SCORES, "event_id")
 
 
 @query("min_lift_gate", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {_search_sql(20, 'v')},
@@ -376,7 +376,7 @@ def _(spark, d):
 def _(spark, d):
     e = split_events(spark, d)
     return ensemble.compare_ensembles(
-        e.where("split = 'val'"), e.where("split = 'test'"), {"p1+p2": ["p1", "p2"], "p1+p3": ["p1", "p3"], "all": SCORES}, 0.1)
+        e.where("split = 'val'"), e.where("split = 'test'"), {"p1+p2": ["p1", "p2"], "p1+p3": ["p1", "p3"], "all": SCORES}, 0.02)
 
 
 @query("score_export", f"WITH {SPLIT} SELECT event_id, split, y, p AS blended FROM sp WHERE split <> 'train'")
