@@ -43,6 +43,9 @@ def run_stream(spark: SparkSession, source: str, schema, out: str, checkpoint: s
     """
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Many small stores: none reserves space ahead of its files, and a commit writes its changes alone.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.session.timeZone", "UTC")
     rows = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
