@@ -429,10 +429,57 @@ def test_near_groups(odd, odd_rows, empty):
     want = sorted(((i, f - (1 << 64) if f >> 63 else f, least.get(g)) for (i, _), f, g in zip(odd_rows, fps, groups)), key=repr)
     assert rows_of(simhash_blocks.near_groups(odd), "doc_id", "fp", "component_id") == want
     assert simhash_blocks.near_groups(empty).count() == 0
-    kept = simhash_blocks.drop_near(odd)
-    assert kept.columns == odd.columns
-    gone = {i for i, _, c in want if i is not None and i != c}
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(i for i, _ in odd_rows if i is not None and i not in gone)
+
+
+def shingle_set(text, words=5):
+    own = fold(text).split()
+    return {" ".join(own[i:i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def distinct_fingerprint(text):
+    own = set(re.findall("[^\x20\x09-\x0D]+", fold(text)))
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in own]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_near_copies_go(spark, odd, odd_rows, empty):
+    rng = random.Random(31)
+    rows = [(i, t) for i, t in odd_rows if i is not None]
+    for i in range(40):
+        words = prose(rng, 150, 5000).split()
+        rows.append((1000 + 10 * i, " ".join(words)))
+        for k in range(1, 4):
+            own = list(words)
+            for at in rng.sample(range(150), k + 1):
+                own[at] = f"new{rng.randrange(10**6)}"
+            rows.append((1000 + 10 * i + k, " ".join(own)))
+    docs = frame(spark, rows).repartition(4)
+    close, distinct = [slow_fingerprint(t, 5) for _, t in rows], [distinct_fingerprint(t) for _, t in rows]
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            near = (close[i] ^ close[j]).bit_count() <= 4
+            both = len(sets[i] & sets[j])
+            if near or (distinct[i] ^ distinct[j]).bit_count() <= 6 and both and 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    want = sorted({least[find(i)] for i in range(len(rows))})
+    kept = simhash_blocks.drop_near(docs)
+    assert kept.columns == docs.columns
+    assert sorted({r.doc_id for r in kept.collect()}) == want
+    caught = sum(d not in want for d, _ in rows if d >= 1000 and d % 10)
+    assert caught >= 60 and all(1000 + 10 * i in want for i in range(40))
+    assert simhash_blocks.drop_near(odd).where("doc_id is null").count() == sum(i is None for i, _ in odd_rows)
+    assert simhash_blocks.drop_near(empty).count() == 0
 
 
 def test_links_over_chains(spark):

@@ -9,7 +9,7 @@ repeat a doc_id each get their own output row. An empty table gives an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 from math import log2
 
@@ -19,19 +19,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import clean_docs, components, drop_table, kept_table, read_documents, unused
+from txnlens.llm.common import clean_docs, components, drop_table, fold_ascii, kept_table, read_documents, unused
+from txnlens.llm.license_bands import shingle_list
 
 SEED = 42
 #: Shingles whose bits are unpacked at once.
 _SLAB = 1 << 15
+#: Ids that are sent to every task, at most.
+SMALL_IDS = 1_000_000
 
 
 def fingerprint(text: str, words: int = 4) -> int:
-    """64 bits; a bit is 1 where it is set in over half the hashes of the shingles."""
+    """64 bits; a bit is 1 where it is set in over half the hashes of the shingles. With no ``words``, of the distinct words."""
     parts = text.encode("utf-8", "replace").lower().split()
+    if not words:
+        parts = list(dict.fromkeys(parts))
     if not parts:
         return 0
-    if len(parts) <= words:
+    if not words:
+        shingles = parts
+    elif len(parts) <= words:
         shingles = [b" ".join(parts)]
     else:
         line = b" ".join(parts)
@@ -76,12 +83,13 @@ def block_masks(m: int, bits: int) -> list[int]:
     return [sum(blocks[i] for i in kept) for kept in combinations(range(m), m - bits)]
 
 
-def links(nodes: DataFrame, count: int, bits: int = 4) -> DataFrame:
+def links(nodes: DataFrame, count: int, bits: int = 4, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """``(a, b)`` fingerprints of ``nodes(fp)`` (distinct) whose components are those of all pairs within ``bits`` bits.
 
     First every fingerprint is compared with the least one under each of its keys, which costs one comparison a key and
     joins most of a large group. After that only fingerprints outside the component of that least one are compared with the
-    others under the key, so a group of near copies isn't multiplied out.
+    others under the key, so a group of near copies isn't multiplied out. ``verify`` keeps those of some pairs ``(a, b)``
+    that count as links.
     """
     spark = nodes.sparkSession
     masks = [_signed(x) for x in block_masks(block_count(count, bits), bits)]
@@ -90,8 +98,8 @@ def links(nodes: DataFrame, count: int, bits: int = 4) -> DataFrame:
     heads = keys.groupBy("c", "v").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared, shared_path = kept_table(keys.join(heads, ["c", "v"]), "simhash-keys")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    to_head, _ = kept_table(
-        shared.select(F.col("fp").alias("a"), F.col("head").alias("b")).where("a <> b").where(near).distinct(), "simhash-links")
+    to_head, _ = kept_table(verify(
+        shared.select(F.col("fp").alias("a"), F.col("head").alias("b")).where("a <> b").where(near).distinct()), "simhash-links")
     group, _ = kept_table(components(to_head), "simhash-groups")
     own = shared.join(group, F.col("fp") == F.col("node"), "left").select(
         "c", "v", "fp", "head", F.coalesce("root", "fp").alias("g"))
@@ -101,8 +109,8 @@ def links(nodes: DataFrame, count: int, bits: int = 4) -> DataFrame:
         "simhash-tagged")
     left = tagged.where("apart").select("c", "v", F.col("fp").alias("a"), F.col("g").alias("ga"))
     right = tagged.select("c", "v", F.col("fp").alias("b"), F.col("g").alias("gb"), "apart")
-    across, _ = kept_table(left.join(right, (left["c"] == right["c"]) & (left["v"] == right["v"]) & (F.col("ga") != F.col("gb"))
-                                     & (~F.col("apart") | (F.col("a") < F.col("b"))) & near).select("a", "b").distinct(), "simhash-links")
+    across, _ = kept_table(verify(left.join(right, (left["c"] == right["c"]) & (left["v"] == right["v"]) & (F.col("ga") != F.col("gb"))
+                                     & (~F.col("apart") | (F.col("a") < F.col("b"))) & near).select("a", "b").distinct()), "simhash-links")
     drop_table(spark, shared_path, tagged_path)
     return to_head.unionByName(across)
 
@@ -117,11 +125,53 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     return fps.join(rooted.select("fp", "g").join(ids, "g").drop("g"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group, with all their columns; rows without doc_id stay."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, shingles)`` of the documents in ``ids(doc_id)``: hashes of their distinct shingles."""
+    if ids.count() <= SMALL_IDS:
+        ids = F.broadcast(ids)
+    own = F.filter(F.split(fold_ascii(F.col("text")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    rows = clean_docs(docs).join(ids, "doc_id", "left_semi").select("doc_id", own.alias("own"))
+    sets = rows.select("doc_id", F.array_distinct(F.transform(shingle_list(F.col("own"), words), lambda s: F.xxhash64(s))).alias("shingles"))
+    return sets.groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
+
+
+def similar(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Those of ``pairs(x, y, …)`` of ids whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    pairs, _ = kept_table(pairs, "simhash-candidates")
+    sets, _ = kept_table(shingle_sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), words), "simhash-sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("_x")), "x").join(
+        sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("_y")), "y")
+    return both.where(9 * F.size(F.array_intersect("_x", "_y")) >= 4 * (F.size("_x") + F.size("_y"))).select(pairs.columns)
+
+
+def similar_links(docs: DataFrame, words: int = 5, bits: int = 6) -> DataFrame:
+    """``(a, b)`` ids of near copies: within ``bits`` bits by their distinct words, and similar by shingles of ``words`` words.
+
+    A few changed words move a fingerprint of shingles by more bits than one of distinct words, so these find the pairs and the
+    shingles decide. Of documents with one fingerprint the least id stands for those that are similar to it.
+    """
+    fps, _ = kept_table(fingerprints(docs, 0).where("doc_id IS NOT NULL"), "simhash-words")
+    nodes, _ = kept_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    same = fps.join(nodes, "fp").where("doc_id > least_id").select(F.col("doc_id").alias("x"), F.col("least_id").alias("y")).distinct()
+    a, b = (nodes.select(F.col("fp").alias(k), F.col("least_id").alias(i)) for k, i in (("a", "x"), ("b", "y")))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return similar(docs, pairs.join(a, "a").join(b, "b"), words).select("a", "b")
+
+    found = links(nodes.select("fp"), nodes.count(), bits, verify).join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return found.unionByName(similar(docs, same, words).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def drop_near(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
+    """The rows of ``docs`` that are the least of their group, with all their columns; rows without doc_id stay.
+
+    Groups are joined by fingerprints within ``bits`` bits and by near copies.
+    """
     (other,) = unused(docs, "_gone")
-    gone, _ = kept_table(
-        near_groups(docs, words, bits).where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct(), "simhash-gone")
+    close = near_groups(docs, words, bits).where("doc_id <> component_id").select(
+        F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct()
+    groups = components(close.unionByName(similar_links(docs, words)))
+    gone, _ = kept_table(groups.where("node <> root").select(F.col("node").alias(other)), "simhash-gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone[other], "left_anti")
 
 
