@@ -2,8 +2,9 @@
 
 The tokens of a line are its distinct words (runs of letters and digits, in lower case). They are ordered by rarity: by the class
 of how often their cell of hashed words occurs in all lines, then by hash. Two lines of m and n tokens that are similar enough
-share one of their first ``n - ceil(0.8 n) + 1`` tokens; pairs that meet there pass the length filter and the positional filter,
-which bounds the overlap by what is left behind the shared token, before their full sets are compared. Lines with the same tokens
+share three of their first ``n - ceil(0.8 n) + 3`` tokens (all, if they have fewer in common); pairs that meet there pass the length
+filter and the positional filter, which bounds the overlap by what is left behind the shared token, and must meet as often as that
+before their full sets are compared. Lines with the same tokens
 are one from the start. In a group of lines that share a token, each is first compared with the earliest; only those that don't
 match it are joined with all others, so a large group of similar lines isn't multiplied out.
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from txnlens.llm.common import clean_docs, drop_table, kept_table, read_documents, unused
 
 SIMILAR = 0.8
+#: Tokens that similar lines share in their prefixes at least.
+MEETINGS = 3
 CELL_BITS = 20
 #: Classes are packed into longs, so many to one.
 CLASS_BITS, PER_LONG = 5, 12
@@ -85,23 +88,22 @@ def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Lines without words are left out by the line itself: a filter on its tokens would be moved below them and make them twice.
     lines = line_rows(docs).where(F.col("line").rlike(r"[\p{L}\p{N}]")).withColumn("tokens", ordered_tokens(F.col("line"), classes)).select(
         "doc_id", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64("tokens", F.lit(1)).alias("b"), n.alias("n"),
-        F.slice("tokens", 1, n - least_overlap(n) + 1).alias("prefix"))
+        F.slice("tokens", 1, n - least_overlap(n) + MEETINGS).alias("prefix"))
     lines, _ = kept_table(lines, "line-rows")
     # The prefix of the earliest line stands for all of them, as they have the same tokens.
     distinct, _ = kept_table(lines.groupBy("a", "b").agg(
         F.min(place()).alias("first"), F.max("n").alias("n"), F.max("prefix").alias("prefix")), "line-distinct")
-    shared = distinct.select("a", "b", "first", "n", F.posexplode("prefix").alias("i", "token"))
-    heads = shared.groupBy("token").agg(F.min(F.struct("first", "a", "b", "n", "i")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    met, met_path = kept_table(shared.join(heads.drop("c"), "token"), "line-prefixes")
+    shared = distinct.select("first", "n", F.posexplode("prefix").alias("i", "token"))
+    heads = shared.groupBy("token").agg(F.min(F.struct("first", "n", "i")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    met, met_path = kept_table(shared.join(heads.drop("c"), "token").select(
+        "token", "first", "n", "i", F.col("h.first").alias("other"), F.col("h.n").alias("m"), F.col("h.i").alias("j")), "line-prefixes")
 
-    pairs, _ = kept_table(met.where((F.col("h.first") < F.col("first")) & possible(
-        F.col("n"), F.col("i"), F.col("h.n"), F.col("h.i"))).select("first", F.col("h.first").alias("other")).distinct(), "line-pairs")
+    pairs, _ = kept_table(often(met.where("other < first")), "line-pairs")
     gone, _ = kept_table(verified(docs, pairs), "line-gone")
     open_ = met.join(gone, "first", "left_anti").select("token", "first", "n", "i")
-    every = met.where((F.col("h.first") < F.col("first"))).select(
-        F.col("token").alias("t"), F.col("first").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"))
-    more, _ = kept_table(open_.join(every, (F.col("token") == F.col("t")) & (F.col("other") < F.col("first")) & possible(
-        F.col("n"), F.col("i"), F.col("m"), F.col("j"))).select("first", "other").distinct(), "line-pairs")
+    every = met.select(F.col("token").alias("t"), F.col("first").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"))
+    near = possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"))
+    more, _ = kept_table(often(open_.join(every, (F.col("token") == F.col("t")) & (F.col("other") < F.col("first")) & near)), "line-pairs")
     gone = gone.unionByName(verified(docs, more))
     drop_table(docs.sparkSession, met_path)
     return lines.select("doc_id", "line_no", "a", "b"), distinct.select("a", "b", "first").join(
@@ -115,6 +117,13 @@ def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
     return fits & (9 * most >= 4 * (n + m))  # overlap >= 0.8 / 1.8 of the sum
 
 
+def often(met: DataFrame) -> DataFrame:
+    """``(first, other)`` of ``met(first, n, i, other, m, j)``, a row a shared token, that pass the filters often enough."""
+    n, m = F.col("n"), F.col("m")
+    rows = met.where(possible(n, F.col("i"), m, F.col("j"))).groupBy("first", "other", "n", "m").count()
+    return rows.where(F.col("count") >= F.least(F.lit(MEETINGS), F.ceil(4 * (n + m) / 9))).select("first", "other")
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(first)`` of the lines in ``pairs(first, other)`` whose words are similar enough to those of one ``other``."""
     wanted, _ = kept_table(pairs.select(F.explode(F.array("first", "other")).alias("p")).distinct(), "line-wanted")
