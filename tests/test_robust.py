@@ -118,3 +118,14 @@ def test_late_rows_see_their_own_day():
     out, _ = state._answer(frame([(1, 4, 20 * hour, 1.0)]), after)
     assert out["tx_count_24h"].tolist() == [2] and out["out_of_order"].tolist() == [1]
     assert np.isfinite(out["amt_24h_mean"]).all()
+
+
+def test_scratch_scope_leaves_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    with session.scratch_scope(spark):
+        kept = session.cut_lineage(spark.range(10))
+        with session.scratch_scope(spark):
+            session.cut_lineage(kept)
+            assert len(list(tmp_path.iterdir())) == 2
+        assert kept.count() == 10 and len(list(tmp_path.iterdir())) == 1
+    assert not list(tmp_path.iterdir())
