@@ -2,15 +2,15 @@
 
 The tokens of a line are its distinct words (runs of letters and digits, in lower case). They are ordered by rarity: by the class
 of how often their cell of hashed words occurs in all lines, then by hash. Two lines of m and n tokens that are similar enough
-share three of their first ``n - ceil(0.8 n) + 3`` tokens (all, if they have fewer in common); pairs that meet there pass the length
-filter and the positional filter, which bounds the overlap by what is left behind the shared token, and must meet as often as that
-before their full sets are compared. Lines with the same tokens
+share three of their first ``n - ceil(0.8 n) + 3`` tokens (all, if they have fewer in common). Pairs that meet there pass the
+length filter and the positional filter, which bounds the overlap by what is left behind the shared token, and differ in few
+enough bits of a parity of their tokens. Those that meet often enough have their full sets compared. Lines with the same tokens
 are one from the start. In a group of lines that share a token, each is first compared with the earliest; only those that don't
 match it are joined with all others, so a large group of similar lines isn't multiplied out.
 
 Earlier means a smaller (doc_id, line number); an earlier line counts whether or not it goes itself. Lines without words stay. A
-null text counts as empty, a null doc_id comes before all others. Of rows that repeat a doc_id, lines with the same number count as one place; where they
-differ, the greater one is compared. An empty table gives an empty result. Only DataFrame functions run.
+null text counts as empty, a null doc_id comes before all others. Of rows that repeat a doc_id, lines with the same number count
+as one place; where they differ, the greater one is compared. An empty table gives an empty result. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from txnlens.llm.common import clean_docs, drop_table, kept_table, read_documents, unused
 
-SIMILAR = 0.8
 #: Tokens that similar lines share in their prefixes at least.
 MEETINGS = 3
 CELL_BITS = 20
@@ -64,6 +63,13 @@ def ordered_tokens(line: Column, classes: Column) -> Column:
         F.shiftrightunsigned(h, 64 - HASH_BITS))))
 
 
+def parity(tokens: str, half: int) -> Column:
+    """64 bits, each flipped by every token that falls on it; the two halves take the tokens between them."""
+    own = F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) == half)
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(own, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(bit(t)))
+
+
 def least_overlap(n: Column) -> Column:
     """``ceil(0.8 n)`` in whole numbers."""
     return F.floor((n * 4 + 4) / 5).cast("int")
@@ -88,40 +94,48 @@ def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Lines without words are left out by the line itself: a filter on its tokens would be moved below them and make them twice.
     lines = line_rows(docs).where(F.col("line").rlike(r"[\p{L}\p{N}]")).withColumn("tokens", ordered_tokens(F.col("line"), classes)).select(
         "doc_id", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64("tokens", F.lit(1)).alias("b"), n.alias("n"),
-        F.slice("tokens", 1, n - least_overlap(n) + MEETINGS).alias("prefix"))
+        F.slice("tokens", 1, n - least_overlap(n) + MEETINGS).alias("prefix"), parity("tokens", 0).alias("u"), parity("tokens", 1).alias("v"))
     lines, _ = kept_table(lines, "line-rows")
     # The prefix of the earliest line stands for all of them, as they have the same tokens.
     distinct, _ = kept_table(lines.groupBy("a", "b").agg(
-        F.min(place()).alias("first"), F.max("n").alias("n"), F.max("prefix").alias("prefix")), "line-distinct")
-    shared = distinct.select("first", "n", F.posexplode("prefix").alias("i", "token"))
-    heads = shared.groupBy("token").agg(F.min(F.struct("first", "n", "i")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    met, met_path = kept_table(shared.join(heads.drop("c"), "token").select(
-        "token", "first", "n", "i", F.col("h.first").alias("other"), F.col("h.n").alias("m"), F.col("h.i").alias("j")), "line-prefixes")
-
-    pairs, _ = kept_table(often(met.where("other < first")), "line-pairs")
+        F.min(place()).alias("first"), F.max("n").alias("n"), F.max("prefix").alias("prefix"), F.max("u").alias("u"), F.max("v").alias("v")),
+        "line-distinct")
+    shared = distinct.select("first", "n", "u", "v", F.posexplode("prefix").alias("i", "token"))
+    heads = shared.groupBy("token").agg(F.min(F.struct("first", "n", "i", "u", "v")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    met, met_path = kept_table(shared.join(heads.drop("c"), "token"), "line-prefixes")
+
+    h = [F.col(f"h.{c}") for c in ("first", "n", "i", "u", "v")]
+    pairs, _ = kept_table(often(met.where(possible(h)).select("first", "n", h[0].alias("other"), h[1].alias("m"))), "line-pairs")
     gone, _ = kept_table(verified(docs, pairs), "line-gone")
-    open_ = met.join(gone, "first", "left_anti").select("token", "first", "n", "i")
-    every = met.select(F.col("token").alias("t"), F.col("first").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"))
-    near = possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"))
-    more, _ = kept_table(often(open_.join(every, (F.col("token") == F.col("t")) & (F.col("other") < F.col("first")) & near)), "line-pairs")
+    open_ = met.join(gone, "first", "left_anti").select("token", "first", "n", "i", "u", "v")
+    every = met.select(F.col("token").alias("t"), F.col("first").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"),
+                       F.col("u").alias("x"), F.col("v").alias("y"))
+    more, _ = kept_table(often(open_.join(every, (F.col("token") == F.col("t")) & possible(
+        [F.col(c) for c in ("other", "m", "j", "x", "y")])).select("first", "n", "other", "m")), "line-pairs")
     gone = gone.unionByName(verified(docs, more))
     drop_table(docs.sparkSession, met_path)
     return lines.select("doc_id", "line_no", "a", "b"), distinct.select("a", "b", "first").join(
         gone.withColumn("gone", F.lit(True)), "first", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
 
 
-def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and positional filter for sets of n and m tokens that share the tokens at i and j."""
-    fits = (5 * F.least(n, m) >= 4 * F.greatest(n, m))
+def possible(other: list[Column]) -> Column:
+    """Whether a line ``(first, n, i, u, v)`` may match the earlier ``other`` one, given a shared token at i and there.
+
+    Length and positional filter, and the parities: every bit that differs is a token that one of the lines lacks.
+    """
+    first, n, i, u, v = (F.col(c) for c in ("first", "n", "i", "u", "v"))
+    before, m, j, x, y = other
     most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return fits & (9 * most >= 4 * (n + m))  # overlap >= 0.8 / 1.8 of the sum
+    apart = F.bit_count(u.bitwiseXOR(x)) + F.bit_count(v.bitwiseXOR(y))
+    # An overlap of 0.8 / 1.8 of the sum leaves a ninth of it apart.
+    return (before < first) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * most >= 4 * (n + m)) & (9 * apart <= n + m)
 
 
 def often(met: DataFrame) -> DataFrame:
-    """``(first, other)`` of ``met(first, n, i, other, m, j)``, a row a shared token, that pass the filters often enough."""
+    """``(first, other)`` of ``met(first, n, other, m)``, a row a shared token, that meet often enough."""
     n, m = F.col("n"), F.col("m")
-    rows = met.where(possible(n, F.col("i"), m, F.col("j"))).groupBy("first", "other", "n", "m").count()
-    return rows.where(F.col("count") >= F.least(F.lit(MEETINGS), F.ceil(4 * (n + m) / 9))).select("first", "other")
+    return met.groupBy("first", "other", "n", "m").count().where(
+        F.col("count") >= F.least(F.lit(MEETINGS), F.ceil(4 * (n + m) / 9))).select("first", "other")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
