@@ -117,14 +117,31 @@ def links(nodes: DataFrame, count: int, bits: int = 4, verify: Callable[[DataFra
 
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row; ``component_id`` is the least ``doc_id`` that chains of links reach."""
-    fps, _ = kept_table(fingerprints(docs, words), "simhash-rows")
-    nodes, _ = kept_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    fps, nodes = fingerprint_nodes(docs, words)
     groups = components(links(nodes.select("fp"), nodes.count(), bits))
     rooted = nodes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("g"))
     ids = rooted.groupBy("g").agg(F.min("least_id").alias("component_id"))
     return fps.join(rooted.select("fp", "g").join(ids, "g").drop("g"), "fp").select("doc_id", "fp", "component_id")
 
 
+def fingerprint_nodes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(doc_id, fp)``, and the distinct fingerprints with their least id."""
+    fps, _ = kept_table(fingerprints(docs, words), "simhash-rows")
+    nodes, _ = kept_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    return fps, nodes
+
+
+def as_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between fingerprints as links ``(x, y)`` between their least ids, with the fingerprints."""
+    a, b = (nodes.select(F.col("fp").alias(k), F.col("least_id").alias(i)) for k, i in (("a", "x"), ("b", "y")))
+    return found.join(a, "a").join(b, "b").where("x IS NOT NULL AND y IS NOT NULL")
+
+
+def to_least(fps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(x, y)``: each other id of a fingerprint with its least one."""
+    return fps.join(nodes, "fp").where("doc_id > least_id").select(F.col("doc_id").alias("x"), F.col("least_id").alias("y")).distinct()
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """``(doc_id, shingles)`` of the documents in ``ids(doc_id)``: hashes of their distinct shingles."""
     if ids.count() <= SMALL_IDS:
@@ -144,22 +161,19 @@ def similar(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("_x", "_y")) >= 4 * (F.size("_x") + F.size("_y"))).select(pairs.columns)
 
 
-def similar_links(docs: DataFrame, words: int = 5, bits: int = 6) -> DataFrame:
-    """``(a, b)`` ids of near copies: within ``bits`` bits by their distinct words, and similar by shingles of ``words`` words.
+def similar_links(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
+    """``(x, y)`` ids of near copies: within ``bits`` bits by their distinct words, and similar by shingles of ``words`` words.
 
     A few changed words move a fingerprint of shingles by more bits than one of distinct words, so these find the pairs and the
     shingles decide. Of documents with one fingerprint the least id stands for those that are similar to it.
     """
-    fps, _ = kept_table(fingerprints(docs, 0).where("doc_id IS NOT NULL"), "simhash-words")
-    nodes, _ = kept_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    same = fps.join(nodes, "fp").where("doc_id > least_id").select(F.col("doc_id").alias("x"), F.col("least_id").alias("y")).distinct()
-    a, b = (nodes.select(F.col("fp").alias(k), F.col("least_id").alias(i)) for k, i in (("a", "x"), ("b", "y")))
+    fps, nodes = fingerprint_nodes(docs, 0)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return similar(docs, pairs.join(a, "a").join(b, "b"), words).select("a", "b")
+        return similar(docs, as_ids(nodes, pairs), words).select("a", "b")
 
-    found = links(nodes.select("fp"), nodes.count(), bits, verify).join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return found.unionByName(similar(docs, same, words).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    found = as_ids(nodes, links(nodes.select("fp"), nodes.count(), bits, verify)).select("x", "y")
+    return found.unionByName(similar(docs, to_least(fps, nodes), words))
 
 
 def drop_near(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
@@ -168,9 +182,9 @@ def drop_near(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
     Groups are joined by fingerprints within ``bits`` bits and by near copies.
     """
     (other,) = unused(docs, "_gone")
-    close = near_groups(docs, words, bits).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct()
-    groups = components(close.unionByName(similar_links(docs, words)))
+    fps, nodes = fingerprint_nodes(docs, words)
+    close = as_ids(nodes, links(nodes.select("fp"), nodes.count(), bits)).select("x", "y").unionByName(to_least(fps, nodes))
+    groups = components(close.unionByName(similar_links(docs, words, bits)).toDF("a", "b"))
     gone, _ = kept_table(groups.where("node <> root").select(F.col("node").alias(other)), "simhash-gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone[other], "left_anti")
 
