@@ -10,6 +10,7 @@ repeat a doc_id each get their own output row. An empty table gives an empty res
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 from math import log2
 
@@ -23,13 +24,15 @@ from txnlens.llm.common import clean_docs, components, drop_table, fold_ascii, k
 from txnlens.llm.license_bands import shingle_list
 
 SEED = 42
+#: Independent fingerprints of the distinct words; near copies are close in one of them, at least.
+SEEDS = (SEED, SEED + 1, SEED + 2)
 #: Shingles whose bits are unpacked at once.
 _SLAB = 1 << 15
 #: Ids that are sent to every task, at most.
 SMALL_IDS = 1_000_000
 
 
-def fingerprint(text: str, words: int = 4) -> int:
+def fingerprint(text: str, words: int = 4, seed: int = SEED) -> int:
     """64 bits; a bit is 1 where it is set in over half the hashes of the shingles. With no ``words``, of the distinct words."""
     parts = text.encode("utf-8", "replace").lower().split()
     if not words:
@@ -45,7 +48,7 @@ def fingerprint(text: str, words: int = 4) -> int:
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         shingles = [line[s:e] for s, e in zip(starts[:len(parts) - words + 1].tolist(), ends[words - 1:].tolist())]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _SLAB):
         octets = hashes[at:at + _SLAB].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -54,11 +57,11 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = SEED) -> DataFrame:
     """``(doc_id, fp)`` of every row; ``fp`` holds the 64 bits in a signed long."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
+            fps = np.array([fingerprint(t, words, seed) for t in batch["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
 
     return clean_docs(docs).mapInPandas(run, "doc_id long, fp long")
@@ -124,9 +127,9 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     return fps.join(rooted.select("fp", "g").join(ids, "g").drop("g"), "fp").select("doc_id", "fp", "component_id")
 
 
-def fingerprint_nodes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+def fingerprint_nodes(docs: DataFrame, words: int, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The rows ``(doc_id, fp)``, and the distinct fingerprints with their least id."""
-    fps, _ = kept_table(fingerprints(docs, words), "simhash-rows")
+    fps, _ = kept_table(fingerprints(docs, words, seed), "simhash-rows")
     nodes, _ = kept_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
     return fps, nodes
 
@@ -161,30 +164,35 @@ def similar(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("_x", "_y")) >= 4 * (F.size("_x") + F.size("_y"))).select(pairs.columns)
 
 
-def similar_links(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
+def similar_links(docs: DataFrame, words: int = 5, bits: int = 6, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """``(x, y)`` ids of near copies: within ``bits`` bits by their distinct words, and similar by shingles of ``words`` words.
 
     A few changed words move a fingerprint of shingles by more bits than one of distinct words, so these find the pairs and the
-    shingles decide. Of documents with one fingerprint the least id stands for those that are similar to it.
+    shingles decide. How far it moves differs from one hash to another, so the words are hashed under several ``seeds`` and one
+    close fingerprint is enough. Of documents with one fingerprint the least id stands for those that are similar to it.
     """
-    fps, nodes = fingerprint_nodes(docs, 0)
+    found = []
+    for seed in seeds:
+        fps, nodes = fingerprint_nodes(docs, 0, seed)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return similar(docs, as_ids(nodes, pairs), words).select("a", "b")
+        def verify(pairs: DataFrame, nodes: DataFrame = nodes) -> DataFrame:
+            return similar(docs, as_ids(nodes, pairs), words).select("a", "b")
 
-    found = as_ids(nodes, links(nodes.select("fp"), nodes.count(), bits, verify)).select("x", "y")
-    return found.unionByName(similar(docs, to_least(fps, nodes), words))
+        found.append(as_ids(nodes, links(nodes.select("fp"), nodes.count(), bits, verify)).select("x", "y"))
+        found.append(similar(docs, to_least(fps, nodes), words))
+    return reduce(DataFrame.unionByName, found)
 
 
-def drop_near(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
+def drop_near(docs: DataFrame, words: int = 5, bits: int = 4, word_bits: int = 6, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """The rows of ``docs`` that are the least of their group, with all their columns; rows without doc_id stay.
 
-    Groups are joined by fingerprints within ``bits`` bits and by near copies.
+    Groups are joined by fingerprints within ``bits`` bits and by near copies, those within ``word_bits`` bits by their words
+    under one of ``seeds``.
     """
     (other,) = unused(docs, "_gone")
     fps, nodes = fingerprint_nodes(docs, words)
     close = as_ids(nodes, links(nodes.select("fp"), nodes.count(), bits)).select("x", "y").unionByName(to_least(fps, nodes))
-    groups = components(close.unionByName(similar_links(docs, words, bits)).toDF("a", "b"))
+    groups = components(close.unionByName(similar_links(docs, words, word_bits, seeds)).toDF("a", "b"))
     gone, _ = kept_table(groups.where("node <> root").select(F.col("node").alias(other)), "simhash-gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone[other], "left_anti")
 
