@@ -506,6 +506,32 @@ def test_near_copies_under_several_hashes(spark):
     assert sum(caught[1]) >= 50 and sum(caught[1]) >= sum(caught[0]) + 5
 
 
+def test_near_copies_of_permuted_words_go(spark):
+    """Texts of one word set in several orders, each with near copies of the same words or a few others."""
+    from txnlens.llm.common import components
+
+    rng = random.Random(41)
+    rows = []
+    for i in range(4):
+        words = list(dict.fromkeys(prose(rng, 130, 5000).split()))
+        for k in range(3):
+            rng.shuffle(words)
+            swapped = list(words)
+            for at in (20, 100):
+                swapped[at], swapped[at + 1] = swapped[at + 1], swapped[at]
+            rows += [(100 * i + 10 * k, " ".join(words)), (100 * i + 10 * k + 1, " ".join(swapped)),
+                     (100 * i + 10 * k + 2, " ".join(["other", *words[1:]]))]
+    links = simhash_blocks.similar_links(frame(spark, rows).repartition(4))
+    found = {r.node: r.root for r in components(links.toDF("a", "b")).collect()}
+    texts, near = dict(rows), {}
+    for i, _ in rows:
+        near[i] = min(j for j in texts if j // 10 == i // 10 and (j == i or (
+            len(shingle_set(texts[i]) & shingle_set(texts[j])) * 9 >= 4 * (len(shingle_set(texts[i])) + len(shingle_set(texts[j])))
+            and (distinct_fingerprint(texts[i]) ^ distinct_fingerprint(texts[j])).bit_count() <= 6)))
+    assert {i: found.get(i, i) for i in texts} == near
+    assert all(near[i] == i - 1 for i in texts if i % 10 == 1)
+
+
 def test_links_over_chains(spark):
     """Long chains, tight clouds and blocks of any number give the components of all pairs."""
     rng = random.Random(10)

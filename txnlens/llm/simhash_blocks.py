@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import clean_docs, components, drop_table, fold_ascii, kept_table, read_documents, unused
-from txnlens.llm.license_bands import shingle_list
+from txnlens.llm.common import clean_docs, components, drop_table, kept_table, read_documents, unused
 
 SEED = 42
 #: Independent fingerprints of the distinct words; near copies are close in one of them, at least.
@@ -32,23 +31,31 @@ _SLAB = 1 << 15
 SMALL_IDS = 1_000_000
 
 
+def shingles_of(parts: list[bytes], words: int) -> list[bytes]:
+    """Runs of ``words`` words, repeats included; of fewer words the whole."""
+    if len(parts) <= words:
+        return [b" ".join(parts)] if parts else []
+    line = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return [line[s:e] for s, e in zip(starts[:len(parts) - words + 1].tolist(), ends[words - 1:].tolist())]
+
+
+def split_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def _hashes(shingles: list[bytes], seed: int = SEED) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
+
+
 def fingerprint(text: str, words: int = 4, seed: int = SEED) -> int:
     """64 bits; a bit is 1 where it is set in over half the hashes of the shingles. With no ``words``, of the distinct words."""
-    parts = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        parts = list(dict.fromkeys(parts))
-    if not parts:
-        return 0
-    if not words:
-        shingles = parts
-    elif len(parts) <= words:
-        shingles = [b" ".join(parts)]
-    else:
-        line = b" ".join(parts)
-        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        shingles = [line[s:e] for s, e in zip(starts[:len(parts) - words + 1].tolist(), ends[words - 1:].tolist())]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
+    parts = split_words(text)
+    return _majority(_hashes(shingles_of(parts, words) if words else list(dict.fromkeys(parts)), seed))
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _SLAB):
         octets = hashes[at:at + _SLAB].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -86,34 +93,43 @@ def block_masks(m: int, bits: int) -> list[int]:
     return [sum(blocks[i] for i in kept) for kept in combinations(range(m), m - bits)]
 
 
-def links(nodes: DataFrame, count: int, bits: int = 4, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def links(nodes: DataFrame, count: int, bits: int = 4, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+          tables: list[str] | None = None) -> DataFrame:
     """``(a, b)`` fingerprints of ``nodes(fp)`` (distinct) whose components are those of all pairs within ``bits`` bits.
 
     First every fingerprint is compared with the least one under each of its keys, which costs one comparison a key and
     joins most of a large group. After that only fingerprints outside the component of that least one are compared with the
     others under the key, so a group of near copies isn't multiplied out. ``verify`` keeps those of some pairs ``(a, b)``
-    that count as links.
+    that count as links. With ``tables``, ``fp`` only names a node, and its fingerprints are in these columns; a pair is within
+    ``bits`` bits if it is in one of them, and nodes may have equal fingerprints.
     """
     spark = nodes.sparkSession
     masks = [_signed(x) for x in block_masks(block_count(count, bits), bits)]
-    choices = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(x)).alias("v")) for i, x in enumerate(masks)])
-    keys = nodes.select("fp", F.explode(choices).alias("k")).select("fp", "k.c", "k.v")
-    heads = keys.groupBy("c", "v").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = ["f"] if tables else []
+    choices = F.array(*[F.struct(F.lit(t * len(masks) + i).alias("c"), F.col(name).bitwiseAND(F.lit(x)).alias("v"), *[F.col(name).alias(f) for f in own])
+                        for t, name in enumerate(tables or ["fp"]) for i, x in enumerate(masks)])
+    keys = nodes.select("fp", F.explode(choices).alias("k")).select("fp", "k.c", "k.v", *[f"k.{f}" for f in own])
+    heads = keys.groupBy("c", "v").agg(
+        F.min("fp").alias("head"), F.count("*").alias("n"), *[F.min_by(f, "fp").alias(f"head_{f}") for f in own]).where("n > 1").drop("n")
     shared, shared_path = kept_table(keys.join(heads, ["c", "v"]), "simhash-keys")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
+    near = F.bit_count(F.col("fa" if tables else "a").bitwiseXOR(F.col("fb" if tables else "b"))) <= bits
+    # Nodes of equal fingerprints share all keys and meet under the first one alone.
+    once = (F.col("fa") != F.col("fb")) | (F.col("c") % len(masks) == 0) if tables else F.lit(True)
     to_head, _ = kept_table(verify(
-        shared.select(F.col("fp").alias("a"), F.col("head").alias("b")).where("a <> b").where(near).distinct()), "simhash-links")
+        shared.select(F.col("fp").alias("a"), F.col("head").alias("b"), "c", *[F.col(x).alias(y) for f in own for x, y in ((f, "fa"), (f"head_{f}", "fb"))])
+        .where("a <> b").where(near).where(once).select("a", "b").distinct()), "simhash-links")
     group, _ = kept_table(components(to_head), "simhash-groups")
-    own = shared.join(group, F.col("fp") == F.col("node"), "left").select(
-        "c", "v", "fp", "head", F.coalesce("root", "fp").alias("g"))
+    grouped = shared.join(group, F.col("fp") == F.col("node"), "left").select(
+        "c", "v", "fp", *own, "head", F.coalesce("root", "fp").alias("g"))
     head_group = group.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
     tagged, tagged_path = kept_table(
-        own.join(head_group, "head", "left").select("c", "v", "fp", "g", (F.col("g") != F.coalesce("head_root", "head")).alias("apart")),
-        "simhash-tagged")
-    left = tagged.where("apart").select("c", "v", F.col("fp").alias("a"), F.col("g").alias("ga"))
-    right = tagged.select("c", "v", F.col("fp").alias("b"), F.col("g").alias("gb"), "apart")
-    across, _ = kept_table(verify(left.join(right, (left["c"] == right["c"]) & (left["v"] == right["v"]) & (F.col("ga") != F.col("gb"))
-                                     & (~F.col("apart") | (F.col("a") < F.col("b"))) & near).select("a", "b").distinct()), "simhash-links")
+        grouped.join(head_group, "head", "left").select(
+            "c", "v", "fp", *own, "g", (F.col("g") != F.coalesce("head_root", "head")).alias("apart")), "simhash-tagged")
+    left = tagged.where("apart").select("c", "v", F.col("fp").alias("a"), F.col("g").alias("ga"), *[F.col(f).alias("fa") for f in own])
+    right = tagged.select(
+        F.col("c").alias("_c"), F.col("v").alias("_v"), F.col("fp").alias("b"), F.col("g").alias("gb"), "apart", *[F.col(f).alias("fb") for f in own])
+    across, _ = kept_table(verify(left.join(right, (F.col("c") == F.col("_c")) & (F.col("v") == F.col("_v")) & (F.col("ga") != F.col("gb"))
+                                     & (~F.col("apart") | (F.col("a") < F.col("b"))) & near & once).select("a", "b").distinct()), "simhash-links")
     drop_table(spark, shared_path, tagged_path)
     return to_head.unionByName(across)
 
@@ -134,34 +150,67 @@ def fingerprint_nodes(docs: DataFrame, words: int, seed: int = SEED) -> tuple[Da
     return fps, nodes
 
 
-def as_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Links between fingerprints as links ``(x, y)`` between their least ids, with the fingerprints."""
-    a, b = (nodes.select(F.col("fp").alias(k), F.col("least_id").alias(i)) for k, i in (("a", "x"), ("b", "y")))
+def as_ids(nodes: DataFrame, found: DataFrame, key: str = "fp") -> DataFrame:
+    """Links between nodes as links ``(x, y)`` between their least ids, with the nodes."""
+    a, b = (nodes.select(F.col(key).alias(k), F.col("least_id").alias(i)) for k, i in (("a", "x"), ("b", "y")))
     return found.join(a, "a").join(b, "b").where("x IS NOT NULL AND y IS NOT NULL")
 
 
-def to_least(fps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(x, y)``: each other id of a fingerprint with its least one."""
-    return fps.join(nodes, "fp").where("doc_id > least_id").select(F.col("doc_id").alias("x"), F.col("least_id").alias("y")).distinct()
+def to_least(rows: DataFrame, nodes: DataFrame, key: str = "fp") -> DataFrame:
+    """``(x, y)``: each other id of a node with its least one."""
+    return rows.join(nodes, key).where("doc_id > least_id").select(F.col("doc_id").alias("x"), F.col("least_id").alias("y")).distinct()
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles, in order."""
+    return np.unique(_hashes(shingles_of(split_words(text), words)))
+
+
+def _digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes())
+
+
+def text_nodes(docs: DataFrame, words: int, seeds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(doc_id, node, …)`` with a digest of the shingle set, and the distinct nodes with their least id.
+
+    The other columns, ``f0`` and so on, are the fingerprints of the distinct words under each of ``seeds``.
+    """
+    names = [f"f{i}" for i in range(len(seeds))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = np.array([[_digest(shingle_set(t, words)), *(fingerprint(t, 0, s) for s in seeds)] for t in batch["text"]],
+                              np.uint64).reshape(-1, 1 + len(seeds)).view(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"]} | {c: values[:, i] for i, c in enumerate(["node", *names])})
+
+    found = clean_docs(docs).mapInPandas(run, ", ".join(f"{c} long" for c in ["doc_id", "node", *names]))
+    rows, _ = kept_table(found.where("doc_id IS NOT NULL"), "simhash-texts")
+    nodes, _ = kept_table(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.min(f).alias(f) for f in names]), "simhash-nodes")
+    return rows, nodes
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, shingles)`` of the documents in ``ids(doc_id)``: hashes of their distinct shingles."""
+    """``(node, shingles)`` of the documents in ``ids(doc_id)``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch["text"]]
+            nodes = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"node": nodes, "shingles": [s.view(np.int64) for s in sets]})
+
     if ids.count() <= SMALL_IDS:
         ids = F.broadcast(ids)
-    own = F.filter(F.split(fold_ascii(F.col("text")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    rows = clean_docs(docs).join(ids, "doc_id", "left_semi").select("doc_id", own.alias("own"))
-    sets = rows.select("doc_id", F.array_distinct(F.transform(shingle_list(F.col("own"), words), lambda s: F.xxhash64(s))).alias("shingles"))
-    return sets.groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
+    sets = clean_docs(docs).join(ids, "doc_id", "left_semi").mapInPandas(run, "node long, shingles array<long>")
+    return sets.groupBy("node").agg(F.max("shingles").alias("shingles"))
 
 
-def similar(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Those of ``pairs(x, y, …)`` of ids whose shingle sets have a Jaccard similarity of 0.8 or more."""
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` of nodes whose shingle sets have a Jaccard similarity of 0.8 or more."""
     pairs, _ = kept_table(pairs, "simhash-candidates")
-    sets, _ = kept_table(shingle_sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), words), "simhash-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("_x")), "x").join(
-        sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("_y")), "y")
-    return both.where(9 * F.size(F.array_intersect("_x", "_y")) >= 4 * (F.size("_x") + F.size("_y"))).select(pairs.columns)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets, _ = kept_table(shingle_sets(docs, nodes.join(ends, "node").select(F.col("least_id").alias("doc_id")).distinct(), words), "simhash-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
+    return both.where(9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")
 
 
 def similar_links(docs: DataFrame, words: int = 5, bits: int = 6, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
@@ -169,18 +218,15 @@ def similar_links(docs: DataFrame, words: int = 5, bits: int = 6, seeds: tuple[i
 
     A few changed words move a fingerprint of shingles by more bits than one of distinct words, so these find the pairs and the
     shingles decide. How far it moves differs from one hash to another, so the words are hashed under several ``seeds`` and one
-    close fingerprint is enough. Of documents with one fingerprint the least id stands for those that are similar to it.
+    close fingerprint is enough. Only documents of equal shingle sets are one node: the same words in another order are
+    another node under the same fingerprint, with near copies of its own.
     """
-    found = []
-    for seed in seeds:
-        fps, nodes = fingerprint_nodes(docs, 0, seed)
-
-        def verify(pairs: DataFrame, nodes: DataFrame = nodes) -> DataFrame:
-            return similar(docs, as_ids(nodes, pairs), words).select("a", "b")
-
-        found.append(as_ids(nodes, links(nodes.select("fp"), nodes.count(), bits, verify)).select("x", "y"))
-        found.append(similar(docs, to_least(fps, nodes), words))
-    return reduce(DataFrame.unionByName, found)
+    rows, nodes = text_nodes(docs, words, seeds)
+    # One after the other, as the keys of all at once would take that many times the disk.
+    found = reduce(DataFrame.unionByName, [
+        links(nodes.select(F.col("node").alias("fp"), f"f{i}"), nodes.count(), bits, lambda pairs: similar(docs, nodes, pairs, words), [f"f{i}"])
+        for i in range(len(seeds))])
+    return as_ids(nodes, found, "node").select("x", "y").unionByName(to_least(rows, nodes, "node"))
 
 
 def drop_near(docs: DataFrame, words: int = 5, bits: int = 4, word_bits: int = 6, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
