@@ -186,6 +186,20 @@ def test_guess_cost_is_the_least_over_all_cuts():
     assert whole("x" * 50 + "Kq9" * 400) > 0 and whole("") == 0.0
 
 
+def test_values_of_one_class_and_quoted_values():
+    words = guess_cost.load_words(WORD_FILE)
+    for text, value in (
+            ("pwd=xkqjvzwmptblr", "xkqjvzwmptblr"), ("passphrase: qzxjvkwpbnmtr", "qzxjvkwpbnmtr"),
+            ("api-key: 83749201837465920183", "83749201837465920183"), ("password is xkqjvzwmptblr", "xkqjvzwmptblr"),
+            ("pwd=!#%&*^~|!#%&", "!#%&*^~|!#%&"), ('pwd="aB3,kd;92x!"', "aB3,kd;92x!"), ("pwd='k<3>q zB,x'", "k<3>q zB,x"),
+            ('pwd="aB3\\"kd;92x!" and more', 'aB3\\"kd;92x!'), ('pwd="aB3,kd;92x!\nxkqjvzwm', None), ('pwd="aB3xkd92xq\nnext', "aB3xkd92xq"),
+            ("login: authentication", None), ("password is incorrect", None), ("pwd=qwertyuiop", None), ("pwd: 20240131", None)):
+        found = [text[a:b] for a, k, b in guess_cost.find_spans(text, words) if k == 3]
+        assert found == ([value] if value else []), text
+        if value:
+            assert value not in guess_cost.mask_spans(text, guess_cost.find_spans(text, words))
+
+
 def test_masked_keeps_rows_and_columns(odd, odd_rows):
     out = guess_cost.masked(odd, WORD_FILE)
     assert out.columns == odd.columns and out.count() == len(odd_rows)

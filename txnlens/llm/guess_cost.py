@@ -38,7 +38,8 @@ NEEDED = (b"passw", b"passphrase", b"passcode", b"secret", b"token", b"apikey",
 CONTEXT = re.compile(
     r"""(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key"""
     r"""|signing[_-]?key|credentials?|authorization|bearer|login)["']?"""
-    r"""(?:[ \t]{0,8}(?:[:=]|=>|:=)[ \t]{0,8}|[ \t]{1,8}(?:is|was)[ \t]{1,8})["']?([^\s"'<>,;]{8,})""", re.I | re.A)
+    r"""(?:[ \t]{0,8}(?:[:=]|=>|:=)[ \t]{0,8}|[ \t]{1,8}(?:is|was)[ \t]{1,8})"""
+    r"""(?:"((?:\\.|[^"\\\r\n]){8,})"|'((?:\\.|[^'\\\r\n]){8,})'|["']?([^\s"'<>,;]{8,}))""", re.I | re.A)
 #: Keyboard rows and sequences that walks follow.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p")
 SEQUENCES = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
@@ -127,10 +128,10 @@ def find_spans(text: str, words: dict[str, float]) -> list[tuple[int, int, int]]
     if any(k in octets for k in NEEDED):
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".)]}")
-            mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]")) >= 2
-            if len(value) >= 8 and mixed and guess_cost(value, words, MIN_COST) >= MIN_COST:
-                spans.append((m.start(1), 3, m.start(1) + len(value)))
+            # A quoted value runs to its closing quote.
+            value = m[m.lastindex] if m.lastindex < 3 else m[3].rstrip(".)]}")
+            if len(value) >= 8 and guess_cost(value, words, MIN_COST) >= MIN_COST:
+                spans.append((m.start(m.lastindex), 3, m.start(m.lastindex) + len(value)))
     return sorted(spans)
 
 
