@@ -314,6 +314,16 @@ def test_pieces_cover_every_document(odd, odd_rows, empty):
     assert harmonic_pack.pack(empty, BYTE_FILE).count() == 0
 
 
+def test_long_white_space():
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(BYTE_FILE)
+    encode = harmonic_pack.byte_encoder(BYTE_FILE)
+    long = 1_200_000
+    for text in (" " * long, "a b" + " " * long + "c d", "x" + "\n" * long + "y", " \t" * (long // 2) + "<|endoftext|> z", "\u3000" * 150_000 + "é",
+                 "one" + " " * 100_000 + "\x1c two", "\n" * 100_000 + " " + " " * 99_999, "p" + " " * 99_999 + "q"):
+        assert encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_cut_lengths():
     sizes = harmonic_pack.slot_sizes()
     for n in range(1, 3000):

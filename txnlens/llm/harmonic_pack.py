@@ -14,6 +14,7 @@ merges are run from the same file by a faster library.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: The split pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The characters of ``\s`` in it, and the run of them from which the pattern isn't tried: its matcher's stack ends at a million.
+WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,7 +57,20 @@ def byte_encoder(vocabulary: str):
     alphabet, special = byte_alphabet(), {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     core = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: core.encode_to_numpy(text, allowed_special="all")
+    runs = re.compile(f"(?<![{WHITE}])[{WHITE}]{{{LONG_RUN},}}")
+
+    def encode(text: str) -> np.ndarray:
+        parts, at = [], 0
+        for m in runs.finditer(text) if len(text) >= LONG_RUN else ():
+            # One piece: the whole run before the end or a special token, else all but the last character.
+            end = m.end() if m.end() == len(text) or any(text.startswith(t, m.end()) for t in special) else m.end() - 1
+            parts.append(core.encode_to_numpy(text[at:m.start()], allowed_special="all"))
+            parts.append(np.array(core._encode_single_piece(text[m.start():end]), np.uint32))
+            at = end
+        rest = core.encode_to_numpy(text[at:], allowed_special="all")
+        return np.concatenate((*parts, rest)) if parts else rest
+
+    return encode
 
 
 def slot_sizes(capacity: int = CAPACITY) -> list[int]:
