@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from txnlens.llm import exact_stream, guess_cost, harmonic_pack, imatch, license_bands, line_join, projection_forest, quality_trees, simhash_blocks, stream_bpe, suffix_merge
+from txnlens.llm import cover_codes, exact_stream, guess_cost, harmonic_pack, imatch, license_bands, line_join, projection_forest, quality_trees, simhash_blocks, stream_bpe, suffix_merge
 
 QUERIES = {
     "op1_license_scan": license_bands.op1,
     "op10_line_dedup": line_join.op10,
     "op11_nearest_neighbours": projection_forest.op11,
+    "op12_vector_codes": cover_codes.op12,
     "op2_quality_classifier": quality_trees.op2,
     "op3_exact_dedup": exact_stream.op3,
     "op4_secret_scan": guess_cost.op4,
@@ -20,4 +21,5 @@ QUERIES = {
 ORACLE = {
     "op1_license_scan": license_bands.oracle(),
     "op3_exact_dedup": exact_stream.ORACLE,
+    "op12_vector_codes": cover_codes.ORACLE,
 }
