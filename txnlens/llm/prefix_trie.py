@@ -92,7 +92,7 @@ def nodes_of(paths: DataFrame) -> DataFrame:
         F.sum(F.col("size") - F.col("pos") + 1).alias("weight"), F.sum((F.col("pos") == F.col("size")).cast("long")).alias("ends"),
         F.when(same, 0).otherwise(F.raise_error(F.lit("two prefixes share a digest"))).alias("checked"))
     return found.select(
-        "node", "parent", "depth", "conv", "n_convs", "weight", "ends", "checked", F.lit(0).cast("long").alias("children"),
+        "node", "parent", "depth", (F.col("depth") - 1).alias("up"), "conv", "n_convs", "weight", "ends", "checked", F.lit(0).cast("long").alias("children"),
         (F.col("ends") == F.col("n_convs")).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"))
 
 
@@ -145,27 +145,30 @@ class SpillingQueue:
         return heapq.heappop(self.heap)
 
 
-FORWARD = ["node", "parent", "depth", "conv", "n_convs", "shard", "children", "leaves", "saved"]
+FORWARD = ["node", "parent", "depth", "up", "conv", "n_convs", "shard", "children", "leaves", "saved"]
 
 
 def forward(nodes: DataFrame, held: int = HELD) -> DataFrame:
-    """Totals of each node over its subtree within its shard; ``children``, ``leaves`` and ``saved`` come in as what it has by itself."""
+    """Totals of each node over its subtree within its shard; ``children``, ``leaves`` and ``saved`` come in as what it has by itself.
+
+    ``up`` is the depth of the parent.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queue = SpillingQueue(held)
         for batch in batches:
             out = []
-            for node, parent, depth, shard, children, leaves, saved in zip(
-                    *(batch[c].tolist() for c in ("node", "parent", "depth", "shard", "children", "leaves", "saved"))):
+            for node, parent, depth, up, shard, children, leaves, saved in zip(
+                    *(batch[c].tolist() for c in ("node", "parent", "depth", "up", "shard", "children", "leaves", "saved"))):
                 while (m := queue.peek()) is not None and m[0] == -depth and m[1] == node:
                     queue.pop()
                     children, leaves, saved = children + 1, leaves + m[2], saved + m[3]
                 out.append((children, leaves, saved))
                 if node != shard:
-                    queue.push((1 - depth, parent, leaves, saved))
+                    queue.push((-up, parent, leaves, saved))
             yield batch.assign(**dict(zip(("children", "leaves", "saved"), map(list, zip(*out))))) if out else batch
 
     ordered = nodes.select(*FORWARD).repartition("shard").sortWithinPartitions(F.desc("depth"), "node")
-    return ordered.mapInPandas(run, "node string, parent string, depth long, conv long, n_convs long, shard string, children long, leaves long, saved long")
+    return ordered.mapInPandas(run, "node string, parent string, depth long, up long, conv long, n_convs long, shard string, children long, leaves long, saved long")
 
 
 def _with_messages(nodes: DataFrame, totals: DataFrame) -> DataFrame:
@@ -198,11 +201,12 @@ def subtree_totals(paths: DataFrame, nodes: DataFrame, limit: int = LIMIT, held:
     local, _ = kept_table(forward(high, held), "trie-local")
     # The heavy shards as a tree: a path of a conversation holds each of them once.
     first = local.where("node = shard").select("node", F.col("parent").alias("_parent"), "depth", "conv", "n_convs", "leaves", "saved")
-    owner = high.select(F.col("node").alias("_parent"), F.col("shard").alias("parent"), "q")
+    owner = high.select(F.col("node").alias("_parent"), F.col("shard").alias("parent"))
     weights = high.where("node = shard").select("node", (2 * F.col("q") - 1).alias("weight"))
+    above_top = first.select(F.col("node").alias("parent"), F.col("depth").alias("up"))
     smaller, _ = kept_table(
-        first.join(owner.drop("q"), "_parent", "left").join(weights, "node").select(
-            "node", "parent", "depth", "conv", "n_convs", "weight", F.lit(0).cast("long").alias("children"), "leaves", "saved"), "trie-contracted")
+        first.join(owner, "_parent", "left").join(above_top, "parent", "left").join(weights, "node").select(
+            "node", "parent", "depth", F.coalesce("up", F.lit(-1).cast("long")).alias("up"), "conv", "n_convs", "weight", F.lit(0).cast("long").alias("children"), "leaves", "saved"), "trie-contracted")
     above = subtree_totals(tops.where("q > 0").select("conv", "pos", F.col("shard").alias("node")), smaller, limit, held)
     # Their totals belong to the node that the top of the shard hangs on.
     sent = above.select("node", "leaves", "saved").join(first.select("node", F.col("_parent").alias("parent")), "node").where("parent IS NOT NULL")

@@ -312,7 +312,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, target
 
     def compare(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or own.empty:
-            return pd.DataFrame({"q": [], "ids": [], "score": []})
+            return pd.DataFrame([], columns=["q", "ids", "score"], dtype=object)
         first = own["ids"].map(lambda x: x[0]).to_numpy(np.int64)
         q, e, s = rerank(matrix(queries["v"], dim), list(queries["leaves"]), matrix(own["v"], dim), own["leaf"].to_numpy(), first, top)
         return pd.DataFrame({"q": queries["q"].to_numpy()[q], "ids": own["ids"].to_numpy()[e], "score": s})
