@@ -19,7 +19,7 @@ from txnlens.roles import MICROS, Roles
 from txnlens.session import cut_lineage, scratch_path
 from txnlens.sources import sinks, tables
 from txnlens.sources.tables import read_table
-from txnlens.streaming import rates, sources, state
+from txnlens.streaming import labels, rates, sources, state
 from txnlens.streaming.batches import FeatureBatches
 
 # ---------------------------------------------------------------- sources and sinks
@@ -603,9 +603,32 @@ def _(spark, d):
     return done.agg(F.count(F.lit(1)).alias("processed")).withColumn("backlog", pending.scalar())
 
 
-@query("label_promotion", f"""WITH {EV} SELECT event_id AS id, count(*) OVER w AS ready, {sq("(coalesce(sum(y) OVER w, 0) + 10 * 0.035) / (count(*) OVER w + 10)", 8)} AS target_enc FROM ev
-WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {LAG_S * MICROS} PRECEDING)""")
+_ENCODED = f"""SELECT event_id AS id, count(*) OVER w AS ready, {sq("(coalesce(sum(y) OVER w, 0) + 10 * 0.035) / (count(*) OVER w + 10)", 8)} AS target_enc FROM ev
+WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {LAG_S * MICROS} PRECEDING)"""
+
+
+@query("label_in_row_stream", f"WITH {EV} {_ENCODED}")
 def _(spark, d):
     out = sources.run_append(state.stream_label_encoding(_event_stream(spark, d), 0.035, LAG_S), "labels")
     return rounded(out.select("id", "ready", "target_enc"), target_enc=8)
 
+
+@query("label_promotion", f"WITH {EV} {_ENCODED}")
+def _(spark, d):
+    """Labels come k hours after their transactions, every seventh one twice, and in two triggers dealt by neither time nor entity."""
+    base = scratch_path(spark, "promotion")
+    e = events(spark, d).select("event_id", "user_id", "t", "y", "k")
+    known = F.col("t") + F.col("k") * 3_600_000_000
+    again = F.explode(F.when(F.col("event_id") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    feed = e.withColumn("known", known).withColumn("_again", again).drop("k", "_again")
+    # What ends a stream moves the watermark past all rows.
+    end = e.agg(F.max("t").alias("t")).select(
+        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), (F.col("t") + 400 * 86_400 * MICROS).alias("t"))
+    out, offsets = os.path.join(base, "out"), os.path.join(base, "offsets")
+    deals = [(e.where(F.col("event_id") % 2 == i), feed.where(F.col("event_id") % 5 % 2 == i)) for i in range(2)]
+    for tx, labels_ in [*deals, (end, end.select("*", F.lit(0).alias("y"), F.col("t").alias("known")))]:
+        tx.select("event_id", "user_id", "t").write.mode("append").parquet(os.path.join(base, "tx"))
+        labels_.select("event_id", "user_id", "t", "y", "known").write.mode("append").parquet(os.path.join(base, "feed"))
+        both = [sources.stream_transactions(spark, "parquet", os.path.join(base, n), spark.read.parquet(os.path.join(base, n)).schema) for n in ("tx", "feed")]
+        sources.run_append_to(labels.promoted_label_encoding(*both, 0.035, LAG_S, delay="365 days", slice_s=LAG_S), out, offsets, store=sources.ROCKSDB)
+    return rounded(spark.read.parquet(out).where("id IS NOT NULL").select("id", "ready", "target_enc"), target_enc=8)

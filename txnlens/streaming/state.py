@@ -122,16 +122,21 @@ def stream_features(stream: DataFrame, roles: Roles = Roles(), time: str | None
     return narrow.groupBy("entity").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
 
-LABEL_STATE = "n long, y long, wait_t array<long>, wait_y array<long>"
+LABEL_STATE = "n long, y long, wait_t array<long>, wait_y array<long>, gone long"
+_LONG_AGO = -(1 << 60)
 
 
 def stream_label_encoding(stream: DataFrame, prior: float, lag_s: int, roles: Roles = Roles(),
                           weight: float = fixed.TARGET_PRIOR_WEIGHT) -> DataFrame:
-    """Smoothed label rate of the entity from labels at least ``lag_s`` old; younger ones wait in state."""
-    lag = lag_s * MICROS
+    """Smoothed label rate of the entity from labels at least ``lag_s`` old; younger ones wait in state.
+
+    For labels that come in the transaction's own row; ``streaming.labels`` takes them from a feed. Labels stay in the list for as long
+    as a late row may still ask for an earlier time; a row later than that gets no encoding.
+    """
+    lag, back = lag_s * MICROS, fixed.MAX_BACKDATE_S * MICROS
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, y, wait_t, wait_y = tuple(state.get) if state.exists else (0, 0, [], [])
+        n, y, wait_t, wait_y, gone = tuple(state.get) if state.exists else (0, 0, [], [], _LONG_AGO)
         pdf = pd.concat(list(frames)).sort_values(["t", "id"], kind="stable")
         t = pdf["t"].to_numpy(np.int64)
         all_t = np.concatenate((np.asarray(wait_t, np.int64), t))
@@ -140,17 +145,21 @@ def stream_label_encoding(stream: DataFrame, prior: float, lag_s: int, roles: Ro
         all_t, all_y = all_t[place], all_y[place]
         hits = np.concatenate(([0], np.cumsum(all_y)))
         ready = np.searchsorted(all_t, t - lag, side="right")
+        rate = (y + hits[ready] + weight * prior) / (n + ready + weight)
+        known = t >= gone
         yield pd.DataFrame({
-            "entity": pdf["entity"].to_numpy(), "id": pdf["id"].to_numpy(), "ready": n + ready,
-            "target_enc": (y + hits[ready] + weight * prior) / (n + ready + weight)})
-        cut = int(np.searchsorted(all_t, t[-1] - lag, side="right"))
-        state.update((int(n + cut), int(y + hits[cut]), all_t[cut:].tolist(), all_y[cut:].tolist()))
+            "entity": pdf["entity"].to_numpy(), "id": pdf["id"].to_numpy(), "ready": pd.Series(n + ready).astype("Int64").mask(~known),
+            "target_enc": pd.Series(rate).mask(~known)})
+        newest = max(int(t[-1]), gone + back)
+        cut = int(np.searchsorted(all_t, newest - back - lag, side="right"))
+        state.update((int(n + cut), int(y + hits[cut]), all_t[cut:].tolist(), all_y[cut:].tolist(), newest - back))
 
     narrow = stream.select(
-        F.col(roles.entity).cast("long").alias("entity"), F.col(roles.id).cast("long").alias("id"),
+        F.col(roles.entity).alias("entity"), F.col(roles.id).alias("id"),
         F.col(roles.ts).alias("t"), F.col(roles.label).cast("long").alias("y"))
+    entity, id_type = (stream.schema[c].dataType.simpleString() for c in (roles.entity, roles.id))
     return narrow.groupBy("entity").applyInPandasWithState(
-        step, "entity long, id long, ready long, target_enc double", LABEL_STATE, "append", GroupStateTimeout.NoTimeout)
+        step, f"entity {entity}, id {id_type}, ready long, target_enc double", LABEL_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def seeded_counts(stream: DataFrame, seed: DataFrame, roles: Roles = Roles()) -> DataFrame:
