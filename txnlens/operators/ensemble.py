@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from txnlens.functions import fixed
 from txnlens.operators.business import Costs, optimal_threshold
 from txnlens.operators.curves import average_precision
 from txnlens.operators.ordered import Chunks, plan_chunks
-from txnlens.session import rows_at_most
+from txnlens.session import cut_lineage, rows_at_most
 
 Weights = dict[str, float]
 
@@ -92,17 +94,128 @@ def grid_ap(df: DataFrame, models: Sequence[str], grid: DataFrame, y: str = "y",
     return run.groupBy(*by, "point").agg(F.when(total > 0, F.sum(F.col("pos") * F.col("tp") / F.col("flagged")) / total).alias("ap"))
 
 
-def _best_point(ap: DataFrame, grid: DataFrame, models: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    best = ap.groupBy(*by).agg(
-        F.max_by("point", F.struct("ap", -F.col("point"))).alias("point"), F.max("ap").alias("ap"))
-    return best.join(F.broadcast(grid), "point").select(*by, *[f"w_{m}" for m in models], "ap")
+# Cells of all histograms of one resample in a round: points x bins.
+CELLS = 1 << 19
+ROUNDS = 6
+# Points whose exact curves are cheaper than another round.
+FEW_POINTS = 4
+_SLACK = 1e-9
+
+
+def ap_bounds(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the average precision of each row of histograms; bins from the highest score down hold positives and all rows.
+
+    Within a bin the precision is highest if its positives come first with one score, and lowest if its negatives come
+    first and the positives one by one, a sum that rises with every term and so is not below its integral.
+    """
+    pos, neg = pos.astype(float), (n - pos).astype(float)
+    tp, fp = (np.cumsum(x, axis=1) - x for x in (pos, neg))
+    total = pos.sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        high = np.where(pos > 0, pos * (tp + pos) / (tp + fp + pos), 0.0)
+        seen, ahead = tp + fp + neg, fp + neg
+        low = np.where(pos > 0, pos - np.where(ahead > 0, ahead * np.log((seen + pos) / np.where(seen > 0, seen, 1)), 0.0), 0.0)
+        return (low / total).sum(axis=1), (high / total).sum(axis=1)
+
+
+def score_histograms(df: DataFrame, models: Sequence[str], points: dict[int, dict[int, tuple[float, ...]]], bins: dict[int, int],
+                     low: float, high: float) -> DataFrame:
+    """``(b, point, bin, pos, n)`` of rows ``(y, ws, <model>...)``, ``ws`` being the weight of the row in each resample ``b``.
+
+    A task adds its rows up before anything is sent, so what is shuffled doesn't grow with the rows; histograms of parts add up.
+    """
+    width = high - low
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {b: [list(own), np.array(list(own.values())), np.zeros((2, len(own) * bins[b]))] for b, own in points.items()}
+        seen = False
+        for batch in batches:
+            for at in range(0, len(batch), 2_048):
+                part = batch[at:at + 2_048]
+                y, ws = part["y"].to_numpy() == 1, np.stack(part["ws"].to_numpy())
+                columns = [part[m].to_numpy(float) for m in models]
+                seen = True
+                for b, (_, weights, held) in sums.items():
+                    w = ws[:, b].astype(float)
+                    if not w.any():
+                        continue
+                    # In the order of the SQL expression, so that ties are the same.
+                    value = reduce(lambda x, z: x + z, [weights[:, i, None] * c[None, :] for i, c in enumerate(columns)])
+                    cell = np.clip(((value - low) * (bins[b] / width)).astype(np.int64) if width > 0 else np.zeros(value.shape, np.int64), 0, bins[b] - 1)
+                    cell += np.arange(len(weights))[:, None] * bins[b]
+                    every = np.broadcast_to(w, cell.shape)
+                    held[1] += np.bincount(cell.ravel(), every.ravel(), held.shape[1])
+                    held[0] += np.bincount(cell[:, y].ravel(), every[:, y].ravel(), held.shape[1])
+        if seen:
+            for b, (names, _, held) in sums.items():
+                used = np.flatnonzero(held[1])
+                yield pd.DataFrame({"b": b, "point": np.array(names)[used // bins[b]], "bin": used % bins[b],
+                                    "pos": held[0, used].astype(np.int64), "n": held[1, used].astype(np.int64)})
+
+    found = df.select("y", "ws", *models).mapInPandas(run, "b int, point int, bin int, pos long, n long")
+    return found.groupBy("b", "point", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+
+
+def surviving_points(histograms: DataFrame, bins: dict[int, int]) -> DataFrame:
+    """``(b, point)`` whose upper bound reaches the highest lower bound of its resample; a group has ``CELLS`` rows at most."""
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        names, row = np.unique(own["point"].to_numpy(), return_inverse=True)
+        cells = np.zeros((2, len(names), bins[int(key[0])]), np.int64)
+        cells[0, row, -1 - own["bin"].to_numpy()] = own["pos"]
+        cells[1, row, -1 - own["bin"].to_numpy()] = own["n"]
+        low, high = ap_bounds(*cells)
+        # Without positives there are no bounds and no precision; all points stay.
+        keep = ~(high < np.nanmax(np.r_[low, -1.0]) - _SLACK)
+        return pd.DataFrame({"b": key[0], "point": names[keep]})
+
+    return histograms.groupBy("b").applyInPandas(run, "b int, point int")
+
+
+def bounded_search(df: DataFrame, models: Sequence[str], points: Sequence[Sequence[float]], y: str = "y", resamples: Column | None = None,
+                   b: int = 1, chunks: Chunks = None) -> DataFrame:
+    """``(b, w_<model>..., ap)``: the point with the highest average precision in each resample, the first on ties; as exact as trying all.
+
+    ``resamples`` is an array column of row weights, one a resample. Histograms bound every point from both sides, points that can't
+    win drop out, and those left get finer histograms, until few are left for exact curves.
+    """
+    spark = df.sparkSession
+    clean = reduce(Column.__and__, [F.col(m).isNotNull() & ~F.isnan(F.col(m).cast("double")) for m in models])
+    ws = F.array(F.lit(1).cast("long")) if resamples is None else resamples
+    rows = cut_lineage(df.where(clean).select(F.col(y).alias("y"), ws.alias("ws"), *[F.col(m).cast("double").alias(m) for m in models]))
+    ends = rows.agg(F.min(F.least(*models, *models[:1])), F.max(F.greatest(*models, *models[:1]))).first()
+    left = {i: dict(enumerate(map(tuple, points))) for i in range(b)}
+    for _ in range(ROUNDS if ends[0] is not None else 0):
+        open_ = {i: own for i, own in left.items() if len(own) > FEW_POINTS}
+        if not open_:
+            break
+        bins = {i: max(64, CELLS // max(len(own), 8)) for i, own in open_.items()}
+        kept: dict[int, list[int]] = {i: [] for i in open_}
+        # At most one row a point and resample.
+        for r in surviving_points(score_histograms(rows, models, open_, bins, *ends), bins).collect():
+            kept[r["b"]].append(r["point"])
+        before = sum(map(len, open_.values()))
+        left |= {i: {p: own[p] for p in sorted(kept[i])} for i, own in open_.items() if kept[i]}
+        if sum(len(left[i]) for i in open_) > 0.9 * before:
+            break
+    names = [f"w_{m}" for m in models]
+    table = spark.createDataFrame([(i, p, *w) for i, own in left.items() for p, w in own.items()], "b int, point int, " + ", ".join(f"{n} double" for n in names))
+    each = rows.select("y", *models, F.posexplode("ws").alias("b", "w")).where("w > 0").groupBy("b", *models, "y").agg(F.sum("w").alias("w"))
+    value = reduce(lambda x, z: x + z, [F.col(f"w_{m}") * F.col(m) for m in models])
+    scored = each.join(F.broadcast(table), "b").select("b", "point", "y", "w", value.alias("p"))
+    ap = average_precision(scored, "y", "p", ["b", "point"], F.col("w"), chunks)
+    best = ap.groupBy("b").agg(F.max_by(F.struct("point", "ap"), F.struct(F.round("ap", 10), -F.col("point"))).alias("best")).select("b", "best.*")
+    return best.join(F.broadcast(table), ["b", "point"]).select("b", *names, "ap")
+
+
+def _grid(models: Sequence[str], step: float) -> list[tuple[float, ...]]:
+    parts = max(1, round(1 / step))
+    return simplex_points([axis(0.0, 1.0, parts)] * len(models))
 
 
 def search_coarse(df: DataFrame, models: Sequence[str], step: float = 0.02, y: str = "y",
                   chunks: Chunks = None) -> DataFrame:
     """One row: the grid weights with the highest average precision, the first on ties."""
-    grid = simplex_grid(df.sparkSession, models, step)
-    return _best_point(grid_ap(df, models, grid, y, chunks=chunks), grid, models)
+    return bounded_search(df, models, _grid(models, step), y, chunks=chunks).drop("b")
 
 
 def search_weights(df: DataFrame, models: Sequence[str], step: float = 0.02, refine: float = 0.002, y: str = "y",
@@ -119,8 +232,7 @@ def search_weights(df: DataFrame, models: Sequence[str], step: float = 0.02, ref
     axes = [axis(max(0.0, won[f"w_{m}"] - step), min(1.0, won[f"w_{m}"] + step), parts) for m in models]
     points = simplex_points(axes)
     first = tuple(won[f"w_{m}"] for m in models)
-    grid = points_table(df.sparkSession, models, [*points, first])
-    return _best_point(grid_ap(df, models, grid, y, chunks=chunks), grid, models)
+    return bounded_search(df, models, [*points, first], y, chunks=chunks).drop("b")
 
 
 # Cumulative Poisson(1) probabilities, sum of exp(-1) / i! up to each count.
@@ -132,19 +244,29 @@ def poisson_weight(u: Column) -> Column:
     return reduce(lambda a, b: a + b, [(u >= c).cast("long") for c in POISSON_CUTS])
 
 
+def resample_weight(key: str, b: Column) -> Column:
+    """Poisson(1) weight of a row in resample ``b``."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), b.cast("string"))), 1, 8), 16, 10)
+    return poisson_weight(u.cast("double") / float(1 << 32))
+
+
 def bootstrap_samples(df: DataFrame, models: Sequence[str], key: str, b: int = 50, y: str = "y") -> DataFrame:
     """Each row with its Poisson weight in each of ``b`` resamples; weight 0 drops out."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10)
     rows = df.select(key, y, *models, F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
-    return rows.withColumn("w", poisson_weight(u.cast("double") / float(1 << 32))).where("w > 0")
+    return rows.withColumn("w", resample_weight(key, F.col("b"))).where("w > 0")
+
+
+def bootstrap_best(df: DataFrame, models: Sequence[str], key: str, b: int = 50, step: float = 0.05, y: str = "y",
+                   chunks: Chunks = None) -> DataFrame:
+    """``(b, w_<model>..., ap)``: the best weights in each of ``b`` resamples."""
+    ws = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: resample_weight(key, i))
+    return bounded_search(df, models, _grid(models, step), y, ws, b, chunks)
 
 
 def bootstrap_weights(df: DataFrame, models: Sequence[str], key: str, b: int = 50, step: float = 0.05, y: str = "y",
                       chunks: Chunks = None) -> DataFrame:
     """Mean, deviation and 5/95 percentiles of each model's best weight over the resamples."""
-    grid = simplex_grid(df.sparkSession, models, step)
-    rows = bootstrap_samples(df, models, key, b, y)
-    best = _best_point(grid_ap(rows, models, grid, y, ["b"], F.col("w"), chunks), grid, models, ["b"])
+    best = bootstrap_best(df, models, key, b, step, y, chunks)
     long = best.select("b", F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(f"w_{m}").alias("w")) for m in models])).alias("x")).select("b", "x.*")
     return long.groupBy("model").agg(

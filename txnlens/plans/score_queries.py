@@ -8,6 +8,7 @@ from txnlens.functions import rowwise
 from txnlens.operators import business, curves, ensemble, explain
 from txnlens.plans.catalog import CURVE, EV, SPLIT, events, grid_sql, query, rounded, split_events, sq
 from txnlens.plans.reports import eval_battery, score_export
+from txnlens.session import cut_lineage
 
 GRID = rowwise.log_grid_values()
 GRID_SQL = f"gr AS (SELECT * FROM {grid_sql(GRID)} g(i, threshold))"
@@ -308,18 +309,34 @@ def _search_sql(n, src, w="1", by=""):
     {ap_by("aps", (by + ", " if by else "") + "point", "bl", "wt")}"""
 
 
-# The two best points may have the same AP up to rounding, so the value is compared and the winner is reported
-# only through it.
-@query("weight_search", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {_search_sql(50, 'v')} SELECT {sq("max(ap)", 8)} AS ap FROM aps""")
+# Sums in another order differ in the last digits, so equal precisions are told apart by the point on both sides.
+_FIRST_BEST = "ORDER BY round(ap, 10) DESC, point LIMIT 1"
+_FOUND = f"{sq('w1', 6)} AS w_p1, {sq('w2', 6)} AS w_p2, {sq('w3', 6)} AS w_p3, {sq('ap', 8)} AS ap"
+
+
+def _weights_rounded(df):
+    return rounded(df.select(*[f"w_{m}" for m in SCORES], "ap"), ap=8, **{f"w_{m}": 6 for m in SCORES})
+
+
+@query("weight_search", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {_search_sql(50, 'v')}
+SELECT {_FOUND} FROM (SELECT * FROM aps JOIN sg USING (point) {_FIRST_BEST})""")
 def _(spark, d):
-    val = split_events(spark, d).where("split = 'val'")
-    return rounded(ensemble.search_coarse(val, SCORES, 0.02).select("ap"), ap=8)
+    return _weights_rounded(ensemble.search_coarse(split_events(spark, d).where("split = 'val'"), SCORES, 0.02))
+
 
+def _axis_sql(w):
+    low, high = f"greatest(0.0::DOUBLE, {w} - 0.02::DOUBLE)", f"least(1.0::DOUBLE, {w} + 0.02::DOUBLE)"
+    return f"CASE WHEN i < 20 THEN {low} + ({high} - {low}) * i / 20 ELSE {high} END"
 
-@query("weight_search_refined")
+
+@query("weight_search_refined", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {_search_sql(50, 'v')},
+won AS (SELECT w1, w2, w3 FROM aps JOIN sg USING (point) {_FIRST_BEST}),
+x AS (SELECT i, {_axis_sql('w1')} AS w1 FROM won, range(21) r(i)), z AS (SELECT i AS j, {_axis_sql('w2')} AS w2 FROM won, range(21) r(i)),
+fine AS (SELECT i * 21 + j AS point, w1, w2, greatest(0, 1 - (w1 + w2)) AS w3 FROM x, z WHERE w1 + w2 <= 1 + 1e-9 UNION ALL SELECT 441, * FROM won),
+fb AS (SELECT point, y, w1 * p1 + w2 * p2 + w3 * p3 AS p FROM v, fine), {ap_by("fa", "point", "fb")}
+SELECT {_FOUND} FROM (SELECT * FROM fa JOIN fine USING (point) {_FIRST_BEST})""")
 def _(spark, d):
-    val = split_events(spark, d).where("split = 'val'")
-    return ensemble.search_weights(val, SCORES)
+    return _weights_rounded(ensemble.search_weights(split_events(spark, d).where("split = 'val'"), SCORES))
 
 
 BOOT = """bs AS (SELECT v.*, b, list_sum([CAST(u >= c AS BIGINT) FOR c IN {cuts}]) AS w FROM (
@@ -334,24 +351,28 @@ def _(spark, d):
 
 
 @query("bootstrap_ap", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {BOOT.format(cuts=CUTS_SQL)}, bw AS (SELECT * FROM bs WHERE w > 0),
-{_search_sql(10, "bw", "w", "b")} SELECT CAST(b AS INTEGER) AS b, {sq("max(ap)", 8)} AS best_ap FROM aps GROUP BY 1""")
+{_search_sql(20, "bw", "w", "b")} SELECT CAST(b AS INTEGER) AS b, {sq("max(ap)", 8)} AS best_ap FROM aps GROUP BY 1""")
 def _(spark, d):
-    rows = ensemble.bootstrap_samples(split_events(spark, d).where("split = 'val'"), SCORES, "event_id")
-    ap = ensemble.grid_ap(rows, SCORES, ensemble.simplex_grid(spark, SCORES, 0.1), by=["b"], weight=F.col("w"))
-    return rounded(ap.groupBy("b").agg(F.max("ap").alias("best_ap")), best_ap=8)
+    best = ensemble.bootstrap_best(split_events(spark, d).where("split = 'val'"), SCORES, "event_id")
+    return rounded(best.select("b", F.col("ap").alias("best_ap")), best_ap=8)
 
 
-@query("bootstrap_weights")
+@query("bootstrap_weights", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {BOOT.format(cuts=CUTS_SQL)}, bw AS (SELECT * FROM bs WHERE w > 0),
+{_search_sql(20, "bw", "w", "b")}, best AS (SELECT b, arg_max(point, (round(ap, 10), -point)) AS point FROM aps GROUP BY 1),
+l AS (SELECT unnest(['p1', 'p2', 'p3']) AS model, unnest([w1, w2, w3]) AS w FROM best JOIN sg USING (point))
+SELECT model, {sq("avg(w)", 6)} AS mean, {sq("stddev_pop(w)", 6)} AS std, {sq("quantile_cont(w, 0.05)", 6)} AS p05, {sq("quantile_cont(w, 0.95)", 6)} AS p95 FROM l GROUP BY 1""")
 def _(spark, d):
-    return ensemble.bootstrap_weights(split_events(spark, d).where("split = 'val'"), SCORES, "event_id")
+    out = ensemble.bootstrap_weights(split_events(spark, d).where("split = 'val'"), SCORES, "event_id")
+    return rounded(out, mean=6, std=6, p05=6, p95=6)
 
 
-@query("min_lift_gate", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {_search_sql(20, 'v')},
+# The gate compares the refined searches, as the ensemble evaluation does; for two models the coarse one is a line of the grid.
+@query("min_lift_gate", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {_search_sql(50, 'v')},
 g AS (SELECT max(ap) AS a, max(ap) FILTER (point IN (SELECT point FROM sg WHERE w2 = 0)) AS b FROM aps)
 SELECT {sq("a", 8)} AS ap_with, {sq("b", 8)} AS ap_without, {sq("a - b", 8)} AS lift, CAST(a - b >= 0.005 AS INTEGER) AS keep FROM g""")
 def _(spark, d):
-    val = split_events(spark, d).where("split = 'val'")
-    out = ensemble.min_lift_gate(ensemble.search_coarse(val, SCORES, 0.05), ensemble.search_coarse(val, ["p1", "p3"], 0.05))
+    val = cut_lineage(split_events(spark, d).where("split = 'val'").select("y", *SCORES))
+    out = ensemble.min_lift_gate(ensemble.search_coarse(val, SCORES), ensemble.search_coarse(val, ["p1", "p3"]))
     return rounded(out, ap_with=8, ap_without=8, lift=8)
 
 
@@ -372,11 +393,21 @@ def _(spark, d):
     return ensemble.mode_spec(val, {"full": FULL, "no_p2": TWO}).select("mode", "model", "weight", "threshold")
 
 
-@query("compare_ensembles")
+def _set_sql(name, models, keep):
+    """The best point of the grid that uses only some models, with its precision on test rows."""
+    label = " || ';' || ".join(f"printf('{m}=%.4f', w{m[1]})" for m in models)
+    return f"""SELECT '{name}' AS model_set, {label} AS weights, {sq('ap', 8)} AS val_ap, (SELECT {sq('ap', 8)} FROM ta WHERE ta.point = b.point) AS test_ap
+    FROM (SELECT * FROM aps JOIN sg USING (point) WHERE {keep} ORDER BY round(ap, 10) DESC, {'point' if 'p1' in models else 'w2'} LIMIT 1) b"""
+
+
+@query("compare_ensembles", f"""WITH {SPLIT}, v AS (SELECT * FROM sp WHERE split = 'val'), {_search_sql(50, 'v')},
+tb AS (SELECT point, y, w1 * p1 + w2 * p2 + w3 * p3 AS p FROM sp, sg WHERE split = 'test'), {ap_by("ta", "point", "tb")}
+{_set_sql("p1+p2", ["p1", "p2"], "w3 = 0")} UNION ALL {_set_sql("p1+p3", ["p1", "p3"], "w2 = 0")} UNION ALL {_set_sql("all", SCORES, "TRUE")}""")
 def _(spark, d):
     e = split_events(spark, d)
-    return ensemble.compare_ensembles(
+    out = ensemble.compare_ensembles(
         e.where("split = 'val'"), e.where("split = 'test'"), {"p1+p2": ["p1", "p2"], "p1+p3": ["p1", "p3"], "all": SCORES}, 0.02)
+    return rounded(out, val_ap=8, test_ap=8)
 
 
 @query("score_export", f"WITH {SPLIT} SELECT event_id, split, y, p AS blended FROM sp WHERE split <> 'train'")
