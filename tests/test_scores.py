@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,54 @@ def test_edge_cache_follows_the_data(spark, tmp_path):
     for df in (source, source, spark.range(6)):
         assert sinks.load_or_build_edges(spark, str(tmp_path / "e"), df, build).count() == 3
     assert len(calls) == 2
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_bounded_search_is_exhaustive(spark, ties):
+    """The winner of the bounds is that of all points, with weights, ties, and scores that are missing."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(500):
+        y = int(rng.random() < 0.15)
+        a, b, c = (0.4 * y + rng.random() for _ in range(3))
+        rows.append((i, y, round(a, 1) if ties else a, b, None if i % 50 == 0 else c))
+    df = spark.createDataFrame(rows, "id long, y int, m1 double, m2 double, m3 double")
+    models, grid = ["m1", "m2", "m3"], ensemble._grid(["m1", "m2", "m3"], 0.1)
+    best = {r["b"]: r for r in ensemble.bootstrap_best(df, models, "id", 5, 0.1).collect()}
+    weighted = ensemble.bootstrap_samples(df.where("m3 is not null"), models, "id", 5).collect()
+    for resample in range(5):
+        own = [r for r in weighted if r["b"] == resample]
+        aps = []
+        for point in grid:
+            score = [sum(w * r[m] for w, m in zip(point, models)) for r in own]
+            tp = n = 0
+            ap = 0.0
+            for s in sorted(set(score), reverse=True):
+                at = [r for r, v in zip(own, score) if v == s]
+                pos = sum(r["w"] for r in at if r["y"])
+                tp, n = tp + pos, n + sum(r["w"] for r in at)
+                ap += pos * tp / n
+            aps.append(ap / sum(r["w"] for r in own if r["y"]))
+        top = max(round(x, 10) for x in aps)
+        first = next(p for p, x in zip(grid, aps) if round(x, 10) == top)
+        assert best[resample]["ap"] == pytest.approx(top, abs=1e-9)
+        assert tuple(best[resample][f"w_{m}"] for m in models) == pytest.approx(first)
+
+
+def test_bounds_hold_the_precision():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        score, y = np.round(rng.random(200), 2), rng.random(200) < 0.2
+        pos, n = np.zeros((2, 17), np.int64)
+        cell = (score * 16).astype(int)
+        np.add.at(pos, cell, y)
+        np.add.at(n, cell, 1)
+        low, high = ensemble.ap_gaps(pos[::-1], n[::-1])
+        exact = 0.0
+        for s in np.unique(score[y]):
+            above = score >= s
+            exact += (score[y] == s).sum() * y[above].sum() / above.sum()
+        exact /= y.sum()
+        assert low.sum() - 1e-12 <= exact <= high.sum() + 1e-12
+        edges = ensemble.finer_edges(np.linspace(0, 1.0625, 18), pos, (high - low)[::-1], 60)
+        assert (np.diff(edges) > 0).all() and edges[0] == 0 and edges[-1] == 1.0625 and len(edges) <= 61

@@ -94,81 +94,110 @@ def grid_ap(df: DataFrame, models: Sequence[str], grid: DataFrame, y: str = "y",
     return run.groupBy(*by, "point").agg(F.when(total > 0, F.sum(F.col("pos") * F.col("tp") / F.col("flagged")) / total).alias("ap"))
 
 
-# Cells of all histograms of one resample in a round: points x bins.
+# Cells of all histograms of one resample in a round, about: points x bins.
 CELLS = 1 << 19
 ROUNDS = 6
-# Points whose exact curves are cheaper than another round.
-FEW_POINTS = 4
+# Points, of one search and of each of many resamples, whose exact curves are cheaper than another round.
+FEW_POINTS, FEW_RESAMPLED = 4, 24
 _SLACK = 1e-9
 
 
-def ap_bounds(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the average precision of each row of histograms; bins from the highest score down hold positives and all rows.
+def ap_gaps(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the share of each bin in the average precision; bins from the highest score down hold positives and all rows.
 
     Within a bin the precision is highest if its positives come first with one score, and lowest if its negatives come
-    first and the positives one by one, a sum that rises with every term and so is not below its integral.
+    first and the positives one by one, a sum of a concave function, which is not below its integral from one half on.
     """
     pos, neg = pos.astype(float), (n - pos).astype(float)
-    tp, fp = (np.cumsum(x, axis=1) - x for x in (pos, neg))
-    total = pos.sum(axis=1, keepdims=True)
+    tp, fp = (np.cumsum(x) - x for x in (pos, neg))
     with np.errstate(divide="ignore", invalid="ignore"):
         high = np.where(pos > 0, pos * (tp + pos) / (tp + fp + pos), 0.0)
         seen, ahead = tp + fp + neg, fp + neg
-        low = np.where(pos > 0, pos - np.where(ahead > 0, ahead * np.log((seen + pos) / np.where(seen > 0, seen, 1)), 0.0), 0.0)
-        return (low / total).sum(axis=1), (high / total).sum(axis=1)
+        low = pos - ahead * np.log((seen + pos + 0.5) / (seen + 0.5))
+        return low / pos.sum(), high / pos.sum()
 
 
-def score_histograms(df: DataFrame, models: Sequence[str], points: dict[int, dict[int, tuple[float, ...]]], bins: dict[int, int],
-                     low: float, high: float) -> DataFrame:
+def finer_edges(edges: np.ndarray, pos: np.ndarray, gap: np.ndarray, bins: int) -> np.ndarray:
+    """Ascending ``bins`` bins or fewer: neighbours without positives are joined, the others split where the bounds are apart."""
+    empty = pos == 0
+    start = np.flatnonzero(~(empty & np.r_[False, empty[:-1]]))
+    low, high = edges[start], edges[np.r_[start[1:], len(edges) - 1]]
+    share = np.sqrt(np.maximum(np.add.reduceat(np.where(empty, 0.0, gap), start), 0.0))
+    parts = np.ones(len(start), np.int64)
+    if share.sum() > 0 and bins > len(start):
+        parts += ((bins - len(start)) * share / share.sum()).astype(np.int64)
+    at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.unique(np.r_[np.repeat(low, parts) + np.repeat((high - low) / parts, parts) * at, edges[-1]])
+
+
+_CELL = ["b", "point", "bin", "pos", "n"]
+#: By resample and point: the weights and the bin edges.
+Open = dict[int, dict[int, tuple[tuple[float, ...], np.ndarray]]]
+
+
+def score_histograms(df: DataFrame, models: Sequence[str], points: Open) -> DataFrame:
     """``(b, point, bin, pos, n)`` of rows ``(y, ws, <model>...)``, ``ws`` being the weight of the row in each resample ``b``.
 
     A task adds its rows up before anything is sent, so what is shuffled doesn't grow with the rows; histograms of parts add up.
     """
-    width = high - low
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {b: [list(own), np.array(list(own.values())), np.zeros((2, len(own) * bins[b]))] for b, own in points.items()}
-        seen = False
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for at in range(0, len(batch), 2_048):
-                part = batch[at:at + 2_048]
-                y, ws = part["y"].to_numpy() == 1, np.stack(part["ws"].to_numpy())
-                columns = [part[m].to_numpy(float) for m in models]
-                seen = True
-                for b, (_, weights, held) in sums.items():
-                    w = ws[:, b].astype(float)
-                    if not w.any():
-                        continue
-                    # In the order of the SQL expression, so that ties are the same.
-                    value = reduce(lambda x, z: x + z, [weights[:, i, None] * c[None, :] for i, c in enumerate(columns)])
-                    cell = np.clip(((value - low) * (bins[b] / width)).astype(np.int64) if width > 0 else np.zeros(value.shape, np.int64), 0, bins[b] - 1)
-                    cell += np.arange(len(weights))[:, None] * bins[b]
-                    every = np.broadcast_to(w, cell.shape)
-                    held[1] += np.bincount(cell.ravel(), every.ravel(), held.shape[1])
-                    held[0] += np.bincount(cell[:, y].ravel(), every[:, y].ravel(), held.shape[1])
-        if seen:
-            for b, (names, _, held) in sums.items():
-                used = np.flatnonzero(held[1])
-                yield pd.DataFrame({"b": b, "point": np.array(names)[used // bins[b]], "bin": used % bins[b],
-                                    "pos": held[0, used].astype(np.int64), "n": held[1, used].astype(np.int64)})
-
-    found = df.select("y", "ws", *models).mapInPandas(run, "b int, point int, bin int, pos long, n long")
+            y, ws = batch["y"].to_numpy() == 1, np.stack(batch["ws"].to_numpy()).astype(float)
+            columns = [batch[m].to_numpy(float) for m in models]
+            placed: dict[tuple, np.ndarray] = {}
+            for b, own in points.items():
+                used = np.flatnonzero(ws[:, b])
+                w, positive = ws[used, b], y[used]
+                for point, (weights, edges) in own.items():
+                    # In the order of the SQL expression, so that ties are the same; resamples may share their bins.
+                    key = (weights, id(edges))
+                    if key not in placed:
+                        if len(placed) > 512:
+                            placed.clear()
+                        value = reduce(lambda x, z: x + z, [v * c for v, c in zip(weights, columns)])
+                        placed[key] = np.clip(np.searchsorted(edges, value, side="right") - 1, 0, len(edges) - 2)
+                    cell = placed[key][used]
+                    held = sums.setdefault((b, point), np.zeros((2, len(edges) - 1)))
+                    held[0] += np.bincount(cell[positive], w[positive], len(edges) - 1)
+                    held[1] += np.bincount(cell, w, len(edges) - 1)
+        out, size = [], 0
+        for (b, point), held in sums.items():
+            at = np.flatnonzero(held[1])
+            out.append(np.stack([np.full(len(at), b), np.full(len(at), point), at, held[0, at].astype(np.int64), held[1, at].astype(np.int64)]))
+            size += len(at)
+            if size > 100_000:
+                yield pd.DataFrame(np.concatenate(out, axis=1).T, columns=_CELL)
+                out, size = [], 0
+        if out:
+            yield pd.DataFrame(np.concatenate(out, axis=1).T, columns=_CELL)
+
+    found = df.select("y", "ws", *models).mapInPandas(run, "b long, point long, bin long, pos long, n long")
     return found.groupBy("b", "point", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
 
 
-def surviving_points(histograms: DataFrame, bins: dict[int, int]) -> DataFrame:
-    """``(b, point)`` whose upper bound reaches the highest lower bound of its resample; a group has ``CELLS`` rows at most."""
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        names, row = np.unique(own["point"].to_numpy(), return_inverse=True)
-        cells = np.zeros((2, len(names), bins[int(key[0])]), np.int64)
-        cells[0, row, -1 - own["bin"].to_numpy()] = own["pos"]
-        cells[1, row, -1 - own["bin"].to_numpy()] = own["n"]
-        low, high = ap_bounds(*cells)
+def surviving_points(histograms: DataFrame, points: Open, cells: int = CELLS) -> DataFrame:
+    """``(b, point, edges)`` of the points whose upper bound reaches the highest lower bound of their resample, with finer bins.
+
+    A group has about ``cells`` rows at most.
+    """
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own, bounds = points[int(key[0])], {}
+        columns = rows.sort_values("point")[["point", "bin", "pos", "n"]].to_numpy(np.int64)
+        for some in np.split(columns, np.flatnonzero(np.diff(columns[:, 0])) + 1):
+            point = int(some[0, 0])
+            pos, n = np.zeros((2, len(own[point][1]) - 1), np.int64)
+            pos[some[:, 1]], n[some[:, 1]] = some[:, 2], some[:, 3]
+            low, high = ap_gaps(pos[::-1], n[::-1])
+            bounds[point] = low.sum(), high.sum(), pos, (high - low)[::-1]
         # Without positives there are no bounds and no precision; all points stay.
-        keep = ~(high < np.nanmax(np.r_[low, -1.0]) - _SLACK)
-        return pd.DataFrame({"b": key[0], "point": names[keep]})
+        best = np.nanmax([-1.0, *(low for low, *_ in bounds.values())])
+        keep = [p for p, (_, high, *_) in bounds.items() if not high < best - _SLACK]
+        bins = max(64, cells // max(len(keep), 8))
+        return pd.DataFrame({"b": key[0], "point": keep, "edges": [
+            finer_edges(own[p][1], bounds[p][2], np.nan_to_num(bounds[p][3]), bins).tobytes() for p in keep]})
 
-    return histograms.groupBy("b").applyInPandas(run, "b int, point int")
+    return histograms.groupBy("b").applyInPandas(run, "b int, point int, edges binary")
 
 
 def bounded_search(df: DataFrame, models: Sequence[str], points: Sequence[Sequence[float]], y: str = "y", resamples: Column | None = None,
@@ -179,28 +208,36 @@ def bounded_search(df: DataFrame, models: Sequence[str], points: Sequence[Sequen
     win drop out, and those left get finer histograms, until few are left for exact curves.
     """
     spark = df.sparkSession
+    scores = [f"_s{i}" for i in range(len(models))]
     clean = reduce(Column.__and__, [F.col(m).isNotNull() & ~F.isnan(F.col(m).cast("double")) for m in models])
     ws = F.array(F.lit(1).cast("long")) if resamples is None else resamples
-    rows = cut_lineage(df.where(clean).select(F.col(y).alias("y"), ws.alias("ws"), *[F.col(m).cast("double").alias(m) for m in models]))
-    ends = rows.agg(F.min(F.least(*models, *models[:1])), F.max(F.greatest(*models, *models[:1]))).first()
-    left = {i: dict(enumerate(map(tuple, points))) for i in range(b)}
-    for _ in range(ROUNDS if ends[0] is not None else 0):
-        open_ = {i: own for i, own in left.items() if len(own) > FEW_POINTS}
-        if not open_:
-            break
-        bins = {i: max(64, CELLS // max(len(own), 8)) for i, own in open_.items()}
-        kept: dict[int, list[int]] = {i: [] for i in open_}
-        # At most one row a point and resample.
-        for r in surviving_points(score_histograms(rows, models, open_, bins, *ends), bins).collect():
-            kept[r["b"]].append(r["point"])
-        before = sum(map(len, open_.values()))
-        left |= {i: {p: own[p] for p in sorted(kept[i])} for i, own in open_.items() if kept[i]}
-        if sum(len(left[i]) for i in open_) > 0.9 * before:
-            break
+    rows = cut_lineage(df.where(clean).select(F.col(y).alias("y"), ws.alias("ws"), *[F.col(m).cast("double").alias(s) for m, s in zip(models, scores)]))
+    cells = max(CELLS // b, 1 << 16)
+    ends = rows.agg(F.min(F.least(*scores, scores[0])), F.max(F.greatest(*scores, scores[0]))).first()
+    own = dict(enumerate(map(tuple, points)))
+    left = {i: own for i in range(b)}
+    if ends[0] is not None:
+        first = np.linspace(*ends, max(64, cells // 2 // max(len(own), 8)) + 1) if ends[0] < ends[1] else np.array([ends[0], ends[0] + 1.0])
+        edges = {i: dict.fromkeys(own, first) for i in range(b)}
+        for turn in range(ROUNDS):
+            open_ = {i: {p: (w, edges[i][p]) for p, w in own.items()} for i, own in left.items() if len(own) > (FEW_POINTS if b == 1 else FEW_RESAMPLED)}
+            if not open_:
+                break
+            kept: dict[int, dict[int, np.ndarray]] = {i: {} for i in open_}
+            # About ``cells`` edges a resample, at most.
+            for r in surviving_points(score_histograms(rows, scores, open_), open_, cells).collect():
+                kept[r["b"]][r["point"]] = np.frombuffer(r["edges"])
+            # Points of equal ranking stay together however fine the bins are.
+            if turn > 1 and sum(map(len, kept.values())) == sum(map(len, open_.values())):
+                break
+            for i, found in kept.items():
+                if found:
+                    left[i] = {p: w for p, w in left[i].items() if p in found}
+                    edges[i] = found
     names = [f"w_{m}" for m in models]
     table = spark.createDataFrame([(i, p, *w) for i, own in left.items() for p, w in own.items()], "b int, point int, " + ", ".join(f"{n} double" for n in names))
-    each = rows.select("y", *models, F.posexplode("ws").alias("b", "w")).where("w > 0").groupBy("b", *models, "y").agg(F.sum("w").alias("w"))
-    value = reduce(lambda x, z: x + z, [F.col(f"w_{m}") * F.col(m) for m in models])
+    each = rows.select("y", *scores, F.posexplode("ws").alias("b", "w")).where("w > 0").groupBy("b", *scores, "y").agg(F.sum("w").alias("w"))
+    value = reduce(lambda x, z: x + z, [F.col(f"w_{m}") * F.col(s) for m, s in zip(models, scores)])
     scored = each.join(F.broadcast(table), "b").select("b", "point", "y", "w", value.alias("p"))
     ap = average_precision(scored, "y", "p", ["b", "point"], F.col("w"), chunks)
     best = ap.groupBy("b").agg(F.max_by(F.struct("point", "ap"), F.struct(F.round("ap", 10), -F.col("point"))).alias("best")).select("b", "best.*")
