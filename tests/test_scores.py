@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from txnlens.operators import business, curves, drift, ensemble, profiles
+from txnlens.operators import business, curves, drift, ensemble, isotonic, profiles
 from txnlens.sources import sinks, tables
 
 
@@ -93,13 +93,48 @@ def test_blend_needs_the_same_models(hand):
         ensemble.checked_blend(hand, {"a": 1.0}, ["b"])
 
 
-def test_isotonic_is_monotone_and_not_worse(spark):
-    from txnlens.operators import encoders
+def _sequential(pairs):
+    """Plain pooling of ``(score, label)`` and the linear reading of it."""
+    by_score = {}
+    for p, y in pairs:
+        s, w = by_score.get(p, (0, 0))
+        by_score[p] = s + y, w + 1
+    blocks = []
+    for p in sorted(by_score):
+        blocks.append([p, p, *by_score[p]])
+        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]:
+            last = blocks.pop()
+            blocks[-1] = [blocks[-1][0], last[1], blocks[-1][2] + last[2], blocks[-1][3] + last[3]]
+    return blocks
+
+
+@pytest.mark.parametrize("small", [isotonic.SMALL_BLOCKS, 0])
+@pytest.mark.parametrize("kind", ["noise", "near monotone", "falling", "one"])
+def test_isotonic_blocks_are_those_of_one_pass(spark, monkeypatch, kind, small):
+    monkeypatch.setattr(isotonic, "SMALL_BLOCKS", small)
+    monkeypatch.setattr(isotonic, "BUCKETS", 7)
+    rng = random.Random(6)
+    label = {"noise": lambda p: int(rng.random() < p), "near monotone": lambda p: int(p > 0.5) ^ int(rng.random() < 0.02),
+             "falling": lambda p: int(p < 0.5), "one": lambda p: 1}[kind]
+    pairs = [(p, label(p)) for p in (round(rng.random(), 3) if kind != "one" else 0.25 for _ in range(900))]
+    df = spark.createDataFrame([*pairs, (None, 1), (float("nan"), 0)], "p double, y int").repartition(3)
+    fitted = isotonic.fit_isotonic(df)
+    truth = _sequential(pairs)
+    got = sorted((r.lo, r.hi, r.value) for r in fitted.collect())
+    assert [g[:2] for g in got] == [(b[0], b[1]) for b in truth] and [g[2] for g in got] == pytest.approx([b[2] / b[3] for b in truth])
+    asked = spark.createDataFrame([(i, x) for i, x in enumerate([-1.0, 0.0, 0.0015, 0.25, 0.49951, 0.5, 0.7777, 1.0, 9.0, None, float("nan")])], "i int, p double")
+    out = {r["i"]: r["calibrated"] for r in isotonic.apply_isotonic(asked, fitted).collect()}
+    xs, gs = [x for b in truth for x in b[:2]], [b[2] / b[3] for b in truth for _ in "ab"]
+    for r in asked.collect():
+        missing = r["p"] is None or r["p"] != r["p"]
+        assert out[r["i"]] is None if missing else out[r["i"]] == pytest.approx(float(np.interp(r["p"], xs, gs)))
 
+
+def test_isotonic_is_monotone_and_not_worse(spark):
     rng = random.Random(4)
     rows = [(int(rng.random() < p * p), p) for p in (rng.random() for _ in range(500))]
     df = spark.createDataFrame(rows, "y int, p double")
-    out = encoders.apply_isotonic(df, encoders.fit_isotonic(df))
+    out = isotonic.apply_isotonic(df, isotonic.fit_isotonic(df))
     values = [r["calibrated"] for r in out.orderBy("p").collect()]
     assert values == sorted(values) and 0 <= values[0] and values[-1] <= 1
     assert curves.brier(out, p="calibrated").first()["brier"] <= curves.brier(df).first()["brier"]

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import PCA, Bucketizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -251,15 +250,3 @@ def explained_variance(spark, stages) -> DataFrame:
     shares = [float(x) for x in stages[1].explainedVariance]
     rows = [(i, s, math.fsum(shares[: i + 1])) for i, s in enumerate(shares)]
     return spark.createDataFrame(rows, "component int, share double, total double")
-
-
-def fit_isotonic(df: DataFrame, y: str = "y", p: str = "p"):
-    """Monotone calibration fitted on distinct scores weighted by their rows."""
-    grouped = df.groupBy(F.col(p).alias("p")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    grouped = grouped.withColumn("x", array_to_vector(F.array("p")))
-    return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="calibrated").fit(grouped)
-
-
-def apply_isotonic(df: DataFrame, model, p: str = "p", out: str = "calibrated") -> DataFrame:
-    scored = model.transform(df.withColumn("x", array_to_vector(F.array(F.col(p)))))
-    return scored.withColumn(out, F.greatest(F.least(F.col("calibrated"), F.lit(1.0)), F.lit(0.0))).drop("x")

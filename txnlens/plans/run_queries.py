@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnlens.functions import fixed, rowwise
-from txnlens.operators import business, curves, drift, encoders, ensemble, explain, graph, models, profiles, resample, validate, windows
+from txnlens.operators import business, curves, drift, encoders, ensemble, explain, graph, isotonic, models, profiles, resample, validate, windows
 from txnlens.plans.catalog import EV, PRIOR, SPLIT, W, _SHIFT, events, query, rounded, split_events, sq
 from txnlens.plans.features import apply_steps, causal_steps, features_full
 from txnlens.plans.row_queries import _DEV, _UA, DAY_MEAN, DOMAIN, DOMAIN_B, EXPANDED, PLACE, RATE, UID_SQL, _rules_sql, _trailing_sql, with_uid
@@ -270,7 +270,7 @@ def _(spark, d):
     e = cut_lineage(split_events(spark, d).select("event_id", "split", "y", *X))
     model = models.train_linear(e.where("split = 'train'"), X)
     scored = models.score(model, e.where("split <> 'train'"), X)
-    calibrated = encoders.apply_isotonic(scored, encoders.fit_isotonic(scored.where("split = 'val'"), p="p_raw"), "p_raw", "p_calibrated")
+    calibrated = isotonic.apply_isotonic(scored, isotonic.fit_isotonic(scored.where("split = 'val'"), p="p_raw"), "p_raw", "p_calibrated")
     return calibrated.select("event_id", "split", "y", "p_raw", "p_calibrated")
 
 

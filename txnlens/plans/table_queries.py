@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from txnlens.functions import rowwise
-from txnlens.operators import encoders, graph, joins, profiles, resample, sequences, splits, validate, windows
+from txnlens.operators import encoders, graph, isotonic, joins, profiles, resample, sequences, splits, validate, windows
 from txnlens.plans.catalog import EV, ORD, SPLIT, W, events, orders, query, rounded, split_events, sq
 from txnlens.plans.row_queries import COMBO_SQL, UID_SQL, with_uid
 from txnlens.session import cut_lineage
@@ -388,8 +388,8 @@ SELECT event_id, split, y, sp.p, {sq("CASE WHEN sp.p <= lo THEN glo WHEN sp.p >=
 FROM sp CROSS JOIN en LEFT JOIN kn ON sp.p >= x0 AND sp.p < x1 WHERE split <> 'train'""")
 def _(spark, d):
     e = split_events(spark, d)
-    model = encoders.fit_isotonic(e.where("split = 'val'"))
-    out = encoders.apply_isotonic(e.where("split <> 'train'"), model).select("event_id", "split", "y", "p", "calibrated")
+    model = isotonic.fit_isotonic(e.where("split = 'val'"))
+    out = isotonic.apply_isotonic(e.where("split <> 'train'"), model).select("event_id", "split", "y", "p", "calibrated")
     return rounded(out, calibrated=6)
 
 
