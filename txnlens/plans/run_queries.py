@@ -261,7 +261,7 @@ X = ["value", "k", "p2", "p3"]
 def _(spark, d):
     e = cut_lineage(split_events(spark, d).select("event_id", "split", "y", *X))
     fit = resample.weight_column(e.where("split <> 'test'"), 3.0).withColumn("held", F.col("split") == "val")
-    model = models.train_gbt(fit, X, weight="w", validation="held", maxIter=5, maxDepth=3)
+    model = models.train_gbt(fit, X, weight="w", validation="held")
     return models.score(model, e.where("split = 'test'"), X).select("event_id", "y", "p_raw")
 
 
@@ -277,13 +277,14 @@ def _(spark, d):
 @query("param_search")
 def _(spark, d):
     e = cut_lineage(split_events(spark, d).select("split", "y", *X))
-    return models.search_params(e.where("split = 'train'"), e.where("split = 'val'"), X, {"maxDepth": [2, 3], "maxIter": [3]})
+    return models.search_params(e.where("split = 'train'"), e.where("split = 'val'"), X, {"depth": [3, 6], "rate": [0.1]})
 
 
 @query("feature_importance")
 def _(spark, d):
-    train = cut_lineage(split_events(spark, d).where("split = 'train'").select("y", *X))
-    return models.importances(spark, models.train_gbt(train, X, maxIter=5, maxDepth=3), X)
+    e = split_events(spark, d).where("split <> 'test'")
+    fit = cut_lineage(e.select("y", *X, (F.col("split") == "val").alias("held")))
+    return models.importances(spark, models.train_gbt(fit, X, validation="held"), X)
 
 
 @query("ablation_table")
