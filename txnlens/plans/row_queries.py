@@ -18,9 +18,9 @@ ORDER_ROLES = Roles("o_orderkey", "o_custkey", "t", "o_totalprice", "y", "o_orde
 # ---------------------------------------------------------------- projection, filter, validation
 
 
-@query("scan_parquet", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+@query("scan_parquet", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def _(spark, d):
-    return read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_totalprice"]).where("o_totalprice > 100000")
+    return read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
 @query("validate_schema", f"""WITH {EV}

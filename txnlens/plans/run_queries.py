@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from txnlens.functions import fixed, rowwise
 from txnlens.operators import business, curves, drift, encoders, ensemble, explain, graph, isotonic, models, profiles, resample, validate, windows
-from txnlens.plans.catalog import EV, PRIOR, SPLIT, W, _SHIFT, events, query, rounded, split_events, sq
+from txnlens.plans.catalog import ARRIVAL, EV, PRIOR, SPLIT, W, _SHIFT, events, query, rounded, split_events, sq
 from txnlens.plans.features import apply_steps, causal_steps, features_full
 from txnlens.plans.row_queries import _DEV, _UA, DAY_MEAN, DOMAIN, DOMAIN_B, EXPANDED, PLACE, RATE, UID_SQL, _rules_sql, _trailing_sql, with_uid
 from txnlens.plans.score_queries import FULL, SCORES
@@ -19,7 +19,7 @@ from txnlens.roles import MICROS, Roles
 from txnlens.session import cut_lineage, scratch_path
 from txnlens.sources import sinks, tables
 from txnlens.sources.tables import read_table
-from txnlens.streaming import labels, rates, sources, state
+from txnlens.streaming import keyed, labels, rates, sources, state
 from txnlens.streaming.batches import FeatureBatches
 
 # ---------------------------------------------------------------- sources and sinks
@@ -236,9 +236,9 @@ def _(spark, d):
 
 @query("ensemble_eval")
 def _(spark, d):
-    """Search, lift gate and threshold on validation, metrics on test at the frozen choice."""
+    """Correlations, search, lift gate, resampled weights and threshold on validation, metrics on test at the frozen choice."""
     e = split_events(spark, d)
-    val, test = cut_lineage(e.where("split = 'val'").select("y", *SCORES)), e.where("split = 'test'")
+    val, test = cut_lineage(e.where("split = 'val'").select("event_id", "y", *SCORES)), e.where("split = 'test'")
     three = ensemble.search_weights(val, SCORES).first()
     two = ensemble.search_weights(val, ["p1", "p3"]).first()
     names = SCORES if three["ap"] - two["ap"] >= fixed.MIN_LIFT else ["p1", "p3"]
@@ -248,8 +248,10 @@ def _(spark, d):
     scored = test.withColumn("p", blended)
     ap = curves.average_precision(scored).select("ap").scalar()
     label = ";".join(f"{m}={won[f'w_{m}']:.4f}" for m in names)
+    related = {f"corr_{r['a']}_{r['b']}": F.lit(r["corr"]) for r in profiles.corr_pairs(val, SCORES).collect()}
+    resampled = {f"{stat}_{r['model']}": F.lit(r[stat]) for r in ensemble.bootstrap_weights(val, names, "event_id").collect() for stat in ("mean", "std", "p05", "p95")}
     return curves.confusion(scored, chosen).withColumns({
-        "weights": F.lit(label), "threshold": F.lit(chosen), "val_ap": F.lit(won["ap"]), "test_ap": ap})
+        "weights": F.lit(label), "threshold": F.lit(chosen), "val_ap": F.lit(won["ap"]), "test_ap": ap, "lift": F.lit(three["ap"] - two["ap"]), **related, **resampled})
 
 
 # ---------------------------------------------------------------- models
@@ -491,10 +493,20 @@ def _(spark, d):
     return rounded(_stream_out(spark, d).select("id", "tx_count_10min", "tx_count_1h", "tx_count_24h", "amt_24h_mean"), amt_24h_mean=4)
 
 
-@query("ring_buffer_stream", f"""WITH {EV} SELECT event_id AS id, array_to_string(list_transform(list(value) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), lambda x: CAST(CAST(floor(x * 100 + {_SHIFT}) AS BIGINT) AS VARCHAR)), ',') AS seq FROM ev""")
+def _cents_sql(x):
+    return f"CAST(CAST(floor({x} * 100 + {_SHIFT}) AS BIGINT) AS VARCHAR)"
+
+
+@query("ring_buffer_stream", f"""WITH {EV}, a AS (SELECT * FROM ev WHERE k % 10 <> 9), r AS (SELECT event_id, list({_cents_sql("value")} || ':' || {_cents_sql("p2")} || ':' || k) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS seq FROM a)
+SELECT event_id AS id, array_to_string(seq, ',') AS seq, CAST(len(seq) AS INTEGER) AS seq_len FROM r""")
 def _(spark, d):
-    cents = F.transform("seq", lambda x: F.floor(x * 100 + _SHIFT).cast("string"))
-    return _stream_out(spark, d).select("id", F.array_join(cents, ",").alias("seq"))
+    """Rings of feature vectors; rows of k = 9, 19, ... lack an amount and every third row comes twice, which both leave no trace."""
+    s = _event_stream(spark, d).withColumn("value", F.when(F.col("k") % 10 != 9, F.col("value")))
+    twice = s.withColumn("_again", F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    out = sources.run_append(keyed.keyed_features(twice, vector=["value", "p2", "k"]), "rings", store=sources.ROCKSDB)
+    cents = lambda x: F.floor(x * 100 + _SHIFT).cast("long").cast("string")
+    text = F.transform("seq", lambda v: F.concat_ws(":", cents(v[0]), cents(v[1]), v[2].cast("long").cast("string")))
+    return out.where("duplicate = 0 AND lacking = 0").select("id", F.array_join(text, ",").alias("seq"), "seq_len")
 
 
 @query("entity_state_batches", f"""WITH {EV}, {DAY_MEAN}, {EXPANDED.replace("FROM ev", "FROM dm")}
@@ -520,7 +532,29 @@ def _(spark, d):
     return live.join(b, "id").agg(F.count(F.lit(1)).alias("n"), F.sum((off > 0).cast("int")).alias("differing"))
 
 
-@query("late_rule", f"""WITH {EV}, m AS (SELECT user_id, max(t) AS seen FROM ev WHERE k < 90 GROUP BY 1)
+@query("late_rule", f"""WITH {EV}, a AS (SELECT *, {ARRIVAL} AS arrived FROM ev),
+s AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY arrived, t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a)
+SELECT event_id AS id, CAST(coalesce(seen - t > 86400000000, FALSE) AS INTEGER) AS stale, CAST(coalesce(t < seen, FALSE) AS INTEGER) AS out_of_order, triggers
+FROM s, (VALUES (1), (3)) v(triggers)""")
+def _(spark, d):
+    """Each event arrives k hours after it happened; the verdicts follow the arrival, in one trigger and in three."""
+    base = scratch_path(spark, "arrivals")
+    e = events(spark, d).select("event_id", "user_id", "t", "value", F.expr(ARRIVAL).alias("arrived"))
+    ends = e.selectExpr("percentile_approx(arrived, array(0.3, 0.6))").first()[0]
+    out = []
+    for name, cuts in (("1", []), ("3", ends)):
+        source, offsets, to = (os.path.join(base, f"{x}{name}") for x in ("src", "offsets", "out"))
+        bounds = [None, *cuts, None]
+        for low, high in zip(bounds, bounds[1:]):
+            part = e.where(F.lit(True) if low is None else F.col("arrived") > low).where(F.lit(True) if high is None else F.col("arrived") <= high)
+            part.write.mode("append").parquet(source)
+            stream = sources.stream_transactions(spark, "parquet", source, e.schema)
+            sources.run_append_to(keyed.keyed_features(stream, arrival="arrived"), to, offsets, store=sources.ROCKSDB)
+        out.append(spark.read.parquet(to).select("id", "stale", "out_of_order", F.lit(int(name)).alias("triggers")))
+    return out[0].unionByName(out[1])
+
+
+@query("late_rule_by_trigger", f"""WITH {EV}, m AS (SELECT user_id, max(t) AS seen FROM ev WHERE k < 90 GROUP BY 1)
 SELECT event_id AS id, CAST(k >= 90 AND seen - t > 86400000000 AS INTEGER) AS stale, CAST(k >= 90 AND t < seen AS INTEGER) AS out_of_order FROM ev LEFT JOIN m USING (user_id)""")
 def _(spark, d):
     base = scratch_path(spark, "late")
@@ -544,7 +578,28 @@ def _(spark, d):
     return sources.run_append(state.stream_features(s, time="at"), "ttl").select("id", "tx_count")
 
 
-@query("state_seed", f"WITH {SPLIT} SELECT event_id AS id, row_number() OVER ({W}) - 1 AS tx_count, {sq(f'coalesce(sum(value) OVER {PRIOR}, 0)', 2)} AS tx_sum, split FROM sp QUALIFY split <> 'train'")
+@query("state_seed", f"""WITH {SPLIT}, {DAY_MEAN.replace("FROM ev", "FROM sp")}, {EXPANDED.replace("FROM ev", "FROM dm")},
+r AS (SELECT *, list({_cents_sql("value")} || ':' || {_cents_sql("p2")}) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS vs,
+  {", ".join(f"{_trailing_sql(v)} AS w{k}" for k, v in fixed.TRAILING_SPANS_S.items())},
+  coalesce((t - max(t) OVER {PRIOR}) / 1e6, -1) AS gap FROM m)
+SELECT event_id AS id, n AS tx_count, {sq("s", 2)} AS tx_sum, {sq("mean")} AS mean_amount, coalesce(mx, 0) AS max_amount, {sq("std")} AS std_amount, {sq("gap", 2)} AS since_last,
+  {", ".join(f"w{k} AS tx_count_{k}" for k in fixed.TRAILING_SPANS_S)}, {sq("day_mean")} AS amt_24h_mean, array_to_string(vs, ',') AS seq FROM r WHERE split <> 'train'""")
+def _(spark, d):
+    """All accumulators, trailing entries and the ring go on from the batch state of the train rows."""
+    e = split_events(spark, d)
+    seed = keyed.batch_state(e.where("split = 'train'"), vector=["value", "p2"])
+    path = scratch_path(spark, "later")
+    e.where("split <> 'train'").select("event_id", "user_id", "t", "value", "p2").write.parquet(path)
+    stream = sources.stream_transactions(spark, "parquet", path, spark.read.parquet(path).schema)
+    live = sources.run_append(keyed.keyed_features(stream, vector=["value", "p2"], seed=seed), "seeded", store=sources.ROCKSDB)
+    cents = lambda x: F.floor(x * 100 + _SHIFT).cast("long").cast("string")
+    seq = F.array_join(F.transform("seq", lambda v: F.concat_ws(":", cents(v[0]), cents(v[1]))), ",")
+    counts = [f"tx_count_{k}" for k in fixed.TRAILING_SPANS_S]
+    return rounded(live.withColumn("seq", seq).select("id", "tx_count", "tx_sum", "mean_amount", "max_amount", "std_amount", "since_last", *counts, "amt_24h_mean", "seq"),
+                   tx_sum=2, mean_amount=4, std_amount=4, since_last=2, amt_24h_mean=4)
+
+
+@query("state_seed_totals", f"WITH {SPLIT} SELECT event_id AS id, row_number() OVER ({W}) - 1 AS tx_count, {sq(f'coalesce(sum(value) OVER {PRIOR}, 0)', 2)} AS tx_sum, split FROM sp QUALIFY split <> 'train'")
 def _(spark, d):
     e = split_events(spark, d)
     seed = profiles.entity_state(e.where("split = 'train'"))

@@ -467,10 +467,10 @@ def _(spark, d):
 
 
 @query("topk_abs", f"""WITH {EV}, {CONTRIB}, s AS (SELECT *, CASE WHEN contribution > 0 THEN 'risk' ELSE 'mitigating' END AS direction FROM ct WHERE contribution <> 0),
-t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY event_id, direction ORDER BY abs(contribution) DESC, feature) <= 1)
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY event_id, direction ORDER BY abs(contribution) DESC, feature) <= 5)
 SELECT event_id, feature, direction, CAST(row_number() OVER (PARTITION BY event_id ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS position FROM t""")
 def _(spark, d):
-    return explain.top_contributors(_contributions(spark, d), "event_id", 1).select("event_id", "feature", "direction", "position")
+    return explain.top_contributors(_contributions(spark, d), "event_id").select("event_id", "feature", "direction", "position")
 
 
 @query("global_importance", f"WITH {EV}, {CONTRIB} SELECT feature, {sq('avg(abs(contribution))', 6)} AS importance FROM ct GROUP BY 1")

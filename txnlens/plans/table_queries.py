@@ -362,15 +362,15 @@ def _normal_sql(u):
             f"WHEN {u} > 0.97575 THEN -({tail(high)}) ELSE {mid} END")
 
 
-@query("quantile_normal", f"""WITH {SPLIT}, qs AS (SELECT unnest(range(20)) AS i, unnest(quantile_cont(value, [{", ".join(f"CAST('{i / 19!r}' AS DOUBLE)" for i in range(20))}])) AS x FROM sp WHERE split = 'train'),
-k AS (SELECT x AS x0, lead(x) OVER (ORDER BY i) AS x1, i / 19 AS u0, (i + 1) / 19 AS u1 FROM qs),
+@query("quantile_normal", f"""WITH {SPLIT}, qs AS (SELECT unnest(range(1000)) AS i, unnest(quantile_cont(value, [{", ".join(f"CAST('{i / 999!r}' AS DOUBLE)" for i in range(1000))}])) AS x FROM sp WHERE split = 'train'),
+k AS (SELECT x AS x0, lead(x) OVER (ORDER BY i) AS x1, i / 999 AS u0, (i + 1) / 999 AS u1 FROM qs),
 ends AS (SELECT min(x) AS lo, max(x) AS hi FROM qs),
 u AS (SELECT event_id, CASE WHEN value < lo THEN 0 WHEN value > hi THEN 1 WHEN value = hi THEN 1 ELSE u0 + (u1 - u0) * (value - x0) / (x1 - x0) END AS u
       FROM sp CROSS JOIN ends LEFT JOIN k ON value >= x0 AND value < x1)
 SELECT event_id, {sq("greatest(least(" + _normal_sql("u") + ", 5.199337582605575), -5.199337582605575)", 6)} AS value_normal FROM u""")
 def _(spark, d):
     e = split_events(spark, d)
-    knots = encoders.fit_normal_scores(e.where("split = 'train'"), "value", 20)
+    knots = encoders.fit_normal_scores(e.where("split = 'train'"), "value")
     return rounded(encoders.apply_normal_scores(e, "value", knots, "value_normal").select("event_id", "value_normal"), value_normal=6)
 
 
