@@ -19,7 +19,7 @@ from txnlens.roles import MICROS, Roles
 from txnlens.session import cut_lineage, scratch_path
 from txnlens.sources import sinks, tables
 from txnlens.sources.tables import read_table
-from txnlens.streaming import keyed, labels, rates, sources, state
+from txnlens.streaming import keyed, labels, rates, scoring, sources, state
 from txnlens.streaming.batches import FeatureBatches
 
 # ---------------------------------------------------------------- sources and sinks
@@ -572,10 +572,27 @@ def _(spark, d):
     return spark.read.parquet(out).select("id", "stale", "out_of_order")
 
 
-@query("state_ttl", f"WITH {EV} SELECT event_id AS id, row_number() OVER ({W}) - 1 AS tx_count FROM ev")
+TTL_DAYS = 1
+
+
+# Three deliveries in time order; after each one the watermark, an hour behind, lets entities go that were silent for a day.
+@query("state_ttl", f"""WITH {EV}, e AS (SELECT *, least((t - min(t) OVER ()) * 3 // (max(t) OVER () - min(t) OVER () + 1), 2) AS part FROM ev),
+w AS (SELECT part, max(max(t)) OVER (ORDER BY part) // 1000 - 3600000 AS mark FROM e GROUP BY part),
+p AS (SELECT user_id, part, lag(max(t)) OVER (PARTITION BY user_id ORDER BY part) AS last FROM e GROUP BY 1, 2),
+r AS (SELECT p.user_id, p.part, sum(CAST(coalesce(last // 1000 + {TTL_DAYS} * 86400000 < w.mark, FALSE) AS INTEGER)) OVER (PARTITION BY p.user_id ORDER BY p.part) AS life
+  FROM p LEFT JOIN w ON w.part = p.part - 1)
+SELECT event_id AS id, row_number() OVER (PARTITION BY user_id, life ORDER BY t, event_id) - 1 AS tx_count FROM e JOIN r USING (user_id, part)""")
 def _(spark, d):
-    s = _event_stream(spark, d).withWatermark("at", "40 days")
-    return sources.run_append(state.stream_features(s, time="at"), "ttl").select("id", "tx_count")
+    base = scratch_path(spark, "ttl")
+    e = events(spark, d).select("event_id", "user_id", "t", "value", F.timestamp_micros("t").alias("at"))
+    low, high = e.agg(F.min("t"), F.max("t")).first()
+    part = F.least(F.floor((F.col("t") - low) * 3 / (high - low + 1)), F.lit(2))
+    src, out, offsets = (os.path.join(base, x) for x in ("src", "out", "offsets"))
+    for i in range(3):
+        e.where(part == i).write.mode("append").parquet(src)
+        stream = sources.stream_transactions(spark, "parquet", src, e.schema).withWatermark("at", "1 hour")
+        sources.run_append_to(state.stream_features(stream, time="at", ttl_days=TTL_DAYS), out, offsets)
+    return spark.read.parquet(out).select("id", "tx_count")
 
 
 @query("state_seed", f"""WITH {SPLIT}, {DAY_MEAN.replace("FROM ev", "FROM sp")}, {EXPANDED.replace("FROM ev", "FROM dm")},
@@ -610,7 +627,28 @@ def _(spark, d):
     return rounded(live.join(spark.read.parquet(path).select(F.col("event_id").alias("id"), "split"), "id").select("id", "tx_count", "tx_sum", "split"), tx_sum=2)
 
 
-@query("score_stream", f"WITH {EV} SELECT 'log' AS sink, event_id FROM ev WHERE user_id % 10 <> 3 UNION ALL SELECT 'alert', event_id FROM ev WHERE user_id % 10 <> 3 AND p >= 0.45")
+@query("score_stream", f"""WITH {EV}, a AS (SELECT * FROM ev WHERE user_id % 10 <> 3), f AS (SELECT *, {_trailing_sql(86400)} AS wn FROM a),
+x AS (SELECT *, CASE WHEN k <> 50 THEN p1 END AS m1, CASE WHEN k % 10 <> 0 THEN p2 END AS m2, least(wn / 20, 1.0::DOUBLE) AS v FROM f),
+z AS (SELECT *, CASE WHEN m1 IS NULL THEN 'failed' WHEN m2 IS NULL THEN 'fallback' ELSE 'full' END AS mode,
+  CASE WHEN m1 IS NULL THEN NULL WHEN m2 IS NULL THEN 0.7::DOUBLE * m1 + 0.3::DOUBLE * v ELSE 0.5::DOUBLE * m1 + 0.3::DOUBLE * m2 + 0.2::DOUBLE * v END AS b FROM x),
+o AS (SELECT event_id AS id, mode, {sq("b", 6)} AS p, CASE WHEN b IS NULL THEN NULL WHEN b >= CASE WHEN mode = 'full' THEN 0.45 ELSE 0.3 END THEN 'FRAUD' ELSE 'LEGITIMATE' END AS decision FROM z)
+SELECT 'log' AS sink, * FROM o UNION ALL SELECT 'alert', * FROM o WHERE decision = 'FRAUD'""")
+def _(spark, d):
+    """Rows of some users are broken, every fifth row comes twice, some models are missing; a third score comes from the keyed features."""
+    base = scratch_path(spark, "scored")
+    s = _event_stream(spark, d).withColumns({
+        "value": F.when(F.col("user_id") % 10 == 3, -1.0).otherwise(F.col("value")),
+        "m1": F.when(F.col("k") != 50, F.col("p1")), "m2": F.when(F.col("k") % 10 != 0, F.col("p2"))}).drop("p", "p1", "p2", "p3")
+    twice = s.withColumn("_again", F.explode(F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_again")
+    scored = scoring.decisions(
+        twice, "at", ["m1", "m2"], {"m1": 0.5, "m2": 0.3, "v": 0.2}, {"m1": 0.7, "v": 0.3}, 0.45, 0.3, {"v": F.least(F.col("tx_count_24h") / 20, F.lit(1.0))})
+    scoring.run_sinks(scored, base, store=sources.ROCKSDB)
+    schema = scored.schema
+    out = [spark.read.schema(schema).parquet(os.path.join(base, k, "*")).select(F.lit(k).alias("sink"), "id", "mode", "p", "decision") for k in ("log", "alert")]
+    return rounded(out[0].unionByName(out[1]), p=6)
+
+
+@query("score_stream_precomputed", f"WITH {EV} SELECT 'log' AS sink, event_id FROM ev WHERE user_id % 10 <> 3 UNION ALL SELECT 'alert', event_id FROM ev WHERE user_id % 10 <> 3 AND p >= 0.45")
 def _(spark, d):
     """Validate, score, decide, then two sinks from each micro-batch. Rows of some users are broken on purpose."""
     base = scratch_path(spark, "scored")
@@ -651,12 +689,18 @@ def _(spark, d):
     return sources.run_updates(rates.latency_p95(_event_stream(spark, d), "at", "value"), "window_start", "latency")
 
 
-@query("backlog", f"WITH {EV} SELECT count(*) AS processed, 0::BIGINT AS backlog FROM ev")
+@query("backlog", f"""WITH {EV}, c AS (SELECT event_id % 4 AS batch, count(*) AS n FROM ev GROUP BY 1)
+SELECT batch, (sum(n) OVER (ORDER BY batch))::BIGINT AS processed, (sum(n) OVER () - sum(n) OVER (ORDER BY batch))::BIGINT AS backlog FROM c""")
 def _(spark, d):
-    """A file source reports no per-partition offsets, so what is pending are the rows of the source that no batch has taken."""
-    done = sources.run_append(_event_stream(spark, d).select("event_id"), "counted")
-    pending = events(spark, d).join(done, "event_id", "left_anti").agg(F.count(F.lit(1)).alias("backlog"))
-    return done.agg(F.count(F.lit(1)).alias("processed")).withColumn("backlog", pending.scalar())
+    """Four files, one a trigger: what waits is the rows in the source less those of the progress events."""
+    path = scratch_path(spark, "arriving")
+    e = events(spark, d).select("event_id", "value")
+    for i in range(4):
+        e.where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(path)
+    stream = sources.stream_transactions(spark, "parquet", path, e.schema, maxFilesPerTrigger="1")
+    progress = sources.run_append_to(stream, scratch_path(spark, "counted"), scratch_path(spark, "counted-offsets"))
+    trace = rates.backlog_trace(progress, spark.read.parquet(path).count())
+    return spark.createDataFrame(trace, "batch long, processed long, backlog long")
 
 
 _ENCODED = f"""SELECT event_id AS id, count(*) OVER w AS ready, {sq("(coalesce(sum(y) OVER w, 0) + 10 * 0.035) / (count(*) OVER w + 10)", 8)} AS target_enc FROM ev

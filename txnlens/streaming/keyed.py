@@ -63,7 +63,7 @@ class KeyedFeatures(StatefulProcessor):
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
         r = initialState.iloc[0]
         self.held.update((int(r["n"]), float(r["s"]), float(r["q"]), float(r["mx"]), int(r["last"]), [int(v) for v in r["hist_t"]],
-                          [float(v) for v in r["hist_x"]], np.asarray(r["hist_id"]).tolist(), [[float(v) for v in z] for z in r["ring"]]))
+                          [float(v) for v in r["hist_x"]], np.asarray(r["hist_id"]).tolist(), [[None if v is None or v != v else float(v) for v in z] for z in r["ring"]]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.held.get() if self.held.exists() else None
@@ -85,7 +85,7 @@ class KeyedFeatures(StatefulProcessor):
             answered, after = _answer(given, (n, s, q, mx, last, list(hist_t), list(hist_x), []))
             features = _typed(answered).drop(columns=["entity", "id", "t", "amount", "stale", "out_of_order", "seq", "seq_len"])
             features.index = taken.index
-            vectors = [*map(list, ring), *([float(v) for v in z] for z in taken["v"])]
+            vectors = [*map(list, ring), *([None if v is None or v != v else float(v) for v in z] for z in taken["v"])]
             ends = len(ring) + np.arange(len(taken)) + 1
             features["seq"] = pd.Series([vectors[max(0, e - self.ring):e] for e in ends], index=taken.index, dtype=object)
             flags = flags.join(features)

@@ -39,6 +39,19 @@ def offset_backlog(end: str | None, latest: str | None) -> int:
         return -1
 
 
+def backlog_trace(progress: list, total: int) -> list[tuple[int, int, int]]:
+    """``(batch, rows so far, rows still waiting)`` after each batch with data, for a source that reports no offsets per partition.
+
+    ``total`` are the rows of the source; counting a Parquet folder reads file footers only.
+    """
+    out, done = [], 0
+    for p in progress:
+        if p.numInputRows:
+            done += p.numInputRows
+            out.append((p.batchId, done, total - done))
+    return out
+
+
 class BacklogListener(StreamingQueryListener):
     """Keeps the newest backlog of every query and whether it stays in budget."""
 

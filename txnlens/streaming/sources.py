@@ -42,8 +42,8 @@ def dedupe_stream(stream: DataFrame, time: str, roles: Roles = Roles(), delay: s
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _start(writer, spark: SparkSession, offsets: str, state_partitions: int | None = None, store: str | None = None) -> None:
-    """Run what is available. State partitions follow the cluster's cores unless given."""
+def _start(writer, spark: SparkSession, offsets: str, state_partitions: int | None = None, store: str | None = None) -> list:
+    """Run what is available and return the progress of its batches. State partitions follow the cluster's cores unless given."""
     wanted = {"spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism)}
     if store:
         wanted["spark.sql.streaming.stateStore.providerClass"] = store
@@ -51,15 +51,17 @@ def _start(writer, spark: SparkSession, offsets: str, state_partitions: int | No
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
-        writer.option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+        query = writer.option("checkpointLocation", offsets).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.recentProgress
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def run_append_to(stream: DataFrame, out: str, offsets: str, **options) -> None:
+def run_append_to(stream: DataFrame, out: str, offsets: str, **options) -> list:
     """Append what is available to a parquet folder; the same offsets folder continues an earlier run."""
-    _start(stream.writeStream.format("parquet").option("path", out), stream.sparkSession, offsets, **options)
+    return _start(stream.writeStream.format("parquet").option("path", out), stream.sparkSession, offsets, **options)
 
 
 def run_append(stream: DataFrame, name: str, **options) -> DataFrame:
