@@ -117,16 +117,17 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], chunks: Chu
     ranked = ranked.withColumns({"s": F.coalesce("s", F.lit(0)), "n": total})
     n = F.col("n")
     probs = sorted(float(q) for q in probs)
-    cells = F.array(*[
-        F.struct(F.lit(q).alias("prob"), F.floor((n - 1) * F.lit(q)).alias("lo"), F.ceil((n - 1) * F.lit(q)).alias("hi"))
-        for q in probs])
+    cell = lambda q: F.struct(q.alias("prob"), F.floor((n - 1) * q).alias("lo"), F.ceil((n - 1) * q).alias("hi"))
     here = lambda r: (F.col("s") <= r) & (r < F.col("s") + F.col("c"))
     even = len(probs) > 16 and all(abs(q - i / (len(probs) - 1)) < 1e-12 for i, q in enumerate(probs))
     if even:
         m = len(probs) - 1
         first = F.greatest(F.floor((F.col("s") - 1) / F.greatest(n - 1, F.lit(1)) * m), F.lit(0))
         last = F.least(F.ceil((F.col("s") + F.col("c") + 1) / F.greatest(n - 1, F.lit(1)) * m), F.lit(m))
-        cells = F.slice(cells, (first + 1).cast("int"), (last - first + 1).cast("int"))
+        # Written as a range, so the plan doesn't hold a term a probability.
+        cells = F.transform(F.sequence(first.cast("int"), last.cast("int")), lambda i: cell(i.cast("double") / float(m)))
+    else:
+        cells = F.array(*[cell(F.lit(q)) for q in probs])
     hits = ranked.select("v", "s", "c", "n", F.explode(F.filter(cells, lambda x: here(x["lo"]) | here(x["hi"]))).alias("x"))
     ends = hits.groupBy("x.prob").agg(
         F.max(F.when(here(F.col("x.lo")), F.col("v"))).alias("lo"),
@@ -210,7 +211,8 @@ def apply_normal_scores(df: DataFrame, col: str, quantiles: Sequence[float], out
     keyed = df.withColumn("_x", F.col(col).cast("double"))
     binned = Bucketizer(splits=[-INF, *xs[1:-1], INF], inputCol="_x", outputCol="_k", handleInvalid="keep").transform(keyed) \
         if len(xs) > 2 else keyed.withColumn("_k", F.lit(0.0))
-    knot_x, knot_u = F.array(*[F.lit(x) for x in xs]), F.array(*[F.lit(u) for u in us])
+    # One parsed expression; a column object a knot would take longer than the query.
+    knot_x, knot_u = (F.expr("array(" + ", ".join(f"double('{v!r}')" for v in values) + ")") for values in (xs, us))
     k = binned.withColumn("_k", F.least(F.col("_k"), F.lit(len(xs) - 2)).cast("int"))
     k = k.withColumns({
         "_x0": F.get(knot_x, F.col("_k")), "_x1": F.get(knot_x, F.col("_k") + 1),

@@ -363,9 +363,10 @@ def _normal_sql(u):
 
 
 @query("quantile_normal", f"""WITH {SPLIT}, qs AS (SELECT unnest(range(1000)) AS i, unnest(quantile_cont(value, [{", ".join(f"CAST('{i / 999!r}' AS DOUBLE)" for i in range(1000))}])) AS x FROM sp WHERE split = 'train'),
-k AS (SELECT x AS x0, lead(x) OVER (ORDER BY i) AS x1, i / 999 AS u0, (i + 1) / 999 AS u1 FROM qs),
-ends AS (SELECT min(x) AS lo, max(x) AS hi FROM qs),
-u AS (SELECT event_id, CASE WHEN value < lo THEN 0 WHEN value > hi THEN 1 WHEN value = hi THEN 1 ELSE u0 + (u1 - u0) * (value - x0) / (x1 - x0) END AS u
+g AS (SELECT x, (min(i) + max(i)) / 2 / 999 AS u FROM qs GROUP BY x),
+k AS (SELECT x AS x0, lead(x) OVER (ORDER BY x) AS x1, u AS u0, lead(u) OVER (ORDER BY x) AS u1 FROM g),
+ends AS (SELECT min(x) AS lo, max(x) AS hi, max(u) AS top FROM g),
+u AS (SELECT event_id, CASE WHEN value < lo THEN 0 WHEN value > hi THEN 1 WHEN value = hi THEN top ELSE u0 + (u1 - u0) * (value - x0) / (x1 - x0) END AS u
       FROM sp CROSS JOIN ends LEFT JOIN k ON value >= x0 AND value < x1)
 SELECT event_id, {sq("greatest(least(" + _normal_sql("u") + ", 5.199337582605575), -5.199337582605575)", 6)} AS value_normal FROM u""")
 def _(spark, d):
