@@ -258,7 +258,7 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet")).select(*RESULT)
 
 
-#: CRC-32 bit by bit for the table, then byte by byte over the decimal digits.
+#: The parent's id is a double here, as a column of whole numbers and nulls is one in pandas. CRC-32 bit by bit for the table, then byte by byte over the decimal digits.
 _CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda k: ord(substr(conv_id::VARCHAR, k, 1))::BIGINT)),
     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
 ORACLE = f"""WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
@@ -276,5 +276,5 @@ ORACLE = f"""WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lam
         FROM node n LEFT JOIN kids k USING (depth, key)),
     total AS (SELECT depth, key, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (
         SELECT d AS depth, list_slice(key, 1, d) AS key, n_children, saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM full_node)) GROUP BY ALL)
-    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, t.saved_tokens, sha256(n.ends) AS ends_sha256
+    SELECT n.conv_id, n.depth, p.conv_id::DOUBLE AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, t.saved_tokens, sha256(n.ends) AS ends_sha256
     FROM full_node n JOIN total t USING (depth, key) LEFT JOIN node p ON p.depth = n.depth - 1 AND p.key = list_slice(n.key, 1, n.depth - 1)"""
