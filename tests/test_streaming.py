@@ -58,6 +58,27 @@ def test_batches_with_state_tables_equal_one_pass(spark, skewed, tmp_path):
             assert live[r["event_id"]][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9), c
 
 
+def test_keys_of_any_type(spark, tmp_path):
+    schema = T.StructType().add("event_id", "string").add("user_id", "string").add("t", "long").add("value", "double").add("y", "integer")
+    src = str(tmp_path / "s")
+    spark.createDataFrame([("a", "u-1", MICROS, 5.0, 1), ("b", "u-1", 2 * MICROS, 6.0, 0), ("c", None, 3 * MICROS, 7.0, 0)], schema).write.parquet(src)
+    stream = sources.stream_transactions(spark, "parquet", src, schema)
+    assert {(r["id"], r["tx_count"]) for r in sources.run_append(state.stream_features(stream), "any").collect()} == {("a", 0), ("b", 1), ("c", 0)}
+    stream = sources.stream_transactions(spark, "parquet", src, schema)
+    assert {(r["id"], r["ready"]) for r in sources.run_append(state.stream_label_encoding(stream, 0.1, 1), "any").collect()} == {("a", 0), ("b", 1), ("c", 0)}
+
+
+def test_late_label_rows_read_no_young_label(spark, tmp_path):
+    """Labels in the row: one that comes a trigger later is answered as of its own time, and not at all when it is too late."""
+    schema = T.StructType().add("event_id", "long").add("user_id", "long").add("t", "long").add("y", "integer")
+    src, out, offsets = str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "c")
+    hour = 3_600 * MICROS
+    for rows in ([(1, 7, 1 * hour, 1), (2, 7, 50 * hour, 1)], [(3, 7, 40 * hour, 0), (4, 7, 5 * hour, 0), (5, 7, 70 * hour, 0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        sources.run_append_to(state.stream_label_encoding(sources.stream_transactions(spark, "parquet", src, schema), 0.1, 10 * 3600), out, offsets)
+    assert {r["id"]: r["ready"] for r in spark.read.parquet(out).collect()} == {1: 0, 2: 1, 3: 2, 4: None, 5: 4}
+
+
 def test_late_rows(spark, tmp_path):
     schema = T.StructType().add("event_id", "long").add("user_id", "long").add("t", "long").add("value", "double")
     src, out, offsets = str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "c")

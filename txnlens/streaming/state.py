@@ -86,6 +86,12 @@ def _answer(pdf: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
     return refused.join(out), after  # by position, as ids may repeat
 
 
+def _keyed_as(schema: str, stream: DataFrame, roles: Roles) -> str:
+    """The schema with the entity and id types of the stream."""
+    entity, id_type = (stream.schema[c].dataType.simpleString() for c in (roles.entity, roles.id))
+    return schema.replace("entity long, id long", f"entity {entity}, id {id_type}", 1)
+
+
 _COLUMNS = [part.strip().split(" ")[0] for part in OUTPUT.split(",")]
 _INTS = ["tx_count", "tx_count_10min", "tx_count_1h", "tx_count_24h", "seq_len"]
 
@@ -116,10 +122,10 @@ def stream_features(stream: DataFrame, roles: Roles = Roles(), time: str | None
         yield _typed(out)
 
     narrow = stream.select(
-        F.col(roles.entity).cast("long").alias("entity"), F.col(roles.id).cast("long").alias("id"),
+        F.col(roles.entity).alias("entity"), F.col(roles.id).alias("id"),
         F.col(roles.ts).alias("t"), F.col(roles.amount).cast("double").alias("amount"), *([time] if time else []))
     timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
-    return narrow.groupBy("entity").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
+    return narrow.groupBy("entity").applyInPandasWithState(step, _keyed_as(OUTPUT, stream, roles), STATE, "append", timeout)
 
 
 LABEL_STATE = "n long, y long, wait_t array<long>, wait_y array<long>, gone long"
@@ -157,9 +163,8 @@ def stream_label_encoding(stream: DataFrame, prior: float, lag_s: int, roles: Ro
     narrow = stream.select(
         F.col(roles.entity).alias("entity"), F.col(roles.id).alias("id"),
         F.col(roles.ts).alias("t"), F.col(roles.label).cast("long").alias("y"))
-    entity, id_type = (stream.schema[c].dataType.simpleString() for c in (roles.entity, roles.id))
     return narrow.groupBy("entity").applyInPandasWithState(
-        step, f"entity {entity}, id {id_type}, ready long, target_enc double", LABEL_STATE, "append", GroupStateTimeout.NoTimeout)
+        step, _keyed_as("entity long, id long, ready long, target_enc double", stream, roles), LABEL_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def seeded_counts(stream: DataFrame, seed: DataFrame, roles: Roles = Roles()) -> DataFrame:
@@ -193,9 +198,9 @@ def seeded_counts(stream: DataFrame, seed: DataFrame, roles: Roles = Roles()) ->
             pass
 
     narrow = stream.select(
-        F.col(roles.entity).cast("long").alias("entity"), F.col(roles.id).cast("long").alias("id"),
+        F.col(roles.entity).alias("entity"), F.col(roles.id).alias("id"),
         F.col(roles.ts).alias("t"), F.col(roles.amount).cast("double").alias("amount"))
-    start = seed.select(F.col(roles.entity).cast("long").alias("entity"), "n", "sum")
+    start = seed.select(F.col(roles.entity).alias("entity"), "n", "sum")
     return narrow.groupBy("entity").transformWithStateInPandas(
-        statefulProcessor=Continue(), outputStructType="entity long, id long, tx_count long, tx_sum double",
+        statefulProcessor=Continue(), outputStructType=_keyed_as("entity long, id long, tx_count long, tx_sum double", stream, roles),
         outputMode="Append", timeMode="None", initialState=start.groupBy("entity"))
