@@ -58,6 +58,33 @@ def test_batches_with_state_tables_equal_one_pass(spark, skewed, tmp_path):
             assert live[r["event_id"]][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9), c
 
 
+def test_batches_leave_untouched_buckets_alone(spark, tmp_path):
+    """Each batch writes the buckets of its own entities; replaced versions go a batch later, others stay as they are."""
+    from txnlens.streaming.batches import FeatureBatches
+
+    handle = FeatureBatches(str(tmp_path / "out"), str(tmp_path / "state"), buckets=8)
+    entities = [list(range(40)), [1], [1, 2], [], [1, None]]
+    want, n = {}, 0
+    for i, group in enumerate(entities):
+        rows = []
+        for e in group:
+            rows.append((n, e, (n + 1) * MICROS, 2.0))
+            want[n] = sum(1 for g in entities[:i] for x in g if x == e)
+            n += 1
+        batch = spark.createDataFrame(rows, "event_id long, user_id long, t long, value double")
+        before = handle.index(spark, i - 1)
+        handle(batch, i)
+        handle(batch, i)
+        own = {r["b"] for r in batch.select(handle._bucket().alias("b")).collect()}
+        after = handle.index(spark, i)
+        assert {b for b, v in after.items() if v == i} == own
+        assert {b: v for b, v in after.items() if b not in own} == {b: v for b, v in before.items() if b not in own}
+    live = {(int(p.parent.name.split("=")[1]), int(p.name.split("=")[1]))
+            for p in (tmp_path / "state" / "entity").glob("version=*/bucket=*")}
+    assert {(v, b) for b, v in after.items()} | {(v, b) for b, v in before.items()} == live
+    assert {r["event_id"]: r["tx_count"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
 def test_keys_of_any_type(spark, tmp_path):
     schema = T.StructType().add("event_id", "string").add("user_id", "string").add("t", "long").add("value", "double").add("y", "integer")
     src = str(tmp_path / "s")
