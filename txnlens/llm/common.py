@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.session import scratch_path
+from txnlens.session import scratch_path, scratch_scope
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,6 +52,15 @@ def kept_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def kept_alone(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``build`` returns, written and read back; the tables that ``build`` made on the way are deleted."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, root)`` for each node of the undirected ``edges(a, b)``: the least node reachable from it.
 

@@ -10,23 +10,26 @@ repeat a doc_id each get their own output row. An empty table gives an empty res
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import combinations, repeat
 from math import log2
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import clean_docs, components, drop_table, kept_table, read_documents, unused
+from txnlens.llm.common import clean_docs, components, drop_table, kept_alone, kept_table, read_documents, unused
 
 SEED = 42
 #: Independent fingerprints of the distinct words; near copies are close in one of them, at least.
 SEEDS = (SEED, SEED + 1, SEED + 2)
 #: Shingles whose bits are unpacked at once.
 _SLAB = 1 << 15
+#: Bits of the parity of a shingle set; more of them tell longer texts apart.
+PARITY_BITS = 1_024
+#: Heads that the nodes under a key are compared with before those left over meet each other, at most.
+ROUNDS = 5
 #: Ids that are sent to every task, at most.
 SMALL_IDS = 1_000_000
 
@@ -93,47 +96,109 @@ def block_masks(m: int, bits: int) -> list[int]:
     return [sum(blocks[i] for i in kept) for kept in combinations(range(m), m - bits)]
 
 
-def links(nodes: DataFrame, count: int, bits: int = 4, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
-          tables: list[str] | None = None) -> DataFrame:
+def links(nodes: DataFrame, count: int, bits: int = 4) -> DataFrame:
     """``(a, b)`` fingerprints of ``nodes(fp)`` (distinct) whose components are those of all pairs within ``bits`` bits.
 
     First every fingerprint is compared with the least one under each of its keys, which costs one comparison a key and
     joins most of a large group. After that only fingerprints outside the component of that least one are compared with the
-    others under the key, so a group of near copies isn't multiplied out. ``verify`` keeps those of some pairs ``(a, b)``
-    that count as links. With ``tables``, ``fp`` only names a node, and its fingerprints are in these columns; a pair is within
-    ``bits`` bits if it is in one of them, and nodes may have equal fingerprints.
+    others under the key, so a group of near copies isn't multiplied out.
     """
     spark = nodes.sparkSession
-    masks = [_signed(x) for x in block_masks(block_count(count, bits), bits)]
-    own = ["f"] if tables else []
-    choices = F.array(*[F.struct(F.lit(t * len(masks) + i).alias("c"), F.col(name).bitwiseAND(F.lit(x)).alias("v"), *[F.col(name).alias(f) for f in own])
-                        for t, name in enumerate(tables or ["fp"]) for i, x in enumerate(masks)])
-    keys = nodes.select("fp", F.explode(choices).alias("k")).select("fp", "k.c", "k.v", *[f"k.{f}" for f in own])
-    heads = keys.groupBy("c", "v").agg(
-        F.min("fp").alias("head"), F.count("*").alias("n"), *[F.min_by(f, "fp").alias(f"head_{f}") for f in own]).where("n > 1").drop("n")
+    keys = nodes.select("fp", F.explode(block_keys("fp", count, bits)).alias("k")).select("fp", "k.c", "k.v")
+    heads = keys.groupBy("c", "v").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared, shared_path = kept_table(keys.join(heads, ["c", "v"]), "simhash-keys")
-    near = F.bit_count(F.col("fa" if tables else "a").bitwiseXOR(F.col("fb" if tables else "b"))) <= bits
-    # Nodes of equal fingerprints share all keys and meet under the first one alone.
-    once = (F.col("fa") != F.col("fb")) | (F.col("c") % len(masks) == 0) if tables else F.lit(True)
-    to_head, _ = kept_table(verify(
-        shared.select(F.col("fp").alias("a"), F.col("head").alias("b"), "c", *[F.col(x).alias(y) for f in own for x, y in ((f, "fa"), (f"head_{f}", "fb"))])
-        .where("a <> b").where(near).where(once).select("a", "b").distinct()), "simhash-links")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
+    to_head, _ = kept_table(
+        shared.select(F.col("fp").alias("a"), F.col("head").alias("b")).where("a <> b").where(near).distinct(), "simhash-links")
     group, _ = kept_table(components(to_head), "simhash-groups")
     grouped = shared.join(group, F.col("fp") == F.col("node"), "left").select(
-        "c", "v", "fp", *own, "head", F.coalesce("root", "fp").alias("g"))
+        "c", "v", "fp", "head", F.coalesce("root", "fp").alias("g"))
     head_group = group.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
     tagged, tagged_path = kept_table(
         grouped.join(head_group, "head", "left").select(
-            "c", "v", "fp", *own, "g", (F.col("g") != F.coalesce("head_root", "head")).alias("apart")), "simhash-tagged")
-    left = tagged.where("apart").select("c", "v", F.col("fp").alias("a"), F.col("g").alias("ga"), *[F.col(f).alias("fa") for f in own])
+            "c", "v", "fp", "g", (F.col("g") != F.coalesce("head_root", "head")).alias("apart")), "simhash-tagged")
+    left = tagged.where("apart").select("c", "v", F.col("fp").alias("a"), F.col("g").alias("ga"))
     right = tagged.select(
-        F.col("c").alias("_c"), F.col("v").alias("_v"), F.col("fp").alias("b"), F.col("g").alias("gb"), "apart", *[F.col(f).alias("fb") for f in own])
-    across, _ = kept_table(verify(left.join(right, (F.col("c") == F.col("_c")) & (F.col("v") == F.col("_v")) & (F.col("ga") != F.col("gb"))
-                                     & (~F.col("apart") | (F.col("a") < F.col("b"))) & near & once).select("a", "b").distinct()), "simhash-links")
+        F.col("c").alias("_c"), F.col("v").alias("_v"), F.col("fp").alias("b"), F.col("g").alias("gb"), "apart")
+    across, _ = kept_table(left.join(right, (F.col("c") == F.col("_c")) & (F.col("v") == F.col("_v")) & (F.col("ga") != F.col("gb"))
+                                     & (~F.col("apart") | (F.col("a") < F.col("b"))) & near).select("a", "b").distinct(), "simhash-links")
     drop_table(spark, shared_path, tagged_path)
     return to_head.unionByName(across)
 
 
+def block_keys(fp: str, count: int, bits: int) -> Column:
+    """The keys ``(c, v)`` of a fingerprint: the number of a choice of blocks, and the bits in them."""
+    masks = [_signed(x) for x in block_masks(block_count(count, bits), bits)]
+    return F.array(*[F.struct(F.lit(i).alias("c"), F.col(fp).bitwiseAND(F.lit(x)).alias("v")) for i, x in enumerate(masks)])
+
+
+def may_be_similar(a: str, b: str) -> Column:
+    """Whether the shingle sets of two sketches ``(n, parity)`` may have a Jaccard similarity of 0.8 or more.
+
+    Such sets differ in a ninth of the sum of their sizes at most, and every bit in which the parities differ is one shingle.
+    """
+    apart = F.aggregate(F.zip_with(f"{a}.parity", f"{b}.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+    return 9 * apart <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
+def verified_links(nodes: DataFrame, count: int, bits: int, known: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``known(a, b)`` and links of ``nodes(node, f, s)``: their components are those of ``known`` and all pairs with fingerprints
+    ``f`` within ``bits`` bits that ``verify`` keeps.
+
+    ``verify`` only sees pairs whose sketches ``s`` allow a similarity. As in ``links``, the nodes under a key are compared with one
+    head first. Then the least node outside the groups of all earlier heads is the next head, round after round, while many pairs
+    are left over; the number of rounds doesn't change the components. At last the nodes outside the group of the first head are compared with all
+    others under the key that aren't in their own group.
+    """
+    spark = nodes.sparkSession
+    keys = nodes.select("node", "f", F.explode(block_keys("f", count, bits)).alias("k")).select("node", "f", "k.c", "k.v")
+    several = keys.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared, _ = kept_table(keys.join(several, ["c", "v"]), "simhash-keys")
+    size = shared.count()
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= bits
+    # Nodes of equal fingerprints share all keys and meet under the first one alone.
+    once = (F.col("fa") != F.col("fb")) | (F.col("c") == 0)
+    sketch = {i: nodes.select(F.col("node").alias(i), F.col("s").alias(f"s{i}")) for i in ("a", "b")}
+    found, heads, done = known, None, 0
+    while True:
+        group, _ = kept_table(components(found), "simhash-groups")
+        tagged, _ = kept_table(shared.join(group, "node", "left").select(
+            "c", "v", "node", "f", F.coalesce("root", "node").alias("g")), "simhash-tagged")
+        closed = None if heads is None else heads.join(group.withColumnRenamed("node", "head"), "head", "left").select(
+            "c", "v", "round", F.coalesce("root", "head").alias("g"))
+        open_ = tagged if closed is None else tagged.join(closed, ["c", "v", "g"], "left_anti")
+        first, _ = kept_table(open_.groupBy("c", "v").agg(
+            F.min(F.struct("node", "f", "g")).alias("h"), F.count("*").alias("n")), "simhash-heads")
+        left_over = first.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
+        if done and (done == ROUNDS or left_over <= size):
+            break
+
+        def to_head() -> DataFrame:
+            met = tagged.join(first, ["c", "v"]).where(F.col("g") != F.col("h.g")).select(
+                F.col("node").alias("a"), F.col("f").alias("fa"), F.col("h.node").alias("b"), F.col("h.f").alias("fb"), "c")
+            pairs = met.where(near & once).select("a", "b").distinct()
+            return verify(pairs.join(sketch["a"], "a").join(sketch["b"], "b").where(may_be_similar("sa", "sb")).select("a", "b"))
+
+        found = found.unionByName(kept_alone(spark, to_head, "simhash-links"))
+        more = first.select("c", "v", F.col("h.node").alias("head"), F.lit(done).alias("round"))
+        heads = more if heads is None else heads.unionByName(more)
+        done += 1
+
+    def across() -> DataFrame:
+        own = closed.where("round = 0").select("c", "v", F.col("g").alias("g0"))
+        marked = tagged.join(own, ["c", "v"]).withColumn("apart", F.col("g") != F.col("g0"))
+        some = marked.where("apart").select("c", "v").distinct()
+        rows, _ = kept_table(marked.join(some, ["c", "v"], "left_semi").join(nodes.select("node", "s"), "node"), "simhash-apart")
+        left = rows.where("apart").select("c", "v", F.col("node").alias("a"), F.col("f").alias("fa"), F.col("g").alias("ga"), F.col("s").alias("sa"))
+        right = rows.select(F.col("c").alias("_c"), F.col("v").alias("_v"), F.col("node").alias("b"), F.col("f").alias("fb"),
+                            F.col("g").alias("gb"), F.col("s").alias("sb"), "apart")
+        met = left.join(right, (F.col("c") == F.col("_c")) & (F.col("v") == F.col("_v")) & (F.col("ga") != F.col("gb"))
+                        & (~F.col("apart") | (F.col("a") < F.col("b"))) & near & once & may_be_similar("sa", "sb"))
+        return verify(met.select("a", "b").distinct())
+
+    return found.unionByName(kept_alone(spark, across, "simhash-links"))
+
+
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row; ``component_id`` is the least ``doc_id`` that chains of links reach."""
     fps, nodes = fingerprint_nodes(docs, words)
@@ -166,27 +231,43 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(_hashes(shingles_of(split_words(text), words)))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bits in longs, each flipped by every hash that falls on it."""
+    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _digest(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes())
 
 
 def text_nodes(docs: DataFrame, words: int, seeds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    """The rows ``(doc_id, node, …)`` with a digest of the shingle set, and the distinct nodes with their least id.
+    """The rows ``(doc_id, node)`` with a digest of the shingle set, and the distinct nodes with their least id.
 
-    The other columns, ``f0`` and so on, are the fingerprints of the distinct words under each of ``seeds``.
+    Nodes have the fingerprints of the distinct words under each of ``seeds``, ``f0`` and so on, and a sketch ``s`` of the shingles.
     """
     names = [f"f{i}" for i in range(len(seeds))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = np.array([[_digest(shingle_set(t, words)), *(fingerprint(t, 0, s) for s in seeds)] for t in batch["text"]],
-                              np.uint64).reshape(-1, 1 + len(seeds)).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"]} | {c: values[:, i] for i, c in enumerate(["node", *names])})
-
-    found = clean_docs(docs).mapInPandas(run, ", ".join(f"{c} long" for c in ["doc_id", "node", *names]))
+            rows = []
+            for text in batch["text"]:
+                shingles = shingle_set(text, words)
+                fps = np.array([_digest(shingles), *(fingerprint(text, 0, s) for s in seeds)], np.uint64).view(np.int64)
+                rows.append([*fps.tolist(), len(shingles), parity(shingles)])
+            out = pd.DataFrame(rows, columns=["node", *names, "n", "parity"])
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            yield out
+
+    found = clean_docs(docs).mapInPandas(
+        run, ", ".join(f"{c} long" for c in ["doc_id", "node", *names, "n"]) + ", parity array<long>")
     rows, _ = kept_table(found.where("doc_id IS NOT NULL"), "simhash-texts")
-    nodes, _ = kept_table(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.min(f).alias(f) for f in names]), "simhash-nodes")
-    return rows, nodes
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"))
+    # Nodes that stand for one row take its columns; the rows of one node have equal sketches.
+    nodes, _ = kept_table(least.join(rows.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & (
+        F.col("least_id") == F.col("doc_id"))).select("node", "least_id", *names, F.struct("n", "parity").alias("s")).dropDuplicates(["node"]),
+        "simhash-nodes")
+    return rows.select("doc_id", "node"), nodes
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -222,10 +303,13 @@ def similar_links(docs: DataFrame, words: int = 5, bits: int = 6, seeds: tuple[i
     another node under the same fingerprint, with near copies of its own.
     """
     rows, nodes = text_nodes(docs, words, seeds)
-    # One after the other, as the keys of all at once would take that many times the disk.
-    found = reduce(DataFrame.unionByName, [
-        links(nodes.select(F.col("node").alias("fp"), f"f{i}"), nodes.count(), bits, lambda pairs: similar(docs, nodes, pairs, words), [f"f{i}"])
-        for i in range(len(seeds))])
+    spark, count = docs.sparkSession, nodes.count()
+    found, _ = kept_table(nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")), "simhash-found")
+    # One after the other: each search leaves out what the earlier ones have joined, and its tables go before the next.
+    for i in range(len(seeds)):
+        own, known = nodes.select("node", F.col(f"f{i}").alias("f"), "s"), found
+        found = kept_alone(spark, lambda: verified_links(
+            own, count, bits, known, lambda pairs: similar(docs, nodes, pairs, words)), "simhash-found")
     return as_ids(nodes, found, "node").select("x", "y").unionByName(to_least(rows, nodes, "node"))
 
 
