@@ -96,6 +96,9 @@ def test_quality_ignores_held_out_labels(spark, odd, empty):
     assert all((got[i] >= 0.3) == (i % 2 == 1) for i in out)
     kept = quality_trees.passing(docs, labels(right))
     assert kept.columns == docs.columns and kept.where("doc_id % 2 = 0").count() == 0 and kept.count() == 150
+    # Rows that repeat a learned id don't add to what is learned from.
+    seen = quality_trees.fit(docs.unionByName(docs.where("doc_id < 50")), labels(right))
+    assert np.array_equal(seen.value, a.value)
     none = quality_trees.fit(odd, labels([]))
     assert {r.score for r in quality_trees.scores(odd, none).collect()} == {0.5}
     assert quality_trees.scores(odd, a).count() == odd.count() and quality_trees.scores(empty, a).count() == 0
@@ -271,8 +274,42 @@ def test_edited_texts_and_equal_fingerprints(spark, odd_rows, empty):
     assert imatch.edited_fingerprints(frame(spark, [(1, "alone here")])).first().near_next == 1.0
 
 
-def test_next_row_over_many_ranges(spark, monkeypatch):
+def test_signatures_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(1, 120), 400)) for i in range(80)] + [(90, ""), (91, None), (92, "Straße ÉTÉ 42 été")]
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def hashed(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), h)
+        return h
+
+    cells = 1 << imatch.CELL_BITS
+    terms = {i: sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w})
+             for i, t in rows}
+    counts = Counter(c for own in terms.values() for c in {t % cells for t in own})
+    low, high = (b * len(rows) for b in imatch.BAND)
+    want = {}
+    for i, own in terms.items():
+        band, out, shift = [t for t in own if low <= counts[t % cells] <= high], [], imatch.CELL_BITS
+        for bits in imatch.THINNING:
+            for j in range(imatch.PER_LEVEL):
+                kept = [t for t in band if (t >> shift) % (1 << bits) == j]
+                out.append(f"{hashed(kept):x}" if kept else "-")
+            shift += bits
+        want[i] = ".".join(out if band else [f"{hashed(own):x}"] + ["-"] * (len(out) - 1))
+    assert any("-" not in w.split(".")[:7] for w in want.values())
+    got = {r.doc_id: r.fingerprint for r in imatch.edited_fingerprints(frame(spark, rows)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("coarse", [1_024, 4])
+def test_next_row_over_many_ranges(spark, monkeypatch, coarse):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
+    monkeypatch.setattr(imatch, "COARSE", coarse)
     rng = random.Random(8)
     ids = rng.sample(range(1000), 120)
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")

@@ -27,8 +27,10 @@ BAND = (0.0005, 0.1)
 THINNING, PER_LEVEL = (3, 4, 5, 6, 7, 8), 7
 #: What Spark's hash gives for an empty list.
 HASH_SEED = 42
-#: Rows between two boundaries of the order, about; and boundaries, at most.
-RANGE_ROWS, MOST_RANGES = 1_000, 4_096
+#: Rows of a range of the order, about; ranges that are told apart by a constant array, at most, the finer ones come from a table.
+RANGE_ROWS, COARSE = 1_000, 1_024
+#: Rows that are sent to every task, at most; more are joined by a shuffle.
+SMALL_TABLE = 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -97,25 +99,39 @@ def as_text(signature: str) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs(doc_id, …)`` with ``next_<c>`` of the row that follows by descending doc_id; after the last comes the first.
 
-    Rows meet in ranges of the id. The first rows of a range also visit the range before it, as the successors of its last one.
+    Rows meet in ranges of the id, as many as the rows need: coarse ranges by approximate quantiles of all ids, and within each finer
+    ones by its own quantiles. The first rows of a range also visit the range before it, as the successors of its last one.
     """
     lowest = -(1 << 63)
     key = F.coalesce("doc_id", F.lit(lowest))
     rows = docs.withColumn("_key", key).withColumn("_tie", F.xxhash64("text"))
     total = docs.count()
-    ranges = min(max(total // RANGE_ROWS, 1), MOST_RANGES)
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = docs.select(F.percentile_approx(key, shares, 100 * ranges)).first()[0] if shares and total else []
-    bounds = sorted(set(bounds or []))
-    limits = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    # Range 0 has the greatest ids.
-    rows = rows.withColumn("_range", F.size(F.filter(limits, lambda b: b >= F.col("_key"))) if bounds else F.lit(0))
-    heads = rows.groupBy("_range").agg(F.max("_key").alias("_key")).select("_range", "_key").toPandas()  # a row a range
-    heads = heads.sort_values("_range").reset_index(drop=True)
-    before = heads["_range"].shift(1).fillna(heads["_range"].max()) if len(heads) else heads["_range"]
-    visits = docs.sparkSession.createDataFrame(
-        [(int(k), int(r)) for k, r in zip(heads["_key"], before)], "_key bigint, _visits int")
-    rows = rows.join(F.broadcast(visits), "_key", "left")
+    coarse = min(max(total // RANGE_ROWS, 1), COARSE)
+    fine = max(-(-total // (coarse * RANGE_ROWS)), 1) if coarse == COARSE else 1
+
+    def cuts(parts: int) -> Column:
+        return F.array_distinct(F.percentile_approx("_key", [i / parts for i in range(1, parts)], 100 * parts))
+
+    def above(limits: Column) -> Column:
+        """Range 0 has the greatest ids."""
+        return F.size(F.filter(limits, lambda b: b >= F.col("_key")))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if coarse * fine <= SMALL_TABLE else df
+
+    bounds = rows.select("_key").agg(cuts(coarse)).first()[0] if coarse > 1 else []
+    rows = rows.withColumn("_coarse", above(F.array(*[F.lit(b) for b in bounds])) if bounds else F.lit(0))
+    if fine > 1:
+        inner = rows.select("_coarse", "_key").groupBy("_coarse").agg(cuts(fine).alias("_cuts"))
+        rows = rows.join(small(inner), "_coarse").withColumn("_fine", above(F.col("_cuts"))).drop("_cuts")
+    else:
+        rows = rows.withColumn("_fine", F.lit(0))
+    rows = rows.withColumn("_range", F.struct("_coarse", "_fine"))
+    along = Window.orderBy("_range")  # of one small row a range
+    heads = rows.select("_range", "_key").groupBy("_range").agg(F.max("_key").alias("_key"))
+    visits = heads.select("_key", F.coalesce(F.lag("_range").over(along), F.max("_range").over(
+        along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_visits"))
+    rows = rows.join(small(visits), "_key", "left")
     places = F.when(F.col("_visits").isNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")))).otherwise(
         F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")), F.struct(F.col("_visits").alias("r"), F.lit(1).alias("guest"))))
     placed = rows.withColumn("_place", F.explode(places)).withColumn("_r", F.col("_place.r")).withColumn("_guest", F.col("_place.guest"))

@@ -174,11 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees
             x = np.array([statistics(t) for t in batch["text"]]).reshape(len(batch), len(columns))
             yield pd.concat([batch[["doc_id", "y"]].reset_index(drop=True), pd.DataFrame(x, columns=columns)], axis=1)
 
-    # The sample has a bound, so it may be sent to every task.
-    rows = clean_docs(docs).join(F.broadcast(known), "doc_id").mapInPandas(
+    # The sample has a bound, so it may be sent to every task. Of rows that repeat an id, the text with the least hash is learned from.
+    texts = clean_docs(docs).join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = texts.mapInPandas(
         run, "doc_id long, y int, " + ", ".join(f"{c} double" for c in columns)).toPandas()
-    # The order of arrival must not matter; repeated rows count once.
-    rows = rows.drop_duplicates().sort_values(["doc_id", *columns]).head(max_train)
+    # The order of arrival must not matter.
+    rows = rows.sort_values("doc_id").head(max_train)
     return fit_trees(rows[columns].to_numpy(), rows["y"].to_numpy(dtype=np.float64))
 
 
