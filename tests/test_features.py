@@ -177,6 +177,15 @@ def test_capped_edges(spark, chunks):
         graph.assert_edge_budget(df, [spec], 5)
 
 
+def test_edge_budget_grows_with_the_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_EDGES", 10)
+    df = spark.createDataFrame([(i, i % 3) for i in range(60)], "node long, card long")
+    graph.assert_edge_budget(df, [graph.EdgeSpec("card", ("card",), 3)])
+    monkeypatch.setattr(graph, "MAX_EDGES_PER_NODE", 5)
+    with pytest.raises(ValueError):
+        graph.assert_edge_budget(df, [graph.EdgeSpec("card", ("card",), 10)])
+
+
 @pytest.mark.parametrize("block", [1000, 40])
 def test_neighbours_are_exact(spark, block):
     import numpy as np
