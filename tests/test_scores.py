@@ -239,6 +239,40 @@ def test_bounded_search_is_exhaustive(spark, ties):
         assert tuple(best[resample][f"w_{m}"] for m in models) == pytest.approx(first)
 
 
+def test_close_points_are_told_apart_by_bins(spark, monkeypatch):
+    """Scores that say nothing give close precisions; finer bins leave few points for exact curves, from spread rows."""
+    rng, seen = random.Random(8), []
+    df = spark.createDataFrame([(i, int(rng.random() < 0.2), rng.random(), rng.random(), rng.random()) for i in range(4000)],
+                               "id long, y int, m1 double, m2 double, m3 double").coalesce(1)
+    exact = ensemble.average_precision
+
+    def counted(rows, y, p, by, *rest):
+        seen.append((rows.select("b", "point").distinct().count(), rows.rdd.getNumPartitions()))
+        return exact(rows, y, p, by, *rest)
+
+    monkeypatch.setattr(ensemble, "average_precision", counted)
+    monkeypatch.setattr(ensemble, "spread", lambda d, real=ensemble.spread: seen.append(real(d).rdd.getNumPartitions()) or real(d))
+    models = ["m1", "m2", "m3"]
+    got = ensemble.search_coarse(df, models, 0.05).first()
+    assert seen[0] >= 8 and seen[1][0] <= 20
+    tried = ensemble.grid_ap(df, models, ensemble.simplex_grid(spark, models, 0.05)).agg(F.max("ap")).first()[0]
+    assert got["ap"] == pytest.approx(tried, abs=1e-9)
+
+
+def test_resample_weights_match_hashlib(spark):
+    import hashlib
+
+    ids = [0, 7, 123456, None]
+    df = spark.createDataFrame([(i, 1, 0.5) for i in ids], "id long, y int, m double")
+    got = {(r["id"], r["b"]): r["w"] for r in ensemble.bootstrap_samples(df, ["m"], "id", 6).collect()}
+    want = {}
+    for i in ids:
+        for b in range(6):
+            u = int(hashlib.md5((f"{i}:{b}" if i is not None else str(b)).encode()).hexdigest()[:8], 16) / (1 << 32)
+            want[i, b] = sum(u >= c for c in ensemble.POISSON_CUTS)
+    assert got == {k: w for k, w in want.items() if w}
+
+
 def test_bounds_hold_the_precision():
     rng = np.random.default_rng(5)
     for _ in range(50):

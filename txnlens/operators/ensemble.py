@@ -16,7 +16,7 @@ from txnlens.functions import fixed
 from txnlens.operators.business import Costs, optimal_threshold
 from txnlens.operators.curves import average_precision
 from txnlens.operators.ordered import Chunks, plan_chunks
-from txnlens.session import cut_lineage, rows_at_most
+from txnlens.session import cut_lineage, rows_at_most, spread
 
 Weights = dict[str, float]
 
@@ -94,11 +94,12 @@ def grid_ap(df: DataFrame, models: Sequence[str], grid: DataFrame, y: str = "y",
     return run.groupBy(*by, "point").agg(F.when(total > 0, F.sum(F.col("pos") * F.col("tp") / F.col("flagged")) / total).alias("ap"))
 
 
-# Cells of all histograms of one resample in a round, about: points x bins.
-CELLS = 1 << 19
-ROUNDS = 6
+# Bins of a point's histogram in the first round and at most, the growth from round to round, and rows of weights a batch.
+FIRST_BINS, MOST_BINS, BIN_GROWTH, ROUNDS = 256, 1 << 15, 8, 6
 # Points, of one search and of each of many resamples, whose exact curves are cheaper than another round.
-FEW_POINTS, FEW_RESAMPLED = 4, 24
+FEW_POINTS, FEW_RESAMPLED = 4, 4
+# Resamples in one packed histogram row.
+SLICE = 8
 _SLACK = 1e-9
 
 
@@ -130,74 +131,79 @@ def finer_edges(edges: np.ndarray, pos: np.ndarray, gap: np.ndarray, bins: int)
     return np.unique(np.r_[np.repeat(low, parts) + np.repeat((high - low) / parts, parts) * at, edges[-1]])
 
 
-_CELL = ["b", "point", "bin", "pos", "n"]
-#: By resample and point: the weights and the bin edges.
-Open = dict[int, dict[int, tuple[tuple[float, ...], np.ndarray]]]
+# Row weights a batch of rows holds, about: rows x resamples.
+BATCH_CELLS = 1 << 22
+#: By point: its weights, its bin edges, and the resamples in which it is open.
+Open = dict[int, tuple[tuple[float, ...], np.ndarray, list[int]]]
+
+
+def gathered(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The batches joined to about ``size`` rows each, so that what is done once a batch counts less."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= size:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def score_histograms(df: DataFrame, models: Sequence[str], points: Open) -> DataFrame:
-    """``(b, point, bin, pos, n)`` of rows ``(y, ws, <model>...)``, ``ws`` being the weight of the row in each resample ``b``.
+    """``(point, slice, kind, cells)`` of rows ``(y, ws, <model>...)``, ``ws`` being the weight of the row in each resample.
 
-    A task adds its rows up before anything is sent, so what is shuffled doesn't grow with the rows; histograms of parts add up.
+    ``cells`` packs negatives and positives of every bin for some resamples of the point, in the smallest integer ``kind`` that
+    holds them. A batch of rows is added up before anything is sent, one point at a time; histograms of batches add up.
     """
+    widest = max((max(own) for _, _, own in points.values()), default=0) + 1
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            y, ws = batch["y"].to_numpy() == 1, np.stack(batch["ws"].to_numpy()).astype(float)
+        for batch in gathered(batches, BATCH_CELLS // widest):
+            y, ws = batch["y"].to_numpy() == 1, np.stack(batch["ws"].to_numpy())
             columns = [batch[m].to_numpy(float) for m in models]
-            placed: dict[tuple, np.ndarray] = {}
-            for b, own in points.items():
-                used = np.flatnonzero(ws[:, b])
-                w, positive = ws[used, b], y[used]
-                for point, (weights, edges) in own.items():
-                    # In the order of the SQL expression, so that ties are the same; resamples may share their bins.
-                    key = (weights, id(edges))
-                    if key not in placed:
-                        if len(placed) > 512:
-                            placed.clear()
-                        value = reduce(lambda x, z: x + z, [v * c for v, c in zip(weights, columns)])
-                        placed[key] = np.clip(np.searchsorted(edges, value, side="right") - 1, 0, len(edges) - 2)
-                    cell = placed[key][used]
-                    held = sums.setdefault((b, point), np.zeros((2, len(edges) - 1)))
-                    held[0] += np.bincount(cell[positive], w[positive], len(edges) - 1)
-                    held[1] += np.bincount(cell, w, len(edges) - 1)
-        out, size = [], 0
-        for (b, point), held in sums.items():
-            at = np.flatnonzero(held[1])
-            out.append(np.stack([np.full(len(at), b), np.full(len(at), point), at, held[0, at].astype(np.int64), held[1, at].astype(np.int64)]))
-            size += len(at)
-            if size > 100_000:
-                yield pd.DataFrame(np.concatenate(out, axis=1).T, columns=_CELL)
-                out, size = [], 0
-        if out:
-            yield pd.DataFrame(np.concatenate(out, axis=1).T, columns=_CELL)
-
-    found = df.select("y", "ws", *models).mapInPandas(run, "b long, point long, bin long, pos long, n long")
-    return found.groupBy("b", "point", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-
-
-def surviving_points(histograms: DataFrame, points: Open, cells: int = CELLS) -> DataFrame:
-    """``(b, point, edges)`` of the points whose upper bound reaches the highest lower bound of their resample, with finer bins.
-
-    A group has about ``cells`` rows at most.
-    """
+            for point, (weights, edges, own) in points.items():
+                # In the order of the SQL expression, so that ties are the same.
+                value = reduce(lambda x, z: x + z, [v * c for v, c in zip(weights, columns)])
+                cell = 2 * np.searchsorted(edges[1:-1], value, side="right") + y
+                size = 2 * (len(edges) - 1)
+                if len(own) > SLICE:
+                    order = np.argsort(cell, kind="stable")
+                    start = np.flatnonzero(np.diff(cell[order], prepend=-1))
+                    sums = np.zeros((len(own), size), np.int64)
+                    sums[:, cell[order[start]]] = np.add.reduceat(ws[order], start, axis=0)[:, own].T
+                else:
+                    sums = np.stack([np.bincount(cell, ws[:, b], size) for b in own]).astype(np.int64)
+                for i in range(0, len(own), SLICE):
+                    kind = np.min_scalar_type(sums[i:i + SLICE].max())
+                    packed = sums[i:i + SLICE].astype(kind).tobytes()
+                    yield pd.DataFrame({"point": [point], "slice": [i // SLICE], "kind": [kind.str], "cells": [packed]})
+
+    return df.select("y", "ws", *models).mapInPandas(run, "point int, slice int, kind string, cells binary")
+
+
+def point_bounds(histograms: DataFrame, points: Open, bins: int) -> DataFrame:
+    """``(b, point, low, high, edges)``: bounds of the precision of each point in each resample; ``edges``, finer bins for the
+    point, come with its first resample only. A group has a row for each batch of rows."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own, bounds = points[int(key[0])], {}
-        columns = rows.sort_values("point")[["point", "bin", "pos", "n"]].to_numpy(np.int64)
-        for some in np.split(columns, np.flatnonzero(np.diff(columns[:, 0])) + 1):
-            point = int(some[0, 0])
-            pos, n = np.zeros((2, len(own[point][1]) - 1), np.int64)
-            pos[some[:, 1]], n[some[:, 1]] = some[:, 2], some[:, 3]
+        point, part = int(key[0]), int(key[1])
+        _, edges, own = points[point]
+        own = own[part * SLICE:(part + 1) * SLICE]
+        sums = np.zeros(len(own) * 2 * (len(edges) - 1), np.int64)
+        for kind, cells in zip(rows["kind"], rows["cells"]):
+            sums += np.frombuffer(cells, kind)
+        out, finer = [], None
+        for b, both in zip(own, sums.reshape(len(own), -1)):
+            pos, n = both[1::2], both[::2] + both[1::2]
+            # Without positives there are no bounds and no precision; all points stay.
             low, high = ap_gaps(pos[::-1], n[::-1])
-            bounds[point] = low.sum(), high.sum(), pos, (high - low)[::-1]
-        # Without positives there are no bounds and no precision; all points stay.
-        best = np.nanmax([-1.0, *(low for low, *_ in bounds.values())])
-        keep = [p for p, (_, high, *_) in bounds.items() if not high < best - _SLACK]
-        bins = max(64, cells // max(len(keep), 8))
-        return pd.DataFrame({"b": key[0], "point": keep, "edges": [
-            finer_edges(own[p][1], bounds[p][2], np.nan_to_num(bounds[p][3]), bins).tobytes() for p in keep]})
+            if part == 0 and finer is None and pos.any():
+                finer = finer_edges(edges, pos, np.nan_to_num((high - low)[::-1]), bins).tobytes()
+            out.append((b, point, low.sum(), high.sum(), None))
+        out[0] = (*out[0][:4], finer)
+        return pd.DataFrame(out, columns=["b", "point", "low", "high", "edges"])
 
-    return histograms.groupBy("b").applyInPandas(run, "b int, point int, edges binary")
+    return histograms.groupBy("point", "slice").applyInPandas(run, "b int, point int, low double, high double, edges binary")
 
 
 def bounded_search(df: DataFrame, models: Sequence[str], points: Sequence[Sequence[float]], y: str = "y", resamples: Column | None = None,
@@ -211,31 +217,38 @@ def bounded_search(df: DataFrame, models: Sequence[str], points: Sequence[Sequen
     scores = [f"_s{i}" for i in range(len(models))]
     clean = reduce(Column.__and__, [F.col(m).isNotNull() & ~F.isnan(F.col(m).cast("double")) for m in models])
     ws = F.array(F.lit(1).cast("long")) if resamples is None else resamples
-    rows = cut_lineage(df.where(clean).select(F.col(y).alias("y"), ws.alias("ws"), *[F.col(m).cast("double").alias(s) for m, s in zip(models, scores)]))
-    cells = max(CELLS // b, 1 << 16)
+    # Rows of one time lie together in the input; spread, no task draws their weights and bins them alone.
+    rows = cut_lineage(spread(df.where(clean)).select(F.col(y).alias("y"), ws.alias("ws"), *[F.col(m).cast("double").alias(s) for m, s in zip(models, scores)]))
     ends = rows.agg(F.min(F.least(*scores, scores[0])), F.max(F.greatest(*scores, scores[0]))).first()
     own = dict(enumerate(map(tuple, points)))
-    left = {i: own for i in range(b)}
+    left = {i: set(own) for i in range(b)}
     if ends[0] is not None:
-        first = np.linspace(*ends, max(64, cells // 2 // max(len(own), 8)) + 1) if ends[0] < ends[1] else np.array([ends[0], ends[0] + 1.0])
-        edges = {i: dict.fromkeys(own, first) for i in range(b)}
-        for turn in range(ROUNDS):
-            open_ = {i: {p: (w, edges[i][p]) for p, w in own.items()} for i, own in left.items() if len(own) > (FEW_POINTS if b == 1 else FEW_RESAMPLED)}
+        first = np.linspace(*ends, FIRST_BINS + 1) if ends[0] < ends[1] else np.array([ends[0], ends[0] + 1.0])
+        edges = dict.fromkeys(own, first)
+        bins = FIRST_BINS
+        for _ in range(ROUNDS):
+            again = {i for i, some in left.items() if len(some) > (FEW_POINTS if b == 1 else FEW_RESAMPLED)}
+            open_ = {p: (w, edges[p], [i for i in sorted(again) if p in left[i]]) for p, w in own.items()}
+            open_ = {p: x for p, x in open_.items() if x[2]}
             if not open_:
                 break
-            kept: dict[int, dict[int, np.ndarray]] = {i: {} for i in open_}
-            # About ``cells`` edges a resample, at most.
-            for r in surviving_points(score_histograms(rows, scores, open_), open_, cells).collect():
-                kept[r["b"]][r["point"]] = np.frombuffer(r["edges"])
+            finer = min(bins * BIN_GROWTH, MOST_BINS)
+            found = point_bounds(score_histograms(rows, scores, open_), open_, finer).collect()
+            edges |= {r["point"]: np.frombuffer(r["edges"]) for r in found if r["edges"] is not None}
+            lows, highs = ({i: {} for i in again} for _ in range(2))
+            for i, point, low, high, _ in found:
+                # Without positives there are no bounds; the point stays.
+                lows[i][point], highs[i][point] = (-1.0 if low is None or math.isnan(low) else low), (math.inf if high is None or math.isnan(high) else high)
+            best = {i: max(low.values()) for i, low in lows.items()}
+            keep = {i: {p for p, high in highs[i].items() if not high < best[i] - _SLACK} for i in again}
             # Points of equal ranking stay together however fine the bins are.
-            if turn > 1 and sum(map(len, kept.values())) == sum(map(len, open_.values())):
+            stuck = bins == MOST_BINS and all(len(keep[i]) == len(left[i]) for i in again)
+            left |= keep
+            if stuck:
                 break
-            for i, found in kept.items():
-                if found:
-                    left[i] = {p: w for p, w in left[i].items() if p in found}
-                    edges[i] = found
+            bins = finer
     names = [f"w_{m}" for m in models]
-    table = spark.createDataFrame([(i, p, *w) for i, own in left.items() for p, w in own.items()], "b int, point int, " + ", ".join(f"{n} double" for n in names))
+    table = spark.createDataFrame([(i, p, *own[p]) for i, some in left.items() for p in sorted(some)], "b int, point int, " + ", ".join(f"{n} double" for n in names))
     each = rows.select("y", *scores, F.posexplode("ws").alias("b", "w")).where("w > 0").groupBy("b", *scores, "y").agg(F.sum("w").alias("w"))
     value = reduce(lambda x, z: x + z, [F.col(f"w_{m}") * F.col(s) for m, s in zip(models, scores)])
     scored = each.join(F.broadcast(table), "b").select("b", "point", "y", "w", value.alias("p"))
@@ -281,23 +294,28 @@ def poisson_weight(u: Column) -> Column:
     return reduce(lambda a, b: a + b, [(u >= c).cast("long") for c in POISSON_CUTS])
 
 
-def resample_weight(key: str, b: Column) -> Column:
-    """Poisson(1) weight of a row in resample ``b``."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), b.cast("string"))), 1, 8), 16, 10)
-    return poisson_weight(u.cast("double") / float(1 << 32))
+def resample_weights(key: str, b: int) -> Column:
+    """Poisson(1) weights of a row in the resamples 0 to ``b`` - 1, as an array.
+
+    The draws are an array of their own: inside one expression each of the cuts would compute its draw anew.
+    """
+    def draw(i: Column) -> Column:
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), i.cast("string"))), 1, 8), 16, 10)
+        return u.cast("double") / float(1 << 32)
+
+    return F.transform(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), draw), poisson_weight)
 
 
 def bootstrap_samples(df: DataFrame, models: Sequence[str], key: str, b: int = 50, y: str = "y") -> DataFrame:
     """Each row with its Poisson weight in each of ``b`` resamples; weight 0 drops out."""
-    rows = df.select(key, y, *models, F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
-    return rows.withColumn("w", resample_weight(key, F.col("b"))).where("w > 0")
+    rows = spread(df.select(*dict.fromkeys([key, y, *models])))
+    return rows.select(key, y, *models, F.posexplode(resample_weights(key, b)).alias("b", "w")).where("w > 0")
 
 
 def bootstrap_best(df: DataFrame, models: Sequence[str], key: str, b: int = 50, step: float = 0.05, y: str = "y",
                    chunks: Chunks = None) -> DataFrame:
     """``(b, w_<model>..., ap)``: the best weights in each of ``b`` resamples."""
-    ws = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: resample_weight(key, i))
-    return bounded_search(df, models, _grid(models, step), y, ws, b, chunks)
+    return bounded_search(df, models, _grid(models, step), y, resample_weights(key, b), b, chunks)
 
 
 def bootstrap_weights(df: DataFrame, models: Sequence[str], key: str, b: int = 50, step: float = 0.05, y: str = "y",
