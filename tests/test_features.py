@@ -177,6 +177,20 @@ def test_capped_edges(spark, chunks):
         graph.assert_edge_budget(df, [spec], 5)
 
 
+def test_sampled_neighbours_share_the_shuffle_of_their_edges(spark):
+    df = spark.createDataFrame([(i, i % 3, i % 2) for i in range(40)], "node long, card long, kind long")
+    edges = graph.edges_from_specs(df, "node", [graph.EdgeSpec("card", ("card",), 6), graph.EdgeSpec("both", ("card", "kind"), 3)])
+    got = graph.sample_neighbors(edges, 2)
+    assert "hashpartitioning(src" not in got._jdf.queryExecution().executedPlan().toString()
+    import hashlib
+
+    into = {}
+    for src, dst in {(r["src"], r["dst"]) for r in edges.collect()}:
+        into.setdefault(dst, []).append((hashlib.md5(f"{src}:{dst}:42".encode()).hexdigest(), src))
+    want = {(src, dst) for dst, own in into.items() for _, src in sorted(own)[:2]}
+    assert {(r["src"], r["dst"]) for r in got.collect()} == want and edges.count() == sum(map(len, into.values()))
+
+
 def test_edge_budget_grows_with_the_nodes(spark, monkeypatch):
     monkeypatch.setattr(graph, "MAX_EDGES", 10)
     df = spark.createDataFrame([(i, i % 3) for i in range(60)], "node long, card long")
