@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from txnlens.operators import windows
 from txnlens.roles import MICROS
-from txnlens.streaming import keyed, sources
+from txnlens.streaming import keyed, sources, state
 
 DAY = 86_400 * MICROS
 SCHEMA = T.StructType().add("event_id", "string").add("user_id", "string").add("t", "long").add("value", "double").add("k", "double").add("arrived", "long")
@@ -75,3 +75,30 @@ def test_verdicts_do_not_depend_on_triggers(spark, tmp_path, rows):
         truth.append((i, int(m >= 0 and m - t > DAY), int(m >= 0 and t < m)))
         newest[u] = max(m, t)
     assert one == many == sorted(truth) and sum(v[1] for v in one) > 5
+
+
+BIG = 1 << 60
+
+
+def _many(spark, tmp_path):
+    """A stream of 40 entities, one of them missing, whose ids are beyond 2^53 or missing."""
+    schema = T.StructType().add("event_id", "long").add("user_id", "long").add("t", "long").add("value", "double")
+    rows = [(BIG + i if i % 11 else None, i % 40 or None, (i + 1) * DAY // 50, float(i)) for i in range(200)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "src"))
+    return rows, sources.stream_transactions(spark, "parquet", str(tmp_path / "src"), schema)
+
+
+@pytest.mark.parametrize("build", [keyed.keyed_features, state.stream_features])
+def test_entities_share_calls_by_bucket(spark, tmp_path, build):
+    """State rows are those of buckets, answers those of each entity; missing ids and entities leave the others as they are."""
+    rows, stream = _many(spark, tmp_path)
+    progress = sources.run_append_to(build(stream, buckets=4), str(tmp_path / "out"), str(tmp_path / "offsets"), store=sources.ROCKSDB, state_partitions=2)
+    assert max(s["numRowsTotal"] for p in progress for s in p["stateOperators"]) <= 5
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    seen, want = {}, []
+    for i, u, t, x in rows:
+        own = seen.setdefault(u, [])
+        want.append((i or 0, u or 0, t, len(own), sum(own), x))
+        own.append(x)
+    last = lambda v: v[0] if isinstance(v, list) else v
+    assert sorted((r["id"] or 0, r["entity"] or 0, r["t"], r["tx_count"], r["tx_sum"], last(r["seq"][-1])) for r in got) == sorted(want)
