@@ -86,3 +86,23 @@ def test_state_of_silent_entities_goes(spark, tmp_path):
 
     got = {r["id"]: r["ready"] for r in _run(spark, tmp_path, [], [], triggers, ttl_days=30).collect()}
     assert {k: got[k] for k in "abcde"} == {"a": 0, "b": 0, "c": 1, "d": 0, "e": 1}
+
+
+def test_entities_share_timers_by_bucket(spark, tmp_path):
+    """Thirty entities in two buckets have two timers a slice, and each is answered from its own labels."""
+    s = DAY * MICROS
+    tx = [(f"{u}-{d}", f"u{u}", d * s + u) for u in range(30) for d in (1, 8, 15)]
+    out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
+    deals = [(tx, [(e, u, t, int(u[1:]) % 2, t + s) for e, u, t in tx]), ([("end", "beat", 90 * s)], [("none", "beat", 0, 0, 90 * s)])]
+    held = []
+    for rows, known in deals:
+        for name, some, schema in (("tx", rows, TX), ("feed", known, FEED)):
+            spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        a, b = (sources.stream_transactions(spark, "parquet", str(tmp_path / n), c) for n, c in (("tx", TX), ("feed", FEED)))
+        for p in sources.run_append_to(labels.promoted_label_encoding(a, b, 0.05, LAG, delay="30 days", buckets=2), out, offsets,
+                                       store=sources.ROCKSDB, state_partitions=2):
+            held.append(p["stateOperators"][0]["numRowsTotal"])
+    # A counter, three slices of labels, three of questions, and the timers of each bucket.
+    assert max(held) < 60
+    got = {r["id"]: (r["ready"], round(r["target_enc"], 9)) for r in spark.read.parquet(out).where("id <> 'end'").collect()}
+    assert got == {f"{u}-{d}": (n, round((n * (u % 2) + 0.5) / (n + 10), 9)) for u in range(30) for n, d in enumerate((1, 8, 15))}
