@@ -49,6 +49,15 @@ def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
         assert (docs.count() > 0) == (k == 0)
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_texts_reach_python_in_short_batches(spark, empty, name):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    dict(corpus_pipeline.STAGES)[name](spark, empty, FOLDER)
+    sizes = spark.range(3000).coalesce(1).mapInPandas(lambda batches: (b.head(1).assign(id=len(b)) for b in batches), "id long")
+    assert max(r.id for r in sizes.collect()) <= 256
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     ours = QUERIES[name](spark, FOLDER).toPandas()
