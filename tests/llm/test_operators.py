@@ -593,6 +593,102 @@ def test_near_copies_of_permuted_words_go(spark):
     assert all(near[i] == i - 1 for i in texts if i % 10 == 1)
 
 
+def near_components(rows):
+    """The least id of the group of each row, by brute force over all pairs."""
+    close, distinct = [slow_fingerprint(t, 5) for _, t in rows], [distinct_fingerprint(t) for _, t in rows]
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if find(i) != find(j) and ((close[i] ^ close[j]).bit_count() <= 4 or (distinct[i] ^ distinct[j]).bit_count() <= 6 and (
+                    9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])))):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+def test_near_copies_in_large_groups(spark, monkeypatch):
+    """Families of variants, some only similar by way of others, and long texts of the same words that have no passage in common."""
+    rng = random.Random(43)
+    rows = []
+    for i in range(4):
+        words = prose(rng, 150, 5000).split()
+        rows.append((1000 * i, " ".join(words)))
+        for k in range(1, 40):
+            own = list(words)
+            for at in rng.sample(range(150), 1 + k % 4):
+                own[at] = f"new{rng.randrange(10**6)}"
+            rows.append((1000 * i + k, " ".join(own)))
+    words = [f"w{k % 300}" for k in range(3000)]
+    for k in range(30):
+        rng.shuffle(words)
+        rows.append((9000 + k, " ".join(words)))
+    own, seen = simhash_blocks.similar, []
+
+    def counted(docs, nodes, pairs, words):
+        seen.append(pairs.count())
+        return own(docs, nodes, pairs, words)
+
+    monkeypatch.setattr(simhash_blocks, "similar", counted)
+    kept = {r.doc_id for r in simhash_blocks.drop_near(frame(spark, rows).repartition(4)).collect()}
+    groups = near_components(rows)
+    assert kept == set(groups.values()) and len({g for g in groups.values() if g < 9000}) > 4
+    # Of 435 pairs of long texts none is worth a look; a family of 40 has 780 pairs, a forest of it 39.
+    assert sum(seen) < 2 * len(rows)
+
+
+def test_close_pairs_and_forests(monkeypatch):
+    """Pairs of a group, cut further or not, and a spanning forest of them against brute force."""
+    rng = random.Random(44)
+    fps = []
+    for _ in range(6):
+        x = rng.getrandbits(64)
+        for _ in range(30):
+            y = x
+            for b in rng.sample(range(9, 64), rng.randrange(6)):
+                y ^= 1 << b
+            fps.append(y & ~511)
+    f = np.array(fps, np.uint64)
+    want = {(i, j) for i in range(len(f)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 6}
+    monkeypatch.setattr(simhash_blocks, "ROWS_AT_ONCE", 16)
+    for most in (1000, 20):
+        monkeypatch.setattr(simhash_blocks, "BRUTE_NODES", most)
+        got = [(max(i, j), min(i, j)) for a, b in simhash_blocks.close_pairs(f, 6, 511) for i, j in zip(a.tolist(), b.tolist())]
+        assert set(got) == want and len(got) == len(want)
+    a, b = (np.array(x) for x in zip(*sorted(want)))
+    x, y, w = simhash_blocks.spanning(a, b, np.array([(fps[i] ^ fps[j]).bit_count() for i, j in zip(a, b)], float))
+
+    def parts(edges):
+        root = list(range(len(f)))
+        for i, j in edges:
+            old, new = root[i], root[j]
+            root = [new if r == old else r for r in root]
+        return [root.index(r) for r in root]
+
+    assert parts(zip(x.tolist(), y.tolist())) == parts(want) and len(x) == len(f) - len(set(parts(want)))
+    assert (np.diff(w) >= 0).all()
+
+
+@pytest.mark.parametrize("sizes", [(50, 60), (120, 130), (4000, 4900), (20, 5000)])
+def test_parities(sizes):
+    """No more bits apart than shingles, whatever their lengths; far more than similar texts for texts that share nothing."""
+    rng = np.random.default_rng(45)
+    every = rng.integers(0, 1 << 63, 2 * sum(sizes), dtype=np.uint64)
+    one = [every[:n] for n in sizes]
+    sets = [*one, np.concatenate([one[0][5:], every[-5:]]), every[-sizes[0]:]]
+    apart = lambda i, j: int(simhash_blocks.bits_apart(
+        [simhash_blocks.parity(np.unique(s)) for s in sets], np.array([i]), np.array([j]))[0])
+    assert apart(0, 0) == 0 and apart(0, 1) == apart(1, 0) <= sizes[1] - sizes[0] and apart(0, 2) <= 10
+    assert 9 * apart(0, 3) > 2 * sizes[0]
+
+
 def test_links_over_chains(spark):
     """Long chains, tight clouds and blocks of any number give the components of all pairs."""
     rng = random.Random(10)

@@ -26,10 +26,14 @@ SEED = 42
 SEEDS = (SEED, SEED + 1, SEED + 2)
 #: Shingles whose bits are unpacked at once.
 _SLAB = 1 << 15
-#: Bits of the parity of a shingle set; more of them tell longer texts apart.
-PARITY_BITS = 1_024
-#: Heads that the nodes under a key are compared with before those left over meet each other, at most.
-ROUNDS = 5
+#: Bits of the parity of a shingle set, at least; there are as many as shingles, so long texts are told apart as well as short ones.
+LEAST_PARITY = 64
+#: Nodes that share a key by chance and are compared in one task, about; nodes that are compared without cutting them further.
+GROUP_NODES, BRUTE_NODES = 1 << 15, 1 << 12
+#: Nodes that are compared with all others of their group at once; words of parities that are compared at once.
+ROWS_AT_ONCE, WORDS_AT_ONCE = 256, 1 << 20
+#: Pairs that a task gathers before it reduces them to a forest.
+MANY_PAIRS = 1 << 17
 #: Ids that are sent to every task, at most.
 SMALL_IDS = 1_000_000
 
@@ -104,7 +108,8 @@ def links(nodes: DataFrame, count: int, bits: int = 4) -> DataFrame:
     others under the key, so a group of near copies isn't multiplied out.
     """
     spark = nodes.sparkSession
-    keys = nodes.select("fp", F.explode(block_keys("fp", count, bits)).alias("k")).select("fp", "k.c", "k.v")
+    masks = block_masks(block_count(count, bits), bits)
+    keys = nodes.select("fp", F.explode(block_keys("fp", masks)).alias("k")).select("fp", "k.c", "k.v")
     heads = keys.groupBy("c", "v").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared, shared_path = kept_table(keys.join(heads, ["c", "v"]), "simhash-keys")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
@@ -126,77 +131,159 @@ def links(nodes: DataFrame, count: int, bits: int = 4) -> DataFrame:
     return to_head.unionByName(across)
 
 
-def block_keys(fp: str, count: int, bits: int) -> Column:
-    """The keys ``(c, v)`` of a fingerprint: the number of a choice of blocks, and the bits in them."""
-    masks = [_signed(x) for x in block_masks(block_count(count, bits), bits)]
-    return F.array(*[F.struct(F.lit(i).alias("c"), F.col(fp).bitwiseAND(F.lit(x)).alias("v")) for i, x in enumerate(masks)])
+def block_keys(fp: str, masks: list[int], first: int = 0) -> Column:
+    """The keys ``(c, v, f)`` of a fingerprint: the number of a choice of blocks, the bits in them, and the fingerprint."""
+    return F.array(*[F.struct(F.lit(i).alias("c"), F.col(fp).bitwiseAND(F.lit(_signed(x))).alias("v"), F.col(fp).alias("f"))
+                     for i, x in enumerate(masks, first)])
 
 
-def may_be_similar(a: str, b: str) -> Column:
-    """Whether the shingle sets of two sketches ``(n, parity)`` may have a Jaccard similarity of 0.8 or more.
+def wide_masks(nodes: int, bits: int) -> list[int]:
+    """Masks of as few blocks as leave groups of ``GROUP_NODES`` unrelated fingerprints, about: few keys a node, so few rows to move."""
+    m = bits + 1
+    while m < 32 and nodes >> (64 * (m - bits) // m) > GROUP_NODES:
+        m += 1
+    return block_masks(m, bits)
 
-    Such sets differ in a ninth of the sum of their sizes at most, and every bit in which the parities differ is one shingle.
-    """
-    apart = F.aggregate(F.zip_with(f"{a}.parity", f"{b}.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
-    return 9 * apart <= F.col(f"{a}.n") + F.col(f"{b}.n")
 
+def close_pairs(f: np.ndarray, bits: int, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places ``a, b`` of all pairs of ``f`` within ``bits`` bits, each once; ``mask`` has the bits in which all agree.
+
+    A large group is cut by further blocks: pairs agree in one of ``bits + 1`` blocks of the other bits.
+    """
+    rest = np.array_split([i for i in range(64) if not mask >> i & 1], bits + 1)
+    parts = [np.uint64(sum(1 << int(i) for i in part)) for part in rest] if len(f) > BRUTE_NODES else [np.uint64(0)]
+    for k, part in enumerate(parts):
+        order = np.argsort(f & part, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff((f & part)[order])) + 1):
+            x = f[own]
+            for at in range(0, len(own), ROWS_AT_ONCE):
+                end = min(at + ROWS_AT_ONCE, len(own))
+                a, b = np.nonzero(np.bitwise_count(x[at:end, None] ^ x[None, :end]) <= bits)
+                a += at
+                keep = b < a
+                for earlier in parts[:k]:
+                    keep &= (x[a] ^ x[b]) & earlier != 0
+                yield own[a[keep]], own[b[keep]]
+
+
+def bits_apart(parities: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the parities at ``a`` and ``b`` differ. A longer one is folded: so it would be with fewer bits."""
+    words = np.fromiter((len(p) // 8 for p in parities), np.int64, len(parities))
+    least, out = np.minimum(words[a], words[b]), np.zeros(len(a), np.int64)
+    for width in np.unique(least):
+        at = np.flatnonzero(least == width)
+        own, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(parities[i], "<u8").reshape(-1, width), axis=0) for i in own])
+        x, y, step = place[:len(at)], place[len(at):], max(WORDS_AT_ONCE // int(width), 1)
+        for s in range(0, len(at), step):
+            out[at[s:s + step]] = np.bitwise_count(folded[x[s:s + step]] ^ folded[y[s:s + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges ``a, b`` of a spanning forest of least weight, the lightest first."""
+    order = np.argsort(weight, kind="stable")
+    a, b, weight = a[order], b[order], weight[order]
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[:len(a)], ends[len(a):]
+    root, left, chosen = list(range(len(nodes))), np.arange(len(a)), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    while len(left):
+        # The lightest edge of every tree is in the forest; equal weights are told apart by the order.
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, x[left], left)
+        np.minimum.at(best, y[left], left)
+        for e in np.unique(best[best < len(a)]).tolist():
+            root[find(x[e])] = find(y[e])
+            chosen.append(e)
+        label = np.array([find(i) for i in range(len(nodes))])
+        x, y = label[x], label[y]
+        left = left[x[left] != y[left]]
+    chosen = np.array(sorted(chosen), np.int64)
+    return a[chosen], b[chosen], weight[chosen]
+
+
+def group_pairs(group: pd.DataFrame, masks: list[int], c: int, bits: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one key's rows ``(f, n, p, g)`` that may be similar: all in different groups ``g``, or a spanning forest.
+
+    Two sets with a Jaccard similarity of 0.8 or more differ in a ninth of the sum of their sizes at most, and every bit in
+    which the parities differ is one shingle. A pair that agrees under an earlier mask belongs there.
+    """
+    f, n, g = group["f"].to_numpy().view(np.uint64), group["n"].to_numpy(), group["g"].to_numpy()
+    parities = group["p"].tolist()
+    a, b, w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for x, y in close_pairs(f, bits, masks[c]):
+        keep = (g[x] != g[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+        for earlier in masks[:c]:
+            keep &= (f[x] ^ f[y]) & np.uint64(earlier) != 0
+        x, y = x[keep], y[keep]
+        if not len(x):
+            continue
+        apart, both = bits_apart(parities, x, y), n[x] + n[y]
+        may = 9 * apart <= both
+        a, b, w = np.concatenate([a, x[may]]), np.concatenate([b, y[may]]), np.concatenate([w, apart[may] / both[may]])
+        if not every and len(a) > MANY_PAIRS:
+            a, b, w = spanning(a, b, w)
+    return (a, b) if every else spanning(a, b, w)[:2]
+
+
+def candidates(nodes: DataFrame, count: int, bits: int, names: list[str], every: bool) -> DataFrame:
+    """``(a, b)`` of ``nodes(node, g, n, p, …)`` within ``bits`` bits by one of the fingerprints ``names`` that may be similar.
+
+    Under each key come all pairs of different ``g``, or only a spanning forest of them, the closest pairs first. Either way the
+    pairs under all keys join the same nodes; a forest has fewer pairs than nodes, however large a group of near copies is.
+    """
+    masks = wide_masks(count, bits)
 
-def verified_links(nodes: DataFrame, count: int, bits: int, known: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``known(a, b)`` and links of ``nodes(node, f, s)``: their components are those of ``known`` and all pairs with fingerprints
-    ``f`` within ``bits`` bits that ``verify`` keeps.
+    def found(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if sum(map(len, parts)) > 1:
+            group = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            a, b = group_pairs(group, masks, int(group["c"].iat[0]) % len(masks), bits, every)
+            if len(a):
+                node = group["node"].to_numpy()
+                yield pd.DataFrame({"a": np.maximum(node[a], node[b]), "b": np.minimum(node[a], node[b])})
 
-    ``verify`` only sees pairs whose sketches ``s`` allow a similarity. As in ``links``, the nodes under a key are compared with one
-    head first. Then the least node outside the groups of all earlier heads is the next head, round after round, while many pairs
-    are left over; the number of rounds doesn't change the components. At last the nodes outside the group of the first head are compared with all
-    others under the key that aren't in their own group.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, key = [], None
+        for batch in batches:
+            c, v = batch["c"].to_numpy(), batch["v"].to_numpy()
+            starts = [0, *(np.flatnonzero((np.diff(c) != 0) | (np.diff(v) != 0)) + 1).tolist()]
+            for s, e in zip(starts, [*starts[1:], len(batch)]):
+                if s < e and key != (c[s], v[s]):
+                    yield from found(waiting)
+                    waiting, key = [], (c[s], v[s])
+                waiting.append(batch.iloc[s:e])
+        yield from found(waiting)
+
+    keys = F.concat(*[block_keys(f, masks, i * len(masks)) for i, f in enumerate(names)])
+    rows = nodes.select("node", "g", "n", "p", F.explode(keys).alias("k")).select("k.c", "k.v", "node", "k.f", "n", "g", "p")
+    return rows.repartition("c", "v").sortWithinPartitions("c", "v").mapInPandas(run, "a long, b long").distinct()
+
+
+def verified_links(nodes: DataFrame, count: int, bits: int, names: list[str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``(a, b)`` of ``nodes(node, n, p, …)``: their components are those of all pairs with fingerprints within ``bits`` bits
+    under one of ``names`` that ``verify`` keeps.
+
+    ``verify`` only sees pairs whose sizes ``n`` and parities ``p`` allow a similarity. First it sees a spanning forest of these pairs. Where
+    it keeps the whole tree, nothing else can be joined. Only nodes of the other trees are compared again, and all pairs across
+    the groups found by then are verified.
     """
-    spark = nodes.sparkSession
-    keys = nodes.select("node", "f", F.explode(block_keys("f", count, bits)).alias("k")).select("node", "f", "k.c", "k.v")
-    several = keys.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    shared, _ = kept_table(keys.join(several, ["c", "v"]), "simhash-keys")
-    size = shared.count()
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= bits
-    # Nodes of equal fingerprints share all keys and meet under the first one alone.
-    once = (F.col("fa") != F.col("fb")) | (F.col("c") == 0)
-    sketch = {i: nodes.select(F.col("node").alias(i), F.col("s").alias(f"s{i}")) for i in ("a", "b")}
-    found, heads, done = known, None, 0
-    while True:
-        group, _ = kept_table(components(found), "simhash-groups")
-        tagged, _ = kept_table(shared.join(group, "node", "left").select(
-            "c", "v", "node", "f", F.coalesce("root", "node").alias("g")), "simhash-tagged")
-        closed = None if heads is None else heads.join(group.withColumnRenamed("node", "head"), "head", "left").select(
-            "c", "v", "round", F.coalesce("root", "head").alias("g"))
-        open_ = tagged if closed is None else tagged.join(closed, ["c", "v", "g"], "left_anti")
-        first, _ = kept_table(open_.groupBy("c", "v").agg(
-            F.min(F.struct("node", "f", "g")).alias("h"), F.count("*").alias("n")), "simhash-heads")
-        left_over = first.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
-        if done and (done == ROUNDS or left_over <= size):
-            break
-
-        def to_head() -> DataFrame:
-            met = tagged.join(first, ["c", "v"]).where(F.col("g") != F.col("h.g")).select(
-                F.col("node").alias("a"), F.col("f").alias("fa"), F.col("h.node").alias("b"), F.col("h.f").alias("fb"), "c")
-            pairs = met.where(near & once).select("a", "b").distinct()
-            return verify(pairs.join(sketch["a"], "a").join(sketch["b"], "b").where(may_be_similar("sa", "sb")).select("a", "b"))
-
-        found = found.unionByName(kept_alone(spark, to_head, "simhash-links"))
-        more = first.select("c", "v", F.col("h.node").alias("head"), F.lit(done).alias("round"))
-        heads = more if heads is None else heads.unionByName(more)
-        done += 1
-
-    def across() -> DataFrame:
-        own = closed.where("round = 0").select("c", "v", F.col("g").alias("g0"))
-        marked = tagged.join(own, ["c", "v"]).withColumn("apart", F.col("g") != F.col("g0"))
-        some = marked.where("apart").select("c", "v").distinct()
-        rows, _ = kept_table(marked.join(some, ["c", "v"], "left_semi").join(nodes.select("node", "s"), "node"), "simhash-apart")
-        left = rows.where("apart").select("c", "v", F.col("node").alias("a"), F.col("f").alias("fa"), F.col("g").alias("ga"), F.col("s").alias("sa"))
-        right = rows.select(F.col("c").alias("_c"), F.col("v").alias("_v"), F.col("node").alias("b"), F.col("f").alias("fb"),
-                            F.col("g").alias("gb"), F.col("s").alias("sb"), "apart")
-        met = left.join(right, (F.col("c") == F.col("_c")) & (F.col("v") == F.col("_v")) & (F.col("ga") != F.col("gb"))
-                        & (~F.col("apart") | (F.col("a") < F.col("b"))) & near & once & may_be_similar("sa", "sb"))
-        return verify(met.select("a", "b").distinct())
-
-    return found.unionByName(kept_alone(spark, across, "simhash-links"))
+    first, _ = kept_table(candidates(nodes.withColumn("g", F.col("node")), count, bits, names, False), "simhash-forest")
+    found, _ = kept_table(verify(first), "simhash-links")
+    if found.count() == first.count():
+        return found
+    tree, _ = kept_table(components(first), "simhash-trees")
+    group = components(found).withColumnRenamed("root", "g")
+    tagged, _ = kept_table(tree.join(group, "node", "left").select("node", "root", F.coalesce("g", "node").alias("g")), "simhash-groups")
+    torn = tagged.groupBy("root").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("root")
+    left = nodes.join(tagged.join(torn, "root", "left_semi").select("node", "g"), "node")
+    more = candidates(left, count, bits, names, True).join(first, ["a", "b"], "left_anti")
+    return found.unionByName(verify(more))
 
 
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
@@ -231,10 +318,11 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(_hashes(shingles_of(split_words(text), words)))
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """Bits in longs, each flipped by every hash that falls on it."""
-    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+def parity(hashes: np.ndarray) -> bytes:
+    """Bits, each flipped by every hash that falls on it; a power of two of them, not fewer than hashes."""
+    size = max(LEAST_PARITY, 1 << max(len(hashes) - 1, 0).bit_length())
+    odd = np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _digest(hashes: np.ndarray) -> int:
@@ -244,7 +332,8 @@ def _digest(hashes: np.ndarray) -> int:
 def text_nodes(docs: DataFrame, words: int, seeds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
     """The rows ``(doc_id, node)`` with a digest of the shingle set, and the distinct nodes with their least id.
 
-    Nodes have the fingerprints of the distinct words under each of ``seeds``, ``f0`` and so on, and a sketch ``s`` of the shingles.
+    Nodes have the fingerprints of the distinct words under each of ``seeds``, ``f0`` and so on, the number ``n`` of shingles and
+    their parity ``p``.
     """
     names = [f"f{i}" for i in range(len(seeds))]
 
@@ -255,17 +344,17 @@ def text_nodes(docs: DataFrame, words: int, seeds: tuple[int, ...]) -> tuple[Dat
                 shingles = shingle_set(text, words)
                 fps = np.array([_digest(shingles), *(fingerprint(text, 0, s) for s in seeds)], np.uint64).view(np.int64)
                 rows.append([*fps.tolist(), len(shingles), parity(shingles)])
-            out = pd.DataFrame(rows, columns=["node", *names, "n", "parity"])
+            out = pd.DataFrame(rows, columns=["node", *names, "n", "p"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
     found = clean_docs(docs).mapInPandas(
-        run, ", ".join(f"{c} long" for c in ["doc_id", "node", *names, "n"]) + ", parity array<long>")
+        run, ", ".join(f"{c} long" for c in ["doc_id", "node", *names, "n"]) + ", p binary")
     rows, _ = kept_table(found.where("doc_id IS NOT NULL"), "simhash-texts")
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    # Nodes that stand for one row take its columns; the rows of one node have equal sketches.
+    # Nodes that stand for one row take its columns; the rows of one node have equal shingles.
     nodes, _ = kept_table(least.join(rows.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & (
-        F.col("least_id") == F.col("doc_id"))).select("node", "least_id", *names, F.struct("n", "parity").alias("s")).dropDuplicates(["node"]),
+        F.col("least_id") == F.col("doc_id"))).select("node", "least_id", *names, "n", "p").dropDuplicates(["node"]),
         "simhash-nodes")
     return rows.select("doc_id", "node"), nodes
 
@@ -303,13 +392,9 @@ def similar_links(docs: DataFrame, words: int = 5, bits: int = 6, seeds: tuple[i
     another node under the same fingerprint, with near copies of its own.
     """
     rows, nodes = text_nodes(docs, words, seeds)
-    spark, count = docs.sparkSession, nodes.count()
-    found, _ = kept_table(nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")), "simhash-found")
-    # One after the other: each search leaves out what the earlier ones have joined, and its tables go before the next.
-    for i in range(len(seeds)):
-        own, known = nodes.select("node", F.col(f"f{i}").alias("f"), "s"), found
-        found = kept_alone(spark, lambda: verified_links(
-            own, count, bits, known, lambda pairs: similar(docs, nodes, pairs, words)), "simhash-found")
+    # The tables of the search go once its links are written.
+    found = kept_alone(docs.sparkSession, lambda: verified_links(
+        nodes, nodes.count(), bits, [f"f{i}" for i in range(len(seeds))], lambda pairs: similar(docs, nodes, pairs, words)), "simhash-found")
     return as_ids(nodes, found, "node").select("x", "y").unionByName(to_least(rows, nodes, "node"))
 
 
