@@ -756,3 +756,30 @@ def test_lines(spark, odd_rows, empty, seed):
         own = [line for k, line in enumerate((t or "").split("\n")) if (rank, k) not in gone]
         assert text[i] == (t if t is None or len(own) == t.count("\n") + 1 else "\n".join(own))
     assert line_join.decisions(empty).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 1 << 52])
+def test_lines_meet_by_couples(spark, monkeypatch, step):
+    """Long lines of words that many lines have meet only if they may be similar; ids may be too far apart for one long."""
+    rng = random.Random(52)
+    lines = [prose(rng, rng.randrange(55, 120), 5000) for _ in range(300)]
+    for k in range(40):
+        words = lines[k].split()
+        for at in rng.sample(range(len(words)), rng.randrange(1, 14)):
+            words[at] = f"new{rng.randrange(10**6)}"
+        lines.append(" ".join(rng.sample(words, len(words))))
+    rows = [((i - 170) * step, line) for i, line in enumerate(lines)] + [(None, lines[5]), (900 * step, lines[7] + "\n" + lines[7])]
+    own, sizes = line_join.kept_table, {}
+
+    def counted(df, name):
+        table, path = own(df, name)
+        sizes[name] = sizes.get(name, 0) + table.count()
+        return table, path
+
+    monkeypatch.setattr(line_join, "kept_table", counted)
+    got = {r.doc_id: r.removed for r in line_join.decisions(frame(spark, rows).repartition(4)).collect()}
+    gone = slow_lines(rows)
+    assert got == {i: sorted(k for d, k in gone if d == (-(1 << 63) if i is None else i)) for i, _ in rows}
+    assert 10 < len(gone) < 50
+    # Most of 340 lines share several of their rarest words with others, a near copy about twenty couples.
+    assert sum(n for name, n in sizes.items() if name not in ("line-rows", "line-distinct", "line-keys")) < 2500
